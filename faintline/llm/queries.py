@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faintline.llm import pii
-from faintline.llm.common import table
+from faintline.llm import packing, pii, warc
+from faintline.llm.common import new_path, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write an archive of all pages, read it back, and tell what each record is."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    back = warc.read(spark, path)
+    return back.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents, as bytes with an end mark, into bins of the permitted lengths."""
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op7_pii": op7_pii}
+    return {f.__name__: f for f in (op2_warc, op4_packing, op7_pii)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_warc": warc.ORACLE_SQL}
