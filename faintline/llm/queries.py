@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import packing, pii, warc
+from faintline.llm import flac, packing, pii, warc
 from faintline.llm.common import new_path, table
 
 
@@ -27,8 +27,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the FLAC codec and back."""
+    return flac.decode(flac.encode(table(spark, sf_dir, "documents"))).drop("blocks")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_packing, op7_pii)}
+    return {f.__name__: f for f in (op2_warc, op4_packing, op7_pii, op10_media)}
 
 
 def oracle_sql() -> dict:
