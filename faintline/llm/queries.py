@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import flac, packing, pii, warc
+from faintline.llm import flac, packing, pii, tokens, warc
 from faintline.llm.common import new_path, table
 
 
@@ -22,6 +22,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents, write the seekable files, and read each document's ids back from them."""
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return tokens.read(spark, path)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -33,7 +42,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_packing, op7_pii, op10_media)}
+    return {f.__name__: f for f in (op2_warc, op4_packing, op5_tokens, op7_pii, op10_media)}
 
 
 def oracle_sql() -> dict:
