@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import flac, packing, pii, tokens, warc
+from faintline.llm import decontaminate, flac, packing, pii, tokens, warc
 from faintline.llm.common import new_path, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items, within 8 edits in 100 characters."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write an archive of all pages, read it back, and tell what each record is."""
     path = new_path(spark, "warc")
@@ -42,7 +47,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_packing, op5_tokens, op7_pii, op10_media)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op7_pii, op10_media)}
 
 
 def oracle_sql() -> dict:
