@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import chat, decontaminate, flac, packing, pii, tokens, warc
+from faintline.llm import chat, decontaminate, flac, packing, pii, tokens, toxicity, warc
 from faintline.llm.common import keep, new_path, table
 
 
@@ -36,6 +36,14 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents; learn from the labelled ones that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    marks, base, model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(documents.select("doc_id", "text"), marks, base, model)
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -55,7 +63,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op7_pii, op8_chat, op10_media)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op10_media)}
 
 
 def oracle_sql() -> dict:
