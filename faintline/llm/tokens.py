@@ -39,7 +39,7 @@ from faintline.llm.common import slices
 _SKIP_SEEK, _SKIP_INDEX, _SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _FRAME = 1 << 18  # bytes of a frame before compression
-_WORDS = 700_000  # words whose ids a worker remembers at once
+_WORDS = 150_000  # words whose ids a worker remembers at once
 
 _LATIN = [chr(c) for c in range(0x250) if c != 0x130]
 _L = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
