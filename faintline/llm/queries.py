@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import chat, decontaminate, flac, packing, pii, tokens, toxicity, warc
+from faintline.llm import chat, decontaminate, flac, html, packing, pii, tokens, toxicity, warc
 from faintline.llm.common import keep, new_path, table
 
 
@@ -57,13 +57,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(keep(chat.render(chat.fold(chat.turns_as_events(turns))), "chat"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = html.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the FLAC codec and back."""
     return flac.decode(flac.encode(table(spark, sf_dir, "documents"))).drop("blocks")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op10_media)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op9_html, op10_media)}
 
 
 def oracle_sql() -> dict:

@@ -78,7 +78,7 @@ def test_no_labels_and_odd_rows(spark):
     marks, base, model = tox.fit(docs, none)
     assert marks == {} and [r.score for r in tox.scored(docs, marks, base, model).collect()] == [0.0] * 4
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int").union(spark.createDataFrame([(7, None, None), (None, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int"))
-    more = spark.createDataFrame([(i, "plain words here" + " idiot" * (i % 2), 0.0) for i in range(400)], docs.schema)
+    more = spark.createDataFrame([(i, f"plain words here {'abcdefghij'[i % 10]}{i}" + " idiot" * (i % 2), 0.0) for i in range(400)], docs.schema)
     marks, base, model = tox.fit(more, labels)
     assert "idiot" in marks and base < 0.05
     got = {r.doc_id: r.score for r in tox.scored(docs, marks, base, model).collect()}
