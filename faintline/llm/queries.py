@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm import chat, decontaminate, flac, html, packing, pii, tokens, toxicity, warc
+import corpus_pipeline
+from faintline.llm import chat, decontaminate, flac, html, jaccard, packing, pii, tokens, toxicity, warc
 from faintline.llm.common import keep, new_path, table
 
 
@@ -22,6 +23,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of five-word shingles at a Jaccard similarity of 0.75."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("sid")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents, as bytes with an end mark, into bins of the permitted lengths."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op9_html, op10_media)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_jaccard, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op9_html, op10_media)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -17,23 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faintline.llm.common import spread_join
+
 _CRLF = "\r\n"
-_HOT = 1000
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left, with right's columns where its unique ``key`` matches; right has the number of left's rows as ``n_rows``.
-
-    The _HOT most frequent keys (that many rows at most) are broadcast; all others, none of which can hold
-    more than one row in _HOT, are joined by a shuffle, and the rows already served are spread evenly in it.
-    """
-    wide = [c for c in right.columns if c not in (key, "n_rows")]
-    hot = right.orderBy(F.desc("n_rows"), key).limit(_HOT).select(F.col(key).alias("__hot"), F.struct(*wide).alias("__served"))
-    served = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    apart = F.concat(F.lit("\x00"), F.hex(F.xxhash64(*[F.col(c) for c in left.columns])))
-    keyed = served.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(apart))
-    rest = right.select(F.col(key).alias("__key"), F.struct(*wide).alias("__rest"))
-    return keyed.join(rest, "__key", "left").select(*[left[c] for c in left.columns], *[F.coalesce(f"__served.{c}", f"__rest.{c}").alias(c) for c in wide])
 
 
 def _record_id(c: Column) -> Column:
