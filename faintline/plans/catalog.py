@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from faintline.plans import registry, text  # noqa: F401  importing registers
+
 FLAGSHIP = "weak_signal_score"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
