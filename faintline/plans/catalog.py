@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faintline.plans import registry, text  # noqa: F401  importing registers
+from faintline.plans import registry, relational, text  # noqa: F401  importing registers
 
 FLAGSHIP = "weak_signal_score"
 
