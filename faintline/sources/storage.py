@@ -50,4 +50,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    # nothing refers to the shuffle files behind the table any more: let Spark's cleaner delete them now, not at
+    # some later collection of the driver's garbage
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

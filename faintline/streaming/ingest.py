@@ -1,0 +1,58 @@
+"""Incremental forms: keyed ingest of signals and changes of lifecycle, as streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
+
+from faintline.operators.signals import upsert
+
+
+def upsert_stream(signals: DataFrame, path: str, checkpoint: str, key: list[str], refresh: list[str]) -> StreamingQuery:
+    """Merge each micro-batch into versions below ``path``; a batch that is replayed rewrites its own version."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(key)
+        before = latest(spark, path, number)
+        (new if before is None else upsert(before, new.select(*before.columns), key, refresh)).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return signals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (of those before a number)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    numbers = [int(f.getPath().getName()[2:]) for f in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{path}/v={max(numbers)}") if numbers else None
+
+
+def lifecycle_changes(states: DataFrame) -> DataFrame:
+    """(trend_slug, previous, lifecycle) whenever a trend's lifecycle differs from the last one seen; streaming."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = []
+        for _, row in pd.concat(list(parts)).sort_values("recorded_at").iterrows():
+            if row["lifecycle"] != last:
+                rows.append((key[0], last, row["lifecycle"]))
+                last = row["lifecycle"]
+        state.update((last,))
+        yield pd.DataFrame(rows, columns=["trend_slug", "previous", "lifecycle"])
+
+    return states.groupBy("trend_slug").applyInPandasWithState(step, "trend_slug string, previous string, lifecycle string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def daily_mentions(mentions: DataFrame, late: str = "1 day") -> DataFrame:
+    """Mentions per concept and day as a stream, days closing once the watermark has passed them."""
+    return mentions.withWatermark("collected_at", late).groupBy("concept_id", F.window("collected_at", "1 day")).agg(F.count("*").alias("n"))
