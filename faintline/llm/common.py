@@ -2,61 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-_HOT = 1000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the setting is absent (tests, a single machine) a local temporary folder takes its place.
-    """
-    found = spark.conf.get(_SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="faintline-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set(_SETTING, found)
-    return found.rstrip("/")
+from faintline.sources.storage import keep, new_path, shared_dir, table
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/faintline/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has already gone, and its folder with it
-        pass
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keep", "new_path", "shared_dir", "slices", "spread_join", "table"]
+_HOT = 1000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

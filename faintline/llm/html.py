@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import slices
+from faintline.llm.common import keep, slices
 
 # Fixed values of HTML: kinds of elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -255,6 +255,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", few: int =
     rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, main bigint, digest bigint, inner boolean")
     each = rows.groupBy("host", "digest", "main").agg(F.min("inner").alias("inner"))
     counted = each.groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("inner").alias("inner"))
+    counted = keep(counted.filter((F.col("digest") == 0) | (F.col("n") >= few)), "subtrees")
     of = F.first(F.when(F.col("digest") == 0, F.col("n")), ignorenulls=True)
     total = counted.groupBy("host").agg(of.alias("pages"))
     often = counted.filter((F.col("digest") != 0) & (F.col("n") >= few)).join(total, "host")
@@ -279,6 +280,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                 texts.append(main_text(source, known[h]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
 
-    found = templates(pages, url, html, **options).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    # written first, so that Spark knows its size and broadcasts it only where it is small
+    found = keep(templates(pages, url, html, **options).select(F.col("host").alias("__host"), F.col("template").alias("__template")), "templates")
     joined = pages.withColumn("__host", host(F.col(url))).join(found, "__host", "left").select(*kept, html, "__host", "__template")
     return joined.mapInArrow(run, T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())]))

@@ -6,8 +6,9 @@
 3. Matrix: under a common order of tokens (those found in many texts last), two sets that reach the threshold
    share a token among the first few of each. The rows (token, group) for those first tokens say which groups a
    query must look at at all; tokens of one group only are dropped at once.
-4. Bound: of each such group the union of its tokens is stored, and a group opens for a query only if the
-   overlap of query and union reaches what the query needs with any partner.
+4. Bound: of each such group the union of its tokens is stored, first of its first tokens, then, for groups of
+   several sets that are still in question, of all; a group opens for a query only if the overlap of query and
+   union reaches what the query needs with a partner of the group's sizes.
 5. Opened groups are compared set by set. No pair within a class is looked at: a class is linked already.
 
 The order of tokens steers cost, not results, so a bounded list of the heaviest tokens is enough for it; the rest
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faintline.llm.common import keep, slices, spread_join
-from faintline.llm.graph import components
+from faintline.operators.graph import components
 
 K, NUM, DEN = 5, 75, 100
 _SLICE = 1 << 20
@@ -203,7 +204,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs (u, v) whose sets reach the threshold."""
     both = _spread(_spread(pairs, sets, "u", "__a"), sets, "v", "__b")
     common = F.size(F.array_intersect("__a", "__b"))
-    return both.withColumn("__c", common).filter(F.col("__c") * den >= (F.size("__a") + F.size("__b") - F.col("__c")) * num).select("u", "v")
+    return both.withColumn("__c", common).filter(F.col("__c") * den >= (F.size("__a") + F.size("__b") - F.col("__c")) * num).select("u", "v").distinct()
 
 
 def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num: int, den: int) -> DataFrame:
@@ -224,13 +225,8 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     shared = dealt.withColumn("__lo", F.min("sid").over(same)).withColumn("__hi", F.max("sid").over(same)).filter("__lo < __hi")
     shared = keep(shared.groupBy("token", "sid").agg(F.max(F.col("t").bitwiseAND(F.lit(1))).alias("short")), "matrix")
 
-    # the sets that are looked at again, from their texts
-    again = near.select(F.explode(F.array("u", "v")).alias("sid")).unionByName(shared.select("sid")).distinct()
-    wanted = once.join(again, "sid", "left_semi").select(F.col("doc_id").alias("__want")).distinct()
-    rows = df.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = keep(_full_sets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__want")), "left_semi"), k).dropDuplicates(["sid"]), "tokens")
-
-    linked = keep(_verified(near, sets, num, den), "links")
+    near_sets = _fetched(df, once, near.select(F.explode(F.array("u", "v")).alias("sid")), ident, text, k)
+    linked = keep(_verified(near, near_sets, num, den), "links")
     classes = components(linked)
 
     # groups: parts of classes
@@ -240,29 +236,49 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     member = keep(spread_join(member, count.withColumn("n_rows", F.col("members")), "class").withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("members") / _GROUP))), "groups")
 
     of = shared.join(member, "sid")
-    rows_of = of.groupBy("token", "class", "part").agg(F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("short"))
-    wide = rows_of.select("token", *[F.col(c).alias(f"g_{c}") for c in ("class", "part", "members", "least", "most", "short")])
+    sizes = member.groupBy("class", "part").agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.count("*").alias("g_sets"))
+    rows_of = of.groupBy("token", "class", "part").agg(F.first("members").alias("g_members"), F.max("short").alias("g_short")).join(sizes, ["class", "part"])
+    wide = rows_of.withColumnsRenamed({"class": "g_class", "part": "g_part"})
     # of two classes the smaller one asks
     asks = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("class") < F.col("g_class")))
     size = (F.col("n") * den >= F.col("g_least") * num) & (F.col("g_most") * den >= F.col("n") * num)
     serves = ((F.col("short") == 1) & (F.col("n") <= F.col("g_most"))) | ((F.col("g_short") == 1) & (F.col("n") >= F.col("g_least")))
-    ask = keep(of.join(wide, "token").filter(asks & size & serves).select("sid", F.col("g_class").alias("class"), F.col("g_part").alias("part")).distinct(), "asks")
+    hits = of.join(wide, "token").filter(asks & size).groupBy("sid", "n", "g_class", "g_part", "g_least", "g_most", "g_sets").agg(F.count("*").alias("c"), F.max(serves).alias("serves"))
+
+    # bound: of a set's first tokens c are in the group's union; what follows them can add num / den of the larger set less
+    # one at most, so c must make up the rest of the overlap that the threshold asks for, at one end of the group's sizes
+    def rest(size):
+        return F.col("c") * ((num + den) * den) >= num * den * (F.col("n") + size) - num * (num + den) * F.greatest(F.col("n"), size)
+
+    low, high = F.greatest("g_least", F.ceil(F.col("n") * num / den)), F.least("g_most", F.floor(F.col("n") * den / num))
+    ask = keep(hits.filter(F.col("serves") & (rest(low) | rest(high))).select("sid", F.col("g_class").alias("class"), F.col("g_part").alias("part"), "g_sets"), "asks")
 
-    # bound: overlap of the query with the union of the group's tokens
-    asked = ask.select("class", "part").distinct()
-    inside = member.join(asked, ["class", "part"], "left_semi")
-    union = inside.join(sets, "sid").groupBy("class", "part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("union"))
-    union = union.withColumn("sid", F.xxhash64("class", "part"))
+    inside = member.join(ask.select("class", "part").distinct(), ["class", "part"], "left_semi").select(F.col("sid").alias("v"), "class", "part", F.col("n").alias("m"))
+    sets = _fetched(df, once, ask.select("sid").unionByName(inside.select(F.col("v").alias("sid"))), ident, text, k)
+
+    # bound for groups of several sets: overlap of the query with the union of all the group's tokens
     named_ask = ask.withColumn("g", F.xxhash64("class", "part"))
-    both = _spread(_spread(named_ask, sets, "sid", "__a"), union.select("sid", F.col("union").alias("set")), "g", "__u")
-    opened = both.filter(F.size(F.array_intersect("__a", "__u")) * den >= F.size("__a") * num).select("sid", "class", "part")
+    several = named_ask.filter("g_sets > 1")
+    union = inside.join(several.select("class", "part").distinct(), ["class", "part"], "left_semi").join(sets.withColumnRenamed("sid", "v"), "v")
+    union = union.groupBy("class", "part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")).select(F.xxhash64("class", "part").alias("sid"), "set")
+    both = _spread(_spread(several.select("sid", "class", "part", "g"), sets, "sid", "__a"), union, "g", "__u")
+    reached = both.filter(F.size(F.array_intersect("__a", "__u")) * den >= F.size("__a") * num).select("sid", "class", "part")
+    opened = reached.unionByName(named_ask.filter("g_sets = 1").select("sid", "class", "part"))
 
     # opened groups, set by set
-    pairs = opened.select(F.col("sid").alias("u"), "class", "part").join(inside.select(F.col("sid").alias("v"), "class", "part", F.col("n").alias("m")), ["class", "part"])
+    pairs = opened.select(F.col("sid").alias("u"), "class", "part").join(inside, ["class", "part"])
     pairs = keep(pairs.join(once.select(F.col("sid").alias("u"), "n"), "u").filter(_fits("n", "m", num, den)).select("u", "v").distinct(), "pairs")
     return linked.unionByName(_verified(pairs, sets, num, den))
 
 
+def _fetched(df: DataFrame, once: DataFrame, sids: DataFrame, ident: str, text: str, k: int) -> DataFrame:
+    """(sid, set) of the sets named, made anew from one text of each."""
+    wanted = once.join(sids.distinct(), "sid", "left_semi").select(F.col("doc_id").alias("__want")).distinct()
+    rows = df.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    chosen = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__want")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return keep(_full_sets(chosen, k), "tokens")
+
+
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
