@@ -64,14 +64,16 @@ query("velocity_score", f"{EV} SELECT concept_id, round(CASE WHEN previous = 0 T
 _NODES = """byn AS (SELECT concept_id, source, count(*) AS n, min(collected_at) AS lo, max(collected_at) AS hi FROM ev GROUP BY 1, 2),
   nodes AS (SELECT concept_id, CAST(sum(n) AS BIGINT) AS mention_count, min(lo) AS first_seen, max(hi) AS last_seen, string_agg(source || '=' || n, ',' ORDER BY source) AS by_source, count(*) AS k,
     -sum(n / (SELECT sum(n) FROM byn b WHERE b.concept_id = a.concept_id) * log2(n / (SELECT sum(n) FROM byn b WHERE b.concept_id = a.concept_id))) AS h FROM byn a GROUP BY 1)"""
-_SHOWN = F.array_join(F.transform(F.map_entries("source_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+def _shown():
+    """source=count, comma-joined, of the map source_distribution."""
+    return F.array_join(F.transform(F.map_entries("source_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
 
 
 def _nodes(s, d):
     return concepts.nodes_of(V.event_mentions(s, d), V.event_signals(s, d))
 
 
-query("agg_concept_nodes", f"WITH {EVENTS_SQL}, {_NODES} SELECT concept_id, mention_count, first_seen, last_seen, by_source FROM nodes")(lambda s, d: _nodes(s, d).withColumn("by_source", _SHOWN).drop("source_distribution"))
+query("agg_concept_nodes", f"WITH {EVENTS_SQL}, {_NODES} SELECT concept_id, mention_count, first_seen, last_seen, by_source FROM nodes")(lambda s, d: _nodes(s, d).withColumn("by_source", _shown()).drop("source_distribution"))
 query("diversity_score", f"WITH {EVENTS_SQL}, {_NODES} SELECT concept_id, CAST(floor(k / 4 * 70 + CASE WHEN k > 1 THEN h / log2(k) * 30 ELSE 0 END + 0.5) AS BIGINT) AS s FROM nodes")(lambda s, d: _nodes(s, d).select("concept_id", S.diversity_score(F.col("source_distribution")).alias("s")))
 _EVEDGES = "evp AS (SELECT DISTINCT a.concept_id AS x, b.concept_id AS y FROM ev a JOIN ev b ON a.source = b.source AND date_trunc('hour', a.collected_at) = date_trunc('hour', b.collected_at) AND a.concept_id <> b.concept_id), deg AS (SELECT x AS concept_id, count(*) AS degree FROM evp GROUP BY 1)"
 _PARTS = """parts AS (SELECT n.concept_id, CAST(floor(least(mention_count, 50) / 50 * 100 + 0.5) AS BIGINT) AS frequency,
@@ -146,7 +148,7 @@ def _snaps(s, d):
 
 
 def _edges(s, d):
-    return concepts.edges(_snaps(s, d), V.signals(s, d)).withColumn("by_source", _SHOWN).drop("source_distribution")
+    return concepts.edges(_snaps(s, d), V.signals(s, d)).withColumn("by_source", _shown()).drop("source_distribution")
 
 
 query("agg_concept_edges", f"{_E} SELECT edges.*, by_source FROM edges JOIN srcs USING (concept_a, concept_b)")(_edges)
