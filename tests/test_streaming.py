@@ -1,0 +1,30 @@
+"""Streams over folders of Parquet, run to the end of what is there."""
+
+import datetime
+
+from faintline.streaming import ingest
+
+STATES = "trend_slug string, lifecycle string, recorded_at timestamp"
+
+
+def day(n):
+    return datetime.datetime(2024, 1, n)
+
+
+def test_lifecycle_changes(spark, tmp_path):
+    rows = [("a", "emerging", day(1)), ("a", "emerging", day(2)), ("a", "peak", day(3)), ("b", "peak", day(1))]
+    spark.createDataFrame(rows, STATES).write.parquet(str(tmp_path / "in"))
+    stream = ingest.lifecycle_changes(spark.readStream.schema(STATES).parquet(str(tmp_path / "in")))
+    out = stream.writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    found = {tuple(r) for r in spark.table("changes").collect()}
+    assert found == {("a", None, "emerging"), ("a", "emerging", "peak"), ("b", None, "peak")}
+
+
+def test_upsert_stream(spark, tmp_path):
+    schema, source, path = "source string, external_id string, score int", str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([("x", "1", 5), ("x", "2", 6)], [("x", "2", 9), ("y", "1", 7)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.upsert_stream(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "c"), ["source", "external_id"], ["score"]).awaitTermination(120)
+    found = {(r.source, r.external_id, r.score) for r in ingest.latest(spark, path).collect()}
+    assert found == {("x", "1", 5), ("x", "2", 9), ("y", "1", 7)}
