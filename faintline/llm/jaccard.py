@@ -81,7 +81,7 @@ def shingles(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
     counts = np.diff(bounds)
     grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if len(grams) else 0):
         grams += words[j : len(words) - k + 1 + j] * np.uint64(2 * j + 1 + _MIX[j % 3] * 2 & (1 << 64) - 1)
     grams = mix(grams)
     out = []

@@ -72,6 +72,12 @@ def test_shingles():
             assert len(np.intersect1d(got[i], got[j])) == len(sets[i] & sets[j])
 
 
+@pytest.mark.parametrize("texts", [["one two three"], ["one", "two three"], ["", "a b c d"], ["a b"]])
+def test_few_words_alone(texts):
+    """A slice that holds fewer words in all than a shingle has."""
+    assert [len(s) for s in jaccard.shingles([t.encode() for t in texts])] == [len(shingle_set(t)) for t in texts]
+
+
 @pytest.mark.parametrize("heavy", [64, 3])
 def test_components(spark, monkeypatch, heavy):
     monkeypatch.setattr(jaccard, "_HEAVY_LEAST", heavy)
