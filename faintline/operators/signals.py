@@ -17,7 +17,7 @@ FEEDS = {
     "producthunt": ("votes_count", None, "score_ranking", "name"),
     "github": (None, None, None, "title"),
 }
-SIMILAR = 0.6
+SIMILAR, SHARED = 0.6, 0.5  # of titles, of keywords
 
 
 def normalize(raw: DataFrame, feed: str) -> DataFrame:
@@ -52,18 +52,64 @@ def distinct_by_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return merged.select(*key, *[F.col(f"__v.{c}").alias(c) for c in values], order)
 
 
-def similar_titles(df: DataFrame, within: str, ident: str = "id", order: str = "ordinal") -> DataFrame:
-    """(seed, other): pairs of one ingest batch that a seed absorbs, the seed being the earlier one.
+def _representatives(df: DataFrame, ident: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(r, o, t, k) of the earliest row of each title and keyword list, and (id, r) of every row."""
+    rows = df.select(F.col(ident).alias("id"), F.col(order).alias("o"), F.lower(F.trim("title")).alias("t"), F.coalesce("keywords", F.array().cast("array<string>")).alias("k"))
+    reps = keep(rows.groupBy("t", "k").agg(F.min_by("id", "o").alias("r"), F.min("o").alias("o")), "titles")
+    return reps, rows.join(reps.select("t", "k", "r"), ["t", "k"]).select("id", "r", F.col("o").alias("io"))
 
-    Titles are compared only inside a batch, whose size the feeds' limits bound, and where their lengths can
-    reach the similarity at all; a seed with more than two keywords also absorbs by shared keywords.
+
+def _ranked(each: DataFrame) -> DataFrame:
+    """(r, n, w) with ``place``: the number of w among r's tokens, the rarest first."""
+    seen = each.groupBy("w").agg(F.count("*").alias("df"))
+    return each.join(seen, "w").withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy("df", "w")))
+
+
+def _title_tokens(reps: DataFrame) -> DataFrame:
+    """Rare pairs of neighbouring letters, of each as many as two titles over the similarity must share one of.
+
+    A title of n letters has n + 1 pairs with its ends. Fewer than 0.4 * n edits of two pairs each leave more than
+    0.2 * n + 1 of them.
     """
-    side = lambda p: df.select(F.col(within).alias("__b"), F.col(ident).alias(f"{p}_id"), F.col(order).alias(f"{p}_o"), F.lower(F.trim("title")).alias(f"{p}_t"), F.col("keywords").alias(f"{p}_k"))
-    a, b = side("a"), side("b")
+    text = F.concat(F.lit("\x02"), "t", F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("t") + 1), lambda i: F.substring(text, i, F.lit(2)))
+    each = reps.select("r", F.length("t").alias("n"), F.explode(grams).alias("g")).withColumn("w", F.concat("g", F.row_number().over(Window.partitionBy("r", "g").orderBy("g")).cast("string")))
+    return _ranked(each.select("r", "n", "w")).filter(F.col("place") <= F.greatest(F.lit(1), F.col("n") - F.floor(F.col("n") / 5))).select("r", "w")
+
+
+def _keyword_tokens(reps: DataFrame) -> DataFrame:
+    """Each keyword of each row, with its place; ``twice`` where a list names a keyword twice."""
+    each = reps.select("r", F.size(F.array_distinct("k")).alias("n"), (F.size("k") > F.size(F.array_distinct("k"))).alias("twice"), F.explode(F.array_distinct("k")).alias("w"))
+    return _ranked(each)
+
+
+def _pairs(reps: DataFrame, left: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """(seed, other): representatives of which the first, and where ``ordered`` earlier, absorbs the second; seeds from ``left``, if given."""
+    first = lambda x: x if left is None else x.join(left.select("r"), "r", "left_semi")
+    side = lambda x, r: x.select(F.col("r").alias(r), "w")
+    titles = keep(_title_tokens(reps), "grams")
+    words = keep(_keyword_tokens(reps), "keywords")
+    some = words.filter(F.col("place") <= F.ceil(F.col("n") / 2))
+    found = [(titles, titles), (some.filter("not twice"), some), (words.filter("twice"), words)]
+    met = reduce(DataFrame.unionByName, [side(first(x), "seed").join(side(y, "other"), "w").filter("seed <> other").select("seed", "other") for x, y in found]).distinct()
+    side = lambda p, r: reps.select(F.col("r").alias(r), F.col("o").alias(f"{p}_o"), F.col("t").alias(f"{p}_t"), F.col("k").alias(f"{p}_k"))
     near = (F.least(F.length("a_t"), F.length("b_t")) > SIMILAR * F.greatest(F.length("a_t"), F.length("b_t"))) & (S.edit_similarity(F.col("a_t"), F.col("b_t")) > SIMILAR)
-    shared = (F.size("a_k") > 2) & (keyword_overlap(F.col("a_k"), F.col("b_k")) > SIMILAR)
-    pairs = a.join(b, "__b").filter((F.col("a_o") < F.col("b_o")) & ((F.col("a_t") == F.col("b_t")) | near | shared))
-    return pairs.select(F.col("a_id").alias("seed"), F.col("b_id").alias("other"))
+    shared = (F.size("a_k") > 2) & (keyword_overlap(F.col("a_k"), F.col("b_k")) > SHARED)
+    pairs = met.join(side("a", "seed"), "seed").join(side("b", "other"), "other")
+    return pairs.filter((F.lit(not ordered) | (F.col("a_o") < F.col("b_o"))) & ((F.col("a_t") == F.col("b_t")) | near | shared)).select("seed", "other")
+
+
+def similar_titles(df: DataFrame, ident: str = "id", order: str = "ordinal") -> DataFrame:
+    """(seed, other): all pairs of rows of which a seed absorbs the other, the seed being the earlier one.
+
+    Rows of equal title and keywords are compared once. Candidates share a rare pair of letters or a rare keyword,
+    chosen so that no pair is lost; a seed with more than two keywords also absorbs by shared keywords.
+    """
+    reps, member = _representatives(df, ident, order)
+    # a later representative may have earlier rows than some of an earlier one: the order of rows makes the seed
+    both = _pairs(reps, ordered=False).unionByName(reps.select(F.col("r").alias("seed"), F.col("r").alias("other")))
+    side = lambda r, i, o: member.select(F.col("r").alias(r), F.col("id").alias(i), F.col("io").alias(o))
+    return both.join(side("seed", "a", "ao"), "seed").join(side("other", "b", "bo"), "other").filter("ao < bo").select(F.col("a").alias("seed"), F.col("b").alias("other"))
 
 
 def keyword_overlap(a: Column, b: Column) -> Column:
@@ -79,29 +125,53 @@ def leaders(nodes: DataFrame, pairs: DataFrame, order: str, ident: str = "id") -
     """
     place = nodes.select(F.col(ident).alias("id"), F.col(order).alias("o"))
     edges = keep(pairs.join(place.select(F.col("id").alias("seed"), F.col("o").alias("so")), "seed").join(place.select(F.col("id").alias("other"), F.col("o").alias("oo")), "other").filter("so < oo").select("seed", "other", "so").distinct(), "pairs")
-    led = None
+    absorbed = None
     left = edges
     while not left.isEmpty():
         # rows that no undecided row precedes lead now, and absorb what they are paired with
         now = left.select(F.col("seed").alias("id")).distinct().join(left.select(F.col("other").alias("id")).distinct(), "id", "left_anti")
-        taken = left.join(now.withColumnRenamed("id", "seed"), "seed", "left_semi").groupBy("other").agg(F.min_by("seed", "so").alias("leader"))
-        taken = keep(taken.withColumnRenamed("other", "id"), "taken")
-        led = taken if led is None else led.unionByName(taken)
-        gone = taken.select("id")
+        gone = keep(left.join(now.withColumnRenamed("id", "seed"), "seed", "left_semi").select(F.col("other").alias("id")).distinct(), "taken")
+        absorbed = gone if absorbed is None else absorbed.unionByName(gone)
         # an absorbed row neither leads nor waits; pairs of a leader are done
         left = left.join(gone.withColumnRenamed("id", "other"), "other", "left_anti").join(gone.withColumnRenamed("id", "seed"), "seed", "left_anti")
         left = keep(left.join(now.withColumnRenamed("id", "seed"), "seed", "left_anti"), "left")
-    if led is None:
+    if absorbed is None:
         return place.select("id", F.col("id").alias("leader"))
+    # of the leaders a row is paired with the earliest has it, whichever was decided first
+    led = edges.join(absorbed.withColumnRenamed("id", "seed"), "seed", "left_anti").groupBy(F.col("other").alias("id")).agg(F.min_by("seed", "so").alias("leader"))
     return place.select("id").join(led, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
-def dedupe(df: DataFrame, within: str, order: str = "ordinal") -> DataFrame:
+def title_leaders(df: DataFrame, order: str, ident: str = "id", batch: int = 256) -> DataFrame:
+    """(id, leader) over all rows, as ``leaders`` of ``similar_titles``, without listing all pairs.
+
+    Rows of equal title and keywords share the leader of the earliest. The earliest undecided ones choose their
+    leaders among themselves, then these absorb all later ones they resemble; each batch is twice the one before.
+    """
+    reps, member = _representatives(df, ident, order)
+    left, led = reps, None
+    while not left.isEmpty():
+        head = keep(left.orderBy("o").limit(batch), "head")
+        of = keep(leaders(head.withColumnRenamed("r", "id"), _pairs(head), "o").withColumnsRenamed({"id": "r"}), "leaders")
+        rest = left.join(head.select("r"), "r", "left_anti")
+        now = head.join(of.filter("r = leader").select("r"), "r", "left_semi")
+        met = _pairs(now.unionByName(rest), now).join(now.select(F.col("r").alias("other")), "other", "left_anti")
+        taken = keep(met.join(now.select(F.col("r").alias("seed"), "o"), "seed").groupBy("other").agg(F.min_by("seed", "o").alias("leader")).withColumnRenamed("other", "r"), "taken")
+        done = of.unionByName(taken)
+        led = done if led is None else led.unionByName(done)
+        left = keep(rest.join(taken.select("r"), "r", "left_anti"), "left")
+        batch *= 2
+    if led is None:
+        return member.select("id", F.col("r").alias("leader"))
+    return member.join(led, "r").select("id", "leader")
+
+
+def dedupe(df: DataFrame, order: str = "ordinal") -> DataFrame:
     """Per leader cluster the member with most engagement (of equals the first), with the number of the others."""
-    of = df.join(leaders(df, similar_titles(df, within, order=order), order), "id")
-    best = Window.partitionBy("leader").orderBy(F.desc("engagement"), order)
-    counted = of.withColumn("__n", F.count("*").over(Window.partitionBy("leader"))).withColumn("__r", F.row_number().over(best))
-    return counted.filter("__r = 1").withColumn("duplicate_count", F.col("__n") - 1).drop("__n", "__r", "leader")
+    of = df.join(title_leaders(df, order), "id")
+    best = F.struct((-F.col("engagement")).alias("e"), F.col(order).alias("o"))
+    each = of.groupBy("leader").agg(F.min_by("id", best).alias("id"), (F.count("*") - 1).alias("__n"))
+    return df.join(each.select("id", "__n"), "id").withColumn("duplicate_count", F.col("__n")).drop("__n")
 
 
 def match_persisted(raw: DataFrame, stored: DataFrame) -> DataFrame:

@@ -367,8 +367,8 @@ query("jaccard", f"WITH {TITLES_SQL} SELECT id, round(len(list_intersect(keyword
 query("keyword_overlap", f"WITH {TITLES_SQL} SELECT id, round(len(list_filter(keywords, lambda k: list_contains([source, 'hn:'], k))) / len(list_distinct(list_concat(keywords, [source, 'hn:']))), 6) AS overlap FROM titles")(
     lambda s, d: V.titles(s, d).select("id", F.round(signals.keyword_overlap(F.col("keywords"), F.array("source", F.lit("hn:"))), 6).alias("overlap"))
 )
-query("dedupe_signals")(lambda s, d: signals.dedupe(V.titles(s, d).withColumn("batch", F.floor(F.col("id") / 60)).withColumnRenamed("score", "source_score").withColumn("duplicate_count", F.lit(0)), "batch", "id").select("id", "duplicate_count"))
-query("similarity_join_title")(lambda s, d: signals.similar_titles(V.titles(s, d).withColumn("batch", F.floor(F.col("id") / 60)), "batch", "id", "id"))
+query("dedupe_signals")(lambda s, d: signals.dedupe(V.titles(s, d).withColumnRenamed("score", "source_score").withColumn("duplicate_count", F.lit(0)), "id").select("id", "duplicate_count"))
+query("similarity_join_title")(lambda s, d: signals.similar_titles(V.titles(s, d), "id", "id"))
 query("dedupe_opportunities")(lambda s, d: predictions.dedupe(V.titles(s, d).withColumn("score", F.struct((-F.col("score")).alias("s"), "id")), F.col("title"), "score").select("id", "title"))
 
 # ---------------------------------------------------------------- sets and merges
