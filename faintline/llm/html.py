@@ -3,7 +3,8 @@
 A first pass over all pages hashes every block element's subtree (its tag, text and children). Spark counts, per
 host, on how many different pages (different main texts, so copies of a page count once) each subtree stands.
 A subtree on many of a host's pages is template; ``extract`` deletes it, besides what its tag, role or class
-names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
+names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment. What class or id
+alone name so is kept if it holds the article; classes of layout or state (has-sidebar, comments-open) name nothing.
 
 A subtree outside the article is template from ``few`` pages and a share of ``share`` of the host's pages on,
 inside it from ``many`` and ``inside``; what holds the article itself or most of a page's text is never deleted.
@@ -38,6 +39,11 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}, "option": {"select"}}
 #: Words of class and id, and roles, that name what isn't main text.
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices popup popups modal overlay sidebar sidebars aside menu menus nav navbar navigation navi breadcrumb breadcrumbs footer foot masthead topbar toolbar share sharing social comment comments commentlist disqus respond replies related recommended recommendations subscribe subscription newsletter signup login search searchbox pagination pager skip widget widgets copyright legal disclaimer".split())
+#: Of these, the ones that name reader comments and links to other articles, which may be articles themselves.
+_OTHERS = frozenset("comment comments commentlist disqus respond replies related recommended recommendations sidebar sidebars aside promo promos promotion sponsor sponsored sponsors ad ads advert adverts".split())
+#: A class that tells how a page is laid out or what state it is in (has-sidebar, comments-open) names no element.
+_BEFORE = frozenset("has no with without is not hide hides show shows".split())
+_AFTER = frozenset("open opened closed enabled disabled off on allowed hidden visible active count".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -50,29 +56,44 @@ _SPACE = re.compile(r"\s+")
 class Element:
     __slots__ = ("tag", "parent", "children", "drop", "digest", "size")
 
-    def __init__(self, tag: str, parent: Element | None, drop: bool) -> None:
+    def __init__(self, tag: str, parent: Element | None, drop: int) -> None:
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list = []
         self.digest = self.size = 0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _named(value: str) -> set[str]:
+    """The words of class or id that name an element, without classes of layout and state."""
+    out: set[str] = set()
+    for token in value.split():
+        parts = [x for x in _SPLIT.split(token) if x]
+        if parts and (len(parts) == 1 or not (parts[0] in _BEFORE or parts[-1] in _AFTER)):
+            out.update(parts)
+    return out
+
+
+def _unwanted(tag: str, attrs: str) -> int:
+    """0: wanted; 1: unwanted by tag, role or as hidden; 2: by its name; 3: by a name of comments or other articles."""
     if tag in _DROP:
-        return True
-    if not attrs or not _NAMED.search(attrs) or tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(attrs) and "comment" in attrs.lower()
+        return 1
+    if not attrs or not _NAMED.search(attrs) or tag in ("html", "body", "main"):
+        return 0
+    if tag == "article":
+        values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)]
+        return int(any((n in ("class", "id") and not _named(v).isdisjoint(("comment", "comments"))) or (n == "role" and v == "comment") for n, v in values))
+    found = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _NAMES.isdisjoint(_SPLIT.split(value)):
-            return True
+        if name in ("class", "id") and (names := _named(value) & _NAMES):
+            found = max(found, 2 if names.isdisjoint(_OTHERS) else 3)
         if (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true"):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I))
+            return 1
+    return 1 if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I) else found
 
 
 def parse(source: str) -> Element:
     """A tree of elements and strings."""
-    root = Element("#root", None, False)
+    root = Element("#root", None, 0)
     top, at = root, 0
     find = _TAG.search
     while True:
@@ -97,7 +118,7 @@ def parse(source: str) -> Element:
             if e is not root:
                 top = e.parent
             elif tag in ("p", "br"):
-                top.children.append(Element("br", top, False))
+                top.children.append(Element("br", top, 0))
             continue
         if tag in _CLOSES_P:
             e = top
@@ -147,8 +168,36 @@ def _hash(order: list[Element]) -> None:
         e.digest, e.size = h.intdigest(), n
 
 
+def _rescue(order: list[Element]) -> None:
+    """Keep what its name alone marks as unwanted where it holds the article or, without any, the main element.
+
+    Where the page has an article elsewhere, or the name is one of comments or other articles, only what holds most
+    of the page's text is kept.
+    """
+    for tag in ("article", "main"):
+        apart, inside, kept = False, [], []
+        for e in order:
+            if e.tag == tag and not e.drop:
+                above = list(_above(e))
+                wraps = [a for a in above if a.drop]
+                if not wraps:
+                    apart = True
+                elif not any(a.tag == tag for a in above) and all(a.drop > 1 for a in wraps):
+                    inside.append(wraps)
+        if inside:
+            _hash(order)
+            for wraps in inside:
+                if all(2 * a.size > order[0].size or (not apart and a.drop == 2) for a in wraps):
+                    kept.extend(wraps)
+        for a in kept:
+            a.drop = 0
+        if apart or kept:
+            return
+
+
 def _articles(order: list[Element]) -> list[Element]:
     """The topmost articles that aren't comments; without any, the topmost main elements."""
+    _rescue(order)
     for tag in ("article", "main"):
         found = [e for e in order if e.tag == tag and not e.drop]
         tops = [e for e in found if not any(a.tag == tag or a.drop for a in _above(e))]
@@ -173,8 +222,8 @@ def subtrees(source: str | None) -> tuple[int, list[tuple[int, bool]]]:
         return 0, []
     root = parse(source)
     order = _walk(root)
-    _hash(order)
     articles = _articles(order)
+    _hash(order)
     inner = {id(e) for a in articles for e in _walk(a)}
     holds = {id(root)} | {id(x) for a in articles for x in (a, *_above(a))}
     seen: dict[int, bool] = {}

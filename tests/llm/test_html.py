@@ -26,6 +26,25 @@ def test_one_page():
     assert html.main_text("<p>x</p></p></div>y<p") == "x\n\ny"
 
 
+def test_named_wrappers_and_states():
+    article = "<article%s><p>The story itself.</p></article>"
+    story = "The story itself."
+    for open_ in ("<div class='layout has-sidebar'>", "<div id='page' class='no-sidebar widget-area'>", "<div class='modal-open'>", "<section id=comments>", "<div class=menu><div class=widget>"):
+        assert html.main_text(f"<body>{open_}{article % ''}</div>") == story, open_
+        assert html.main_text(f"<body>{open_}<main><p>{story}</p></main></div>") == story, open_
+        assert html.subtrees(f"<body>{open_}{article % ''}</div>")[0] == html.subtrees(article % "")[0]
+    for attrs in (" data-comments-url='/c'", " class='post comments-open'", " class='post has-comments' id=post-7"):
+        assert html.main_text(article % attrs) == story, attrs
+    for attrs in (" class=comment", " class='comment-body even'", " id='div-comment-12'", " role=comment"):
+        assert html.main_text(article % "" + f"<article{attrs}><p>Reader says</p></article>") == story, attrs
+    # what is named so beside the article still goes, articles of its own or not
+    for name in ("comments", "related", "site-footer", "cookie-notice", "main-nav", "widget"):
+        assert html.main_text(f"{article % ''}<div class='{name}'><article><p>Other</p></article></div>") == story, name
+        assert html.main_text(f"<div><p>{story}</p></div><div class='{name}'><p>Other</p></div>") == story, name
+    assert html.main_text(f"<div><p>{story}</p></div><div class='comments'><article><p>Other</p></article></div>") == story
+    assert html.main_text(f"{article % ''}<aside><article><p>Other</p></article></aside>") == story
+
+
 def test_templates(spark):
     rnd = random.Random(1)
     words = lambda n: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(99)) for _ in range(n))
