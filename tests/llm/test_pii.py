@@ -65,6 +65,19 @@ def test_added_kind_and_context(spark):
     assert [k for k, _ in got[1]] == ["card", "iban"] and all(s > 0.85 for _, s in got[1])
 
 
+def test_iban_before_upper_case_and_digits(spark):
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]
+    after = [" BIC COBADEFFXXX", " VISA", " 2024", " 1 500 EUR", "", ", paid", " GB29NWBK60161331926819"]
+    rows = [(n, f"IBAN {i}{a}", i) for n, (i, a) in enumerate((i, a) for i in ibans for a in after)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, iban string").coalesce(1)
+    for r in pii.find(df).collect():
+        found = [(s.start, s.end) for s in r.spans if s.kind == "iban"]
+        assert found[:1] == [(5, 5 + len(r.iban))] and len(found) == 1 + r.text.endswith(after[-1]), r.text
+    assert {r.text for r in pii.redact(df.filter("doc_id = 0")).collect()} == {"IBAN [IBAN] BIC COBADEFFXXX"}
+    bad = spark.createDataFrame([(1, "DE89370400440532013001 BIC"), (2, "DE89370400440532013000X BIC"), (3, "XDE89370400440532013000")], "doc_id long, text string")
+    assert not any(r.spans for r in pii.find(bad).collect())
+
+
 def test_redaction_leaves_nothing_and_keeps_the_rest(rows):
     data, df = rows
     got = {r.doc_id: r for r in pii.redact(df).collect()}
