@@ -2,11 +2,13 @@
 
 Sequences go into bins of several permitted lengths. Texts longer than the largest length are cut into pieces of
 that length and a rest. The pieces are dealt to shards by a hash of the document, so that no task holds more
-than its share; each shard is packed on its own, longest piece first:
+than its share; each shard is packed on its own, and the cheaper of two packings is taken:
 
-1. best fit: the piece goes to the open bin with the least room that still holds it;
-2. otherwise the bin size opens whose cost per token, filled with the pieces still to come, is least;
-3. at the end each bin is downsized to the smallest permitted length that holds its contents.
+* jointly: the longest piece left opens a bin. Every length that holds it is filled on trial from the pieces left,
+  longest first, and downsized to the smallest length that holds the fill; the trial of least cost per token becomes
+  the bin;
+* best fit: longest first, each piece goes to the open bin with the least room that still holds it, else to a new
+  bin of the smallest length that holds it; at the end each bin is downsized.
 
 A bin of length n costs n + attention * n * n / largest, so short bins are cheaper per token, and long ones pay where
 they take several pieces. Shards follow from the number of rows (``per_shard`` pieces each), never from the
@@ -38,6 +40,62 @@ def cost(length: int, largest: int, attention: float) -> float:
     return length + attention * length * length / largest
 
 
+def pack_jointly(sizes: np.ndarray, lengths: tuple[int, ...], attention: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, capacity, offset) of each piece; sizes in descending order, none over the largest length."""
+    lengths = tuple(sorted(lengths))
+    price = {n: cost(n, lengths[-1], attention) for n in lengths}
+    found, first, counts = np.unique(-sizes, return_index=True, return_counts=True)
+    values = (-found)[::-1].tolist()  # distinct sizes, ascending
+    place, left = first[::-1].tolist(), counts[::-1].tolist()  # of each its next piece, and how many are left
+    lower = list(range(len(values)))  # of each the next smaller one that may still have pieces
+
+    def last(j: int) -> int:
+        """The largest size up to the j-th that has pieces left; -1 if none."""
+        seen = []
+        while j >= 0 and not left[j]:
+            seen.append(j)
+            j = lower[j] if lower[j] != j else j - 1
+        for x in seen:
+            lower[x] = j
+        return j
+
+    def trial(n: int) -> tuple[int, list[tuple[int, int]]]:
+        room, picks, j = n, [], last(bisect.bisect_right(values, n) - 1)
+        while j >= 0:
+            k = min(left[j], room // values[j])
+            picks.append((j, k))
+            room -= k * values[j]
+            j = last(min(j, bisect.bisect_right(values, room)) - 1)
+        return n - room, picks
+
+    bins, capacity, offsets = (np.empty(len(sizes), np.int64) for _ in range(3))
+    b = 0
+    while (top := last(len(values) - 1)) >= 0:
+        best = None
+        for n in reversed(lengths[bisect.bisect_left(lengths, values[top]) :]):
+            fill, picks = trial(n)
+            small = lengths[bisect.bisect_left(lengths, fill)]
+            if best is None or price[small] / fill < best[0]:
+                best = price[small] / fill, small, picks
+        at = 0
+        for j, k in best[2]:
+            rows = slice(place[j], place[j] + k)
+            bins[rows], capacity[rows], offsets[rows] = b, best[1], at + values[j] * np.arange(k)
+            at, place[j], left[j] = at + k * values[j], place[j] + k, left[j] - k
+        b += 1
+    return bins, capacity, offsets
+
+
+def total_cost(bins: np.ndarray, capacity: np.ndarray, largest: int, attention: float) -> float:
+    _, first = np.unique(bins, return_index=True)
+    return float(sum(cost(n, largest, attention) for n in capacity[first].tolist()))
+
+
+def pack_best(sizes: np.ndarray, lengths: tuple[int, ...], attention: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cheaper of both packings; of equals the joint one."""
+    return min((f(sizes, lengths, attention) for f in (pack_jointly, pack_shard)), key=lambda x: total_cost(x[0], x[1], max(lengths), attention))
+
+
 def pack_shard(sizes: np.ndarray, lengths: tuple[int, ...], attention: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, capacity, offset) of each piece; sizes in descending order, none over the largest length."""
     lengths = tuple(sorted(lengths))
@@ -51,7 +109,7 @@ def pack_shard(sizes: np.ndarray, lengths: tuple[int, ...], attention: float) ->
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            # what a bin can be expected to hold: itself at least, all that is left at most
+            # by the most a bin could hold, which always opens the smallest that fits
             fit = [n for n in lengths if n >= size]
             n = min(fit, key=lambda n: (cost(n, lengths[-1], attention) / min(n, int(total[i])), n))
             b, room = len(used), n
@@ -80,7 +138,7 @@ def pack(df: DataFrame, size: Column | None = None, ident: str = "doc_id", lengt
 
     def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable")
-        bins, capacity, offsets = pack_shard(part["n_tokens"].to_numpy(), lengths, attention)
+        bins, capacity, offsets = pack_best(part["n_tokens"].to_numpy(), lengths, attention)
         return part.assign(bin=bins, bin_capacity=capacity, bin_offset=offsets)
 
     return rows.groupBy("shard").applyInPandas(packed, _OUT)

@@ -32,6 +32,32 @@ def test_against_plain_scan():
         assert list(zip(*(x.tolist() for x in got), strict=True)) == best_fit(sizes, (100, 250, 1000), 0.3)
 
 
+def test_long_bins_take_several_pieces():
+    bins, capacity, _ = packing.pack_best(np.full(700, 1100), packing.LENGTHS, 0.25)
+    assert set(capacity.tolist()) == {8192} and len(set(bins.tolist())) == 100
+    # ten pieces: a bin of seven, and what is left is downsized from a trial of 16384 to 4096
+    bins, capacity, offsets = packing.pack_best(np.full(10, 1100), packing.LENGTHS, 0.25)
+    assert sorted((bins.tolist().count(b), capacity[bins == b][0]) for b in set(bins.tolist())) == [(3, 4096), (7, 8192)]
+    assert sorted(offsets[bins == bins[-1]].tolist()) == [0, 1100, 2200]
+
+
+def test_joint_packing():
+    """Nothing lost or overlapping, bins as small as their contents allow, never dearer than best fit."""
+    rnd, cheaper = random.Random(5), 0
+    for _ in range(80):
+        lengths = rnd.choice([(100, 250, 1000), (2048, 4096, 8192, 16384), (7,)])
+        sizes = np.array(sorted((min(lengths[-1], rnd.choice([int(rnd.paretovariate(0.7) * 10), rnd.randint(1, max(1, lengths[0] * 3 // 4))])) for _ in range(rnd.randint(0, 150))), reverse=True), np.int64)
+        bins, capacity, offsets = packing.pack_jointly(sizes, lengths, 0.3)
+        for b in set(bins.tolist()):
+            of = sorted(zip(offsets[bins == b].tolist(), sizes[bins == b].tolist(), strict=True))
+            assert all(at == sum(s for _, s in of[:i]) for i, (at, _) in enumerate(of))
+            assert set(capacity[bins == b].tolist()) == {min(n for n in lengths if n >= sum(s for _, s in of))}
+        costs = [packing.total_cost(x[0], x[1], lengths[-1], 0.3) for x in (f(sizes, lengths, 0.3) for f in (packing.pack_best, packing.pack_shard))]
+        assert costs[0] <= costs[1]
+        cheaper += costs[0] < costs[1]
+    assert cheaper
+
+
 def test_whole_table(spark):
     rnd = random.Random(4)
     rows = [(i % 300, rnd.choice([None, "", "é" * rnd.randint(1, 40), "x" * rnd.randint(1, 90)]), "b", i) for i in range(900)] + [(1000, "y" * 5000, "b", 0), (None, "z", "b", 0)]
