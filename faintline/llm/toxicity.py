@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character model (trigrams over letters and word ends) is counted over all documents in Spark.
-2. Stretches that look disguised (digits or signs among letters, letters set apart, letters drawn out) become a
+2. Stretches that look disguised (digits or signs beside letters, letters set apart, letters doubled) become a
    lattice: what each character may stand for, may have been put in for, or repeats. Viterbi's algorithm picks
    the likeliest plain reading under the channel's costs and the character model.
 3. The restored text is scored: its words and word beginnings that mark toxic text in the labelled rows raise
@@ -38,15 +38,16 @@ A = 28  # symbols of the character model: word end, 26 letters, any other letter
 _OTHER = 27
 _CODE = {chr(97 + i): i + 1 for i in range(26)}
 _SIGNS = re.escape("".join(c for c in LEET if not c.isdigit()))
-#: Disguised stretches: signs or digits among letters; letters set apart; a letter three times over; a part starred out.
+_UNIT = re.escape("".join(c for c in LEET if not c.isdigit() and c not in APART))
+#: Disguised stretches: letters or signs set apart; a token of letters and, anywhere, signs or digits; a doubled letter.
 _ODD = re.compile(
-    rf"(?<![^\W_])[^\W\d_]*(?:[0-9{_SIGNS}]{{1,3}}[^\W\d_]+)+(?:[0-9@$!]{{1,3}})?(?![^\W_])"
-    rf"|(?<![^\W_])(?:[^\W_][{re.escape(APART)}]{{1,2}}){{3,}}[^\W_](?![^\W_])"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+    rf"(?<![^\W_])(?<![{_UNIT}])(?:(?:[^\W_]|[{_UNIT}])[{re.escape(APART)}]{{1,2}}){{3,}}(?:[^\W_]|[{_UNIT}])(?![^\W_]|[{_UNIT}])"
+    rf"|(?<![^\W_])(?<![{_SIGNS}])(?=[0-9{_SIGNS}]*+[^\W\d_])(?=[^\W\d_]*+[0-9{_SIGNS}])(?:[^\W_]|[{_SIGNS}])++"
+    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
 )
 _WORDS = re.compile(r"[^\W\d_]+")
-_LEAST, _PREFIX = 4, (4, 5, 6)
-_BEAM = 48
+_LEAST, _PREFIX = 3, (4, 5, 6)
+_ENDS = "".join(c for c in LEET if not c.isdigit())
 
 
 # ---------------------------------------------------------------- character model
@@ -135,7 +136,7 @@ class Decoder:
                         state, total, link = (b, symbol), cost + price + self.cost[code(a)][code(b)][code(symbol)], (read, symbol)
                     if state not in new or total < new[state][0]:
                         new[state] = (total, link)
-            states = new if len(new) <= _BEAM else dict(sorted(new.items(), key=lambda x: x[1][0])[:_BEAM])
+            states = new  # two symbols of 28 at most: all are kept
         _, link = min(states.values(), key=lambda x: x[0])
         out = []
         while link:
@@ -149,6 +150,9 @@ def restore(text: str, decode) -> list[str]:
     out = []
     for m in _ODD.finditer(text):
         out.append(decode(m[0]))
+        bare = m[0].strip(_ENDS)  # signs at the ends may be marks of the sentence
+        if bare != m[0] and not bare.isalpha():
+            out.append(decode(bare))
         if m[1]:  # a drawn-out word may also just hold one letter too many
             out.append(re.sub(r"(.)\1+", r"\1", m[0].lower()))
     return out
@@ -158,7 +162,7 @@ def restore(text: str, decode) -> list[str]:
 
 
 def features(words: set[str]) -> set[str]:
-    """Words of four letters or more, and their beginnings (with a hyphen)."""
+    """Words of three letters or more, and their beginnings (with a hyphen)."""
     long = {w for w in words if len(w) >= _LEAST}
     return long | {w[:k] + "-" for w in long for k in _PREFIX if len(w) > k}
 

@@ -41,6 +41,20 @@ def test_decoding(model, odd, plain):
     assert plain in found, found
 
 
+@pytest.mark.parametrize("odd, plain", [("idio7", "idiot"), ("m0r0n5", "morons"), ("$aying", "saying"), ("$ a y i n g", "saying"), ("idiiot", "idiot"), ("(1d10t!", "idiot"), ("c****t", "cat"), ("!d!0t", "idiot"), ("c4t", "cat")])
+def test_signs_at_ends_and_doubled_letters(spark, odd, plain):
+    df = spark.createDataFrame([(PLAIN + " saying morons",)] * 40, "text string")
+    decode = tox.Decoder(tox.character_model(df))
+    assert plain in [w for s in tox.restore(f"they said {odd}, here", decode) for w in s.split()]
+
+
+def test_three_letter_marks(spark):
+    docs = spark.createDataFrame([(i, f"plain words here {'abcdefghij'[i % 10]}{i}" + (" a55" if i % 4 == 1 else " ass") * (i % 2)) for i in range(400)], "doc_id long, text string")
+    marks, base, model = tox.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert "ass" in marks and base < 0.05
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in tox.scored(docs, marks, base, model).collect())
+
+
 def test_viterbi_is_the_best_path(model):
     """All readings of short stretches, one by one."""
     decode = tox.Decoder(model)
