@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faintline.sources.storage import keep
+from faintline.operators.joins import spread_join
+from faintline.sources.storage import discard, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each neighbour (large: the greater ones; else the smaller ones and the node) to the least of the neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen = both if large else both.filter("v < u")
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = seen.join(least, "u")
+    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_rows"))
+    joined = spread_join(seen, least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (state := _state(now)) != before:
-        before = state
-        now = keep(_star(_star(now, True), False), "edges")
+        before, last = state, now
+        now = keep(_star(_star(last, True), False), "edges")
+        discard(last)
     return now

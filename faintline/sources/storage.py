@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the setting is absent (tests, a single machine) a local temporary folder takes its place.
+    Only where the setting is absent on a single machine (``local[*]``, as in tests) a temporary folder takes its
+    place; on a cluster its absence is an error, for executors would write where nobody else can read.
     """
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="faintline-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set(_SETTING, found)
@@ -53,4 +58,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     # nothing refers to the shuffle files behind the table any more: let Spark's cleaner delete them now, not at
     # some later collection of the driver's garbage
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` made; no plan that still is to run may read them."""
+    for kept in tables:
+        _drop(kept.sparkSession, _PATHS.pop(kept))
