@@ -8,12 +8,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from faintline.sources.storage import keep, new_path, shared_dir, table
+from faintline.operators.joins import spread_join
+from faintline.sources.storage import discard, keep, new_path, shared_dir, table
 
-__all__ = ["keep", "new_path", "shared_dir", "slices", "spread_join", "table"]
-_HOT = 1000
+__all__ = ["discard", "fresh", "keep", "new_path", "shared_dir", "slices", "spread_join", "table"]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column of df (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -25,18 +32,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
             yield batch.slice(at, stop - at)
             at = stop
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left, with right's columns where its unique ``key`` matches; right has the number of left's rows as ``n_rows``.
-
-    The _HOT most frequent keys (that many rows at most) are broadcast; all others, none of which can hold
-    more than one row in _HOT, are joined by a shuffle, and the rows already served are spread evenly in it.
-    """
-    wide = [c for c in right.columns if c not in (key, "n_rows")]
-    hot = right.orderBy(F.desc("n_rows"), key).limit(_HOT).select(F.col(key).alias("__hot"), F.struct(*wide).alias("__served"))
-    served = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    apart = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(1 << 40)) + 1
-    keyed = served.withColumn("__apart", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(apart))
-    rest = right.select(key, F.struct(*wide).alias("__rest"), F.lit(0).cast("bigint").alias("__apart"))
-    return keyed.join(rest, [key, "__apart"], "left").select(*[left[c] for c in left.columns], *[F.coalesce(f"__served.{c}", f"__rest.{c}").alias(c) for c in wide])

@@ -27,16 +27,19 @@ def brute(rows):
             i = root[i]
         return i
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for i, (d, *_) in enumerate(rows):
         low.setdefault(find(i), []).append(d)
     ids = lambda i: [d for d in low[find(i)] if d is not None]
-    return sorted((d is None, d or 0, len(sets[i]), min(ids(i)) if ids(i) else -1) for i, (d, *_) in enumerate(rows))
+    return sorted((d is None, d or 0, len(sets[i]), min(ids(i)) if ids(i) else -1, links[i]) for i, (d, *_) in enumerate(rows))
 
 
 def corpus(seed, n=260):
@@ -58,6 +61,13 @@ def corpus(seed, n=260):
     base = text(100)
     for i in range(8):
         rows.append((9100 + i, " ".join(text(6 * i) + base[6 * i :]), 0, "x"))
+    # near copies of one text, many of which link with it alone or with nothing
+    hub = text(60)
+    for i in range(60):
+        words = list(hub)
+        for p in rnd.sample(range(60), i % 4):
+            words[p] = f"new{rnd.randrange(10**6)}"
+        rows.append((9200 + i, " ".join(words), 0, "x"))
     return rows
 
 
@@ -86,11 +96,11 @@ def test_components(spark, monkeypatch, heavy):
     rows = corpus(heavy)
     df = spark.createDataFrame(rows, "doc_id long, text string, sid long, n string").repartition(5)
     got = jaccard.near_duplicates(df).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id, r.n_links) for r in got) == brute(rows)
     kept = jaccard.dedupe(df).collect()
     want = brute(rows)
-    low = {c for null, d, n, c in want if n and c >= 0}
-    empty = [d for _, d, n, _ in want if not n]
+    low = {c for null, d, n, c, _ in want if n and c >= 0}
+    empty = [d for _, d, n, *_ in want if not n]
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted([*low, *empty])
     assert [r.text for r in kept if r.doc_id is None] == ["only null"] and kept[0].asDict().keys() == {"doc_id", "text", "sid", "n"}
 
@@ -102,9 +112,22 @@ def test_no_rows_and_no_links(spark):
     assert sorted(tuple(r)[:3] for r in jaccard.near_duplicates(one).collect()) == [(1, 2, 1), (2, 2, 2), (3, 0, 3)]
 
 
+def test_token_counts(spark):
+    """Exact, however the rows are dealt."""
+    rows = corpus(7, 120)
+    want = {}
+    for s in jaccard.shingles([(t or "").encode() for _, t, *_ in rows]):
+        for x in s.tolist():
+            want[x >> 12] = want.get(x >> 12, 0) + 1
+    df = spark.createDataFrame([(t,) for _, t, *_ in rows], "text string")
+    for parts in (1, 40):
+        got = {r.token: r.n for r in jaccard.token_counts(df.repartition(parts), 5, 3).collect()}
+        assert got == {t: n for t, n in want.items() if n >= 3} and got
+
+
 def test_first_tokens_always_meet():
     rnd = np.random.default_rng(1)
-    heavy = np.sort(rnd.integers(0, 400, 40).astype(np.uint64))
+    heavy = np.unique(rnd.integers(0, 400, 40).astype(np.uint64))
     rank = rnd.permutation(len(heavy))
     for _ in range(3000):
         a = np.unique(rnd.integers(0, 400, rnd.integers(1, 60)).astype(np.uint64))
@@ -113,5 +136,6 @@ def test_first_tokens_always_meet():
             a, b = b, a
         common = len(np.intersect1d(a, b))
         if len(a) and 100 * common >= 75 * (len(a) + len(b) - common):
-            (p, short), (q, _) = jaccard.first_tokens(a, heavy, rank, 75, 100), jaccard.first_tokens(b, heavy, rank, 75, 100)
-            assert np.intersect1d(p[:short], q).size
+            a, b = a << np.uint64(12), b << np.uint64(12)
+            (p, short, late), (q, *_) = jaccard.first_tokens(a, heavy, rank, 75, 100), jaccard.first_tokens(b, heavy, rank, 75, 100)
+            assert np.intersect1d(p[:short], q).size and (np.isin(p >> np.uint64(12), heavy) == late).all()
