@@ -1,25 +1,29 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-A first pass over all pages hashes every block element's subtree (its tag, text and children). Spark counts, per
-host, on how many different pages (different main texts, so copies of a page count once) each subtree stands.
-A subtree on many of a host's pages is template; ``extract`` deletes it, besides what its tag, role or class
-names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment. What class or id
-alone name so is kept if it holds the article; classes of layout or state (has-sidebar, comments-open) name nothing.
-
-A subtree outside the article is template from ``few`` pages and a share of ``share`` of the host's pages on,
-inside it from ``many`` and ``inside``; what holds the article itself or most of a page's text is never deleted.
-Per host at most (elements of a page) / share subtrees can qualify, so the list a page is joined with is bounded.
+A first pass over all pages hashes every block element's subtree in two ways: exactly (its tag, text and children),
+and by its shape (tags, classes and ids, with texts, addresses and the length of lists masked), as menus, adverts and
+footers recur with other words in them. Spark counts, per host, on how many different pages (different main texts,
+so copies of a page count once) each hash stands. A subtree on many of a host's pages is template, and ``extract``
+deletes it. What is left of a page is then cleaned by what its tag, role or class names: scripts, forms, menus,
+headers, footers, sidebars, notices, adverts, reader comments; this second step matters for hosts of few pages and
+for parts that few pages have. ``extract(..., by_names=False)`` gives the text by the first step alone. What class or
+id alone name so is kept if it holds the article; classes of layout or state (has-sidebar, comments-open) name nothing.
+
+An exact subtree outside the article is template from ``few`` pages and a share of ``share`` of the host's pages on,
+inside it from ``many`` and ``inside``. A shape counts only where it stands outside the page's article or, on a page
+without one, if most of its text is links. What holds the article or most of a page's text is never deleted.
 
 Defined results: null or empty html gives an empty text; pages without a host form one host of their own; a host
 with few pages has no template; unclosed and misnested tags are closed as browsers do; pages of any size are read
-whole; repeated rows get equal texts; an empty table gives no rows; other columns are kept.
+whole, in time that grows with their length; repeated rows get equal texts; an empty table gives no rows; other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import keep, slices
+from faintline.llm.common import fresh, keep, slices, spread_join
 
 # Fixed values of HTML: kinds of elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,12 +58,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "drop", "digest", "size")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "block", "digest", "shape", "size", "links", "hidden", "inner")
 
-    def __init__(self, tag: str, parent: Element | None, drop: int) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Element | None, drop: int, named: str = "") -> None:
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.children: list = []
-        self.digest = self.size = 0
+        self.digest = self.shape = self.size = self.links = 0
+        self.hidden = self.inner = False
+        self.block: Element = self if parent is None or tag in BLOCKS else parent.block
 
 
 def _named(value: str) -> set[str]:
@@ -91,13 +97,44 @@ def _unwanted(tag: str, attrs: str) -> int:
     return 1 if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I) else found
 
 
+class _Open:
+    """The open elements, innermost last, and the depths at which each tag is open. Every step is amortised constant."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.depths.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def close(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def outermost(self, tags: Iterable[str], below: int) -> int:
+        """The least depth beyond ``below`` of an element of these tags, or 0; what is passed is about to be closed."""
+        found = 0
+        for t in tags:
+            for d in reversed(self.depths.get(t, ())):
+                if d <= below:
+                    break
+                found = min(found or d, d)
+        return found
+
+
 def parse(source: str) -> Element:
     """A tree of elements and strings."""
     root = Element("#root", None, 0)
-    top, at = root, 0
+    open_, at = _Open(root), 0
     find = _TAG.search
     while True:
         m = find(source, at)
+        top = open_.stack[-1]
         if m is None:
             if at < len(source):
                 top.children.append(source[at:])
@@ -111,37 +148,35 @@ def parse(source: str) -> Element:
                 top.children.append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
-        if m[1]:  # an end tag closes the nearest open element of its name, within its table or list
-            e = top
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                top = e.parent
+        if m[1]:  # an end tag closes the nearest open element of its name and all within
+            depth = open_.nearest((tag,))
+            if depth:
+                open_.close(depth)
             elif tag in ("p", "br"):
                 top.children.append(Element("br", top, 0))
             continue
-        if tag in _CLOSES_P:
-            e = top
-            while e is not root and e.tag != "p" and (e.tag not in BLOCKS):
-                e = e.parent
-            if e.tag == "p":
-                top = e.parent
+        if tag in _CLOSES_P and top.block.tag == "p":
+            open_.close(open_.nearest("p"))
         if tag in _SIBLINGS:
-            e, fence = top, _FENCE[tag]
-            last = None
-            while e is not root and e.tag not in fence:
-                if e.tag in _SIBLINGS[tag]:
-                    last = e
-                e = e.parent
-            if last is not None:
-                top = last.parent
-        new = Element(tag, top, _unwanted(tag, m[3]))
+            depth = open_.outermost(_SIBLINGS[tag], open_.nearest(_FENCE[tag]))
+            if depth:
+                open_.close(depth)
+        top = open_.stack[-1]
+        new = Element(tag, top, _unwanted(tag, m[3]), _label(m[3]))
         top.children.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong")):
-            top = new
+            open_.push(new)
+
+
+def _label(attrs: str) -> str:
+    """Classes and id of an element, numbers masked."""
+    if not attrs or not _NAMED.search(attrs):
+        return ""
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id")]
+    return " ".join(sorted(re.sub(r"[0-9]+", "0", " ".join(values)).lower().split()))
 
 
 def _walk(root: Element) -> list[Element]:
@@ -153,96 +188,137 @@ def _walk(root: Element) -> list[Element]:
 
 
 def _hash(order: list[Element]) -> None:
-    """Digest and text length of each subtree, from the leaves up."""
+    """Digest, shape, text length and length of link texts of each subtree, from the leaves up."""
     for e in reversed(order):
-        h, n = xxhash.xxh64(e.tag), 0
+        h, shape, n, links, last = xxhash.xxh64(e.tag), xxhash.xxh64(f"{e.tag} {e.named}", seed=1), 0, 0, None
         for c in e.children:
             if type(c) is str:
                 t = _SPACE.sub(" ", c).strip()
                 if t:
                     h.update("\x01" + t)
                     n += len(t)
+                    kind = 1
+                else:
+                    continue
             else:
                 h.update(c.digest.to_bytes(8, "little"))
                 n += c.size
-        e.digest, e.size = h.intdigest(), n
+                links += c.links
+                kind = c.shape
+            if kind != last:  # lists of any length have one shape
+                shape.update(kind.to_bytes(8, "little"))
+                last = kind
+        e.digest, e.shape, e.size, e.links = h.intdigest(), shape.intdigest(), n, n if e.tag == "a" else links
 
 
 def _rescue(order: list[Element]) -> None:
     """Keep what its name alone marks as unwanted where it holds the article or, without any, the main element.
 
     Where the page has an article elsewhere, or the name is one of comments or other articles, only what holds most
-    of the page's text is kept.
+    of the page's text is kept. Sizes must have been taken.
     """
+    size = order[0].size
     for tag in ("article", "main"):
-        apart, inside, kept = False, [], []
-        for e in order:
+        # of each element: the nearest dropped one above, and whether one of this tag is above
+        wrap: dict[int, Element | None] = {id(order[0]): None}
+        within = {id(order[0]): False}
+        apart, inside = False, []
+        for e in order[1:]:
+            p = e.parent
+            wrap[id(e)] = p if p.drop else wrap[id(p)]
+            within[id(e)] = within[id(p)] or p.tag == tag
             if e.tag == tag and not e.drop:
-                above = list(_above(e))
-                wraps = [a for a in above if a.drop]
-                if not wraps:
+                if wrap[id(e)] is None:
                     apart = True
-                elif not any(a.tag == tag for a in above) and all(a.drop > 1 for a in wraps):
-                    inside.append(wraps)
-        if inside:
-            _hash(order)
-            for wraps in inside:
-                if all(2 * a.size > order[0].size or (not apart and a.drop == 2) for a in wraps):
-                    kept.extend(wraps)
-        for a in kept:
-            a.drop = 0
+                elif not within[id(e)]:
+                    inside.append(wrap[id(e)])
+        known: dict[int, bool] = {}
+        kept: list[Element] = []
+        for w in inside:
+            chain, x = [], w
+            while x is not None and id(x) not in known:
+                chain.append(x)
+                x = wrap[id(x)]
+            good = x is None or known[id(x)]
+            for x in reversed(chain):
+                good = good and x.drop > 1 and (2 * x.size > size or (not apart and x.drop == 2))
+                known[id(x)] = good
+        for w in inside:
+            while w is not None and known[id(w)] and w.drop:
+                kept.append(w)
+                w.drop, w = 0, wrap[id(w)]
         if apart or kept:
             return
 
 
 def _articles(order: list[Element]) -> list[Element]:
-    """The topmost articles that aren't comments; without any, the topmost main elements."""
+    """The topmost articles that aren't comments; without any, the topmost main elements. Marks what is in and above them."""
     _rescue(order)
+    tops: list[Element] = []
     for tag in ("article", "main"):
-        found = [e for e in order if e.tag == tag and not e.drop]
-        tops = [e for e in found if not any(a.tag == tag or a.drop for a in _above(e))]
+        barred = {id(order[0]): False}
+        for e in order[1:]:
+            p = e.parent
+            barred[id(e)] = barred[id(p)] or bool(p.drop) or (p.tag == tag and p is not order[0])
+            if e.tag == tag and not e.drop and not barred[id(e)]:
+                tops.append(e)
         if tops:
-            return tops
-    return []
+            break
+    order[0].hidden = True
+    for a in tops:
+        a.inner = True
+        while a is not None and not a.hidden:
+            a.hidden, a = True, a.parent
+    for e in order[1:]:
+        e.inner = e.inner or e.parent.inner
+    return tops
+
 
+_LEAVES = frozenset("li td th tr dt dd p h1 h2 h3 h4 h5 h6 hr legend".split())
 
-def _above(e: Element) -> Iterator[Element]:
-    while e.parent is not None:
-        e = e.parent
-        yield e
 
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
-def _digest(e: Element) -> int:
-    return e.digest - (1 << 64) if e.digest >> 63 else e.digest
+
+def _counts(e: Element, page: int) -> bool:
+    """Whether a subtree may be template at all: it neither is above the article nor holds most of the page's text."""
+    return e.tag in BLOCKS and not e.hidden and e.size > 0 and 2 * e.size <= page
+
+
+def _shaped(e: Element, article: bool) -> bool:
+    """Whether the shape of a subtree may tell: it stands outside the article, or is mostly links where there is none."""
+    return not e.inner and (article or 2 * e.links >= e.size)
 
 
 def subtrees(source: str | None) -> tuple[int, list[tuple[int, bool]]]:
-    """(digest of the main text's subtree, (digest, whether inside the article) of each block element's subtree)."""
+    """(digest of the main text's subtree, (hash, whether inside the article) of each block element's subtree)."""
     if not source:
         return 0, []
-    root = parse(source)
-    order = _walk(root)
-    articles = _articles(order)
+    order = _walk(parse(source))
+    root = order[0]
     _hash(order)
-    inner = {id(e) for a in articles for e in _walk(a)}
-    holds = {id(root)} | {id(x) for a in articles for x in (a, *_above(a))}
+    articles = _articles(order)
     seen: dict[int, bool] = {}
     for e in order:
-        if e.tag in BLOCKS and e.size and id(e) not in holds and 2 * e.size <= root.size and not e.drop:
-            seen[_digest(e)] = seen.get(_digest(e), True) and id(e) in inner
+        if not _counts(e, root.size):
+            continue
+        d = _signed(e.digest)
+        seen[d] = seen.get(d, True) and e.inner
+        if _shaped(e, bool(articles)) and not (e.tag in _LEAVES and _counts(e.parent, root.size) and _shaped(e.parent, bool(articles))):
+            seen[_signed(e.shape)] = False
     main = xxhash.xxh64(b"".join(a.digest.to_bytes(8, "little") for a in articles or [root])).intdigest()
-    return main - (1 << 64) if main >> 63 else main, list(seen.items())
+    return _signed(main), list(seen.items())
 
 
-def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main text, joined by empty lines."""
+def main_text(source: str | None, template: frozenset[int] = frozenset(), by_names: bool = True) -> str:
+    """Blocks of the main text, joined by empty lines; without ``by_names`` all that isn't template, script or style."""
     if not source:
         return ""
-    root = parse(source)
-    order = _walk(root)
+    order = _walk(parse(source))
+    root = order[0]
+    _hash(order)
     articles = _articles(order)
-    if template:
-        _hash(order)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -253,31 +329,33 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
                 blocks.append(text)
             now.clear()
 
-    holds = {id(root)} | {id(x) for a in articles for x in (a, *_above(a))}
+    def is_template(e: Element) -> bool:
+        if not template or not _counts(e, root.size):
+            return False
+        return _signed(e.digest) in template or (_signed(e.shape) in template and _shaped(e, bool(articles)))
+
+    def unwanted(e: Element) -> bool:
+        if not by_names:
+            return e.tag in RAW or e.tag == "head"
+        return bool(e.drop) or e.tag == "footer" or (e.tag == "header" and not articles)
+
     # walk without recursion: pages nest as deep as they like
-    stack: list = [("in", a) for a in reversed(articles)] or [("in", root)]
-    in_article = bool(articles)
+    stack: list = [("in", a) for a in reversed(articles if by_names else [])] or [("in", root)]
     while stack:
         what, e = stack.pop()
         if what == "out":
             close()
-            continue
-        if type(e) is str:
+        elif type(e) is str:
             now.append(e)
-            continue
-        if e.tag == "br":
+        elif e.tag == "br":
             now.append(" ")
-            continue
-        if e.drop or (e.tag in ("header", "footer") and (e.tag == "footer" or not in_article)):
+        elif is_template(e) or unwanted(e):
             close()
-            continue
-        if template and id(e) not in holds and e.tag in BLOCKS and 2 * e.size <= root.size and _digest(e) in template:
-            close()
-            continue
-        if e.tag in BLOCKS:
-            close()
-            stack.append(("out", e))
-        stack.extend(("in", c) for c in reversed(e.children))
+        else:
+            if e.tag in BLOCKS:
+                close()
+                stack.append(("out", e))
+            stack.extend(("in", c) for c in reversed(e.children))
     close()
     return "\n\n".join(blocks)
 
@@ -286,50 +364,57 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", few: int = 5, share: float = 0.2, many: int = 10, inside: float = 0.5) -> DataFrame:
-    """(host, template): the digests of each host's template subtrees; hosts without any are left out."""
+def _read(pages: DataFrame, url: str, html: str, names: tuple[str, str, str, str]) -> DataFrame:
+    """pages, with a number, host, digest of the main text and hashes of subtrees (array of (hash, inside))."""
+    number, site, main_, found_ = names
+    found_type = T.ArrayType(T.StructType([T.StructField("digest", T.LongType()), T.StructField("inner", T.BooleanType())]))
+    arrow = pa.list_(pa.struct([("digest", pa.int64()), ("inner", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            hosts, mains, digests, inner = [], [], [], []
-            for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                main, found = subtrees(source)
-                for d, i in [(0, False), *found]:  # 0 stands for the page itself
-                    hosts.append(h)
-                    mains.append(main)
-                    digests.append(d)
-                    inner.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(mains, pa.int64()), pa.array(digests, pa.int64()), pa.array(inner, pa.bool_())], ["host", "main", "digest", "inner"])
-
-    rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, main bigint, digest bigint, inner boolean")
-    each = rows.groupBy("host", "digest", "main").agg(F.min("inner").alias("inner"))
-    counted = each.groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("inner").alias("inner"))
-    counted = keep(counted.filter((F.col("digest") == 0) | (F.col("n") >= few)), "subtrees")
-    of = F.first(F.when(F.col("digest") == 0, F.col("n")), ignorenulls=True)
-    total = counted.groupBy("host").agg(of.alias("pages"))
-    often = counted.filter((F.col("digest") != 0) & (F.col("n") >= few)).join(total, "host")
+        for batch in slices(batches, html):
+            both = [subtrees(source) for source in batch.column(html).to_pylist()]
+            found = pa.array([[{"digest": d, "inner": i} for d, i in f] for _, f in both], arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m for m, _ in both], pa.int64()), found], [*batch.schema.names, main_, found_])
+
+    rows = pages.withColumn(number, F.monotonically_increasing_id()).withColumn(site, host(F.col(url)))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(main_, T.LongType()), T.StructField(found_, found_type)]))
+
+
+def templates(read: DataFrame, few: int = 5, share: float = 0.2, many: int = 10, inside: float = 0.5) -> DataFrame:
+    """(host, digest): the hashes of each host's template subtrees. read: host, main, found (digest, inner)."""
+    each = read.select("host", "main", F.inline("found")).groupBy("host", "digest", "main").agg(F.min("inner").alias("inner"))
+    counted = each.groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("inner").alias("inner")).filter(F.col("n") >= few)
+    total = read.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"), F.count("*").alias("n_rows"))
     part = F.col("n") / F.col("pages")
     is_template = F.when(F.col("inner"), (F.col("n") >= many) & (part >= inside)).otherwise(part >= share)
-    return often.filter(is_template).groupBy("host").agg(F.collect_set("digest").alias("template"))
+    # hosts of fewer pages than ``few`` have none: the others' totals are all that the join needs
+    return spread_join(counted, total.filter(F.col("pages") >= few), "host").filter(is_template).select("host", "digest")
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", **options) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", by_names: bool = True, small: int = 200_000, **options) -> DataFrame:
     """pages with the column ``out``, the main text, in place of ``html``."""
     kept = [c for c in pages.columns if c not in (html, out)]
+    names = number, site, main_, found_ = tuple(fresh(pages, c) for c in ("number", "host", "main", "found"))
+    mine = fresh(pages, "template")
+    # written, so that the numbers of pages stand and the first pass is made once
+    read = keep(_read(pages.drop(out) if out != html else pages, url, html, names), "pages")
+    hashes = read.select(F.col(number).alias("number"), F.col(site).alias("host"), F.col(main_).alias("main"), F.col(found_).alias("found"))
+    known = keep(templates(hashes.select("host", "main", "found"), **options), "templates")
+
+    # which of its host's templates a page holds; a template of a large host stands on many pages, so where the list
+    # of templates is too large to send to every task, hot keys are spread
+    held = hashes.select("number", "host", F.inline("found")).select("number", F.struct("host", "digest").alias("key"), "digest")
+    key = known.select(F.struct("host", "digest").alias("key"), F.lit(True).alias("is"))
+    if known.count() <= small:
+        met = held.join(F.broadcast(key), "key", "left_semi")
+    else:
+        met = spread_join(held, key.join(held.groupBy("key").agg(F.count("*").alias("n_rows")), "key"), "key").filter("is")
+    lists = met.groupBy("number").agg(F.collect_set("digest").alias(mine)).withColumnRenamed("number", number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
         for batch in slices(batches, html):
-            texts = []
-            for source, h, t in zip(batch.column(html).to_pylist(), batch.column("__host").to_pylist(), batch.column("__template").to_pylist(), strict=True):
-                if len(known) > 1000:
-                    known.clear()
-                if h not in known:
-                    known[h] = frozenset(t or ())
-                texts.append(main_text(source, known[h]))
+            texts = [main_text(source, frozenset(t or ()), by_names) for source, t in zip(batch.column(html).to_pylist(), batch.column(mine).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
 
-    # written first, so that Spark knows its size and broadcasts it only where it is small
-    found = keep(templates(pages, url, html, **options).select(F.col("host").alias("__host"), F.col("template").alias("__template")), "templates")
-    joined = pages.withColumn("__host", host(F.col(url))).join(found, "__host", "left").select(*kept, html, "__host", "__template")
+    joined = read.select(*kept, html, number).join(lists, number, "left").drop(number)
     return joined.mapInArrow(run, T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())]))

@@ -1,6 +1,9 @@
 """Extraction from whole pages, broken markup, and template counting against a plain count."""
 
 import random
+import time
+
+import pytest
 
 from faintline.llm import html
 
@@ -70,19 +73,58 @@ def test_counts_against_a_plain_count(spark):
     rnd = random.Random(2)
     pieces = ["<p>%s</p>" % w for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")]
     rows = [(i, f"http://h{rnd.randint(0, 2)}/", "<article><p>%d main text that is long enough to be the most</p></article>" % rnd.randint(0, 30) + "".join(rnd.sample(pieces, 3))) for i in range(200)]
-    got = {r.host: set(r.template) for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), few=3, share=0.4).collect()}
+    read = html._read(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", ("number", "host", "main", "found"))
+    got = {(r.host, r.digest) for r in html.templates(read, few=3, share=0.4).collect()}
     seen, mains = {}, {}
     for _, u, s in rows:
         main, found = html.subtrees(s)
         h = u[7:-1]
         mains.setdefault(h, set()).add(main)
         for d, inner in found:
-            assert not inner or True
             seen.setdefault((h, d), [set(), True])[0].add(main)
             seen[h, d][1] &= inner
-    want = {}
+    want = set()
     for (h, d), (m, inner) in seen.items():
         part = len(m) / len(mains[h])
         if len(m) >= 3 and ((len(m) >= 10 and part >= 0.5) if inner else part >= 0.4):
-            want.setdefault(h, set()).add(d)
+            want.add((h, d))
     assert got == want and want
+
+
+def site(rnd, n):
+    """(html, main text) of pages of one site whose chrome tells nothing by name: only counting can find it."""
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(2, 9)))
+    words = lambda m: " ".join(word() for _ in range(m))
+    motto, articles = words(6), rnd.random() < 0.5
+    for i in range(n):
+        menu = "<div class='x1'><ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rnd.randint(3, 7))) + "</ul></div>"
+        offer = f"<div class='x2'><span>{words(5)}</span> {words(3)}</div>" if articles else ""
+        blocks = [words(rnd.randint(30, 60)) for _ in range(rnd.randint(2, 6))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        body = f"<article>{body}</article>" if articles else f"<div class='x3'>{body}</div>"
+        yield f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{menu}{offer}{body}<div id='n{i}'>{motto}</div><script>{word()}()</script></body></html>", "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_whole_pages_by_counting_alone(spark, small):
+    """Pages with known main texts, by either join, with columns of clashing names."""
+    rnd, rows, want = random.Random(3), [], {}
+    for h in range(6):
+        for source, text in site(rnd, 30):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://h{h}.example/{len(rows)}", source, 1, "x", "y", "z", "w"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, number int, host string, main string, found string, template string").repartition(4)
+    got = html.extract(df, by_names=False, small=small)
+    assert got.columns == ["page_id", "url", "number", "host", "main", "found", "template", "text"]
+    assert {r.page_id: r.text for r in got.collect()} == want
+    assert {r.page_id: r.text for r in html.extract(df, small=small).collect()} == want
+    assert {(r.number, r.host, r.main, r.found, r.template) for r in got.collect()} == {(1, "x", "y", "z", "w")}
+
+
+def test_time_grows_with_length():
+    n = 8000
+    bad = ["<p>" + "<b>" * n + "x</i>" * n, "<p>" + "<span>" * n + "<div>y</div>" * n, "<ul>" + "<div>" * n + "<li>z</li>" * n, "<table>" + "<b>" * n + "<td>q" * n, "<article>" * n + "deep", "<div class=menu>" * n + "<article>a</article>" * n]
+    began = time.process_time()
+    for source in bad:
+        assert html.main_text(source) and html.subtrees(source)[0]
+    assert time.process_time() - began < 15
