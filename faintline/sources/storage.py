@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,10 +55,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    # nothing refers to the shuffle files behind the table any more: let Spark's cleaner delete them now, not at
-    # some later collection of the driver's garbage
+    # nothing refers to the shuffle files behind the tables before this one any more: let Spark's cleaner delete them
+    # now, not at some later collection of the driver's garbage (Python's handles of Java objects are cyclic)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     _PATHS[kept] = path
     return kept
