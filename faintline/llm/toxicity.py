@@ -8,7 +8,9 @@
    the score, each by how surely it marks it.
 
 The marks are learned from at most ``sample`` labelled rows (30,000; the smallest by hash of the id), never from
-held-out rows (crc32 of the id as text, remainder 0 by 5). Labels, language, source and id are no inputs of a score.
+held-out rows (crc32 of the id as text, remainder 0 by 5), in at most ``rounds`` rounds over the ``most`` words found
+most often in toxic rows; words of less than three letters, and those of less than five toxic rows, are no marks.
+Labels, language, source and id are no inputs of a score. The words of the sampled rows are decoded once and kept.
 
 Defined results: null and empty texts hold no word and score the base rate of texts without marks; a text's
 score depends on its words alone, so repeated rows get equal scores; texts are read whole; where no labelled row is
@@ -21,7 +23,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import slices
+from faintline.llm.common import discard, keep, slices
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -39,15 +41,15 @@ _OTHER = 27
 _CODE = {chr(97 + i): i + 1 for i in range(26)}
 _SIGNS = re.escape("".join(c for c in LEET if not c.isdigit()))
 _UNIT = re.escape("".join(c for c in LEET if not c.isdigit() and c not in APART))
-#: Disguised stretches: letters or signs set apart; a token of letters and, anywhere, signs or digits; a doubled letter.
-_ODD = re.compile(
-    rf"(?<![^\W_])(?<![{_UNIT}])(?:(?:[^\W_]|[{_UNIT}])[{re.escape(APART)}]{{1,2}}){{3,}}(?:[^\W_]|[{_UNIT}])(?![^\W_]|[{_UNIT}])"
-    rf"|(?<![^\W_])(?<![{_SIGNS}])(?=[0-9{_SIGNS}]*+[^\W\d_])(?=[^\W\d_]*+[0-9{_SIGNS}])(?:[^\W_]|[{_SIGNS}])++"
-    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
-)
+#: Disguised stretches: letters or signs set apart; letters with signs or digits anywhere within a token; a doubled letter.
+_SET_APART = re.compile(rf"(?<![^\W_])(?<![{_UNIT}])(?:(?:[^\W_]|[{_UNIT}])[{re.escape(APART)}]{{1,2}}){{3,}}(?:[^\W_]|[{_UNIT}])(?![^\W_]|[{_UNIT}])")
+_SIGNED = re.compile(rf"(?<![^\W_])(?<![{_SIGNS}])(?=[0-9{_SIGNS}]*+[^\W\d_])(?=[^\W\d_]*+[0-9{_SIGNS}])(?:[^\W_]|[{_SIGNS}])++")
+_HAS_SIGN = re.compile(rf"(?<!\S)[^\s0-9{_SIGNS}]*+[0-9{_SIGNS}]\S*+")
+_DOUBLED, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LEAST, _PREFIX = 3, (4, 5, 6)
 _ENDS = "".join(c for c in LEET if not c.isdigit())
+_MEMO = 8 << 20  # characters that a memo holds
 
 
 # ---------------------------------------------------------------- character model
@@ -95,6 +97,7 @@ def character_model(df: DataFrame, text: str = "text") -> bytes:
 # ---------------------------------------------------------------- decoding
 
 
+@functools.lru_cache(maxsize=4096)
 def readings(c: str) -> list[tuple[str, float]]:
     """What an observed character may mean, with the channel's cost: a letter, a word end (#), or nothing."""
     if c.isalpha():
@@ -105,38 +108,48 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out + [("", 7.0), ("#", 5.0)] * (c not in APART)
 
 
+class Memo(dict):
+    """A dictionary that is emptied when what it holds grows beyond _MEMO characters."""
+
+    size = 0
+
+    def put(self, key: str, value, n: int) -> None:
+        if self.size > _MEMO:
+            self.clear()
+            self.size = 0
+        self[key] = value
+        self.size += len(key) + n + 50
+
+
 class Decoder:
     """Viterbi's algorithm over the lattice of one stretch; states are the last two symbols read."""
 
     def __init__(self, model: bytes) -> None:
         self.cost = np.frombuffer(model, np.float32).reshape(A, A, A).tolist()
-        self.memo: dict[str, str] = {}
+        self.memo = Memo()
 
     def __call__(self, stretch: str) -> str:
         found = self.memo.get(stretch)
         if found is None:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            found = self.memo[stretch] = self.decode(stretch)
+            found = self.decode(stretch)
+            self.memo.put(stretch, found, len(found))
         return found
 
     def decode(self, stretch: str) -> str:
         """The likeliest plain reading, words parted by spaces."""
-        code = lambda s: 0 if s == "#" else _CODE.get(s, _OTHER)
-        # state: (before last, last, last letter) -> (cost, linked list of what was read)
-        states = {("#", "#"): (0.0, None)}
-        for c in stretch.lower() + "\n":
-            new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
-            ways = [("#", 0.0)] if c == "\n" else readings(c)
-            for (a, b), (cost, read) in states.items():
-                for symbol, price in [*ways, ("", 0.6)] if c == b else ways:
-                    if symbol == "" or (symbol == "#" and b == "#"):
-                        state, total, link = (a, b), cost + price, read
-                    else:
-                        state, total, link = (b, symbol), cost + price + self.cost[code(a)][code(b)][code(symbol)], (read, symbol)
-                    if state not in new or total < new[state][0]:
-                        new[state] = (total, link)
-            states = new  # two symbols of 28 at most: all are kept
+        text = stretch.lower()
+        code = {c: _CODE.get(c, _OTHER) for c in text} | _CODE | {"#": 0}
+        cost_of = self.cost
+        # state: (before last, last) -> (cost, linked list of what was read)
+        states: dict[tuple[str, str], tuple[float, tuple | None]] = {("#", "#"): (0.0, None)}
+        for c in text:
+            if len(states) == 1 and c.isalpha():  # one state and one reading, unless the letter repeats
+                ((a, b), (cost, read)) = next(iter(states.items()))
+                if c != b:
+                    states = {(b, c): (cost + cost_of[code[a]][code[b]][code[c]], (read, c))}
+                    continue
+            states = self._step(states, c, readings(c), code)
+        states = self._step(states, "", [("#", 0.0)], code)
         _, link = min(states.values(), key=lambda x: x[0])
         out = []
         while link:
@@ -144,20 +157,37 @@ class Decoder:
             out.append(" " if symbol == "#" else symbol)
         return "".join(reversed(out)).strip()
 
+    def _step(self, states: dict, c: str, ways: list[tuple[str, float]], code: dict[str, int]) -> dict:
+        """All states after one more character; of two symbols of 28 each, all are kept."""
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, read) in states.items():
+            row = self.cost[code[a]][code[b]]
+            for symbol, price in [*ways, ("", 0.6)] if c == b else ways:
+                if symbol == "" or (symbol == "#" and b == "#"):
+                    state, total, link = (a, b), cost + price, read
+                else:
+                    state, total, link = (b, symbol), cost + price + row[code[symbol]], (read, symbol)
+                if state not in new or total < new[state][0]:
+                    new[state] = (total, link)
+        return new
+
 
 def restore(text: str, decode) -> list[str]:
-    """Plain readings of the disguised stretches of a text."""
+    """Plain readings of the disguised stretches of a text in lower case, words with doubled letters apart."""
     out = []
-    for m in _ODD.finditer(text):
+    for m in (*_SET_APART.finditer(text), *(m for token in _HAS_SIGN.findall(text) for m in _SIGNED.finditer(token))):
         out.append(decode(m[0]))
         bare = m[0].strip(_ENDS)  # signs at the ends may be marks of the sentence
         if bare != m[0] and not bare.isalpha():
             out.append(decode(bare))
-        if m[1]:  # a drawn-out word may also just hold one letter too many
-            out.append(re.sub(r"(.)\1+", r"\1", m[0].lower()))
     return out
 
 
+def drawn_out(word: str, decode) -> list[str]:
+    """Plain readings of a word with doubled letters: the likeliest, and that with one letter of each run."""
+    return [decode(word), _RUN.sub(r"\1", word)] if _DOUBLED.search(word) else []
+
+
 # ---------------------------------------------------------------- marks
 
 
@@ -167,12 +197,26 @@ def features(words: set[str]) -> set[str]:
     return long | {w[:k] + "-" for w in long for k in _PREFIX if len(w) > k}
 
 
-def words_of(text: str | None, decode) -> set[str]:
-    low = (text or "").lower()
-    found = set(_WORDS.findall(low))
-    for plain in restore(low, decode):
-        found.update(plain.split())
-    return found
+class Reader:
+    """The words of a text, plain and restored. ``of`` says what is wanted of words; it is asked once for each distinct one."""
+
+    def __init__(self, decode, of=frozenset) -> None:
+        self.decode, self.of, self.memo = decode, of, Memo()
+
+    def __call__(self, text: str | None) -> set:
+        low = (text or "").lower()
+        found: set = set()
+        get = self.memo.get
+        for word in set(_WORDS.findall(low)):
+            got = get(word)
+            if got is None:
+                got = self.of({word}.union(*(x.split() for x in drawn_out(word, self.decode))))
+                self.memo.put(word, got, sum(map(len, got)))
+            if got:
+                found |= got
+        for plain in restore(low, self.decode):
+            found |= self.of(frozenset(plain.split()))
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -184,46 +228,71 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string")) % 5 == 0, F.lit(False))
 
 
+def decoded(df: DataFrame, model: bytes) -> DataFrame:
+    """(toxic, words) of the rows (toxic, text), words plain and restored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(_decoder(model))
+        for batch in slices(batches, "text"):
+            words = pa.array([sorted(read(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), words], ["toxic", "words"])
+
+    return df.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
+
+
+def counted(rows: DataFrame, only: frozenset | None, least: int, most: int) -> dict[str, int]:
+    """In how many rows each feature (of ``only``) is found, of those in ``least`` rows or more the ``most`` frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["f", "n"])
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                found = features(set(words))
+                for f in found if only is None else found & only:
+                    total[f] = total.get(f, 0) + 1
+                if len(total) > 200_000:
+                    yield batch_of()
+                    total.clear()
+        yield batch_of()
+
+    got = rows.select("words").mapInArrow(run, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return {r.f: r.n for r in got.orderBy(F.desc("n"), "f").limit(most).collect()}
+
+
+def without(rows: DataFrame, marks: dict[str, float]) -> DataFrame:
+    """The rows whose words hold no mark."""
+    whole, starts = _lookup(tuple(sorted(marks.items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not _names(words, whole, starts) for words in batch.column("words").to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def learn(df: DataFrame, labels: DataFrame, model: bytes, ident: str = "doc_id", text: str = "text", sample: int = 30_000, most: int = 20_000, rounds: int = 8, rare: int = 10) -> tuple[dict[str, float], float]:
     """(how surely each mark means toxic, how likely a text without marks is toxic), from the sampled labelled rows."""
     known = labels.filter(~held_out(F.col(ident)) & F.col("toxic").isNotNull()).groupBy(ident).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(ident), ident).limit(sample)  # bounded: fit for a broadcast
-    rows = df.select(ident, F.col(text).alias("text")).join(F.broadcast(chosen), ident).groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
-
-    def count(only: frozenset | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decode, total = _decoder(model), {}
-            for batch in slices(batches, "text"):
-                for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    if only is None and not y:
-                        continue
-                    found = features(words_of(t, decode))
-                    for f in found if only is None else found & only:
-                        total[f] = total.get(f, 0) + 1
-                if len(total) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["f", "n"])
-                    total = {}
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["f", "n"])
-
-        return run
-
-    def counted(part: DataFrame, only: frozenset | None, least: int) -> dict[str, int]:
-        got = part.mapInArrow(count(only), "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        return {r.f: r.n for r in got.orderBy(F.desc("n"), "f").limit(most).collect()}
-
+    chosen = chosen.select(F.col(ident).alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
+    rows = df.select(F.col(ident).alias("__row"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__row") == F.col("__id"))
+    once = rows.groupBy("text").agg(F.max("__toxic").alias("toxic"))
+    rows = keep(decoded(once.repartition(spark_parts(df)), model), "words")
     n0, n1 = rows.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     if not n1:
         return {}, 0.0
     # what frequent marks explain is set aside before rarer ones are sought, or the other words of a few
     # toxic texts (and of their near copies) would pass for marks
     marks: dict[str, float] = {}
-    left, plain = rows.filter("toxic = 1"), rows.filter("toxic = 0")
+    toxic_rows, plain = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     for _ in range(rounds):
+        left = without(toxic_rows, marks)
         n_left = left.count()
         if n_left < max(rare, n1 // 50):
             break
-        toxic = counted(left, None, max(5, n_left // 50))
-        clean = counted(plain, frozenset(toxic), 1)
+        toxic = counted(left, None, max(5, n_left // 50), most)
+        clean = counted(plain, frozenset(toxic), 1, most)
         new = {f: sure for f, n in toxic.items() if (sure := _sure(n, clean.get(f, 0))) > 0.6}
         # a beginning is told by its words: it is a mark only where it marks half as many texts again as any of those
         for f in [f for f in new if f.endswith("-")]:
@@ -235,8 +304,13 @@ def learn(df: DataFrame, labels: DataFrame, model: bytes, ident: str = "doc_id",
         if not new:
             break
         marks |= new
-        left = scored(left, new, 0.0, model, "text", "__s").filter("__s = 0").drop("__s")
-    return marks, _base(rows, marks, model)
+    n0, n1 = without(rows, marks).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    discard(rows)
+    return marks, (n1 + 0.5) / (n0 + n1 + 1)
+
+
+def spark_parts(df: DataFrame) -> int:
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def _sure(n: int, other: int, z2: float = 4.0) -> float:
@@ -245,9 +319,7 @@ def _sure(n: int, other: int, z2: float = 4.0) -> float:
     return (p + z2 / 2 / total - math.sqrt(z2 * (p * (1 - p) + z2 / 4 / total) / total)) / (1 + z2 / total)
 
 
-def _base(rows: DataFrame, marks: dict[str, float], model: bytes) -> float:
-    plain = scored(rows, marks, 0.0, model, "text", "__s").filter("__s = 0").agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    return (plain[1] + 0.5) / (plain[0] + plain[1] + 1)
+# ---------------------------------------------------------------- scores
 
 
 @functools.lru_cache(maxsize=2)
@@ -257,37 +329,41 @@ def _lookup(marks: tuple[tuple[str, float], ...]) -> tuple[dict[str, float], lis
     return whole, [(k, d) for k, d in starts if d]
 
 
-def score_text(text: str | None, marks: tuple[tuple[str, float], ...], base: float, decode) -> float:
-    """1 less the product of what each distinct mark leaves open."""
-    whole, starts = _lookup(marks)
-    open_ = 1.0
+def _names(words: Iterable[str], whole: dict[str, float], starts: list[tuple[int, dict[str, float]]]) -> set[str]:
+    """The surest mark of each word that has any."""
     hit: set[str] = set()
-    for w in words_of(text, decode):
-        sure = whole.get(w, 0.0)
-        name = w
+    for w in words:
+        sure, name = whole.get(w, 0.0), w
         for k, known in starts:
             s = known.get(w[:k], 0.0) if len(w) > k else 0.0
             if s > sure:
                 sure, name = s, w[:k]
-        if sure and name not in hit:
+        if sure:
             hit.add(name)
+    return hit
+
+
+def _score(hit: set[str], whole: dict[str, float], starts: list[tuple[int, dict[str, float]]], base: float) -> float:
+    """1 less the product of what each distinct mark leaves open."""
+    open_ = 1.0
     for name in sorted(hit):
-        sure = max(whole.get(name, 0.0), *(d.get(name, 0.0) for _, d in starts), 0.0)
-        open_ *= 1 - sure
+        open_ *= 1 - max(whole.get(name, 0.0), *(d.get(name, 0.0) for _, d in starts), 0.0)
     return 1 - open_ if hit else base
 
 
 def scored(df: DataFrame, marks: dict[str, float], base: float, model: bytes, text: str = "text", out: str = "score") -> DataFrame:
     """df with the column ``out``."""
     fixed = tuple(sorted(marks.items()))
+    others = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _decoder(model)
+        whole, starts = _lookup(fixed)
+        read = Reader(_decoder(model), lambda words: _names(words, whole, starts))
         for batch in slices(batches, text):
-            values = pa.array([score_text(t, fixed, base, decode) for t in batch.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, out])
+            values = pa.array([_score(read(t), whole, starts, base) for t in batch.column(text).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], values], [*others, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.DoubleType())]))
 
 
 def fit(documents: DataFrame, labels: DataFrame, **options) -> tuple[dict[str, float], float, bytes]:

@@ -1,10 +1,13 @@
 """Decoding, learning and held-out accuracy."""
 
 import random
+import re
+import time
 import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from faintline.llm import toxicity as tox
 
@@ -37,15 +40,14 @@ def test_counts(spark):
 @pytest.mark.parametrize("odd, plain", [("1d10t", "idiot"), ("m0r0n", "moron"), ("w0rthl3$$", "worthless"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooooot", "idiot"), ("m-o-r-o-n", "moron"), ("id!ot", "idiot")])
 def test_decoding(model, odd, plain):
     decode = tox.Decoder(model)
-    found = [w for s in tox.restore(f"they said {odd}, here", decode) for w in s.split()]
-    assert plain in found, found
+    assert plain in tox.Reader(decode)(f"they said {odd}, here")
 
 
 @pytest.mark.parametrize("odd, plain", [("idio7", "idiot"), ("m0r0n5", "morons"), ("$aying", "saying"), ("$ a y i n g", "saying"), ("idiiot", "idiot"), ("(1d10t!", "idiot"), ("c****t", "cat"), ("!d!0t", "idiot"), ("c4t", "cat")])
 def test_signs_at_ends_and_doubled_letters(spark, odd, plain):
     df = spark.createDataFrame([(PLAIN + " saying morons",)] * 40, "text string")
     decode = tox.Decoder(tox.character_model(df))
-    assert plain in [w for s in tox.restore(f"they said {odd}, here", decode) for w in s.split()]
+    assert plain in tox.Reader(decode)(f"they said {odd}, here")
 
 
 def test_three_letter_marks(spark):
@@ -86,6 +88,54 @@ def test_viterbi_is_the_best_path(model):
         assert got == best[1].strip("#"), (stretch, best)
 
 
+def test_long_words(model):
+    """Time grows with the length of a word."""
+    rnd = random.Random(4)
+    read = tox.Reader(tox.Decoder(model))
+    for word in ("ab" * 500_000, "漢字" * 500_000, "$" * 1_000_000):
+        began = time.process_time()
+        read(word)
+        assert time.process_time() - began < 1
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "abcdef0123456789+/", "a", "a ", "a$"):
+        began = time.process_time()
+        read("".join(rnd.choice(letters) for _ in range(200_000)))
+        assert time.process_time() - began < 6, letters
+
+
+def plain_score(text, marks, base, decode):
+    """Scores word by word, without memory and without tables."""
+    low = (text or "").lower()
+    words = set(re.findall(r"[^\W\d_]+", low))
+    for w in list(words):
+        if any(a == b for a, b in zip(w, w[1:])):
+            words |= {*decode(w).split(), "".join(c for i, c in enumerate(w) if i == 0 or c != w[i - 1])}
+    for plain in tox.restore(low, decode):
+        words |= set(plain.split())
+    names = set()
+    for w in words:
+        of = {w: marks.get(w, 0)} | {w[:k]: marks.get(w[:k] + "-", 0) for k in (6, 5, 4) if len(w) > k}
+        best = max(of.values())
+        if best:
+            names.add(next(n for n in (w, w[:4], w[:5], w[:6]) if of.get(n) == best))
+    left = 1.0
+    for n in sorted(names):
+        left *= 1 - max(marks.get(n, 0), marks.get(n + "-", 0))
+    return 1 - left if names else base
+
+
+def test_scores_against_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "s0 m3 b4d w0rd$"), (-4, "a5 b5 " * 2000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd).withColumn("score", F.lit("taken")).withColumn("__id", F.lit(1))
+    marks, base, model = tox.fit(docs, labels, rare=3)
+    assert marks
+    decode = tox.Decoder(model)
+    rows = tox.scored(docs, marks, base, model).collect()
+    assert set(rows[0].asDict()) == {"doc_id", "text", "score", "__id"} and len(rows) == docs.count()
+    for r in rows:
+        assert r.score == plain_score(r.text, marks, base, decode), r.doc_id
+
+
 def test_no_labels_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (2, "", 1.0), (3, "idiot " * 50000, None), (None, "text", 0.0)], "doc_id long, text string, toxic double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
