@@ -2,14 +2,15 @@
 
 ``write`` lays an archive down as two Parquet tables below one folder: ``headers`` (the exact bytes of each
 record up to its payload: WARC header and HTTP header) and ``payloads`` (SHA-256 digest and bytes, once).
-``read`` parses the headers and checks every stored payload against its digest; ``records`` rebuilds the whole
-WARC records, byte for byte. Everything is DataFrame functions; nothing passes through the driver.
+``records`` rebuilds the whole WARC records, byte for byte, by a join in which digests of many records are spread;
+``read`` rebuilds them, parses them, and checks every payload against its digest. Everything is DataFrame functions;
+nothing passes through the driver.
 
 Defined results: a null payload is empty; of equal payloads of at least ``least`` bytes the record with the
 smallest id (null ids last) is the response and the others revisit it; shorter ones are all responses; rows
 equal in id and payload are the same kind of record; an empty table gives an empty archive; a null address
-leaves its header out; line breaks in an address are percent-encoded; other columns are not archived.
-A payload that differs from its digest fails the read.
+leaves its header out; line breaks in an address are percent-encoded, all other characters stay as they are; other
+columns are not archived. A payload that differs from its digest fails the read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm.common import spread_join
+from faintline.llm.common import keep, spread_join
 
 _CRLF = "\r\n"
 
@@ -45,10 +46,10 @@ def plan_records(pages: DataFrame, ident: str = "page_id", url: str = "url", pay
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _line("WARC-Record-ID", _record_id(F.col("id"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         _line("X-Source-ID", F.col("id")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _line("WARC-Refers-To", _record_id(F.col("first"))), _line("X-Refers-To-Source-ID", F.col("first")))).otherwise(""),
+        _line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.lit(f"Content-Type: application/http; msgtype=response{_CRLF}"),
         _line("Content-Length", F.octet_length(http) + length),
         F.lit(_CRLF),
@@ -66,40 +67,61 @@ def write(pages: DataFrame, path: str, **columns) -> None:
     plan_records(pages, **columns).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: id, record_type, refers_to, payload_digest and payload_bytes of the checked stored bytes."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    bad = F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("digest")))
-    actual = F.sha2("payload", 256)
-    checked = stored.select("digest", F.when(actual == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(bad.cast("long")).alias("payload_bytes"))
-    headers = _parsed(spark.read.parquet(f"{path}/headers"))
-    used = headers.groupBy("digest").agg(F.count("*").alias("n_rows"))
-    joined = spread_join(headers, checked.join(used, "digest"), "digest")
-    return joined.select("id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "url")
-
-
-def _parsed(headers: DataFrame) -> DataFrame:
-    # the HTTP header follows the first empty line; only the WARC header's lines are read
-    text = F.substring_index(F.decode("header", "UTF-8"), _CRLF * 2, 1)
-    line = lambda name: F.regexp_extract(text, f"(?m)^{name}: ([^\r\n]*)", 1)
-    some = lambda c: F.when(c != "", c)
-    return headers.select(
-        some(line("X-Source-ID")).alias("id"),
-        line("WARC-Type").alias("record_type"),
-        some(line("X-Refers-To-Source-ID")).alias("refers_to"),
-        F.regexp_replace(line("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
-        some(line("WARC-Target-URI")).alias("url"),
-    )
+def _field(text: Column, name: str) -> Column:
+    """The value of a header line. Lines end with CR LF alone: other line separators are part of a value."""
+    return F.regexp_extract(text, f"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+
+
+def _some(c: Column) -> Column:
+    return F.when(c != "", c)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record): the original WARC records, each ready to be written one after the other."""
-    headers = spark.read.parquet(f"{path}/headers")
-    kind = F.regexp_extract(F.decode("header", "UTF-8"), "(?m)^WARC-Type: ([^\r\n]*)", 1)
-    both = headers.withColumn("record_type", kind).withColumn("want", F.when(F.col("record_type") == "response", F.col("digest")).otherwise(F.concat(F.lit("\x00"), F.md5("header"))))
-    stored = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("want"), "payload")
+    headers = spark.read.parquet(f"{path}/headers").withColumn("record_type", _field(F.decode("header", "UTF-8"), "WARC-Type"))
+    full = headers.filter("record_type = 'response'")
+    # short payloads, which many responses may share, are the only ones that several records ask for
+    used = full.groupBy("digest").agg(F.count("*").alias("n_rows"))
+    both = spread_join(full, spark.read.parquet(f"{path}/payloads").join(used, "digest"), "digest")
+    lost = F.raise_error(F.concat(F.lit("no payload stored for "), F.col("digest")))
     end = F.lit((_CRLF * 2).encode())
-    return both.join(stored, "want", "left").select("record_type", F.concat("header", F.coalesce("payload", F.lit(b"")), end).alias("record"))
+    whole = both.select("record_type", F.concat("header", F.coalesce(F.col("payload"), lost.cast("binary")), end).alias("record"))
+    return whole.unionByName(headers.filter("record_type <> 'response'").select("record_type", F.concat("header", end).alias("record")))
+
+
+def parse(archive: DataFrame) -> DataFrame:
+    """The fields of each record and its payload, from its bytes alone."""
+    latin = F.decode("record", "ISO-8859-1")  # one character a byte
+    at = F.instr(latin, _CRLF * 2)
+    cut = archive.withColumn("__head", F.decode(F.substring("record", F.lit(1), at - 1), "UTF-8")).withColumn("__at", at)
+    n = _field(F.col("__head"), "Content-Length").cast("int")
+    block = cut.withColumn("__block", F.substring("record", F.col("__at") + 4, n))
+    payload = F.substring("__block", F.instr(F.decode("__block", "ISO-8859-1"), _CRLF * 2) + 4, F.octet_length("__block"))
+    head = F.col("__head")
+    odd = F.raise_error(F.concat(F.lit("length of a record differs from its header: "), head)).cast("binary")
+    payload = F.when(F.octet_length("record") == F.col("__at") + 3 + n + 4, payload).otherwise(odd)
+    return block.select(
+        _some(_field(head, "X-Source-ID")).alias("id"),
+        _field(head, "WARC-Type").alias("record_type"),
+        _some(_field(head, "X-Refers-To-Source-ID")).alias("refers_to"),
+        F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
+        _some(_field(head, "WARC-Target-URI")).alias("url"),
+        payload.alias("payload"),
+    )
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: id, record_type, refers_to, url, digest and size of the payload that its rebuilt bytes give."""
+    parsed = parse(records(spark, path))
+    bad = F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("digest")))
+    size = F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long")).otherwise(bad.cast("long"))
+    columns = ["id", "record_type", "refers_to", "digest", "url"]
+    full = keep(parsed.filter("record_type = 'response'").select(*columns, size.alias("payload_bytes")), "responses")
+    # a revisit's payload is that of the response with its digest
+    again = parsed.filter("record_type = 'revisit'").select(*columns)
+    sizes = full.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes")).join(again.groupBy("digest").agg(F.count("*").alias("n_rows")), "digest")
+    both = full.unionByName(spread_join(again, sizes, "digest"))
+    return both.select("id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "url")
 
 
 #: The same rows by SQL, for op2.

@@ -40,6 +40,14 @@ def test_round_trip(spark, tmp_path):
             assert payload == b""
 
 
+def test_addresses_that_look_like_headers(spark, tmp_path):
+    odd = ["u\u2028X-Source-ID: 999", "u\u0085X-Source-ID: 998\u2029WARC-Type: revisit", "u\r\nX-Source-ID: 997", "u\x0bContent-Length: 1", "Content-Length: 2"]
+    rows = [(i, u, f"Content-Length: 5\r\n\r\nX-Source-ID: {i}" + "z" * 50 * i, "", "") for i, u in enumerate(odd)]
+    warc.write(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "o"))
+    got = {r.id: r for r in warc.read(spark, str(tmp_path / "o")).collect()}
+    assert {i: (r.payload_bytes, r.record_type, r.url) for i, r in got.items()} == {str(i): (len(h), "response", u.replace("\r", "%0D").replace("\n", "%0A")) for i, u, h, *_ in rows}
+
+
 def test_damage_is_found(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write(spark.createDataFrame(ROWS, SCHEMA), path)
