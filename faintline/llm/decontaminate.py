@@ -10,10 +10,10 @@ few characters, and no true one is lost.
 The items are a stated query set: they are sent to the tasks in blocks of ``block`` items, and every block is
 matched against all rows. Nothing of the documents reaches the driver.
 
-Defined results: null or empty texts and items match nothing; items shorter than ``least`` characters, which
-chance alone would find, match only a text that equals them whole; of several occurrences of an item in a text
-the closest, then the first is reported; repeated rows are reported each; empty tables give no rows; other
-columns are kept.
+Defined results: null or empty texts and items match nothing; an item too short for any edit (its budget is 0)
+matches where it stands as whole words; of several occurrences of an item in a text the closest, then the first is
+reported; repeated rows are reported each, and so are repeated items, whatever their ids; empty tables give no rows;
+other columns are kept, whatever their names. Every block of items costs one more pass over the documents.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import slices
+from faintline.llm.common import fresh, slices
 
 _APART = re.compile(r"\W+")
 _MEMO = 50_000
@@ -119,7 +119,8 @@ class Item:
             if distance > node.budget:
                 return None
             node = node.up
-        return 0, at, at + len(self.text)  # one piece: the item itself
+        end = at + len(self.text)  # one piece: the item itself
+        return (0, at, end) if text[at - 1 : at] in ("", " ") and text[end : end + 1] in ("", " ") else None
 
     def _whole(self, root: Node, text: str, lo: int, window: str) -> tuple[int, int, int] | None:
         distance, end = root.pattern.best(window)
@@ -132,19 +133,16 @@ class Item:
 class Matcher:
     """All items of a block; ``find`` gives the matches of one text."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float, least: int) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
         import ahocorasick
 
-        self.short: dict[str, list[int]] = {}
-        pieces: dict[str, list[tuple[Item, Node]]] = {}
-        for item_id, text in items:
+        pieces: dict[str, list[tuple[int, Item, Node]]] = {}
+        for n, (item_id, text) in enumerate(items):
             s = normalise(text)
-            if 0 < len(s) < least:
-                self.short.setdefault(s, []).append(item_id)
-            elif s:
+            if s:
                 item = Item(item_id, s, rate)
                 for leaf in item.leaves:
-                    pieces.setdefault(s[leaf.a : leaf.b], []).append((item, leaf))
+                    pieces.setdefault(s[leaf.a : leaf.b], []).append((n, item, leaf))
         self.automaton = None
         if pieces:
             self.automaton = ahocorasick.Automaton()
@@ -154,33 +152,34 @@ class Matcher:
 
     def find(self, text: str | None) -> list[dict]:
         s = normalise(text)
-        best = {i: (0, 0, len(s)) for i in self.short.get(s, ())} if s else {}
-        known: dict[int, tuple[int, int]] = {}  # the last occurrence of each item: hits inside it say nothing new
+        best: dict[int, tuple[int, tuple[int, int, int]]] = {}
+        exact: dict[int, tuple[int, int]] = {}  # the last unchanged occurrence of each item: hits inside it say nothing new
         if s and self.automaton is not None:
             for last, (size, owners) in self.automaton.iter(s):
                 at = last + 1 - size
-                for item, leaf in owners:
-                    span = known.get(item.item_id)
+                for n, item, leaf in owners:
+                    span = exact.get(n)
                     if span and span[0] <= at and last < span[1]:
                         continue
                     hit = item.confirm(leaf, s, at)
                     if hit:
-                        known[item.item_id] = hit[1:]
-                        if hit < best.get(item.item_id, (len(s) + 1,)):
-                            best[item.item_id] = hit
-        return [{"item_id": i, "distance": d, "start": a, "end": b} for i, (d, a, b) in sorted(best.items())]
+                        if hit[0] == 0:
+                            exact[n] = hit[1:]
+                        if n not in best or hit < best[n][1]:
+                            best[n] = (item.item_id, hit)
+        return [{"item_id": i, "distance": d, "start": a, "end": b} for _, (i, (d, a, b)) in sorted(best.items(), key=lambda x: (x[1][0], x[0]))]
 
 
 @functools.lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float, least: int) -> Matcher:
-    return Matcher(items, rate, least)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+    return Matcher(items, rate)
 
 
-def flag(df: DataFrame, items: tuple[tuple[int, str], ...], text: str = "text", out: str = "leaks", rate: float = 0.08, least: int = 20) -> DataFrame:
+def flag(df: DataFrame, items: tuple[tuple[int, str], ...], text: str = "text", out: str = "leaks", rate: float = 0.08) -> DataFrame:
     """df with the column ``out``: the matches of one block of items, positions in the normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(items, rate, least)
+        matcher = _matcher(items, rate)
         for batch in slices(batches, text):
             found = pa.array([matcher.find(t.as_py()) for t in batch.column(text)], _FOUND_ARROW)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
@@ -214,6 +213,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", block: int = 5000, **options) -> DataFrame:
     """df without the rows that hold an item."""
+    found = fresh(df, "leaks")
     for items in blocks(benchmark, block):
-        df = flag(df, items, text, "__leaks", **options).filter(F.size("__leaks") == 0).drop("__leaks")
+        df = flag(df, items, text, found, **options).filter(F.size(found) == 0).drop(found)
     return df

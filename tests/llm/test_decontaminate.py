@@ -40,7 +40,8 @@ def test_no_occurrence_is_lost(rate):
     rnd = random.Random(2)
     items = [(i, " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(8, 40)))) for i in range(8)]
     items += [(90, "ok"), (91, "  "), (92, "Ok!")]
-    m = d.Matcher(tuple(items), rate, 20)
+    items += [(0, "short one"), (0, "another one"), (7, "sixteen letters!")]
+    m = d.Matcher(tuple(items), rate)
     for _ in range(250):
         noise = lambda: "".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 80)))
         text = noise()
@@ -56,14 +57,19 @@ def test_no_occurrence_is_lost(rate):
             else:
                 assert i not in got
         assert not got
-    assert [x["item_id"] for x in m.find(" OK. ")] == [90, 92] and m.find("it is ok") == [] and m.find(None) == m.find("") == []
+    ids = lambda text: [x["item_id"] for x in m.find(text)]
+    assert ids(" OK. ") == ids("it is ok") == [90, 92] and ids("joke oks") == [] and m.find(None) == m.find("") == []
+    assert ids("a short one and another one") == [0, 0] and ids("xx sixteen letters yy") == [7]
+    if rate:  # the closest of several, found after others
+        far, near = edited(rnd, items[0][1], 1), items[0][1]
+        assert [x["distance"] for x in m.find(far + " " + near) if x["item_id"] == 0 and x["end"] - x["start"] > 20] == [0]
 
 
 def test_tables(spark):
     rnd = random.Random(3)
     items = [(i, " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(25))) for i in range(7)] + [(50, None), (None, "x" * 40), (51, "")]
     docs = [(1, None, "a", 1), (2, "", "b", 2), (3, "before " + items[2][1].upper() + " after", None, 3), (4, "clean text", "d", 4), (3, "before " + items[2][1] + " after", "e", 5), (None, items[3][1] + " " + items[4][1], "f", 6), (7, "y " * 200000 + items[0][1], "g", 7)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, leaks string, start int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, leaks string, __leaks int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((r.doc_id or 0, r.item_id, r.distance) for r in d.leaks(df, bench, block=3).collect()))
     assert got == [(0, 3, 0), (0, 4, 0), (3, 2, 0), (3, 2, 0), (7, 0, 0)]
