@@ -143,7 +143,7 @@ def _unpacked(low: bytes, at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def token_counts(rows: DataFrame, k: int, least: int) -> DataFrame:
     """(token, n): the tokens, by their 52 upper bits, that ``least`` texts or more hold, counted over all texts."""
-    bits = max(12, min(40, int(rows.count() // 16).bit_length()))  # a range holds the tokens of about 16 texts
+    bits = max(12, min(40, (rows.count() >> 12).bit_length()))  # a range holds the tokens of a few thousand texts at most
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
