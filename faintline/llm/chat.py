@@ -55,14 +55,28 @@ def _role_back(role: str) -> str:
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A log that streams each row's text in two deltas, as an exported table of turns would have come about."""
+    """A log in which each row's text comes about by streaming, as an exported table of turns would have.
+
+    By a hash of the row, its message is streamed in two deltas after a draft that is regenerated, or is first sent in
+    a wrong version that an edit puts right, or stands beside a message that is deleted; so a wrong fold shows.
+    """
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("seq"), F.monotonically_increasing_id().cast("string").alias("message_id"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-    event = lambda sub, kind, part: F.struct(F.lit(sub).cast("bigint").alias("sub"), F.lit(kind).alias("kind"), part.alias("text"))
     text = F.col("text")
-    parts = F.array(event(0, "start", F.lit("")), event(1, "delta", F.left(text, half)), event(2, "delta", F.substr(text, half + 1)))
-    return rows.withColumn("e", F.explode(parts)).select("conv_id", "seq", "e.sub", "message_id", "e.kind", "role", "e.text")
+
+    def event(sub: int, kind: str, part: Column, message: Column | None = None) -> Column:
+        return F.struct(F.lit(sub).cast("bigint").alias("sub"), (F.col("message_id") if message is None else message).alias("message_id"), F.lit(kind).alias("kind"), part.alias("text"))
+
+    start, first, rest, none = event(0, "start", F.lit("")), event(3, "delta", F.left(text, half)), event(4, "delta", F.substr(text, half + 1)), F.lit("")
+    draft = F.concat(F.lit("draft "), F.left(F.reverse(text), F.lit(20)))
+    gone = F.concat("message_id", F.lit(" gone"))
+    regenerated = F.array(start, event(1, "delta", draft), event(2, "regenerate", none), first, rest)
+    edited = F.array(start, event(1, "delta", draft), event(2, "edit", F.left(text, half)), rest)
+    beside = F.array(start, event(0, "start", none, gone), event(1, "delta", draft, gone), first, event(3, "delete", none, gone), rest)
+    kind = F.pmod(F.xxhash64("conv_id", "seq", "role", "text"), F.lit(3))
+    parts = F.when(kind == 0, regenerated).when(kind == 1, edited).otherwise(beside)
+    return rows.withColumn("e", F.explode(parts)).select("conv_id", "seq", "e.sub", "e.message_id", "e.kind", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
