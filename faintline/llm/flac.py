@@ -1,7 +1,8 @@
 """FLAC media column: mono 8-bit streams with fixed or LPC predictors, Rice residuals and a seek table.
 
 ``encode`` turns texts into streams; ``decode`` reads streams back, checks every frame (CRC-8, CRC-16) and the
-whole (MD5), and gives PCM blocks with the sample they start at. Inside a task the frames of many rows are
+whole (MD5), and gives PCM blocks with the sample they start at; ``samples`` reads any range of samples through the
+seek table, decoding only the frames it lies in. Inside a task the frames of many rows are
 coded side by side: step i handles sample i of every frame at once, so numpy does the work.
 
 Defined results: null text is empty; a payload is the text's UTF-8 bytes, filled with spaces to a positive
@@ -387,37 +388,60 @@ def _side_by_side(buf: np.ndarray, raw: bytes, begin: np.ndarray, n: np.ndarray)
     return out[13:], np.where(usable, (pos + 7) // 8, -1)
 
 
+def _layout(data: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
+    """(samples, MD5, (first sample, first byte, end, samples) of every frame) of a stream, from its metadata."""
+    if data[:4] != b"fLaC":
+        raise FlacError("no FLAC stream")
+    at, last, seek = 4, False, b""
+    info = b""
+    while not last:
+        last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
+        body = data[at + 4 : at + 4 + size]
+        info, seek = (body if kind == 0 else info), (body if kind == 3 else seek)
+        at += 4 + size
+    packed = int.from_bytes(info[10:18], "big")
+    if packed >> 36 & 31 != 7 or packed >> 41 & 7:
+        raise FlacError("not mono with 8 bits")
+    total = packed & ((1 << 36) - 1)
+    points = [p for p in struct.iter_unpack(">QQH", seek) if p[0] != (1 << 64) - 1]
+    if sum(p[2] for p in points) != total:
+        raise FlacError("the seek table doesn't list every frame")
+    ends = [at + p[1] for p in points[1:]] + [len(data)]
+    return total, info[18:34], [(first, at + off, end, count) for (first, off, count), end in zip(points, ends, strict=True)]
+
+
 def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     """For each stream its blocks: first sample and the samples as bytes (plus 128, as they were stored)."""
     jobs, infos = [], []
     for s, data in enumerate(streams):
-        if data[:4] != b"fLaC":
-            raise FlacError("no FLAC stream")
-        at, last, seek = 4, False, b""
-        info = b""
-        while not last:
-            last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
-            body = data[at + 4 : at + 4 + size]
-            info, seek = (body if kind == 0 else info), (body if kind == 3 else seek)
-            at += 4 + size
-        packed = int.from_bytes(info[10:18], "big")
-        if packed >> 36 & 31 != 7 or packed >> 41 & 7:
-            raise FlacError("not mono with 8 bits")
-        infos.append((packed & ((1 << 36) - 1), info[18:34]))
-        points = [p for p in struct.iter_unpack(">QQH", seek) if p[0] != (1 << 64) - 1]
-        if sum(p[2] for p in points) != infos[-1][0]:
-            raise FlacError("the seek table doesn't list every frame")
-        ends = [at + p[1] for p in points[1:]] + [len(data)]
-        jobs += [(s, first, at + off, end, count) for (first, off, count), end in zip(points, ends, strict=True)]
+        total, digest, frames = _layout(data)
+        infos.append((total, digest))
+        jobs += [(s, *frame) for frame in frames]
+    blocks = _decoded(streams, jobs)
+    for own, (total, digest) in zip(blocks, infos, strict=True):
+        pcm = b"".join(b for _, b in own)
+        if len(pcm) != total or hashlib.md5((np.frombuffer(pcm, np.uint8) - np.uint8(128)).tobytes()).digest() != digest:
+            raise FlacError("the samples differ from the stream's MD5")
+    return blocks
+
+
+def decode_ranges(wanted: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """Samples first to first + count of each (stream, first, count): the seek table names the only frames decoded."""
+    jobs = [(s, *f) for s, (data, first, count) in enumerate(wanted) for f in _layout(data)[2] if f[0] < first + count and f[0] + f[3] > first]
+    out = []
+    for own, (_, first, count) in zip(_decoded([w[0] for w in wanted], jobs), wanted, strict=True):
+        skip = first - own[0][0] if own else 0
+        out.append(b"".join(b for _, b in own)[max(skip, 0) :][: max(count, 0)])
+    return out
+
+
+def _decoded(streams: list[bytes], jobs: list[tuple[int, int, int, int, int]]) -> list[list[tuple[int, bytes]]]:
     blocks: list[list[tuple[int, bytes]]] = [[] for _ in streams]
     jobs.sort(key=lambda j: -j[4])
     for c in range(0, len(jobs), _WIDE):
         _decode_jobs(streams, jobs[c : c + _WIDE], blocks)
-    for own, (total, digest) in zip(blocks, infos, strict=True):
+    for own in blocks:
         own.sort()
-        pcm = b"".join(b for _, b in own)
-        if len(pcm) != total or hashlib.md5((np.frombuffer(pcm, np.uint8) - np.uint8(128)).tobytes()).digest() != digest:
-            raise FlacError("the samples differ from the stream's MD5")
     return blocks
 
 
@@ -450,7 +474,8 @@ def _decode_jobs(streams: list[bytes], jobs: list[tuple[int, int, int, int, int]
 # ---------------------------------------------------------------- columns
 
 _MEDIA = "doc_id bigint, n_bytes bigint, media binary"
-_PCM = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string, blocks array<struct<first_sample:bigint,n_samples:int,pcm:binary>>"
+_PCM = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
+_BLOCKS = ", blocks array<struct<first_sample:bigint,n_samples:int,pcm:binary>>"
 
 
 def payload(text: str | None) -> bytes:
@@ -478,25 +503,40 @@ def encode(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _MEDIA)
 
 
-def decode(media: DataFrame) -> DataFrame:
-    """Each stream's checked PCM blocks, with digests and features of the payload read back."""
+def decode(media: DataFrame, blocks: bool = True) -> DataFrame:
+    """Each stream's digests and features of the payload read back and checked; with ``blocks`` its PCM blocks too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
             streams = batch.column("media").to_pylist()
-            blocks = decode_streams(streams)
+            found = decode_streams(streams)
             rows = []
-            for doc, n, stream, own in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), streams, blocks, strict=True):
+            for doc, n, stream, own in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), streams, found, strict=True):
                 pcm = b"".join(b for _, b in own)
-                rows.append({"doc_id": doc, "n_bytes": n, "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "payload_bytes": len(pcm), "payload_sha256": hashlib.sha256(pcm).hexdigest(), "tail_crc32": zlib.crc32(pcm[-16:]), "feature": feature(pcm), "blocks": [{"first_sample": a, "n_samples": len(b), "pcm": b} for a, b in own]})
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                row = {"doc_id": doc, "n_bytes": n, "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "payload_bytes": len(pcm), "payload_sha256": hashlib.sha256(pcm).hexdigest(), "tail_crc32": zlib.crc32(pcm[-16:]), "feature": feature(pcm)}
+                rows.append(row | {"blocks": [{"first_sample": a, "n_samples": len(b), "pcm": b} for a, b in own]} if blocks else row)
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA if blocks else _DIGESTS)
 
-    return media.mapInArrow(run, _PCM)
+    return media.mapInArrow(run, _PCM + _BLOCKS if blocks else _PCM)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string()), ("blocks", pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])))])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+_SCHEMA = _DIGESTS.append(pa.field("blocks", pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))))
 
 
 def blocks(decoded: DataFrame) -> DataFrame:
     """One row per PCM block, ready to be written: doc_id, first_sample, n_samples, pcm."""
     return decoded.select("doc_id", F.inline("blocks"))
+
+
+def samples(media: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, first_sample, n_samples, pcm) of each row (doc_id, first_sample, n_samples) of ``wanted``, decoding only the frames it needs."""
+    both = media.select("doc_id", "media").join(wanted.select("doc_id", F.col("first_sample").cast("bigint"), F.col("n_samples").cast("bigint")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "media"):
+            columns = [batch.column(c) for c in ("doc_id", "first_sample", "n_samples")]
+            pcm = decode_ranges(list(zip(batch.column("media").to_pylist(), columns[1].to_pylist(), columns[2].to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pcm, pa.binary())], ["doc_id", "first_sample", "n_samples", "pcm"])
+
+    return both.mapInArrow(run, "doc_id bigint, first_sample bigint, n_samples bigint, pcm binary")
