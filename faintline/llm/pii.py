@@ -5,7 +5,8 @@ then by the order of KINDS. ``redact(df)`` replaces every span by its kind in br
 
 Defined results: null text counts as empty and has no spans; a text of any length is read whole, in time
 linear in its length and in the number of matches; repeated rows get equal spans; an empty table gives an
-empty table; other columns stay as they are (working columns bear the prefix ``__pii_``).
+empty table; other columns stay as they are, whatever their names. A score is the kind's prior, raised by words of
+its kind within 40 characters; credentials that are hexadecimal digits alone need such words to pass ``LEAST``.
 
 A base match that fails its check is dropped and not tried again at a later start. All repetitions are
 possessive, so no text can exhaust the stack, and a start inside a run that already failed is never tried.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faintline.llm.common import fresh
+
 #: Countries by the length of their IBANs (ISO 13616).
 _IBAN = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -25,14 +28,22 @@ _KNOWN = "|".join(" ".join(_IBAN.values()).split())
 #: As long as the country says, whatever follows; where the country is none of these, as far as the run goes.
 _BY_LENGTH = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}+" for n, c in _IBAN.items()) + rf"|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "id", "secret")
 BASE = KINDS[:4]
+#: The score from which a span counts as personal data where no other bound is given.
+LEAST = 0.5
+#: Letters of Spanish identity numbers by the remainder of the number by 23; fixed values.
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH})(?![A-Za-z0-9])",
+    # Spanish DNI and NIE, French NIR
+    "id": r"(?<![A-Za-z0-9])(?:[0-9]{8}-?+[A-Z]|[XYZ]-?+[0-9]{7}-?+[A-Z]|[12]\x20?+[0-9]{2}\x20?+(?:0[1-9]|1[0-2])\x20?+[0-9]{2}\x20?+[0-9]{3}\x20?+[0-9]{3}\x20?+[0-9]{2})(?![A-Za-z0-9])",
+    # published forms of keys, signed tokens and private keys; else hexadecimal digits of 128 bits or more
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|[0-9A-Fa-f]{32,128}+)(?![A-Za-z0-9_-])|-----BEGIN\x20(?:[A-Z]++\x20)?+PRIVATE\x20KEY-----[A-Za-z0-9+/=\s]++-----END\x20(?:[A-Z]++\x20)?+PRIVATE\x20KEY-----",
 }
 #: What a text needs at least for a match that can pass its check: a cheap test before positions are worked out.
 _HINT = {
@@ -41,6 +52,8 @@ _HINT = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
+    "id": r"[0-9]{7}-?[A-Z]|[12]\x20?[0-9]{2}\x20?[01][0-9]\x20?[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{2}",
+    "secret": r"[0-9A-Fa-f]{32}|A[KS]IA[A-Z0-9]{16}|gh[opsur]_|xox[abprs]-|AIza|sk-|eyJ|-----BEGIN\x20",
 }
 #: Words near a match that make its kind likelier.
 _CONTEXT = {
@@ -49,8 +62,12 @@ _CONTEXT = {
     "card": r"(?i)card|visa|credit|debit|karte|carte|tarjeta",
     "phone": r"(?i)phone|call|tel|mobile|fax|appel|llam",
     "iban": r"(?i)iban|bank|account|konto|compte|cuenta",
+    "id": r"(?i)\bdni\b|\bnie\b|\bnir\b|ident|passport|social|sécu",
+    "secret": r"(?i)token|key|secret|passw|pwd|credential|bearer|auth",
 }
-_PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8}
+_PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8, "id": 0.7, "secret": 0.8}
+#: Hexadecimal digits may as well be a checksum: words nearby decide.
+_BARE, _RAISE = 0.35, 0.2
 _NEAR, _BLOCK, _CHUNK = 40, 256, 1024
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
@@ -111,9 +128,24 @@ def _valid(kind: str, m: Column) -> Column:
         return let(_digits(m), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
+    if kind == "id":
+        return let(F.regexp_replace(m, "[ -]", ""), lambda i: F.when(i.rlike("[A-Z]$"), _mod23(i)).otherwise(F.lit(97) - F.left(i, F.lit(13)).cast("bigint") % 97 == F.right(i, F.lit(2)).cast("int")))
+    if kind == "secret":
+        return ~m.rlike("^[0-9A-Fa-f]+$") | (m.rlike("[0-9]") & m.rlike("[A-Fa-f]"))
     return let(F.replace(m, F.lit(" "), F.lit("")), lambda i: F.when(F.length(i).between(15, 34), _mod97(i)).otherwise(False))
 
 
+def _mod23(ident: Column) -> Column:
+    """The last letter tells the remainder of the number by 23; X, Y and Z at its head stand for 0, 1 and 2."""
+    number = F.translate(F.left(ident, F.lit(1)), "XYZ", "012")
+    number = F.concat(number, F.substr(ident, F.lit(2), F.length(ident) - 2)).cast("bigint")
+    return F.substr(F.lit(_DNI), (number % 23 + 1).cast("int"), F.lit(1)) == F.right(ident, F.lit(1))
+
+
+def _prior(kind: str, m: Column) -> Column:
+    return F.when(m.rlike("^[0-9A-Fa-f]+$"), _BARE).otherwise(_PRIOR[kind]) if kind == "secret" else F.lit(_PRIOR[kind])
+
+
 def _spans(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
 
@@ -121,7 +153,7 @@ def _spans(text: Column, kind: str) -> Column:
         def one(i: Column) -> Column:
             m, start = F.get(found, i), F.get(starts, i) + F.length(F.get(gaps, i))
             near = F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(_NEAR)), F.left(F.get(gaps, i + 1), F.lit(_NEAR)))
-            score = F.least(F.lit(1.0), F.lit(_PRIOR[kind]) + F.when(near.rlike(_CONTEXT[kind]), 0.2).otherwise(0.0))
+            score = F.least(F.lit(1.0), _prior(kind, m) + F.when(near.rlike(_CONTEXT[kind]), _RAISE).otherwise(0.0))
             return F.when(_valid(kind, m), F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score")))
 
         return F.filter(F.transform(F.sequence(F.lit(0), F.size(found) - 1), one), lambda s: s.isNotNull())
@@ -143,7 +175,7 @@ def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     rank = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*(F.lit(i) for i in range(len(KINDS)))))
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.element_at(rank, a["kind"]) - F.element_at(rank, b["kind"]))
-    parts = [f"__pii_{k}" for k in KINDS]
+    parts = [fresh(df, f"of_{k}") for k in KINDS]
     found = df.withColumns({p: _spans(whole, k) for p, k in zip(parts, KINDS, strict=True)})
     every = F.concat(*map(F.col, parts))
     compare = F.array_sort(every, order)
@@ -163,8 +195,9 @@ def _cut(chunks: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(joined, (start % _CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
-def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """df with each span of at least the score ``least`` replaced; overlapping spans become one, named for the first."""
+    spans = fresh(df, "spans")
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def fold(chunks: Column, acc: Column, s: Column) -> Column:
@@ -180,18 +213,21 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
 
     def rebuilt(chunks: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("parts"))
-        done = F.aggregate(_blocks(F.col("__pii_spans")), start, lambda acc, part: block(chunks, acc, part))
+        done = F.aggregate(_blocks(F.col(spans)), start, lambda acc, part: block(chunks, acc, part))
         return let(done, lambda d: F.concat(F.array_join(d["parts"], ""), _cut(chunks, d["at"], F.length(whole).cast("bigint"))))
 
-    found = find(df, text, "__pii_spans")
-    kept = found.withColumn("__pii_spans", F.filter("__pii_spans", lambda s: s["score"] >= least))
+    found = find(df, text, spans)
+    kept = found.withColumn(spans, F.filter(spans, lambda s: s["score"] >= least))
     chunks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
-    return kept.withColumn(text, F.when(F.size("__pii_spans") > 0, let(chunks, rebuilt)).otherwise(F.col(text))).drop("__pii_spans")
+    return kept.withColumn(text, F.when(F.size(spans) > 0, let(chunks, rebuilt)).otherwise(F.col(text))).drop(spans)
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """One row per document: counts per base kind, the digest of the base spans, and all spans."""
+    """One row per document: counts per base kind, the digest of the base spans, all spans, and the score of each in hundredths."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return find(documents.select("doc_id", "text")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    found = find(documents.select("doc_id", "text"))
+    likely = F.size(F.filter("spans", lambda s: s["score"] >= LEAST)).cast("bigint")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"), likely.alias("n_likely"))

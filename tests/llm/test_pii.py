@@ -92,5 +92,23 @@ def test_redaction_leaves_nothing_and_keeps_the_rest(rows):
     assert got[4].text == "[IP].[IP]" and got[3].text == "[EMAIL][EMAIL]"
 
 
+def test_ids_and_secrets(spark):
+    dni = lambda n: f"{n:08d}" + "TRWAGMYFPDXBNJZSQVHLCKE"[n % 23]
+    nir = lambda n: f"{n}{97 - n % 97:02d}"
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    good = [(dni(12345678), "id", 70), ("X-" + dni(1234567)[1:], "id", 70), ("dni " + dni(87654321), "id", 90), (nir(2550814168025), "id", 70), ("AKIA" + "ABCD1234" * 2, "secret", 80), (f'token = "{key}"', "secret", 55), (f"sha {key}", "secret", 35), ("ghp_" + "aB3" * 12, "secret", 80)]
+    rows = [(i, f"see {t}, ok", k, n) for i, (t, k, n) in enumerate(good)]
+    bad = [dni(12345678)[:-1] + "A", str(2550814168025) + "11", "0" * 40, "a" * 40, key + key * 3, "x" + key, "AKIAshort"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of_id string, of_secret int")
+    for r in pii.find(df).collect():
+        assert [(s.kind, round(100 * s.score)) for s in r.spans if s.kind in ("id", "secret")] == [(r.of_id, r.of_secret)], r.text
+    hidden = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert hidden[5] == 'see token = "[SECRET]", ok' and hidden[6] == rows[6][1]  # by its score alone a bare number stays
+    found = pii.find(spark.createDataFrame([(i, f"see {t}, ok") for i, t in enumerate(bad)], "doc_id long, text string")).collect()
+    assert not [(r.text, s) for r in found for s in r.spans if s.kind in ("id", "secret")]
+    reported = pii.report(df).filter("doc_id = 6").first()
+    assert reported.scores == "35" and reported.n_likely == 0
+
+
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
