@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faintline.llm import decontaminate, jaccard, packing, pii, toxicity
-from faintline.llm.common import keep, table
+from faintline.llm.common import fresh, keep, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is learned from the labelled documents of sf_dir."""
     marks, base, model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, marks, base, model, out="__toxicity").filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+    score = fresh(docs, "toxicity")
+    return toxicity.scored(docs, marks, base, model, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, with personal data replaced by its kind; n_chars follows the text."""
-    before = F.length("text")
-    hidden = pii.redact(docs.withColumn("__before", before))
-    shorter = F.when(F.col("__before") == before, F.col("n_chars")).otherwise(before.cast("bigint"))
+    length, before = F.length("text"), fresh(docs, "before")
+    hidden = pii.redact(docs.withColumn(before, length))
+    shorter = F.when(F.col(before) == length, F.col("n_chars")).otherwise(length.cast("bigint"))
     return hidden.withColumn("n_chars", shorter).select(*docs.columns)
 
 
