@@ -42,13 +42,13 @@ from faintline.llm.common import discard, fresh, keep, slices, spread_join
 from faintline.operators.graph import components
 
 K, NUM, DEN = 5, 75, 100
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _HEAVY, _HEAVY_LEAST = 100_000, 64
 #: Min-hashes of a set, how many of them make buckets, and the share in which a set agrees with its group's leader.
 _BINS, _BUCKETS, _ALIKE = 16, 6, 7 / 16
 #: Sets and tokens of a part of a group, about; pairs that one copy of a set serves; columns of one product.
 _GROUP, _TOKENS, _SHARE, _COLUMNS = 128, 1 << 19, 2000, 4096
-_BUFFER = 1_000_000
+_BUFFER = 400_000
 _TAG = np.uint64(3)  # the two lowest bits of a first token: serves towards larger sets; is heavy
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 

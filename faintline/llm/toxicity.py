@@ -49,7 +49,8 @@ _DOUBLED, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LEAST, _PREFIX = 3, (4, 5, 6)
 _ENDS = "".join(c for c in LEET if not c.isdigit())
-_MEMO = 8 << 20  # characters that a memo holds
+_SLICE = 1 << 20  # bytes of texts that are handled at once
+_MEMO = 6 << 20  # bytes that a memo holds, about
 
 
 # ---------------------------------------------------------------- character model
@@ -74,7 +75,7 @@ def count_trigrams(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(A**3, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             total += trigrams("  ".join(t or "" for t in batch.column(text).to_pylist()).encode("utf-8", "surrogatepass"))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["gram", "n"])
@@ -109,7 +110,7 @@ def readings(c: str) -> list[tuple[str, float]]:
 
 
 class Memo(dict):
-    """A dictionary that is emptied when what it holds grows beyond _MEMO characters."""
+    """A dictionary that is emptied when what it holds grows beyond _MEMO bytes."""
 
     size = 0
 
@@ -118,7 +119,7 @@ class Memo(dict):
             self.clear()
             self.size = 0
         self[key] = value
-        self.size += len(key) + n + 50
+        self.size += len(key) + n + 200  # with what objects and their table take
 
 
 class Decoder:
@@ -219,7 +220,7 @@ class Reader:
         return found
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _decoder(model: bytes) -> Decoder:
     return Decoder(model)
 
@@ -233,25 +234,29 @@ def decoded(df: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(_decoder(model))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             words = pa.array([sorted(read(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), words], ["toxic", "words"])
 
     return df.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
 
 
-def counted(rows: DataFrame, only: frozenset | None, least: int, most: int) -> dict[str, int]:
-    """In how many rows each feature (of ``only``) is found, of those in ``least`` rows or more the ``most`` frequent."""
+def counted(rows: DataFrame, marks: dict[str, float], only: frozenset | None, least: int, most: int) -> dict[str, int]:
+    """In how many rows without any of the marks each feature (of ``only``) is found; of those in ``least`` rows or more the ``most`` frequent."""
+    whole, starts = _lookup(tuple(sorted(marks.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
         batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["f", "n"])
         for batch in batches:
-            for words in batch.column("words").to_pylist():
+            for words in batch.column("words"):
+                words = words.as_py()
+                if _names(words, whole, starts):
+                    continue
                 found = features(set(words))
                 for f in found if only is None else found & only:
                     total[f] = total.get(f, 0) + 1
-                if len(total) > 200_000:
+                if len(total) > 100_000:
                     yield batch_of()
                     total.clear()
         yield batch_of()
@@ -266,7 +271,7 @@ def without(rows: DataFrame, marks: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not _names(words, whole, starts) for words in batch.column("words").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not _names(words.as_py(), whole, starts) for words in batch.column("words")], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -287,12 +292,11 @@ def learn(df: DataFrame, labels: DataFrame, model: bytes, ident: str = "doc_id",
     marks: dict[str, float] = {}
     toxic_rows, plain = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     for _ in range(rounds):
-        left = without(toxic_rows, marks)
-        n_left = left.count()
+        n_left = without(toxic_rows, marks).count()
         if n_left < max(rare, n1 // 50):
             break
-        toxic = counted(left, None, max(5, n_left // 50), most)
-        clean = counted(plain, frozenset(toxic), 1, most)
+        toxic = counted(toxic_rows, marks, None, max(5, n_left // 50), most)
+        clean = counted(plain, {}, frozenset(toxic), 1, most)
         new = {f: sure for f, n in toxic.items() if (sure := _sure(n, clean.get(f, 0))) > 0.6}
         # a beginning is told by its words: it is a mark only where it marks half as many texts again as any of those
         for f in [f for f in new if f.endswith("-")]:
@@ -321,6 +325,7 @@ def _sure(n: int, other: int, z2: float = 4.0) -> float:
 
 # ---------------------------------------------------------------- scores
 
+_NOTHING: frozenset = frozenset()
 
 @functools.lru_cache(maxsize=2)
 def _lookup(marks: tuple[tuple[str, float], ...]) -> tuple[dict[str, float], list[tuple[int, dict[str, float]]]]:
@@ -358,8 +363,8 @@ def scored(df: DataFrame, marks: dict[str, float], base: float, model: bytes, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, starts = _lookup(fixed)
-        read = Reader(_decoder(model), lambda words: _names(words, whole, starts))
-        for batch in slices(batches, text):
+        read = Reader(_decoder(model), lambda words: _names(words, whole, starts) or _NOTHING)
+        for batch in slices(batches, text, _SLICE):
             values = pa.array([_score(read(t), whole, starts, base) for t in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], values], [*others, out])
 
