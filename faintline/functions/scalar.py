@@ -36,18 +36,23 @@ def first_rule(rules, otherwise: Column | None = None) -> Column:
 # ---------------------------------------------------------------- text
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind taken off both ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]++|[\s\p{Z}\x{FEFF}]++$", "")
+
+
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def title_normalize(raw: Column) -> Column:
     """A title without feed prefix and trailing clause, or null where too little is left."""
-    t = F.trim(raw)
+    t = strip(raw)
     for p in R.TITLE_PREFIXES:
         t = F.regexp_replace(t, rf"(?i)^{p}\s*", "")
     cut = F.regexp_instr(t, F.lit("[?|–—]"))
     t = F.when(cut > 11, F.substr(t, F.lit(1), cut - 1)).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"[,.:\s]+$", ""))
+    t = strip(F.regexp_replace(t, r"[,.:\s]+$", ""))
     t = F.regexp_replace(t, r"\s+", " ")
     tokens = F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", ""), r"\s+")
     meaningful = F.size(F.filter(tokens, lambda w: (F.length(w) > 2) & ~w.isin(R.WEAK_TITLE_TOKENS)))
@@ -90,7 +95,7 @@ def dedupe_tokens(text: Column) -> Column:
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    x, y = F.lower(strip(a)), F.lower(strip(b))
     most = F.greatest(F.length(x), F.length(y))
     return F.when(x == y, F.lit(1.0)).otherwise((most - F.levenshtein(x, y)) / F.greatest(most, F.lit(1)))
 
@@ -129,6 +134,19 @@ def capitalize(text: Column) -> Column:
     return first_rule([(text == "", text), (text == "ai", "AI"), (text == "ai agents", "AI Agents")], F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2))))
 
 
+def trend_name(keyword: Column, title: Column) -> Column:
+    """A trend's name: its category, and what or whom the title says it is for."""
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    prefix = F.coalesce(F.element_at(pairs(R.CATEGORY_PREFIXES), keyword), capitalize(keyword))
+    low = F.lower(strip(F.regexp_replace(F.regexp_replace(title, r"(?i)^(show hn|ask hn|tell hn):?", ""), r"\[.*?\]", "")))
+    found = F.coalesce(*[F.when(low.rlike(p), F.regexp_extract(low, p, 1)) for p in R.QUALIFIER_PATTERNS])
+    words = F.slice(F.split(strip(found), r"\s+"), 1, 3)
+    short = F.array_join(words, " ")
+    known = F.element_at(pairs(R.QUALIFIERS), short)
+    named = F.when(known.isNotNull(), F.concat(prefix, F.lit(" for "), known)).when(F.get(words, 0).isin(*R.NOISE_WORDS), prefix)
+    return F.when(F.coalesce(short, F.lit("")) == "", prefix).otherwise(named.otherwise(F.concat(prefix, F.lit(" for "), capitalize(short))))
+
+
 def is_proper_noun(word: Column, title: Column) -> Column:
     def same(w: Column) -> Column:
         cleaned = F.regexp_replace(w, "[^a-zA-Z0-9]", "")

@@ -33,16 +33,42 @@ def pairs(mentions: DataFrame) -> DataFrame:
     return a.join(b, "signal_id").filter("concept_a < concept_b")
 
 
-def edges(snapshots: DataFrame, signals: DataFrame) -> DataFrame:
-    """Per pair: weight, first and last sight, distinct signals, and weights by source (null sources left out)."""
+def edges(snapshots: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Per pair: weight, first and last sight, distinct signals, and weights by source (null sources left out).
+
+    snapshots have their signal's source; where they lack it, ``signals`` gives it.
+    """
     low, high = F.least("concept_a", "concept_b").alias("concept_a"), F.greatest("concept_a", "concept_b").alias("concept_b")
-    rows = snapshots.select(low, high, "signal_id", "created_at").join(signals.select("signal_id", "source"), "signal_id", "left")
-    each = rows.groupBy("concept_a", "concept_b", "source").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"), F.countDistinct("signal_id").alias("s"))
+    if signals is not None:
+        snapshots = snapshots.join(signals.select("signal_id", "source"), "signal_id", "left")
+    # a signal holds a pair once or a few times: counted by signal first, distinct signals are mere rows
+    once = snapshots.groupBy(low, high, "signal_id", "source").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    each = once.groupBy("concept_a", "concept_b", "source").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("s"))
     by_source = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n")))))
     # a signal has one source, so distinct signals add up over sources
     return each.groupBy("concept_a", "concept_b").agg(F.sum("n").alias("total_weight"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen"), F.sum("s").alias("signal_count"), by_source.alias("source_distribution"))
 
 
+def merge_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored concepts with new ones merged in: counts add up, first and last sight widen."""
+    return _merged(stored, new, ["concept_id"], ["mention_count"])
+
+
+def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored edges with new ones merged in."""
+    return _merged(stored, new, ["concept_a", "concept_b"], ["total_weight", "signal_count"])
+
+
+def _merged(stored: DataFrame, new: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
+    values = [*counts, "first_seen", "last_seen", "source_distribution"]
+    both = stored.select(*key, F.struct(*values).alias("a")).join(new.select(*key, F.struct(*values).alias("b")), key, "full_outer")
+    zero = F.lit(0).cast("bigint")
+    added = [(F.coalesce(f"a.{c}", zero) + F.coalesce(f"b.{c}", zero)).alias(c) for c in counts]
+    ends = [F.least("a.first_seen", "b.first_seen").alias("first_seen"), F.greatest("a.last_seen", "b.last_seen").alias("last_seen")]
+    maps = [F.coalesce(f"{x}.source_distribution", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))) for x in "ab"]
+    return both.select(*key, *added, *ends, merge_counts(*maps).alias("source_distribution"))
+
+
 def graph(edge_weights: DataFrame, least: int = 2) -> DataFrame:
     """(u, v, w) in both directions; weights are summed first, then light edges go."""
     summed = edge_weights.groupBy(F.least("concept_a", "concept_b").alias("u"), F.greatest("concept_a", "concept_b").alias("v")).agg(F.sum("weight").alias("w")).filter(F.col("w") >= least)

@@ -16,9 +16,16 @@ def propagation(mentions: DataFrame, signals: DataFrame, as_of: str, days: int =
 
 
 def convergence(diversity, velocity, propagated, edges):
-    """0 to 100, each part taken as a share of 100: 0.30, 0.25, 0.25 and 0.20."""
-    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c.cast("double")))
-    return S.js_round(0.30 * part(diversity) + 0.25 * part(velocity) + 0.25 * part(propagated) + 0.20 * part(edges))
+    """0 to 100, each part taken as a share of 100: 0.30, 0.25, 0.25 and 0.20; in decimals, so that halves round up."""
+    part = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c)).cast("decimal(20,6)")
+    hundredths = 30 * part(diversity) + 25 * part(velocity) + 25 * part(propagated) + 20 * part(edges)
+    return F.floor((hundredths + 50) * F.lit("0.01").cast("decimal(3,2)")).cast("bigint")
+
+
+def hypotheses(members: DataFrame) -> DataFrame:
+    """Per group of members (group, velocity, kind, size): confidence, window and size of the market."""
+    each = members.groupBy("group").agg(F.avg("velocity").alias("v"), F.countDistinct("kind").alias("k"), F.sum("size").alias("market_size"))
+    return each.select("group", S.js_round(F.least(F.lit(100.0), F.col("v") + F.col("k"))).alias("confidence"), S.window_estimate(F.col("v")).alias("window"), "market_size")
 
 
 def failed_trends(history: DataFrame, as_of: str, least_peak: int = 40, idle: int = 30) -> DataFrame:

@@ -23,7 +23,8 @@ def daily(history: DataFrame, tie: str) -> DataFrame:
 
 def lifecycle(points: DataFrame) -> DataFrame:
     """(trend_slug, lifecycle) from the last three daily points."""
-    recent = points.groupBy("trend_slug").agg(F.count("*").alias("n"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("day", "score")))), 1, 3).alias("p"))
+    latest = points.withColumn("place", F.row_number().over(Window.partitionBy("trend_slug").orderBy(F.desc("day")))).filter("place <= 3")
+    recent = latest.groupBy("trend_slug").agg(F.count("*").alias("n"), F.reverse(F.array_sort(F.collect_list(F.struct("day", "score")))).alias("p"))
     s3, s2, s1 = (F.get("p", i)["score"] for i in range(3))
     rules = [(F.col("n") < 3, "emerging"), ((s3 - s1) / 2 > 3, "rising"), ((s3 - s1) / 2 < -3, "declining"), ((F.abs(s3 - s2) <= 3) & (s3 >= 50), "peaking")]
     return recent.select("trend_slug", S.first_rule(rules, F.lit("emerging")).alias("lifecycle"))

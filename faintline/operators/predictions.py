@@ -62,13 +62,30 @@ def verify(predictions: DataFrame, which: Column, outcome: str) -> DataFrame:
     return predictions.withColumn("status", F.when(which & F.col("is_published"), outcome).otherwise(F.col("status")))
 
 
+def publish(predictions: DataFrame, which: Column, as_of: str) -> DataFrame:
+    """Drafts that are chosen become pending and published, from ``as_of`` on."""
+    now = which & (F.col("status") == "draft")
+    return predictions.withColumns({"is_published": F.col("is_published") | F.coalesce(now, F.lit(False)), "drafted_at": F.when(now, S.moment(as_of)).otherwise(F.col("drafted_at")), "status": F.when(now, "pending").otherwise(F.col("status"))})
+
+
+def discard(predictions: DataFrame, which: Column) -> DataFrame:
+    """Chosen predictions go, but only while they are drafts."""
+    return predictions.filter(~F.coalesce(which & (F.col("status") == "draft"), F.lit(False)))
+
+
+def delete(predictions: DataFrame, which: Column) -> DataFrame:
+    """Chosen predictions go, whatever their status."""
+    return predictions.filter(~F.coalesce(which, F.lit(False)))
+
+
 def page(df: DataFrame, order: list, cap: int | None, number: int, size: int = 10) -> DataFrame:
     """One page of the first ``cap`` rows, with each row's place, the total and the number of pages."""
     top = df.orderBy(*order).limit(cap) if cap is not None else df
     total = top.agg(F.count("*").alias("total"))
-    numbered = top.withColumn("n", F.row_number().over(Window.orderBy(*order)))
-    counted = numbered.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size))
-    return counted.filter((F.col("n") > (number - 1) * size) & (F.col("n") <= number * size))
+    # a page needs the rows up to its end alone: they, not all rows, are numbered
+    head = top.orderBy(*order).limit(number * size).withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    counted = head.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size))
+    return counted.filter(F.col("n") > (number - 1) * size)
 
 
 def similar(df: DataFrame, text: Column, ident: str = "id") -> DataFrame:

@@ -54,7 +54,7 @@ def distinct_by_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def _representatives(df: DataFrame, ident: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(r, o, t, k) of the earliest row of each title and keyword list, and (id, r) of every row."""
-    rows = df.select(F.col(ident).alias("id"), F.col(order).alias("o"), F.lower(F.trim("title")).alias("t"), F.coalesce("keywords", F.array().cast("array<string>")).alias("k"))
+    rows = df.select(F.col(ident).alias("id"), F.col(order).alias("o"), F.lower(S.strip(F.col("title"))).alias("t"), F.coalesce("keywords", F.array().cast("array<string>")).alias("k"))
     reps = keep(rows.groupBy("t", "k").agg(F.min_by("id", "o").alias("r"), F.min("o").alias("o")), "titles")
     return reps, rows.join(reps.select("t", "k", "r"), ["t", "k"]).select("id", "r", F.col("o").alias("io"))
 

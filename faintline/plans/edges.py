@@ -80,8 +80,10 @@ _RSS = f"{W} SELECT title, 'about ' || source AS tagline, 'http://x/' || id AS u
 query("src_producthunt_rss", _RSS)(lambda s, d: _rss(s, d).select("title", "tagline", "url"))
 query("src_arxiv", _RSS)(lambda s, d: _rss(s, d, "entry", "summary").select("title", "tagline", "url"))
 query("src_rss_titles", f"{W} SELECT DISTINCT title FROM titles WHERE id % 5 > 0")(lambda s, d: _rss(s, d).select("title").distinct())
-query("src_weekly_top10", f"{W}, a AS (SELECT title, 0 AS feed, row_number() OVER (ORDER BY id) - 1 AS place FROM titles WHERE id < 6), b AS (SELECT title, 1 AS feed, row_number() OVER (ORDER BY id) - 1 AS place FROM titles WHERE id >= 100 AND id < 120) SELECT title, feed FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE place < 10) ORDER BY feed, place LIMIT 10")(
-    lambda s, d: (lambda t, w: feeds.gap_filled(t.filter("id < 6").withColumn("place", w - 1), t.filter("id >= 100 AND id < 120").withColumn("place", w - 1)).select("title", "feed"))(V.titles(s, d), F.row_number().over(Window.orderBy("id")))
+_asked = lambda t: t.filter("title LIKE '%?'").select("title").distinct().orderBy("title").limit(10).withColumn("place", F.row_number().over(Window.orderBy("title")) - 1)
+_best = lambda t: t.filter("source = 'github'").orderBy(F.desc("score"), "id").limit(10).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).select("title", "place")
+query("src_weekly_top10", f"{W}, a AS (SELECT title, 0 AS feed, row_number() OVER (ORDER BY title) - 1 AS place FROM (SELECT DISTINCT title FROM titles WHERE title LIKE '%?')), b AS (SELECT title, 1 AS feed, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM titles WHERE source = 'github') SELECT title, feed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE place < 10 ORDER BY feed, place LIMIT 10")(
+    lambda s, d: feeds.gap_filled(_asked(V.titles(s, d)), _best(V.titles(s, d))).select("title", "feed")
 )
 query("src_pg_tables", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name"))
 
@@ -94,8 +96,8 @@ def _placed(s, d):
 
 
 query("sink_report_html", f"{_PLACED} SELECT '<table>' || string_agg('<tr><td>' || title || '</td><td>' || category || '</td><td>' || confidence || '</td></tr>', '' ORDER BY place) || '</table>' AS html FROM p WHERE place IN (1, 4, 9)")(lambda s, d: sinks.report(_placed(s, d), [1, 4, 9]))
-query("sink_email_digest", "SELECT c_name AS email, '5 trends changed' AS subject, '0: AFRICA' AS head FROM customer WHERE c_custkey < 30 AND (SELECT min(r_name) FROM region) = 'AFRICA'")(
-    lambda s, d: sinks.digest(table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("trend_slug"), F.col("r_name").alias("lifecycle")), table(s, d, "customer").filter("c_custkey < 30").select(F.col("c_name").alias("email"))).select("email", "subject", F.substring_index("body", "\n", 1).alias("head"))
+query("sink_email_digest", "SELECT c_name AS email, '5 trends changed' AS subject, '0: AFRICA' AS head FROM customer WHERE (SELECT min(r_name) FROM region) = 'AFRICA'")(
+    lambda s, d: sinks.digest(table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("trend_slug"), F.col("r_name").alias("lifecycle")), table(s, d, "customer").select(F.col("c_name").alias("email"))).select("email", "subject", F.substring_index("body", "\n", 1).alias("head"))
 )
 _LABEL = "CASE WHEN final_score >= 80 THEN 'High' WHEN final_score >= 60 THEN 'Watch' WHEN final_score >= 40 THEN 'Emerging' ELSE 'Noise' END"
 query("sink_pipeline_log", f"{_OPP}, l AS (SELECT {_LABEL} AS label, count(*) AS n FROM scored GROUP BY 1) SELECT '{{\"signals_in\":' || (SELECT count(*) FROM scored) || ',\"score_range\":[' || (SELECT min(final_score) FROM scored) || ',' || (SELECT max(final_score) FROM scored) || '],\"labels\":{{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}}}}' AS line FROM l")(
@@ -113,20 +115,26 @@ query(
     w AS (SELECT key, "at", i, "at" AS start, 1 AS n FROM q WHERE i = 1 UNION ALL SELECT q.key, q."at", q.i, CASE WHEN w.start + 3600000000 < q."at" THEN q."at" ELSE w.start END, CASE WHEN w.start + 3600000000 < q."at" THEN 1 ELSE w.n + 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1)
     SELECT key, "at", CAST(n AS BIGINT) AS n, n <= 5 AS allowed FROM w""",
 )(lambda s, d: limits.limited(_requests(s, d), "billing"))
+query(
+    "rate_limit_expiry",
+    f"""WITH RECURSIVE q AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    w AS (SELECT key, "at", i, "at" AS start, 1 AS n FROM q WHERE i = 1 UNION ALL SELECT q.key, q."at", q.i, CASE WHEN w.start + 3600000000 < q."at" THEN q."at" ELSE w.start END, CASE WHEN w.start + 3600000000 < q."at" THEN 1 ELSE w.n + 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1),
+    l AS (SELECT key, max(start) AS start, CAST(arg_max(n, i) AS BIGINT) AS n FROM w GROUP BY 1) SELECT key, start, n FROM l WHERE start + 3600000000 >= (SELECT max(epoch_us(ts)) FROM events)""",
+)(lambda s, d: limits.alive(limits.limited(_requests(s, d), "billing"), "billing"))
 query("propagation_events", f"WITH {EVENTS_SQL}, p AS (SELECT concept_id, count(DISTINCT source) AS sources, min(collected_at) AS first_seen FROM ev WHERE collected_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1) SELECT *, CASE sources WHEN 2 THEN 'dual_source' WHEN 3 THEN 'cross_platform' ELSE 'multi_source' END AS kind FROM p WHERE sources >= 2")(
     lambda s, d: derived.propagation(V.event_mentions(s, d), V.event_signals(s, d), AS_OF)
 )
 query("convergence_score", "SELECT p_partkey, CAST(floor(0.30 * least(100, p_size * 3) + 0.25 * (p_partkey % 101) + 0.25 * (p_partkey % 90) + 0.20 * (p_partkey % 55) + 0.5) AS BIGINT) AS score FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", derived.convergence(F.col("p_size") * 3, F.col("p_partkey") % 101, F.col("p_partkey") % 90, F.col("p_partkey") % 55).alias("score"))
 )
-query("market_hypotheses", "SELECT p_brand, CAST(floor(least(100, avg(p_size) + count(DISTINCT p_type)) + 0.5) AS BIGINT) AS confidence, CASE WHEN avg(p_size) > 20 THEN '3-6 months' WHEN avg(p_size) > 10 THEN '6-12 months' WHEN avg(p_size) > 5 THEN '12-18 months' ELSE '18-24 months' END AS w FROM part GROUP BY 1")(
-    lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.avg("p_size").alias("v"), F.countDistinct("p_type").alias("k")).select("p_brand", S.js_round(F.least(F.lit(100.0), F.col("v") + F.col("k"))).alias("confidence"), S.window_estimate(F.col("v")).alias("w"))
+query("market_hypotheses", "SELECT p_brand, CAST(floor(least(100, avg(p_size) + count(DISTINCT p_type)) + 0.5) AS BIGINT) AS confidence, CASE WHEN avg(p_size) > 20 THEN '3-6 months' WHEN avg(p_size) > 10 THEN '6-12 months' WHEN avg(p_size) > 5 THEN '12-18 months' ELSE '18-24 months' END AS w, CAST(sum(p_size) AS BIGINT) AS market_size FROM part GROUP BY 1")(
+    lambda s, d: derived.hypotheses(table(s, d, "part").select(F.col("p_brand").alias("group"), F.col("p_size").alias("velocity"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"))).select(F.col("group").alias("p_brand"), "confidence", F.col("window").alias("w"), "market_size")
 )
 query("failed_trends", f"WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY trend_slug ORDER BY recorded_at DESC) AS r FROM history), e AS (SELECT trend_slug, max(score) AS peak_score, max(recorded_at) AS last_at, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b FROM r GROUP BY 1) SELECT trend_slug, peak_score, CASE WHEN last_at < {NOW} - INTERVAL 30 DAY THEN 'inactive' ELSE 'velocity' END AS reason FROM e WHERE peak_score >= 40 AND (last_at < {NOW} - INTERVAL 30 DAY OR coalesce(a / nullif(b, 0) - 1 < -0.5, false))")(
     lambda s, d: derived.failed_trends(V.history(s, d), AS_OF).select("trend_slug", "peak_score", "reason")
 )
-query("ph_match", f"{W}, c AS (SELECT id AS concept_id, created_at AS first_seen, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(keywords[2] || ' ' || keywords[1]), '[^a-z0-9\\s-]', ' ', 'g'), '-+', ' ', 'g'), '\\s+'), lambda t: length(t) >= 3))) AS w FROM titles WHERE id < 60), m AS (SELECT concept_id, count(*) AS m FROM c GROUP BY 1), p AS (SELECT p_partkey AS product_id, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM part WHERE p_partkey < 100 UNION SELECT 999, 'looking') SELECT concept_id, product_id, CAST(floor((epoch_us({NOW}) - epoch_us(any_value(first_seen))) / 86400e6) AS BIGINT) AS lead_time_days FROM c JOIN p USING (w) JOIN m USING (concept_id) GROUP BY 1, 2 HAVING count(*) / any_value(m) >= 0.5")(
-    lambda s, d: derived.launches(V.titles(s, d).filter("id < 60").select(F.col("id").alias("concept_id"), F.col("created_at").alias("first_seen"), F.concat_ws(" ", F.get("keywords", 1), F.get("keywords", 0)).alias("concept")), table(s, d, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title")).unionByName(s.createDataFrame([(999, "looking")], "product_id bigint, title string")).withColumn("launched", S.moment(AS_OF)))
+query("ph_match", f"{W}, c AS (SELECT id AS concept_id, created_at AS first_seen, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(keywords[2] || ' ' || keywords[1]), '[^a-z0-9\\s-]', ' ', 'g'), '-+', ' ', 'g'), '\\s+'), lambda t: length(t) >= 3))) AS w FROM titles), m AS (SELECT concept_id, count(*) AS m FROM c GROUP BY 1), p AS (SELECT p_partkey AS product_id, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS w FROM part UNION SELECT 999, 'looking') SELECT concept_id, product_id, CAST(floor((epoch_us({NOW}) - epoch_us(any_value(first_seen))) / 86400e6) AS BIGINT) AS lead_time_days FROM c JOIN p USING (w) JOIN m USING (concept_id) GROUP BY 1, 2 HAVING count(*) / any_value(m) >= 0.5")(
+    lambda s, d: derived.launches(V.titles(s, d).select(F.col("id").alias("concept_id"), F.col("created_at").alias("first_seen"), F.concat_ws(" ", F.get("keywords", 1), F.get("keywords", 0)).alias("concept")), table(s, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title")).unionByName(s.createDataFrame([(999, "looking")], "product_id bigint, title string")).withColumn("launched", S.moment(AS_OF)))
 )
 query("text_templates", f"WITH {OPPORTUNITIES_SQL} SELECT id, 'An emerging opportunity in the ' || title || ' space. This trend is showing strong signals with a confidence of ' || confidence || '.' AS description FROM opportunities")(
     lambda s, d: V.opportunities(s, d).select("id", F.concat(F.lit("An emerging opportunity in the "), "title", F.lit(" space. This trend is showing strong signals with a confidence of "), F.col("confidence").cast("string"), F.lit(".")).alias("description"))

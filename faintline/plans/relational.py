@@ -15,7 +15,9 @@ from faintline.plans import views as V
 from faintline.plans.registry import query
 from faintline.plans.text import opportunity_scores, _OPP
 from faintline.plans.views import AS_OF, AS_OF_ORDERS, EVENTS_SQL, HISTORY_SQL, MENTIONS_SQL, OPPORTUNITIES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, TITLES_SQL
-from faintline.sources.storage import table
+from faintline.sources import sinks
+from faintline.sources.storage import new_path, table
+from faintline.streaming import ingest
 
 MS = f"WITH {MENTIONS_SQL}, {SIGNALS_SQL} "
 OP = f"WITH {OPPORTUNITIES_SQL}, {PREDICTIONS_SQL} "
@@ -75,7 +77,7 @@ def _nodes(s, d):
 
 query("agg_concept_nodes", f"WITH {EVENTS_SQL}, {_NODES} SELECT concept_id, mention_count, first_seen, last_seen, by_source FROM nodes")(lambda s, d: _nodes(s, d).withColumn("by_source", _shown()).drop("source_distribution"))
 query("diversity_score", f"WITH {EVENTS_SQL}, {_NODES} SELECT concept_id, CAST(floor(k / 4 * 70 + CASE WHEN k > 1 THEN h / log2(k) * 30 ELSE 0 END + 0.5) AS BIGINT) AS s FROM nodes")(lambda s, d: _nodes(s, d).select("concept_id", S.diversity_score(F.col("source_distribution")).alias("s")))
-_EVEDGES = "evp AS (SELECT DISTINCT a.concept_id AS x, b.concept_id AS y FROM ev a JOIN ev b ON a.source = b.source AND date_trunc('hour', a.collected_at) = date_trunc('hour', b.collected_at) AND a.concept_id <> b.concept_id), deg AS (SELECT x AS concept_id, count(*) AS degree FROM evp GROUP BY 1)"
+_EVEDGES = f"{MENTIONS_SQL}, evp AS (SELECT DISTINCT a.concept_id AS x, b.concept_id AS y FROM mentions a JOIN mentions b ON a.signal_id = b.signal_id AND a.concept_id <> b.concept_id), deg AS (SELECT x AS concept_id, count(*) AS degree FROM evp GROUP BY 1)"
 _PARTS = """parts AS (SELECT n.concept_id, CAST(floor(least(mention_count, 50) / 50 * 100 + 0.5) AS BIGINT) AS frequency,
   CASE WHEN previous = 0 THEN CASE WHEN recent > 0 THEN least(0.5 * recent, 5) ELSE 0 END ELSE greatest(-1, least(10, (recent - previous) / previous)) END AS velocity,
   CAST(floor(k / 4 * 70 + CASE WHEN k > 1 THEN h / log2(k) * 30 ELSE 0 END + 0.5) AS BIGINT) AS diversity,
@@ -86,9 +88,7 @@ _SCORES = f"{EV}, {_NODES}, {_EVEDGES}, {_PARTS} "
 
 
 def _event_edges(s, d):
-    m = V.event_mentions(s, d).join(V.event_signals(s, d), "signal_id")
-    slot = F.concat_ws("|", "source", F.date_trunc("hour", "collected_at").cast("string"))
-    return concepts.pairs(m.select(slot.alias("signal_id"), "concept_id").distinct())
+    return concepts.pairs(V.mentions(s, d))
 
 
 def _scores(s, d):
@@ -144,16 +144,16 @@ _E = f"""{MS}, snaps AS (SELECT a.signal_id, a.concept_id AS concept_a, b.concep
 
 
 def _snaps(s, d):
-    return concepts.pairs(V.mentions(s, d)).join(V.signals(s, d).select("signal_id", F.col("collected_at").alias("created_at")), "signal_id")
+    return concepts.pairs(V.mentions(s, d)).join(V.signals(s, d).select("signal_id", F.col("collected_at").alias("created_at"), "source"), "signal_id")
 
 
 def _edges(s, d):
-    return concepts.edges(_snaps(s, d), V.signals(s, d)).withColumn("by_source", _shown()).drop("source_distribution")
+    return concepts.edges(_snaps(s, d)).withColumn("by_source", _shown()).drop("source_distribution")
 
 
 query("agg_concept_edges", f"{_E} SELECT edges.*, by_source FROM edges JOIN srcs USING (concept_a, concept_b)")(_edges)
 query("jsonb_object_agg", f"{_E} SELECT * FROM srcs")(lambda s, d: _edges(s, d).select("concept_a", "concept_b", "by_source"))
-query("join_edges_signals", f"{_E} SELECT source, count(*) AS n FROM snaps GROUP BY 1")(lambda s, d: _snaps(s, d).join(V.signals(s, d).select("signal_id", "source"), "signal_id", "left").groupBy("source").agg(F.count("*").alias("n")))
+query("join_edges_signals", f"{_E} SELECT source, count(*) AS n FROM snaps GROUP BY 1")(lambda s, d: _snaps(s, d).groupBy("source").agg(F.count("*").alias("n")))
 query("top_edges", f"{_E} SELECT concept_a, concept_b, total_weight, last_seen FROM edges ORDER BY total_weight DESC, last_seen DESC, concept_a, concept_b LIMIT 20")(
     lambda s, d: _edges(s, d).orderBy(F.desc("total_weight"), F.desc("last_seen"), "concept_a", "concept_b").select("concept_a", "concept_b", "total_weight", "last_seen").limit(20)
 )
@@ -305,7 +305,17 @@ query("win_lifecycle_transitions", f"{H}, b AS (SELECT trend_slug, day, CASE WHE
 query("history_range", f"{H} SELECT trend_slug, recorded_at, score FROM history WHERE trend_slug = 'click-3' AND recorded_at >= {NOW} - INTERVAL 90 DAY")(lambda s, d: V.history(s, d).filter((F.col("trend_slug") == "click-3") & (F.col("recorded_at") >= S.days_before(AS_OF, 90))).select("trend_slug", "recorded_at", "score"))
 query("slug_search", f"{H} SELECT DISTINCT trend_slug FROM history WHERE contains(lower(trend_slug), 'ick-1')")(lambda s, d: V.history(s, d).filter(F.lower("trend_slug").contains("ick-1")).select("trend_slug").distinct())
 query("distinct_slugs", f"{H} SELECT DISTINCT trend_slug FROM history")(lambda s, d: V.history(s, d).select("trend_slug").distinct())
-query("sink_history_append", f"{H} SELECT trend_slug, count(*) AS n FROM (SELECT * FROM history UNION ALL SELECT * FROM history) GROUP BY 1")(lambda s, d: (lambda h: h.unionByName(h).groupBy("trend_slug").agg(F.count("*").alias("n")))(V.history(s, d)))
+query("sink_history_append", f"{H} SELECT trend_slug, count(*) AS n, max(score) AS score FROM (SELECT * FROM history UNION ALL SELECT * FROM history) GROUP BY 1")(lambda s, d: _appended(s, d).groupBy("trend_slug").agg(F.count("*").alias("n"), F.max("score").alias("score")))
+
+
+def _appended(s, d):
+    """A day's history written, appended once more, and read back."""
+    path = new_path(s, "history")
+    for _ in range(2):
+        sinks.append(V.history(s, d), path)
+    return s.read.schema(V.history(s, d).schema).parquet(path)
+
+
 query("rising_fast", f"{_LIFE}, v AS (SELECT trend_slug, max(score) AS score FROM history GROUP BY 1) SELECT trend_slug, score FROM life JOIN v USING (trend_slug) WHERE lifecycle IN ('emerging', 'rising')")(
     lambda s, d: history.lifecycle(V.history(s, d)).join(V.history(s, d).groupBy("trend_slug").agg(F.max("score").alias("score")), "trend_slug").filter(F.col("lifecycle").isin("emerging", "rising")).select("trend_slug", "score")
 )
@@ -314,8 +324,8 @@ query("rising_fast", f"{_LIFE}, v AS (SELECT trend_slug, max(score) AS score FRO
 
 query("anti_existing_predictions", f"{OP} SELECT id FROM opportunities WHERE confidence > 60 AND id NOT IN (SELECT opportunity_id FROM predictions)")(lambda s, d: predictions.unpredicted(V.opportunities(s, d).filter("confidence > 60"), V.predictions(s, d)).select("id"))
 query("anti_existing_drafts", f"{OP} SELECT id FROM opportunities WHERE confidence >= 70 AND id NOT IN (SELECT opportunity_id FROM predictions WHERE status = 'draft')")(lambda s, d: predictions.unpredicted(V.opportunities(s, d).filter("confidence >= 70"), V.predictions(s, d).filter("status = 'draft'")).select("id"))
-query("anti_open_prediction_by_title", f"{OP} SELECT id FROM opportunities WHERE title NOT IN (SELECT title FROM predictions JOIN opportunities o ON o.id = opportunity_id WHERE status <> 'failed' AND opportunity_id < 20)")(
-    lambda s, d: V.opportunities(s, d).join(V.predictions(s, d).filter("status <> 'failed' AND opportunity_id < 20").join(V.opportunities(s, d).select(F.col("id").alias("opportunity_id"), "title"), "opportunity_id").select("title"), "title", "left_anti").select("id")
+query("anti_open_prediction_by_title", f"{OP} SELECT id FROM opportunities WHERE title NOT IN (SELECT title FROM predictions JOIN opportunities o ON o.id = opportunity_id WHERE status <> 'failed')")(
+    lambda s, d: V.opportunities(s, d).join(V.predictions(s, d).filter("status <> 'failed'").join(V.opportunities(s, d).select(F.col("id").alias("opportunity_id"), "title"), "opportunity_id").select("title"), "title", "left_anti").select("id")
 )
 query("join_prediction_opportunity_left", f"{OP} SELECT p.id, status, o.title, o.confidence FROM predictions p LEFT JOIN opportunities o ON o.id = opportunity_id")(lambda s, d: predictions.enriched(V.predictions(s, d), V.opportunities(s, d)).select("id", "status", "opportunity.title", "opportunity.confidence"))
 query("join_prediction_opportunity_enrich", f"{OP} SELECT p.id, o.category FROM predictions p LEFT JOIN opportunities o ON o.id = opportunity_id")(lambda s, d: predictions.enriched(V.predictions(s, d), V.opportunities(s, d)).select("id", "opportunity.category"))
@@ -347,6 +357,12 @@ query("promote_or_expire", f"{OP} SELECT p.id, CASE WHEN drafted_at < {_CUT} AND
 )
 query("verify_prediction", f"{OP} SELECT id, CASE WHEN id % 7 = 0 AND is_published THEN 'confirmed' ELSE status END AS status FROM predictions")(lambda s, d: predictions.verify(V.predictions(s, d), F.col("id") % 7 == 0, "confirmed").select("id", "status"))
 query("verify_status_check", f"{OP} SELECT id, status IN ('confirmed', 'partially_confirmed', 'failed') AS valid FROM predictions")(lambda s, d: V.predictions(s, d).select("id", F.col("status").isin(*predictions.OUTCOMES).alias("valid")))
+_CHOSEN = "id % 4 = 0"
+query("publish", f"{OP} SELECT id, CASE WHEN {_CHOSEN} AND status = 'draft' THEN 'pending' ELSE status END AS status, is_published OR ({_CHOSEN} AND status = 'draft') AS is_published, CASE WHEN {_CHOSEN} AND status = 'draft' THEN TIMESTAMP '{AS_OF_ORDERS}' ELSE drafted_at END AS drafted_at FROM predictions")(
+    lambda s, d: predictions.publish(V.predictions(s, d), F.expr(_CHOSEN), AS_OF_ORDERS).select("id", "status", "is_published", "drafted_at")
+)
+query("discard", f"{OP} SELECT id, status FROM predictions WHERE NOT ({_CHOSEN} AND status = 'draft')")(lambda s, d: predictions.discard(V.predictions(s, d), F.expr(_CHOSEN)).select("id", "status"))
+query("delete", f"{OP} SELECT id, status FROM predictions WHERE NOT ({_CHOSEN})")(lambda s, d: predictions.delete(V.predictions(s, d), F.expr(_CHOSEN)).select("id", "status"))
 query("delete_old_opportunities", f"SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 30 DAY")(lambda s, d: table(s, d, "orders").filter(F.col("o_orderdate") >= S.days_before(AS_OF_ORDERS, 30)).select("o_orderkey"))
 query("page_capped", f"{OP}, r AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS n FROM (SELECT * FROM opportunities ORDER BY confidence DESC, id LIMIT 20)) SELECT id, n, 20 AS total, 2 AS pages FROM r WHERE n BETWEEN 11 AND 20")(
     lambda s, d: predictions.page(V.opportunities(s, d), [F.desc("confidence"), "id"], R.PLAN_CAPS["founder"], 2).select("id", "n", "total", "pages")
@@ -358,8 +374,8 @@ query("plan_gate", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'free' WHEN
     lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal", F.get(F.array(*map(F.lit, R.PLAN_CAPS)), (F.col("c_custkey") % 4).cast("int")).alias("plan")).filter(F.col("plan").isin("pro", "agency") & (F.col("c_acctbal") > 0)).select("c_custkey", "plan")
 )
 query("distinct_trend_name", f"{OP} SELECT lower(title) AS name, min(id) AS id FROM opportunities GROUP BY 1")(lambda s, d: V.opportunities(s, d).groupBy(F.lower("title").alias("name")).agg(F.min("id").alias("id")))
-query("similarity_join_jaccard", f"WITH {TITLES_SQL}, t AS (SELECT id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({V.sql_list(R.OPPORTUNITY_STOPWORDS)}, w))) AS w FROM titles WHERE id < 400), x AS (SELECT id, len(w) AS n, unnest(w) AS k FROM t), c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS s FROM x a JOIN x b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(s / (m + n - s), 6) AS jaccard FROM c WHERE s / (m + n - s) >= 0.55")(
-    lambda s, d: predictions.similar(V.titles(s, d).filter("id < 400"), F.col("title"))
+query("similarity_join_jaccard", f"WITH {TITLES_SQL}, t AS (SELECT id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({V.sql_list(R.OPPORTUNITY_STOPWORDS)}, w))) AS w FROM titles), x AS (SELECT id, len(w) AS n, unnest(w) AS k FROM t), c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS s FROM x a JOIN x b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2), p AS (SELECT a, b FROM c WHERE s / (m + n - s) >= 0.55) SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1")(
+    lambda s, d: predictions.similar(V.titles(s, d), F.col("title")).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
 )
 query("jaccard", f"WITH {TITLES_SQL} SELECT id, round(len(list_intersect(keywords, [source, 'hn:', 'for'])) / len(list_distinct(list_concat(keywords, [source, 'hn:', 'for']))), 6) AS j FROM titles")(
     lambda s, d: V.titles(s, d).withColumn("o", F.array("source", F.lit("hn:"), F.lit("for"))).select("id", F.round(F.size(F.array_intersect("keywords", "o")) / F.size(F.array_union("keywords", "o")), 6).alias("j"))
@@ -393,14 +409,45 @@ def _upserted(s, d):
 
 _UPS = f"{_UP} SELECT coalesce(o.source, n.source) AS source, coalesce(o.id, n.id) AS id, coalesce(o.title, n.title) AS title, coalesce(n.created_at, o.created_at) AS collected_at FROM o FULL JOIN n ON o.id = n.id"
 query("upsert_signals", _UPS)(_upserted)
+query("stream_signal_upsert", _UPS)(lambda s, d: _streamed(s, d))
+
+
+def _streamed(s, d):
+    """The same merge as a stream: what is stored lands first, then what is new, each in micro-batches of its own."""
+    landed, path, checkpoint = (new_path(s, n) for n in ("landed", "signals", "progress"))
+    t = V.titles(s, d).select("source", "id", "title", F.col("created_at").alias("collected_at"))
+    new = t.filter("id % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "collected_at": F.col("collected_at") + F.expr("INTERVAL 1 DAY")})
+    for part in (t.filter("id % 3 > 0"), new):
+        part.write.mode("append").parquet(landed)
+        ingest.upsert_stream(s.readStream.schema(t.schema).parquet(landed), path, checkpoint, ["source", "id"], ["collected_at"]).awaitTermination()
+    return ingest.latest(s, path).select("source", "id", "title", "collected_at")
+
+
+query("lifecycle_change_stream", f"WITH {HISTORY_SQL}, l AS (SELECT trend_slug, recorded_at, CASE WHEN score >= 50 THEN 'rising' ELSE 'emerging' END AS lifecycle FROM history), p AS (SELECT *, lag(lifecycle) OVER (PARTITION BY trend_slug ORDER BY recorded_at) AS previous FROM l) SELECT trend_slug, previous, lifecycle FROM p WHERE previous IS DISTINCT FROM lifecycle")(
+    lambda s, d: _changes_streamed(s, d)
+)
+
+
+def _changes_streamed(s, d):
+    landed, out, checkpoint = (new_path(s, n) for n in ("landed", "changes", "progress"))
+    states = V.history(s, d).select("trend_slug", "recorded_at", F.when(F.col("score") >= 50, "rising").otherwise("emerging").alias("lifecycle"))
+    states.write.parquet(landed)
+    found = ingest.lifecycle_changes(s.readStream.schema(states.schema).parquet(landed))
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(found.schema).parquet(out)
+
+
 query("sink_signals_upsert", f"SELECT source, count(*) AS n, max(collected_at) AS latest FROM ({_UPS}) GROUP BY 1")(lambda s, d: _upserted(s, d).groupBy("source").agg(F.count("*").alias("n"), F.max("collected_at").alias("latest")))
-query("insert_mentions_ignore", f"{MS} SELECT count(*) AS n, count(DISTINCT (signal_id, concept_id)) AS distinct_n FROM mentions")(
-    lambda s, d: signals.insert_ignore(V.mentions(s, d).filter("concept_id % 2 = 0"), V.mentions(s, d), ["signal_id", "concept_id"]).agg(F.count("*").alias("n"), F.countDistinct("signal_id", "concept_id").alias("distinct_n"))
+query("insert_mentions_ignore", f"{MS} SELECT signal_id, concept_id FROM mentions")(
+    lambda s, d: signals.insert_ignore(V.mentions(s, d).filter("concept_id % 2 = 0"), V.mentions(s, d), ["signal_id", "concept_id"]).select("signal_id", "concept_id")
 )
+# the stored table holds each concept's mentions of even signals; those of odd signals are merged into it
 query("upsert_concepts", f"WITH {EVENTS_SQL} SELECT concept_id, count(*) AS mention_count, min(collected_at) AS first_seen, max(collected_at) AS last_seen FROM ev GROUP BY 1")(
-    lambda s, d: _nodes(s, d).select("concept_id", "mention_count", "first_seen", "last_seen")
+    lambda s, d: concepts.merge_nodes(*[concepts.nodes_of(V.event_mentions(s, d).filter(F.col("signal_id") % 2 == k), V.event_signals(s, d)) for k in (0, 1)]).select("concept_id", "mention_count", "first_seen", "last_seen")
+)
+query("upsert_edges", f"{_E} SELECT concept_a, concept_b, total_weight, first_seen, last_seen, signal_count FROM edges")(
+    lambda s, d: concepts.merge_edges(*[concepts.edges(_snaps(s, d).filter(F.col("signal_id") % 2 == k)) for k in (0, 1)]).select("concept_a", "concept_b", "total_weight", "first_seen", "last_seen", "signal_count")
 )
-query("upsert_edges", f"{_E} SELECT concept_a, concept_b, total_weight, least(first_seen, TIMESTAMP '1995-01-01') AS first_seen FROM edges")(lambda s, d: _edges(s, d).select("concept_a", "concept_b", "total_weight", F.least("first_seen", F.lit("1995-01-01").cast("timestamp_ntz")).alias("first_seen")))
 query("upsert_velocity", f"{_VEL} SELECT concept_id, coalesce(velocity_7d, 0) AS velocity_7d FROM vel")(
     lambda s, d: (lambda v: signals.upsert(v.filter("concept_id % 2 = 0").withColumn("velocity_7d", F.lit(9.0)), v, ["concept_id"], ["velocity_7d"]))(_velocity(s, d).select("concept_id", "velocity_7d"))
 )
@@ -418,15 +465,28 @@ query("join_raw_persisted", f"WITH {TITLES_SQL} SELECT id, CASE WHEN id % 3 = 0
 query("cascade_delete", f"{MS} SELECT concept_id, count(*) AS n FROM mentions WHERE signal_id % 5 > 0 GROUP BY 1")(
     lambda s, d: V.mentions(s, d).join(V.signals(s, d).filter("signal_id % 5 = 0").select("signal_id"), "signal_id", "left_anti").groupBy("concept_id").agg(F.count("*").alias("n"))
 )
-query("digest_batch", f"{H} SELECT t.trend_slug, c.c_custkey FROM (SELECT DISTINCT trend_slug FROM history WHERE recorded_at >= {NOW} - INTERVAL 7 DAY) t JOIN customer c ON c.c_custkey BETWEEN 2 AND 20 AND c.c_custkey % 2 = 0")(
-    lambda s, d: V.history(s, d).filter(F.col("recorded_at") >= S.days_before(AS_OF, 7)).select("trend_slug").distinct().withColumn("c_custkey", F.explode(F.sequence(F.lit(2), F.lit(20), F.lit(2)))).join(table(s, d, "customer").select("c_custkey"), "c_custkey", "left_semi").select("trend_slug", F.col("c_custkey").cast("bigint").alias("c_custkey"))
+_SUBS = "subs AS (SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN ['click', 'view', 'purchase', 'signup'][1 + c_custkey % 4] || '-' || (c_custkey % 20) END AS trend_slug FROM customer)"
+
+
+def _subscriptions(s, d):
+    """Each customer follows one trend, every tenth all of them."""
+    k = F.col("c_custkey")
+    slug = F.concat_ws("-", F.get(F.array(*map(F.lit, ("click", "view", "purchase", "signup"))), (k % 4).cast("int")), (k % 20).cast("string"))
+    return table(s, d, "customer").select(k, F.when(k % 10 > 0, slug).alias("trend_slug"))
+
+
+query("digest_batch", f"{H}, {_SUBS}, c AS (SELECT trend_slug, max(recorded_at) AS changed_at FROM history GROUP BY 1), due AS (SELECT * FROM c WHERE changed_at >= {NOW} - INTERVAL 7 DAY AND strpos(trend_slug, '-1') = 0) SELECT c_custkey, due.trend_slug FROM due JOIN subs ON subs.trend_slug IS NULL OR subs.trend_slug = due.trend_slug")(
+    lambda s, d: sinks.due(V.history(s, d).groupBy("trend_slug").agg(F.max("recorded_at").alias("changed_at")).withColumn("notified", F.col("trend_slug").contains("-1")), _subscriptions(s, d), AS_OF).select("c_custkey", "trend_slug")
+)
+# equal pairs of customer and trend are ignored, but a null trend equals none: such rows are inserted anew
+query("subscribe_ignore", f"WITH {_SUBS} SELECT c_custkey, trend_slug FROM subs UNION ALL SELECT c_custkey, trend_slug FROM subs WHERE trend_slug IS NULL")(
+    lambda s, d: signals.insert_ignore(_subscriptions(s, d), _subscriptions(s, d), ["c_custkey", "trend_slug"]).select("c_custkey", "trend_slug")
 )
-query("subscribe_ignore", "SELECT count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")(
-    lambda s, d: signals.insert_ignore(table(s, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey"), table(s, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey"), ["c_custkey"]).agg(F.count("*").alias("n"))
+query("chat_messages", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, role, text FROM conversations")(
+    lambda s, d: table(s, d, "conversations").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")).select("conv_id", "place", "role", "text")
 )
-query("chat_messages", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1")(lambda s, d: table(s, d, "conversations").filter("conv_id = 1").orderBy("turn").select("conv_id", "turn", "role", "text"))
-query("signal_snapshot", f"WITH {TITLES_SQL} SELECT source, string_agg(id || ':' || title, '|' ORDER BY id) AS snapshot FROM titles WHERE id < 200 GROUP BY 1")(
-    lambda s, d: V.titles(s, d).filter("id < 200").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "title"))), lambda e: F.concat_ws(":", e["id"].cast("string"), e["title"])), "|").alias("snapshot"))
+query("signal_snapshot", f"WITH {TITLES_SQL} SELECT source, CAST(floor(id / 200) AS BIGINT) AS page, string_agg(id || ':' || title, '|' ORDER BY id) AS snapshot FROM titles GROUP BY 1, 2")(
+    lambda s, d: V.titles(s, d).groupBy("source", F.floor(F.col("id") / 200).alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "title"))), lambda e: F.concat_ws(":", e["id"].cast("string"), e["title"])), "|").alias("snapshot"))
 )
 query("jsonb_array_length", f"WITH {TITLES_SQL} SELECT id, CAST(len(string_split(title, ' ')) AS INT) AS n FROM titles")(lambda s, d: V.titles(s, d).select("id", F.size(F.split("title", " ")).alias("n")))
 query("win_best_of_cluster", f"WITH {TITLES_SQL}, r AS (SELECT id, source, id % 40 AS cluster, engagement, row_number() OVER (PARTITION BY id % 40 ORDER BY engagement DESC, id) AS r FROM titles) SELECT cluster, id FROM r WHERE r = 1")(

@@ -128,6 +128,19 @@ query("lead_time_days", f"SELECT o_orderkey, CAST(floor((epoch_us(TIMESTAMP '200
 query("hours_remaining", f"{W} SELECT id, greatest(0, CAST(floor((epoch_us(created_at + INTERVAL 72 HOUR) - epoch_us(TIMESTAMP '{AS_OF}')) / 3600e6) AS BIGINT)) AS hours FROM titles")(
     lambda s, d: titles(s, d).select("id", F.greatest(F.lit(0), F.floor(72 - 24 * S.age_days(F.col("created_at"), AS_OF))).cast("bigint").alias("hours"))
 )
+query("epoch_ms", "SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).withColumn("ts", F.timestamp_millis("ms").cast("timestamp_ntz"))
+)
+_first = lambda word: f"upper(substr({word}, 1, 1)) || substr({word}, 2)"
+_named = lambda d, x: "CASE " + x + " " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in d.items()) + " END"
+query(
+    "compose_trend_name",
+    f"""{W}, t AS (SELECT id, keywords[1] AS k, lower(trim(regexp_replace(regexp_replace(title, '^(show hn|ask hn|tell hn):?', '', 'i'), '\\[.*?\\]', '', 'g'))) AS low FROM titles),
+    q AS (SELECT id, coalesce({_named(R.CATEGORY_PREFIXES, "k")}, CASE k WHEN '' THEN '' WHEN 'ai' THEN 'AI' WHEN 'ai agents' THEN 'AI Agents' ELSE {_first("k")} END) AS prefix,
+      string_split_regex(trim(CASE {" ".join(f"WHEN regexp_matches(low, '{p}') THEN regexp_extract(low, '{p}', 1)" for p in R.QUALIFIER_PATTERNS)} END), '\\s+')[1:3] AS w FROM t)
+    SELECT id, CASE WHEN coalesce(array_to_string(w, ' '), '') = '' THEN prefix WHEN {_named(R.QUALIFIERS, "array_to_string(w, ' ')")} IS NOT NULL THEN prefix || ' for ' || {_named(R.QUALIFIERS, "array_to_string(w, ' ')")}
+      WHEN list_contains({sql_list(R.NOISE_WORDS)}, w[1]) THEN prefix WHEN array_to_string(w, ' ') = 'ai' THEN prefix || ' for AI' WHEN array_to_string(w, ' ') = 'ai agents' THEN prefix || ' for AI Agents' ELSE prefix || ' for ' || {_first("array_to_string(w, ' ')")} END AS name FROM q""",
+)(lambda s, d: titles(s, d).select("id", S.trend_name(F.get("keywords", 0), T()).alias("name")))
 query("epoch_s", "SELECT event_id, make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS ts FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))).cast("timestamp_ntz").alias("ts")))
 _JS = lambda e: f"CAST(floor({e} + 0.5) AS BIGINT)"
 query("score_reddit", f"{W} SELECT id, {_JS(f'least(100.0, (score / 100 * 0.6 + engagement / 50 * 0.4) * (1 + 0.3 * greatest(0.0, 1 - {AGE} / 7)))')} AS s FROM titles")(lambda s, d: titles(s, d).select("id", S.score_reddit(F.col("score"), F.col("engagement"), S.age_days(F.col("created_at"), AS_OF)).alias("s")))

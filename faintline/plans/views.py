@@ -113,17 +113,19 @@ HISTORY_SQL = """history AS (SELECT event_type || '-' || (user_id % 20) AS trend
 
 def opportunities(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Trend "), F.col("c_mktsegment")).alias("title"), F.pmod(F.floor(F.col("c_acctbal")), F.lit(101)).cast("bigint").alias("confidence"), F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("cluster_id"))
+    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Trend "), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey").cast("string")).alias("title"), F.pmod(F.floor(F.col("c_acctbal")), F.lit(101)).cast("bigint").alias("confidence"), F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("cluster_id"))
 
 
-OPPORTUNITIES_SQL = "opportunities AS (SELECT c_custkey AS id, 'Trend ' || c_mktsegment AS title, CAST(((floor(c_acctbal) % 101) + 101) % 101 AS BIGINT) AS confidence, c_mktsegment AS category, c_nationkey AS cluster_id FROM customer)"
+OPPORTUNITIES_SQL = "opportunities AS (SELECT c_custkey AS id, 'Trend ' || c_mktsegment || ' ' || c_custkey AS title, CAST(((floor(c_acctbal) % 101) + 101) % 101 AS BIGINT) AS confidence, c_mktsegment AS category, c_nationkey AS cluster_id FROM customer)"
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
+    # every third opportunity has no prediction of its own: its neighbour has those
+    predicted = F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
     status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "pending").otherwise("draft")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("opportunity_id"), status.alias("status"), (F.col("o_orderstatus") != "P").alias("is_published"), F.col("o_orderdate").alias("drafted_at"), F.pmod(F.col("o_orderkey"), F.lit(9)).cast("bigint").alias("draft_signal_count"))
+    return o.select(F.col("o_orderkey").alias("id"), predicted.alias("opportunity_id"), status.alias("status"), (F.col("o_orderstatus") != "P").alias("is_published"), F.col("o_orderdate").alias("drafted_at"), F.pmod(F.col("o_orderkey"), F.lit(9)).cast("bigint").alias("draft_signal_count"))
 
 
-PREDICTIONS_SQL = """predictions AS (SELECT o_orderkey AS id, o_custkey AS opportunity_id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'draft' END AS status,
+PREDICTIONS_SQL = """predictions AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS opportunity_id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'draft' END AS status,
   o_orderstatus <> 'P' AS is_published, o_orderdate AS drafted_at, o_orderkey % 9 AS draft_signal_count FROM orders)"""

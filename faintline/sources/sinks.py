@@ -35,11 +35,28 @@ def report(opportunities: DataFrame, chosen: list[int]) -> DataFrame:
 
 
 def digest(changes: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """A mail per subscriber of everything: its subject and the changes it lists. The list is the same for all."""
+    """A mail per subscriber of everything: its subject and the changes it lists, the first 100 by name. The list is the same for all."""
     listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "trend_slug", "lifecycle"))), "\n")
-    body = changes.agg(F.count("*").alias("n"), listed.alias("body"))
-    mail = body.select(F.concat(F.col("n").cast("string"), F.lit(" trends changed")).alias("subject"), "body")
-    return subscribers.select("email").join(F.broadcast(mail))
+    body = changes.orderBy("trend_slug").limit(100).agg(listed.alias("body"))
+    mail = body.join(F.broadcast(changes.agg(F.concat(F.count("*").cast("string"), F.lit(" trends changed")).alias("subject"))))
+    return subscribers.select("email").join(F.broadcast(mail)).select("email", "subject", "body")
+
+
+def due(changes: DataFrame, subscriptions: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Per subscription (email, trend_slug; null slug: all trends) the changes of the last days that it wasn't told of.
+
+    changes: trend_slug, lifecycle, changed_at, notified. Subscribers of all trends meet the recent changes, which are
+    few, by a broadcast; all others by the slug.
+    """
+    recent = changes.filter((F.col("changed_at") >= S.days_before(as_of, days)) & ~F.col("notified"))
+    one = subscriptions.filter("trend_slug IS NOT NULL").join(recent, "trend_slug")
+    every = subscriptions.filter("trend_slug IS NULL").drop("trend_slug").join(recent)
+    return one.unionByName(every)
+
+
+def notified(changes: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """changes, with those that ``due`` has mailed marked."""
+    return changes.withColumn("notified", F.col("notified") | (F.col("changed_at") >= S.days_before(as_of, days)))
 
 
 def pipeline_log(scored: DataFrame) -> DataFrame:

@@ -13,28 +13,40 @@ from pyspark.sql.streaming.query import StreamingQuery
 from faintline.operators.signals import upsert
 
 
-def upsert_stream(signals: DataFrame, path: str, checkpoint: str, key: list[str], refresh: list[str]) -> StreamingQuery:
-    """Merge each micro-batch into versions below ``path``; a batch that is replayed rewrites its own version."""
+def upsert_stream(signals: DataFrame, path: str, checkpoint: str, key: list[str], refresh: list[str], buckets: int = 64) -> StreamingQuery:
+    """Merge each micro-batch into a table below ``path``; a batch that is replayed rewrites its own version.
+
+    The table is dealt into buckets by a hash of the key. A batch rewrites only the buckets that it has keys of, so
+    with enough buckets its cost follows the batch and not the table.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        before = latest(spark, path, number)
-        (new if before is None else upsert(before, new.select(*before.columns), key, refresh)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = batch.dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        before = latest(spark, path, number, touched)
+        merged = new if before is None else upsert(before, new.select(*before.columns), [*key, "bucket"], refresh)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
 
     return signals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (of those before a number)."""
+def latest(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest complete version of each bucket (of ``buckets``, and of versions before a number)."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    name = jvm.org.apache.hadoop.fs.Path
+    root = name(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(root):
         return None
-    numbers = [int(f.getPath().getName()[2:]) for f in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{path}/v={max(numbers)}") if numbers else None
+    numbers = sorted(int(f.getPath().getName()[2:]) for f in files.listStatus(root) if files.exists(name(f.getPath(), "_SUCCESS")))
+    newest: dict[int, int] = {}
+    for n in (n for n in numbers if before is None or n < before):
+        for f in files.listStatus(name(f"{path}/v={n}")):
+            if f.getPath().getName().startswith("bucket="):
+                newest[int(f.getPath().getName()[7:])] = n
+    chosen = [f"{path}/v={n}/bucket={b}" for b, n in sorted(newest.items()) if buckets is None or b in buckets]
+    return spark.read.option("basePath", path).parquet(*chosen).drop("v") if chosen else None
 
 
 def lifecycle_changes(states: DataFrame) -> DataFrame:
@@ -42,13 +54,12 @@ def lifecycle_changes(states: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = []
-        for _, row in pd.concat(list(parts)).sort_values("recorded_at").iterrows():
-            if row["lifecycle"] != last:
-                rows.append((key[0], last, row["lifecycle"]))
-                last = row["lifecycle"]
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["trend_slug", "previous", "lifecycle"])
+        part = pd.concat([p[["recorded_at", "lifecycle"]] for p in parts]).sort_values("recorded_at")
+        part["previous"] = part["lifecycle"].shift().astype(object)
+        part.iloc[0, part.columns.get_loc("previous")] = last
+        state.update((part["lifecycle"].iloc[-1],))
+        part["trend_slug"] = key[0]
+        yield part.loc[part["lifecycle"] != part["previous"], ["trend_slug", "previous", "lifecycle"]]
 
     return states.groupBy("trend_slug").applyInPandasWithState(step, "trend_slug string, previous string, lifecycle string", "last string", "append", GroupStateTimeout.NoTimeout)
 

@@ -65,5 +65,13 @@ def limited_stream(requests: DataFrame, policy: str) -> DataFrame:
     return requests.groupBy("key").applyInPandasWithState(step, _OUT, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def alive(decided: DataFrame, policy: str) -> DataFrame:
+    """(key, start, n): the windows that haven't ended at the time of the last request; all others are expired."""
+    window = POLICIES[policy][1]
+    last = decided.groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("at"))).alias("start"), F.max_by("n", F.struct("at", "n")).alias("n"))
+    now = F.broadcast(decided.agg(F.max("at").alias("now")))
+    return last.join(now).filter(F.col("start") + window * 1_000_000 >= F.col("now")).select("key", "start", "n")
+
+
 def usage(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("allowed")).alias("blocked"))
