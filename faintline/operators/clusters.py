@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faintline.sources.storage import keep
+from faintline.operators.graph import components
+from faintline.sources.storage import discard, keep
 
 # Least edge weight, least average bond of a member, and sizes.
 LEAST_WEIGHT, BOND, LEAST_SIZE, MOST_SIZE = 2, 0.6, 2, 15
@@ -23,12 +24,57 @@ def grow(seed: int, candidates: list[tuple[int, float]], weight: dict[tuple[int,
     return members
 
 
-def greedy(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+def sequential(score: dict[int, float], weight: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """(seed, member) of one component: each unassigned node, best score first, takes from its neighbours what it can."""
+    near: dict[int, list[int]] = {}
+    for u, v in weight:
+        near.setdefault(v, []).append(u)
+    closed: set[int] = set()
+    out = []
+    for seed in sorted(score, key=lambda n: (-score[n], n)):
+        if seed not in closed:
+            members = grow(seed, [(n, weight[n, seed]) for n in near.get(seed, ()) if n not in closed], weight)
+            closed.update(m for m in members if m in score)
+            out += [(seed, m) for m in members]
+    return out
+
+
+def greedy(nodes: DataFrame, graph: DataFrame, most: int = 200_000) -> DataFrame:
     """(cluster_id, concept_id, eligible): nodes (id, score) are eligible; graph (u, v, w) in both directions.
 
-    Sequentially each unassigned node, best score first, would take from its unassigned neighbours. Two seeds can
-    only disturb each other within two steps through unassigned nodes; so in each round every node that is the best
-    within two steps grows its cluster, all at once, from its own neighbourhood.
+    Clusters never leave their connected component, so each component of at most ``most`` edges is one task's work;
+    nodes of larger ones are clustered by ``rounds``, with the same result.
+    """
+    graph = keep(graph.select("u", "v", F.col("w").cast("double").alias("w")), "graph")
+    root = keep(components(graph.select("u", "v")), "roots")
+    of = lambda df, c: df.join(root.select(F.col("u").alias(c), F.col("v").alias("__root")), c, "left").withColumn("__root", F.coalesce("__root", c))
+    edges, known = of(graph, "u"), of(nodes.select("id", "score"), "id")
+    size = edges.groupBy("__root").agg(F.count("*").alias("n"))
+    large = keep(size.filter(F.col("n") > most).select("__root"), "large")
+    rows = edges.select("__root", "u", "v", "w").unionByName(known.select("__root", F.col("id").alias("u"), F.lit(None).cast("bigint").alias("v"), F.col("score").cast("double").alias("w")))
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        node = part["v"].isna()
+        score = dict(zip(part["u"][node].tolist(), part["w"][node].tolist(), strict=True))
+        weight = {(u, int(v)): w for u, v, w in zip(part["u"][~node].tolist(), part["v"][~node].tolist(), part["w"][~node].tolist(), strict=True)}
+        return pd.DataFrame(sequential(score, weight), columns=["cluster_id", "concept_id"]).astype("int64")
+
+    done = rows.join(large, "__root", "left_anti").groupBy("__root").applyInPandas(whole, "cluster_id bigint, concept_id bigint")
+    if not large.isEmpty():
+        done = done.unionByName(rounds(known.join(large, "__root", "left_semi").select("id", "score"), edges.join(large, "__root", "left_semi").select("u", "v", "w")))
+    done = keep(done, "clusters")
+    discard(graph, root, large)
+    eligible = nodes.select("id")
+    size = done.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SIZE)
+    marked = done.join(size, "cluster_id", "left_semi").join(eligible.select(F.col("id").alias("concept_id"), F.lit(True).alias("e")), "concept_id", "left")
+    return marked.select("cluster_id", "concept_id", F.coalesce("e", F.lit(False)).alias("eligible"))
+
+
+def rounds(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """(cluster_id, concept_id) of components of any size.
+
+    Two seeds can only disturb each other within two steps through unassigned nodes; so in each round every node that
+    is the best within two steps grows its cluster, all at once, from its own neighbourhood.
     """
     rank = F.struct((-F.col("score")).alias("s"), "id")
     open_ = keep(nodes.select("id", rank.alias("rank")), "open")
@@ -57,8 +103,4 @@ def greedy(nodes: DataFrame, graph: DataFrame) -> DataFrame:
         done = grown if done is None else done.unionByName(grown)
         taken = seeds.select(F.col("seed").alias("id")).unionByName(grown.select(F.col("concept_id").alias("id")))
         open_ = keep(open_.join(taken, "id", "left_anti"), "open")
-    if done is None:
-        return nodes.limit(0).select(F.col("id").alias("cluster_id"), F.col("id").alias("concept_id"), F.lit(True).alias("eligible"))
-    large = done.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SIZE)
-    marked = done.join(large, "cluster_id", "left_semi").join(eligible.select(F.col("id").alias("concept_id"), F.lit(True).alias("e")), "concept_id", "left")
-    return marked.select("cluster_id", "concept_id", F.coalesce("e", F.lit(False)).alias("eligible"))
+    return done

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
@@ -39,23 +40,24 @@ def test_dedupe_opportunities(spark):
     assert got == {i for i, _ in kept}
 
 
-def test_graph_clusters(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_graph_clusters(spark, most):
     rnd = random.Random(2)
     weight = {}
     for _ in range(90):
         u, v = rnd.sample(range(30), 2)
         weight[u, v] = weight[v, u] = float(rnd.randint(2, 6))
-    score = {n: rnd.randint(0, 50) for n in range(0, 30)}
+    score = {n: rnd.randint(0, 50) for n in range(0, 26)}
     nodes = spark.createDataFrame(list(score.items()), "id long, score long")
     edges = spark.createDataFrame([(u, v, w) for (u, v), w in weight.items()], "u long, v long, w double")
     got = {}
-    for r in clusters.greedy(nodes, edges).collect():
+    for r in clusters.greedy(nodes, edges, most).collect():
         got.setdefault(r.cluster_id, set()).add(r.concept_id)
     free, want = set(score), {}
     for seed in sorted(score, key=lambda n: (-score[n], n)):
         if seed not in free:
             continue
-        near = [(n, weight[n, seed]) for n in free - {seed} if (n, seed) in weight]
+        near = [(n, weight[n, seed]) for n in range(30) if (n in free or n not in score) and (n, seed) in weight]
         members = [seed]
         for n, _ in sorted(near, key=lambda c: (-c[1], c[0])):
             if len(members) < clusters.MOST_SIZE and sum(weight.get((n, m), 0) for m in members) / len(members) >= clusters.BOND * clusters.LEAST_WEIGHT:
