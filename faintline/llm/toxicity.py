@@ -50,7 +50,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _LEAST, _PREFIX = 3, (4, 5, 6)
 _ENDS = "".join(c for c in LEET if not c.isdigit())
 _SLICE = 1 << 20  # bytes of texts that are handled at once
-_MEMO = 6 << 20  # bytes that a memo holds, about
+_MEMO = 20 << 20  # bytes that a memo holds, about
 
 
 # ---------------------------------------------------------------- character model
@@ -199,10 +199,13 @@ def features(words: set[str]) -> set[str]:
 
 
 class Reader:
-    """The words of a text, plain and restored. ``of`` says what is wanted of words; it is asked once for each distinct one."""
+    """The words of a text, plain and restored. ``of`` says what is wanted of words; it is asked once for each distinct one.
 
-    def __init__(self, decode, of=frozenset) -> None:
-        self.decode, self.of, self.memo = decode, of, Memo()
+    ``worth`` says by a word with one letter of each run whether any reading of its drawn-out letters can matter.
+    """
+
+    def __init__(self, decode, of=frozenset, worth=lambda bare: True) -> None:
+        self.decode, self.of, self.worth, self.memo = decode, of, worth, Memo()
 
     def __call__(self, text: str | None) -> set:
         low = (text or "").lower()
@@ -211,7 +214,10 @@ class Reader:
         for word in set(_WORDS.findall(low)):
             got = get(word)
             if got is None:
-                got = self.of({word}.union(*(x.split() for x in drawn_out(word, self.decode))))
+                words = {word}
+                if _DOUBLED.search(word) and self.worth(_RUN.sub(r"\1", word)):
+                    words.update(*(x.split() for x in drawn_out(word, self.decode)))
+                got = self.of(words)
                 self.memo.put(word, got, sum(map(len, got)))
             if got:
                 found |= got
@@ -334,6 +340,15 @@ def _lookup(marks: tuple[tuple[str, float], ...]) -> tuple[dict[str, float], lis
     return whole, [(k, d) for k, d in starts if d]
 
 
+def _worth(marks: tuple[tuple[str, float], ...]):
+    """Whether a word, given with one letter of each run, can have a reading that is a mark: marks with their runs cut
+    down are compared, for a reading differs from the word in the lengths of its runs alone."""
+    bare = {_RUN.sub(r"\1", f.removesuffix("-")): f.endswith("-") for f, _ in sorted(marks, key=lambda m: m[0].endswith("-"))}
+    starts = {f for f, start in bare.items() if start}
+    lengths = sorted({len(f) for f in starts})
+    return lambda word: word in bare or any(word[:k] in starts for k in lengths)
+
+
 def _names(words: Iterable[str], whole: dict[str, float], starts: list[tuple[int, dict[str, float]]]) -> set[str]:
     """The surest mark of each word that has any."""
     hit: set[str] = set()
@@ -363,7 +378,7 @@ def scored(df: DataFrame, marks: dict[str, float], base: float, model: bytes, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, starts = _lookup(fixed)
-        read = Reader(_decoder(model), lambda words: _names(words, whole, starts) or _NOTHING)
+        read = Reader(_decoder(model), lambda words: _names(words, whole, starts) or _NOTHING, _worth(fixed))
         for batch in slices(batches, text, _SLICE):
             values = pa.array([_score(read(t), whole, starts, base) for t in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], values], [*others, out])
