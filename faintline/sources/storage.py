@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get(_SETTING, None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="faintline-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
