@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import fresh, keep, slices, spread_join
+from faintline.llm.common import discard, fresh, keep, slices, spread_join
 
 # Fixed values of HTML: kinds of elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -364,20 +364,19 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _read(pages: DataFrame, url: str, html: str, names: tuple[str, str, str, str]) -> DataFrame:
-    """pages, with a number, host, digest of the main text and hashes of subtrees (array of (hash, inside))."""
-    number, site, main_, found_ = names
+def hashed(pages: DataFrame) -> DataFrame:
+    """(host, main, found) in place of the html of pages (host, html): digest of the main text, and (hash, whether inside) of subtrees."""
+    kept = [c for c in pages.columns if c != "html"]
     found_type = T.ArrayType(T.StructType([T.StructField("digest", T.LongType()), T.StructField("inner", T.BooleanType())]))
     arrow = pa.list_(pa.struct([("digest", pa.int64()), ("inner", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, html):
-            both = [subtrees(source) for source in batch.column(html).to_pylist()]
+        for batch in slices(batches, "html"):
+            both = [subtrees(source) for source in batch.column("html").to_pylist()]
             found = pa.array([[{"digest": d, "inner": i} for d, i in f] for _, f in both], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m for m, _ in both], pa.int64()), found], [*batch.schema.names, main_, found_])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([m for m, _ in both], pa.int64()), found], [*kept, "main", "found"])
 
-    rows = pages.withColumn(number, F.monotonically_increasing_id()).withColumn(site, host(F.col(url)))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(main_, T.LongType()), T.StructField(found_, found_type)]))
+    return pages.mapInArrow(run, T.StructType([*[pages.schema[c] for c in kept], T.StructField("main", T.LongType()), T.StructField("found", found_type)]))
 
 
 def templates(read: DataFrame, few: int = 5, share: float = 0.2, many: int = 10, inside: float = 0.5) -> DataFrame:
@@ -392,29 +391,33 @@ def templates(read: DataFrame, few: int = 5, share: float = 0.2, many: int = 10,
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", by_names: bool = True, small: int = 200_000, **options) -> DataFrame:
-    """pages with the column ``out``, the main text, in place of ``html``."""
+    """pages with the column ``out``, the main text, in place of ``html``.
+
+    Up to ``small`` template subtrees in all are sent to every task, by host; more are joined to the pages that hold
+    them, by subtree, hot ones spread. Both ways give the same texts.
+    """
     kept = [c for c in pages.columns if c not in (html, out)]
-    names = number, site, main_, found_ = tuple(fresh(pages, c) for c in ("number", "host", "main", "found"))
-    mine = fresh(pages, "template")
-    # written, so that the numbers of pages stand and the first pass is made once
-    read = keep(_read(pages.drop(out) if out != html else pages, url, html, names), "pages")
-    hashes = read.select(F.col(number).alias("number"), F.col(site).alias("host"), F.col(main_).alias("main"), F.col(found_).alias("found"))
-    known = keep(templates(hashes.select("host", "main", "found"), **options), "templates")
-
-    # which of its host's templates a page holds; a template of a large host stands on many pages, so where the list
-    # of templates is too large to send to every task, hot keys are spread
-    held = hashes.select("number", "host", F.inline("found")).select("number", F.struct("host", "digest").alias("key"), "digest")
-    key = known.select(F.struct("host", "digest").alias("key"), F.lit(True).alias("is"))
+    rows = pages.drop(out) if out != html else pages
+    number, site, mine = (fresh(pages, c) for c in ("number", "host", "template"))
+    found = keep(hashed(pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html"))), "subtrees")
+    known = keep(templates(found, **options), "templates")
+    discard(found)
     if known.count() <= small:
-        met = held.join(F.broadcast(key), "key", "left_semi")
+        lists = known.groupBy(F.col("host").alias(site)).agg(F.collect_set("digest").alias(mine))
+        joined = rows.withColumn(site, host(F.col(url))).join(F.broadcast(lists), site, "left")
     else:
+        # written, so that the numbers of pages stand
+        numbered = keep(rows.withColumn(number, F.monotonically_increasing_id()), "pages")
+        held = hashed(numbered.select(F.col(number).alias("number"), host(F.col(url)).alias("host"), F.col(html).alias("html")))
+        held = keep(held.select("number", "host", F.inline("found")).select("number", F.struct("host", "digest").alias("key"), "digest"), "held")
+        key = known.select(F.struct("host", "digest").alias("key"), F.lit(True).alias("is"))
         met = spread_join(held, key.join(held.groupBy("key").agg(F.count("*").alias("n_rows")), "key"), "key").filter("is")
-    lists = met.groupBy("number").agg(F.collect_set("digest").alias(mine)).withColumnRenamed("number", number)
+        lists = met.groupBy("number").agg(F.collect_set("digest").alias(mine)).withColumnRenamed("number", number)
+        joined = numbered.join(lists, number, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html):
             texts = [main_text(source, frozenset(t or ()), by_names) for source, t in zip(batch.column(html).to_pylist(), batch.column(mine).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
 
-    joined = read.select(*kept, html, number).join(lists, number, "left").drop(number)
-    return joined.mapInArrow(run, T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())]))
+    return joined.select(*kept, html, mine).mapInArrow(run, T.StructType([*[pages.schema[c] for c in kept], T.StructField(out, T.StringType())]))
