@@ -80,9 +80,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record): the original WARC records, each ready to be written one after the other."""
     headers = spark.read.parquet(f"{path}/headers").withColumn("record_type", _field(F.decode("header", "UTF-8"), "WARC-Type"))
     full = headers.filter("record_type = 'response'")
-    # short payloads, which many responses may share, are the only ones that several records ask for
+    # only short payloads are shared by responses: these few bytes may be sent to every task; all others are joined once
+    stored = spark.read.parquet(f"{path}/payloads")
     used = full.groupBy("digest").agg(F.count("*").alias("n_rows"))
-    both = spread_join(full, spark.read.parquet(f"{path}/payloads").join(used, "digest"), "digest")
+    counted = spread_join(full, used.withColumn("held", F.col("n_rows")), "digest")
+    alone = counted.filter("held = 1").join(stored, "digest", "left").select(*full.columns, "payload")
+    shared = spread_join(counted.filter("held > 1").drop("held"), stored.join(used.filter("n_rows > 1"), "digest"), "digest")
+    both = alone.unionByName(shared)
     lost = F.raise_error(F.concat(F.lit("no payload stored for "), F.col("digest")))
     end = F.lit((_CRLF * 2).encode())
     whole = both.select("record_type", F.concat("header", F.coalesce(F.col("payload"), lost.cast("binary")), end).alias("record"))
