@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faintline.llm import centroids, chat, decontaminate, flac, html, jaccard, packing, phrases, pii, tokens, toxicity, warc
+from faintline.llm import centroids, chat, decontaminate, flac, html, jaccard, packing, phrases, pii, sketches, tokens, toxicity, warc
 from faintline.llm.common import keep, new_path, table
 
 
@@ -74,6 +74,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.decode(keep(flac.encode(table(spark, sf_dir, "documents")), "media"), blocks=False)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of four-word shingles at a Jaccard similarity of 0.8, and which documents stay."""
+    return sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 strongest collocations of each language, over all documents."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -85,7 +90,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_jaccard, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op9_html, op10_media, op12_phrases, op13_centroids)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc, op3_jaccard, op4_packing, op5_tokens, op6_toxicity, op7_pii, op8_chat, op9_html, op10_media, op11_minhash, op12_phrases, op13_centroids)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -87,7 +87,7 @@ def test_extension_to_both_sides(seed):
 def test_shards_are_cut_by_size(spark):
     text = "one two three. " * 1000
     df = spark.createDataFrame([(i, text, ["en", "de", "fr"][i % 3], "x", 0) for i in range(12)], SCHEMA).coalesce(1)
-    for limits, n in (((1 << 20, 2 << 20), 3), ((1000, 1 << 20), 12), ((1 << 20, 40_000), 6)):
+    for limits, n in (((1 << 20, 2 << 20), 3), ((1000, 1 << 20), 12), ((1 << 20, 40_000), 8)):
         made = P.indexes(df, "text", "lang", *limits)
         assert made.agg({"n": "sum"}).first()[0] == 36000
         assert made.count() == made.select("shard").distinct().count() == n
