@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faintline.functions import rules as R
 from faintline.functions import scalar as S
-from faintline.operators import clusters, concepts, history, predictions, signals
+from faintline.operators import clusters, concepts, history, predictions, signals, titles
 from faintline.operators.graph import components
 from faintline.plans import views as V
 from faintline.plans.registry import query
@@ -384,7 +384,18 @@ query("keyword_overlap", f"WITH {TITLES_SQL} SELECT id, round(len(list_filter(ke
     lambda s, d: V.titles(s, d).select("id", F.round(signals.keyword_overlap(F.col("keywords"), F.array("source", F.lit("hn:"))), 6).alias("overlap"))
 )
 query("dedupe_signals")(lambda s, d: signals.dedupe(V.titles(s, d).withColumnRenamed("score", "source_score").withColumn("duplicate_count", F.lit(0)), "id").select("id", "duplicate_count"))
-query("similarity_join_title")(lambda s, d: signals.similar_titles(V.titles(s, d), "id", "id"))
+# every list of keywords has three words here, so the rows of a list are one class
+query(
+    "similarity_join_title",
+    f"""WITH {TITLES_SQL}, t AS (SELECT id, lower(trim(title)) AS t, keywords AS k FROM titles), r AS MATERIALIZED (SELECT t, count(*) AS w FROM t GROUP BY 1),
+    half AS MATERIALIZED (SELECT a.t AS x, b.t AS y, a.w AS v, b.w AS w FROM r a JOIN r b ON a.t < b.t AND 5 * length(a.t) > 3 * length(b.t) AND 5 * length(b.t) > 3 * length(a.t) AND 5 * levenshtein(a.t, b.t) < 2 * greatest(length(a.t), length(b.t))),
+    near AS (SELECT x, sum(w) AS n FROM (SELECT x, w FROM half UNION ALL SELECT y, v FROM half) GROUP BY 1), l AS (SELECT k, min(id) AS low FROM t GROUP BY 1),
+    kp AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM l a, l b WHERE len(a.k) > 2 AND len(list_filter(a.k, lambda v: list_contains(b.k, v))) / len(list_distinct(list_concat(a.k, b.k))) > 0.5),
+    words AS (SELECT id, count(*) AS n FROM (SELECT unnest([a.id, b.id]) AS id FROM t a JOIN kp ON a.k = kp.x JOIN t b ON b.k = kp.y AND a.id < b.id) GROUP BY 1),
+    tk AS MATERIALIZED (SELECT DISTINCT t, k FROM t), e AS MATERIALIZED (SELECT DISTINCT a.k AS x, b.k AS y FROM half JOIN tk a ON a.t = half.x JOIN tk b ON b.t = half.y UNION SELECT a.k, b.k FROM tk a JOIN tk b USING (t) UNION SELECT x, y FROM kp),
+    g AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e), c AS (WITH RECURSIVE walk AS (SELECT x, y FROM g UNION SELECT walk.x, g.y FROM walk JOIN g ON g.x = walk.y) SELECT x AS k, min(low) AS class_id FROM walk JOIN l ON l.k = walk.y GROUP BY 1)
+    SELECT t.id, CAST(r.w - 1 + coalesce(near.n, 0) AS BIGINT) AS n_title_links, coalesce(words.n, 0) AS n_keyword_links, class_id FROM t JOIN r USING (t) LEFT JOIN near ON near.x = t.t LEFT JOIN words USING (id) JOIN c USING (k)""",
+)(lambda s, d: titles.links(V.titles(s, d)))
 query("dedupe_opportunities")(lambda s, d: predictions.dedupe(V.titles(s, d).withColumn("score", F.struct((-F.col("score")).alias("s"), "id")), F.col("title"), "score").select("id", "title"))
 
 # ---------------------------------------------------------------- sets and merges
