@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -390,8 +389,3 @@ def why_now(velocity: Column, diversity: Column, score: Column, members: Column)
         F.when(members > 5, many).otherwise(few),
     ]
     return F.concat(F.array_join(F.array_compact(F.array(*parts)), ". "), F.lit("."))
-
-
-def sql_words(words) -> str:
-    """Words as a SQL list, for the catalog's checks."""
-    return ", ".join("'" + re.sub("'", "''", w) + "'" for w in words)

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from faintline.functions import scalar as S
 
 
-def mentions_of(signals: DataFrame, text: Column, ident: str = "signal_id") -> DataFrame:
-    """(signal_id, concept): every concept of every signal once."""
-    return signals.select(F.col(ident).alias("signal_id"), F.explode(S.ngram_concepts(text)).alias("concept"))
-
-
 def nodes_of(mentions: DataFrame, signals: DataFrame) -> DataFrame:
     """Per concept: mentions, first and last sight, and a map of mentions by source."""
     each = mentions.join(signals, "signal_id").groupBy("concept_id", "source").agg(F.count("*").alias("n"), F.min("collected_at").alias("first_seen"), F.max("collected_at").alias("last_seen"))

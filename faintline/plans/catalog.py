@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faintline.plans import edges, registry, relational, text  # noqa: F401  importing registers
+from faintline.plans import edges, registry, relational, streams, text  # noqa: F401  importing registers
 
 FLAGSHIP = "weak_signal_score"
 

@@ -17,7 +17,6 @@ from faintline.plans.text import opportunity_scores, _OPP
 from faintline.plans.views import AS_OF, AS_OF_ORDERS, EVENTS_SQL, HISTORY_SQL, MENTIONS_SQL, OPPORTUNITIES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, TITLES_SQL
 from faintline.sources import sinks
 from faintline.sources.storage import new_path, table
-from faintline.streaming import ingest
 
 MS = f"WITH {MENTIONS_SQL}, {SIGNALS_SQL} "
 OP = f"WITH {OPPORTUNITIES_SQL}, {PREDICTIONS_SQL} "
@@ -420,34 +419,6 @@ def _upserted(s, d):
 
 _UPS = f"{_UP} SELECT coalesce(o.source, n.source) AS source, coalesce(o.id, n.id) AS id, coalesce(o.title, n.title) AS title, coalesce(n.created_at, o.created_at) AS collected_at FROM o FULL JOIN n ON o.id = n.id"
 query("upsert_signals", _UPS)(_upserted)
-query("stream_signal_upsert", _UPS)(lambda s, d: _streamed(s, d))
-
-
-def _streamed(s, d):
-    """The same merge as a stream: what is stored lands first, then what is new, each in micro-batches of its own."""
-    landed, path, checkpoint = (new_path(s, n) for n in ("landed", "signals", "progress"))
-    t = V.titles(s, d).select("source", "id", "title", F.col("created_at").alias("collected_at"))
-    new = t.filter("id % 2 = 0").withColumns({"title": F.concat(F.lit("new "), "title"), "collected_at": F.col("collected_at") + F.expr("INTERVAL 1 DAY")})
-    for part in (t.filter("id % 3 > 0"), new):
-        part.write.mode("append").parquet(landed)
-        ingest.upsert_stream(s.readStream.schema(t.schema).parquet(landed), path, checkpoint, ["source", "id"], ["collected_at"]).awaitTermination()
-    return ingest.latest(s, path).select("source", "id", "title", "collected_at")
-
-
-query("lifecycle_change_stream", f"WITH {HISTORY_SQL}, l AS (SELECT trend_slug, recorded_at, CASE WHEN score >= 50 THEN 'rising' ELSE 'emerging' END AS lifecycle FROM history), p AS (SELECT *, lag(lifecycle) OVER (PARTITION BY trend_slug ORDER BY recorded_at) AS previous FROM l) SELECT trend_slug, previous, lifecycle FROM p WHERE previous IS DISTINCT FROM lifecycle")(
-    lambda s, d: _changes_streamed(s, d)
-)
-
-
-def _changes_streamed(s, d):
-    landed, out, checkpoint = (new_path(s, n) for n in ("landed", "changes", "progress"))
-    states = V.history(s, d).select("trend_slug", "recorded_at", F.when(F.col("score") >= 50, "rising").otherwise("emerging").alias("lifecycle"))
-    states.write.parquet(landed)
-    found = ingest.lifecycle_changes(s.readStream.schema(states.schema).parquet(landed))
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(found.schema).parquet(out)
-
-
 query("sink_signals_upsert", f"SELECT source, count(*) AS n, max(collected_at) AS latest FROM ({_UPS}) GROUP BY 1")(lambda s, d: _upserted(s, d).groupBy("source").agg(F.count("*").alias("n"), F.max("collected_at").alias("latest")))
 query("insert_mentions_ignore", f"{MS} SELECT signal_id, concept_id FROM mentions")(
     lambda s, d: signals.insert_ignore(V.mentions(s, d).filter("concept_id % 2 = 0"), V.mentions(s, d), ["signal_id", "concept_id"]).select("signal_id", "concept_id")

@@ -13,11 +13,6 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Replace only the partitions that df has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def report_rows(opportunities: DataFrame) -> DataFrame:
     """An HTML row per opportunity, in order of place."""
     e = S.html_escape

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Requests allowed, and the window in seconds.
 POLICIES = {"public": (100, 900), "strict": (20, 900), "admin": (10, 900), "billing": (5, 3600), "export": (10, 3600)}
@@ -47,31 +46,9 @@ def limited(requests: DataFrame, policy: str, slots: int = 1) -> DataFrame:
     return requests.select("key", "at").repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, _OUT)
 
 
-def limited_stream(requests: DataFrame, policy: str) -> DataFrame:
-    """Streaming form: the window of a key is kept as state and dropped when it has ended."""
-    most, window = POLICIES[policy]
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        at = sorted(int(t) for part in parts for t in part["at"])
-        done, start, n = decide(at, most, window, start, n)
-        state.update((start, n))
-        state.setTimeoutDuration(window * 1000)
-        yield pd.DataFrame([(key[0], t, count, ok) for t, (count, ok) in zip(at, done, strict=True)], columns=["key", "at", "n", "allowed"])
-
-    return requests.groupBy("key").applyInPandasWithState(step, _OUT, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def alive(decided: DataFrame, policy: str) -> DataFrame:
     """(key, start, n): the windows that haven't ended at the time of the last request; all others are expired."""
     window = POLICIES[policy][1]
     last = decided.groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("at"))).alias("start"), F.max_by("n", F.struct("at", "n")).alias("n"))
     now = F.broadcast(decided.agg(F.max("at").alias("now")))
     return last.join(now).filter(F.col("start") + window * 1_000_000 >= F.col("now")).select("key", "start", "n")
-
-
-def usage(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("allowed")).alias("blocked"))
