@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
 from faintline.operators import signals
+from faintline.operators.joins import spread_join
+from faintline.sources.storage import keep
 
 OUTCOMES = ("confirmed", "partially_confirmed", "failed")
 SIMILAR = 0.55
@@ -88,24 +90,63 @@ def page(df: DataFrame, order: list, cap: int | None, number: int, size: int = 1
     return counted.filter(F.col("n") > (number - 1) * size)
 
 
-def similar(df: DataFrame, text: Column, ident: str = "id") -> DataFrame:
-    """(a, b, jaccard): pairs whose word sets reach the threshold, found by the words they share."""
-    words = df.select(F.col(ident).alias("id"), S.dedupe_tokens(text).alias("w")).filter(F.size("w") > 0)
-    # a pair at the threshold shares a word among the first of each, in one order of words: the rarest first
-    each = words.select("id", F.size("w").alias("n"), F.explode("w").alias("k"))
-    rare = each.groupBy("k").agg(F.count("*").alias("df"))
-    ranked = each.join(rare, "k").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "k")))
-    first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).select("id", "n", "k")
-    a, b = first.select("k", F.col("id").alias("a"), F.col("n").alias("m")), first.select("k", F.col("id").alias("b"), "n")
+def word_classes(df: DataFrame, text: Column, ident: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows by their word sets: ((id, sid), (sid, cid, weight), (cid, core, u, weight, mutual)).
+
+    Equal sets are one. A word that one set alone has is never shared, so only the number u of such words counts: sets with
+    the same core of other words and the same u are one class, whose sets resemble all others alike, and each other if
+    ``mutual``. Rows without words have no set.
+    """
+    words = df.select(F.col(ident).alias("id"), F.sort_array(S.dedupe_tokens(text)).alias("w")).filter(F.size("w") > 0).withColumn("sid", F.xxhash64("w"))
+    sets = keep(words.groupBy("sid").agg(F.first("w").alias("w"), F.count("*").alias("weight")), "word-sets")
+    each = sets.select("sid", F.explode("w").alias("k"))
+    held = spread_join(each, each.groupBy("k").agg(F.count("*").alias("n_rows"), F.count("*").alias("df")), "k").filter("df > 1")
+    core = held.groupBy("sid").agg(F.sort_array(F.collect_list("k")).alias("core"))  # no longer than one text's words
+    cored = sets.join(core, "sid", "left").withColumn("core", F.coalesce("core", F.array().cast("array<string>")))
+    of = keep(cored.withColumn("u", F.size("w") - F.size("core")).select("sid", F.xxhash64("core", "u").alias("cid"), "weight", "core", "u"), "word-cores")
+    mutual = F.size("core") / (F.size("core") + 2 * F.col("u")) >= SIMILAR
+    classes = of.groupBy("cid").agg(F.first("core").alias("core"), F.first("u").alias("u"), F.sum("weight").alias("weight")).withColumn("mutual", mutual)
+    return words.select("id", "sid"), of.select("sid", "cid", "weight"), classes
+
+
+def similar(classes: DataFrame) -> DataFrame:
+    """(a, b, jaccard): pairs of different classes, both ways round, that reach the threshold, found by the words they share."""
+    # a pair at the threshold shares a word among the first of each, in one order of words: the rarest first, those of one set before all
+    each = classes.select("cid", "u", (F.size("core") + F.col("u")).alias("n"), F.explode("core").alias("k"))
+    rare = each.groupBy("k").agg(F.count("*").alias("n_rows"), F.count("*").alias("df"))
+    ranked = spread_join(each, rare, "k").withColumn("place", F.col("u") + F.row_number().over(Window.partitionBy("cid").orderBy("df", "k")))
+    first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1)
+    a, b = first.select("k", F.col("cid").alias("a"), F.col("n").alias("m")), first.select("k", F.col("cid").alias("b"), "n")
     found = a.join(b, "k").filter((F.col("a") < F.col("b")) & (F.least("m", "n") >= SIMILAR * F.greatest("m", "n"))).select("a", "b").distinct()
-    both = found.join(words.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
-    jaccard = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.withColumn("j", jaccard).filter(F.col("j") >= SIMILAR).select("a", "b", F.round("j", 6).alias("jaccard"))
+    side = lambda c, x: classes.select(F.col("cid").alias(c), F.col("core").alias(x), F.col("u").alias(f"{x}u"))
+    both = found.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    jaccard = F.size(F.array_intersect("x", "y")) / (F.size(F.array_union("x", "y")) + F.col("xu") + F.col("yu"))
+    half = keep(both.withColumn("j", jaccard).filter(F.col("j") >= SIMILAR).select("a", "b", F.round("j", 6).alias("jaccard")), "alike")
+    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+
+
+def similar_counts(df: DataFrame, text: Column, ident: str = "id") -> DataFrame:
+    """(id, n_links): how many other rows have word sets that reach the threshold; rows without any are left out. No pair of rows is made."""
+    rows, of, classes = word_classes(df, text, ident)
+    near = similar(classes).join(classes.select(F.col("cid").alias("b"), "weight"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("weight").alias("near"))
+    total = classes.join(near, "cid", "left").select("cid", F.col("weight").alias("n_rows"), F.col("weight").alias("all"), "mutual", F.coalesce("near", F.lit(0)).alias("near"))
+    links = F.col("near") + F.when(F.col("mutual"), F.col("all")).otherwise(F.col("weight")) - 1
+    counted = spread_join(of, total, "cid").select("sid", F.col("weight").alias("n_rows"), links.cast("bigint").alias("n_links"))
+    return spread_join(rows, counted, "sid").select("id", "n_links").filter("n_links > 0")
 
 
 def dedupe(df: DataFrame, text: Column, order: str, ident: str = "id") -> DataFrame:
-    """In order, a row is dropped if it resembles one that was kept."""
-    pairs = similar(df, text, ident).select(F.col("a").alias("seed"), F.col("b").alias("other"))
-    both = pairs.unionByName(pairs.select(F.col("other").alias("seed"), F.col("seed").alias("other")))
-    led = signals.leaders(df, both, order, ident).filter("id = leader").select(F.col("id").alias(ident))
-    return df.join(led, ident, "left_semi")
+    """In order, a row is dropped if it resembles one that was kept.
+
+    Of rows that resemble all others alike and each other (equal sets, mutual classes) only the first can be kept, and is
+    what the others are compared by. Rows without words resemble none.
+    """
+    rows, of, classes = word_classes(df, text, ident)
+    node = of.join(classes.select("cid", "mutual"), "cid").select("sid", "cid", F.when(F.col("mutual"), F.col("cid")).otherwise(F.col("sid")).alias("node"), F.col("weight").alias("n_rows"))
+    placed = spread_join(rows.join(df.select(F.col(ident).alias("id"), F.col(order).alias("o")), "id"), node, "sid")
+    firsts = keep(placed.groupBy("node").agg(F.min(F.struct("o", "id")).alias("first"), F.first("cid").alias("cid")).select("node", "cid", F.col("first.o").alias("o"), F.col("first.id").alias("id")), "firsts")
+    end = lambda c, n: firsts.select(F.col("cid").alias(c), F.col("id").alias(n))
+    pairs = similar(classes).join(end("a", "seed"), "a").join(end("b", "other"), "b").select("seed", "other")
+    led = signals.leaders(firsts, pairs, "o").filter("id = leader").select(F.col("id").alias(ident))
+    wordless = df.select(F.col(ident).alias("id")).join(rows.select("id"), "id", "left_anti").select(F.col("id").alias(ident))
+    return df.join(led.unionByName(wordless), ident, "left_semi")

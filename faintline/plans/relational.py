@@ -374,7 +374,7 @@ query("plan_gate", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'free' WHEN
 )
 query("distinct_trend_name", f"{OP} SELECT lower(title) AS name, min(id) AS id FROM opportunities GROUP BY 1")(lambda s, d: V.opportunities(s, d).groupBy(F.lower("title").alias("name")).agg(F.min("id").alias("id")))
 query("similarity_join_jaccard", f"WITH {TITLES_SQL}, t AS (SELECT id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({V.sql_list(R.OPPORTUNITY_STOPWORDS)}, w))) AS w FROM titles), x AS (SELECT id, len(w) AS n, unnest(w) AS k FROM t), c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS s FROM x a JOIN x b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2), p AS (SELECT a, b FROM c WHERE s / (m + n - s) >= 0.55) SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1")(
-    lambda s, d: predictions.similar(V.titles(s, d), F.col("title")).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    lambda s, d: predictions.similar_counts(V.titles(s, d), F.col("title"))
 )
 query("jaccard", f"WITH {TITLES_SQL} SELECT id, round(len(list_intersect(keywords, [source, 'hn:', 'for'])) / len(list_distinct(list_concat(keywords, [source, 'hn:', 'for']))), 6) AS j FROM titles")(
     lambda s, d: V.titles(s, d).withColumn("o", F.array("source", F.lit("hn:"), F.lit("for"))).select("id", F.round(F.size(F.array_intersect("keywords", "o")) / F.size(F.array_union("keywords", "o")), 6).alias("j"))
