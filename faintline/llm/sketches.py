@@ -7,14 +7,14 @@
    as that of T independent coins.
 2. Banding: ``ROWS`` bins make one of ``BANDS`` keys; sets that share a key meet. Two sets at the threshold of 0.8 miss each
    other in all bands with a probability of (1 - 0.8**5)**40 = 1.3e-7, and agree in less than ``LOW`` bins with 1e-8.
-3. Exact links to leaders: the least set of each bucket leads it; every set is compared with the leader whose sketch is
-   nearest to its own, and linked if the full sets reach the threshold. The components of these links hold most copies.
-4. Exact links across components: only buckets that still hold several components go on. Their sets are compared by sketches,
-   in units of at most two parts of about ``_PART`` sets; a set asks a part of another component (or of several small ones) if
-   its sketch is near one of the part's. What was asked is compared by full sets, in units of a part and so many askers.
-
-No bucket, group or component is held in one task, no pair within a component is looked at again, and pairs are never listed
-beyond one row per set and part. The work that remains quadratic is that of a bucket of many *different* sets that are
+3. Exact links around leaders: the least set of each bucket leads it; every set follows the leader whose sketch is nearest to
+   its own, and the followers of a leader are compared with it and each other by full sets, ``_PART`` of them at a time. The
+   components of these links hold most copies.
+4. Exact links across components: only buckets that still hold several components go on. Their sets are cut into parts of
+   about ``_PART``, by component where it is large, and compared by sketches, two parts or so at a time. Parts of which any two
+   sets of different components have near sketches are compared by full sets.
+
+No bucket, group or component is held in one task, and no pair of documents is ever a row. The work that remains quadratic is that of a bucket of many *different* sets that are
 not linked: n * n / 2 comparisons of sketches in blocks.
 
 Defined results: null text or one without words has the empty set, links with nothing and is its own component; a text with
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faintline.llm.common import discard, keep, slices, spread_join
-from faintline.llm.jaccard import _fetched, _name, _sets, _spread, compared, mix
+from faintline.llm.jaccard import _name, _sets, _spread, compared, mix
 from faintline.operators.graph import components
 
 K, NUM, DEN = 4, 80, 100
@@ -117,70 +117,98 @@ def leaders(met: DataFrame, short: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "sid bigint, lead bigint, agree bigint").groupBy("sid").agg(F.max(F.struct("agree", "lead")).alias("best")).select("sid", F.col("best.lead").alias("lead"))
 
 
-def verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v) of the pairs (sid, lead) whose full sets reach the threshold."""
-    both = _spread(_spread(pairs, full, "sid", "__a"), full, "lead", "__b")
-    reach = F.size(F.array_intersect("__a", "__b")) * (num + den) >= num * (F.size("__a") + F.size("__b"))
-    return both.filter(reach).select(F.col("sid").alias("u"), F.col("lead").alias("v"))
+def stars(led: DataFrame) -> DataFrame:
+    """Units for ``jaccard.compared``: the followers of a leader, _PART of them at a time, each time with the leader."""
+    size = led.groupBy("lead").agg(F.count("*").alias("n_rows"), F.ceil(F.count("*") / _PART).cast("int").alias("chunks"))
+    dealt = spread_join(led, size, "lead").select("lead", F.pmod(F.xxhash64("sid"), "chunks").cast("int").alias("chunk"), "sid")
+    heads = size.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias("sid"))
+    return _unit(dealt.unionByName(heads), "lead", F.col("chunk"), F.col("chunk"), 0)
+
+
+def _unit(rows: DataFrame, group: str, a, b, role) -> DataFrame:
+    """(group, a, b, chunk, role, sid, weight) as ``jaccard.compared`` takes them: a = b compares all of a unit, else its two roles."""
+    return rows.select(F.col(group).alias("group"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), F.lit(0).alias("chunk"), F.lit(role).alias("role"), "sid", F.lit(1).cast("bigint").alias("weight"))
+
+
+def gathered(df: DataFrame, wanted: DataFrame, ident: str, text: str, k: int) -> DataFrame:
+    """(sid, set) of the sets wanted (sid, doc_id), made anew from one text of each.
+
+    Texts that aren't wanted are left out where they are read, by a bitmap of at most 32 MB over hashes of the ids; what it
+    lets through by chance goes by name. So sets are shuffled, texts never.
+    """
+    bits = 1 << min(28, max(15, (16 * wanted.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    held = wanted.select(F.floor(spot / 32768).alias("page"), (spot % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    pages = np.zeros((bits // 32768, 4096), np.uint8)
+    for row in held:
+        pages[row.page] = np.frombuffer(row.bits, np.uint8)
+    pages = pages.reshape(-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            some = batch.filter(pa.array((pages[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for part in slices([some], "text", _SLICE) if some.num_rows else ():
+                sets = [s for s in _sets(part, k) if len(s)]
+                values = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sid", "set"])
+
+    rows = df.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("text")).select(spot.alias("spot"), "text")
+    made = rows.mapInArrow(run, "sid bigint, set array<bigint>")
+    return keep(made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "tokens")
 
 
 def parts(sets: DataFrame) -> DataFrame:
-    """(sid, root, part, rank) of sets (sid, n, group, root): a group's large components have parts of their own, its small ones share some."""
+    """(sid, root, part) of sets (sid, n, group, root): a group's large components have parts of their own, its small ones share some."""
     of_root = sets.withColumn("key", F.xxhash64("group", "root"))
     sized = spread_join(of_root, of_root.groupBy("key").agg(F.count("*").alias("n_rows"), F.count("*").alias("of_root")), "key")
     own = F.when(F.col("of_root") >= _LARGE, F.col("root"))
     sharing = sized.select("sid", "n", "root", F.xxhash64("group", F.coalesce(own, F.lit(0)), own.isNull()).alias("key"))
-    total = sharing.groupBy("key").agg(F.count("*").alias("rank"), F.sum("n").alias("tokens"), F.count("*").alias("n_rows"))
-    number = F.pmod(F.xxhash64("sid"), F.greatest(F.ceil(F.col("rank") / _PART), F.ceil(F.col("tokens") / _TOKENS)))
-    return spread_join(sharing, total, "key").select("sid", "root", F.xxhash64("key", number).alias("part"), "rank")
+    total = sharing.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.count("*").alias("n_rows"))
+    number = F.pmod(F.xxhash64("sid"), F.greatest(F.ceil(F.col("members") / _PART), F.ceil(F.col("tokens") / _TOKENS)))
+    return spread_join(sharing, total, "key").select("sid", "root", F.xxhash64("key", number).alias("part"))
 
 
 def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
-    """(sid, part): which sets must be compared with which parts. mixed: (band, held, sid, root, part, rank)."""
+    """(x, y): parts that must be compared with each other (x >= y). mixed: (band, held, sid, root, part)."""
     number = F.ceil(F.col("held") / _PART).cast("int")
-    rows = mixed.withColumn("own", F.pmod(F.xxhash64("sid"), number).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), number - 1)))
-    rows = rows.select("band", F.greatest("own", "o").alias("a"), F.least("own", "o").alias("b"), (F.col("own") > F.col("o")).cast("int").alias("role"), "sid", "root", "part", "rank")
+    rows = mixed.withColumn("own", F.pmod("part", number).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), number - 1)))
+    rows = rows.select("band", F.greatest("own", "o").alias("a"), F.least("own", "o").alias("b"), (F.col("own") > F.col("o")).cast("int").alias("role"), "sid", "root", "part")
 
-    def unit(held: list[tuple], across: bool) -> list[tuple[int, int]]:
-        role, sid, root, part, rank, raw = (np.array(x) if i < 5 else x for i, x in enumerate(zip(*held, strict=True)))
+    def unit(held: list[tuple], across: bool) -> pa.RecordBatch:
+        role, root, part, raw = (np.array(x) if i < 3 else x for i, x in enumerate(zip(*held, strict=True)))
         sig = np.array([np.frombuffer(x, np.uint8) for x in raw])
         out = set()
-        for i in np.flatnonzero(role == 1) if across else range(len(sid)):
+        for i in np.flatnonzero(role == 1) if across else range(len(role)):
             other = np.flatnonzero(role == 0) if across else np.arange(i)
             other = other[root[other] != root[i]]
             other = other[(sig[other] == sig[i]).sum(axis=1) >= LOW] if len(other) else other
-            for j in other.tolist():
-                # the side with fewer members asks the part of the other
-                x, y = (i, j) if (rank[i], part[i]) <= (rank[j], part[j]) else (j, i)
-                out.add((int(sid[x]), int(part[y])))
-        return sorted(out)
+            out.update((max(p, int(part[i])), min(p, int(part[i]))) for p in np.unique(part[other]).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("role", "sid", "root", "part", "rank", "set")]
+            columns = [batch.column(c).to_pylist() for c in ("role", "root", "part", "set")]
             for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "a", "b")), strict=True), zip(*columns, strict=True), strict=True):
                 if key != now and held:
-                    yield told(unit(held, now[1] != now[2]))
+                    yield unit(held, now[1] != now[2])
                     held = []
                 now = key
                 held.append(row)
         if held:
-            yield told(unit(held, now[1] != now[2]))
-
-    def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([p for _, p in found], pa.int64())], ["sid", "part"])
+            yield unit(held, now[1] != now[2])
 
     with_sketch = _spread(rows, short, "sid", "set")
-    return with_sketch.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInArrow(run, "sid bigint, part bigint").distinct()
+    return with_sketch.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInArrow(run, "x bigint, y bigint").distinct()
 
 
 def units(ask: DataFrame, member: DataFrame) -> DataFrame:
-    """(group, a, b, chunk, role, sid, weight) as ``jaccard.compared`` takes them: each part with its askers, _PART of them at a time."""
-    chunks = ask.groupBy("part").agg(F.ceil(F.count("*") / _PART).cast("int").alias("chunks"))
-    asks = ask.join(chunks, "part").select("part", F.pmod(F.xxhash64("sid"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("role"), "sid")
-    held = member.join(chunks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "sid")
-    return asks.unionByName(held).select(F.col("part").alias("group"), F.lit(0).alias("a"), F.lit(-1).alias("b"), "chunk", "role", "sid", F.lit(1).cast("bigint").alias("weight"))
+    """Units for ``jaccard.compared``: the parts of each ask."""
+    x = ask.join(member.select(F.col("part").alias("x"), "sid"), "x")
+    y = ask.filter("x <> y").join(member.select(F.col("part").alias("y"), "sid"), "y")
+    return _unit(x, "x", F.col("x"), F.col("y"), 1).unionByName(_unit(y, "x", F.col("x"), F.col("y"), 0))
 
 
 def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num: int, den: int) -> DataFrame:
@@ -194,23 +222,21 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     discard(once)
     short = sets.select("sid", F.col("signature").alias("set"))
     led = keep(leaders(met, short), "leaders")
-    first = led.select("sid").unionByName(led.select(F.col("lead").alias("sid"))).distinct()
-    full = _fetched(df, sets.join(first, "sid", "left_semi"), ident, text, k)
-    near = keep(verified(led, full, num, den), "near")
-    label = keep(components(near), "labels")
+    first = keep(led.select("sid").unionByName(led.select(F.col("lead").alias("sid"))).distinct(), "followers")
+    full = gathered(df, sets.join(first, "sid", "left_semi").select("sid", "doc_id"), ident, text, k)
+    near = compared(_spread(stars(led), full, "sid", "set"), num, den)
+    label = keep(components(near.select(F.col("sid").alias("u"), F.col("root").alias("v"))), "labels")
     rooted = met.join(label.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     several = rooted.groupBy("band").agg(F.count("*").alias("n_rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     mixed = keep(spread_join(rooted.select("band", "held", "sid", "root"), several.select("band", "n_rows", F.lit(True).alias("mixed")), "band").filter("mixed").drop("mixed"), "mixed")
     left = mixed.select("sid", "root").distinct().join(sets.select("sid", "n"), "sid").join(led, "sid", "left").withColumn("group", F.coalesce("lead", "sid")).drop("lead")
     member = keep(parts(left), "parts")
     ask = keep(asked(mixed.drop("root").join(member, "sid"), short), "asks")
-    inside = member.join(ask.select("part").distinct(), "part", "left_semi")
-    more = ask.select("sid").unionByName(inside.select("sid")).distinct().join(first, "sid", "left_anti")
-    rest = _fetched(df, sets.join(more, "sid", "left_semi"), ident, text, k)
-    unit = units(ask, inside.select("sid", "part"))
-    across = compared(_spread(unit, full.unionByName(rest), "sid", "set"), num, den)
+    inside = keep(member.join(ask.select(F.explode(F.array("x", "y")).alias("part")).distinct(), "part", "left_semi"), "inside")
+    rest = gathered(df, sets.join(inside.select("sid").join(first, "sid", "left_anti"), "sid", "left_semi").select("sid", "doc_id"), ident, text, k)
+    across = compared(_spread(units(ask, inside), full.unionByName(rest), "sid", "set"), num, den)
     out = keep(label.unionByName(across.select(F.col("sid").alias("u"), F.col("root").alias("v"))), "edges")
-    discard(met, sets, led, full, near, label, mixed, member, ask, rest)
+    discard(met, sets, led, first, full, label, mixed, member, ask, inside, rest)
     return out
 
 
