@@ -6,11 +6,11 @@
 2. Extension: all phrases of one length are disjoint intervals of the transform. One pass over the rows of the intervals
    gives every word found left of each phrase, with its count and the interval of the longer phrase in both directions;
    the transform of the reverse gives the words to the right. Phrases grow by turns to the left and to the right.
-3. Counts: a shard sends numbers (64-bit hashes) of its phrases with their counts, packed by ranges of the numbers; the
+3. Counts: a shard sends the numbers (128-bit hashes) of its phrases with their counts, packed by ranges of the numbers; the
    sums of a range are made in one task, which tells each shard which of its phrases reach ``least``. A phrase can only
-   reach it if all its parts do, so words come first, then pairs, then all longer phrases over such pairs. Phrases that
-   share a number are counted together there: that lets some through that need not be, and loses none.
-4. What is left is written as text and counted exactly by text, scored in exact decimals, and cut down by its extensions.
+   reach it if all its parts do, so words come first, then pairs, then all longer phrases over such pairs.
+4. The first shard that has a phrase writes its text with the count of all shards. Scores are exact decimals; phrases go
+   that have an extension as frequent.
 
 Tasks hold one shard or one range; nothing but the number of texts reaches the driver. A language may have any share of
 the rows: its shards are as many as its texts need.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,7 +37,7 @@ from faintline.llm.jaccard import mix
 
 LEAST, TOP, DEPTH, UNKNOWN = 100, 2000, 5, "und"
 #: Bytes of text in a shard and in all shards that a task has open, and bytes that are cut into words at once.
-SHARD, OPEN, _SLICE = 12 << 20, 24 << 20, 1 << 20
+SHARD, OPEN, _SLICE = 8 << 20, 16 << 20, 1 << 20
 #: Lengths of phrases whose counts are summed up together.
 STEPS = ((1,), (2,), (3, 4, 5))
 _SPLIT = b".,;:!?\n\x0b\x0c\r"
@@ -49,8 +50,8 @@ _KIND[[32, 9]] = 1
 _KIND[list(_SPLIT)] = 2
 
 
-def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, length, whether a piece begins) of the words of some bytes."""
+def words_of(buf: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, length, whether a piece begins) of the words of some bytes. Hashes of different salts are independent."""
     kind = _KIND[buf]
     letter = np.concatenate([[False], kind == 0, [False]])
     edge = np.flatnonzero(letter[1:] != letter[:-1])
@@ -58,7 +59,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not len(start):
         return np.zeros(0, np.uint64), start, length, np.zeros(0, bool)
     offset = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    weight = mix(np.arange(int(length.max()), dtype=np.uint64) + np.uint64(5 << 32)) | np.uint64(1)
+    weight = mix(np.arange(int(length.max()), dtype=np.uint64) + np.uint64(5 + salt << 32)) | np.uint64(1)
     sums = np.add.reduceat(_VALUE[buf[kind == 0]] * weight[offset], np.cumsum(length) - length)
     splits = np.cumsum(kind == 2)[start]
     return mix(sums ^ length.astype(np.uint64)), start, length, np.concatenate([[True], splits[1:] != splits[:-1]])
@@ -78,7 +79,7 @@ class Index:
     @classmethod
     def of(cls, words: np.ndarray) -> Index:
         """words: numbers from 1 on, and a 0 at least after the last piece."""
-        return cls(*(s[np.roll(np.arange(len(s)), 1)[_sorted(s)]] for s in (words, words[::-1])))
+        return cls(*(np.roll(s, 1)[_sorted(s)] for s in (words, words[::-1])))
 
     def step(self, side: str) -> np.ndarray:
         """Row of the suffix that begins one word earlier: equal words keep their order."""
@@ -124,28 +125,29 @@ def _stable(x: np.ndarray) -> np.ndarray:
 
 def _sorted(s: np.ndarray) -> np.ndarray:
     """The order of all suffixes of a circular sequence by their first DEPTH words."""
-    s = s.astype(np.int64)
-    rank, known = s, 1
+    rank, known = s.astype(np.int64), 1
     while True:
         more = min(known, DEPTH - known)
         ahead = np.roll(rank if more == known else s, -known)
         if more not in (known, 1):
             raise ValueError("DEPTH is a power of two, or one more")
-        key = rank * (int(ahead.max()) + 1) + ahead
+        key = rank * (int(ahead.max()) + 1)
+        key += ahead
+        del ahead
         order = np.argsort(key)
         known += more
         if known >= DEPTH:
             return order
         key = key[order]
-        rank = np.empty_like(s)
+        rank = np.empty(len(s), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
 
 
 def numbers(word: np.ndarray, ids: np.ndarray, lang: str) -> np.ndarray:
-    """The 64-bit numbers of phrases. word: the hash of each word number."""
-    out = np.full(len(ids), np.uint64(int.from_bytes(lang.encode()[:64], "little") % (1 << 61) + ids.shape[1]))
+    """The numbers of phrases, 128 bits in two rows. word: two hashes of each word number."""
+    out = np.array([np.full(len(ids), xxhash.xxh64_intdigest(lang.encode(), seed=10 * ids.shape[1] + i), np.uint64) for i in range(2)])
     for column in ids.T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[column])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[:, column])
     return out
 
 
@@ -162,26 +164,34 @@ def indexes(df: DataFrame, text: str, lang: str, shard: int = SHARD, opened: int
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("text"))
 
     def made(number: int, name: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts, held, size = [], [], 0
+        parts, size = [], 0
         for group in _groups(texts):
             buf = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
             hashes, start, length, begins = words_of(buf)
-            parts.append((hashes, start + size, length, begins))
-            held.append(buf)
-            size += len(buf)
-        hashes, start, length, begins = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(hashes):
+            new = np.unique(hashes, return_index=True)[1]  # the bytes of each word once a slice
+            said = [buf[a : a + n].tobytes().translate(_LOWER) for a, n in zip(start[new].tolist(), length[new].tolist(), strict=True)]
+            parts.append((hashes, begins, hashes[new], said))
+            size += len(hashes)
+        texts.clear()
+        if not size:
             return
-        _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
-        whole = np.concatenate(held)
-        names = b"\n".join(whole[a : a + n].tobytes().translate(_LOWER) for a, n in zip(start[first].tolist(), length[first].tolist(), strict=True))
+        known, first = np.unique(np.concatenate([p[2] for p in parts]), return_index=True)
+        said = [w for p in parts for w in p[3]]
+        names = b"\n".join(said[i] for i in first.tolist())
+        del said
+        ids = np.concatenate([np.searchsorted(known, p[0]).astype(np.uint32) for p in parts])
+        begins = np.concatenate([p[1] for p in parts])
+        del parts
         # a 0 before each piece: the sequence is circular, so the first one also ends the last piece
         places = np.arange(len(ids)) + np.cumsum(begins)
-        words = np.zeros(len(ids) + int(begins.sum()) + 1, np.int64)
+        words = np.zeros(len(ids) + int(begins.sum()) + 1, np.uint32)
         words[places] = ids + 1
+        del places, begins
+        n = len(ids)
+        del ids
         index = Index.of(words)
         blobs = (zstandard.compress(names, 3), _pack(index.sides["left"], "<u4"), _pack(index.sides["right"], "<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([len(ids)]), *[pa.array([b], pa.binary()) for b in blobs]], ["shard", "lang", "n", "vocabulary", "last", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([n]), *[pa.array([b], pa.binary()) for b in blobs]], ["shard", "lang", "n", "vocabulary", "last", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made_ = TaskContext.get().partitionId() << 32, 0
@@ -222,22 +232,17 @@ def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def grown(index: Index, word: np.ndarray, lang: str, kept: dict[int, np.ndarray], until: int) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
-    """(length, phrases, their numbers) by length up to ``until``; only those in ``kept`` (sorted numbers by length), where it has their length, grow on."""
-    phrases = index.single(np.arange(1, len(word)))
+    """(length, phrases, their numbers) by length up to ``until``; only those in ``kept`` (first halves of numbers, sorted, by length), where it has their length, grow on."""
+    phrases = index.single(np.arange(1, word.shape[1]))
     for k in range(1, until + 1):
         if k > 1:
             phrases = index.extend(phrases, "left" if k % 2 == 0 else "right")
         name = numbers(word, phrases["ids"], lang)
-        if k in kept:
-            some = _within(name, kept[k])
-            phrases, name = {c: v[some] for c, v in phrases.items()}, name[some]
-        elif k > 2 and 2 in kept:  # the new word's pair must have been kept too
-            ends = phrases["ids"][:, :2] if k % 2 == 0 else phrases["ids"][:, -2:]
-            some = _within(numbers(word, ends, lang), kept[2])
-            phrases, name = {c: v[some] for c, v in phrases.items()}, name[some]
-        elif k == 2 and 1 in kept:
-            some = _within(numbers(word, phrases["ids"][:, :1], lang), kept[1])
-            phrases, name = {c: v[some] for c, v in phrases.items()}, name[some]
+        part = k if k in kept else min(2, k - 1)  # of a length not summed up yet, the new word's pair must have been kept
+        if part in kept:
+            ends = phrases["ids"][:, :part] if k % 2 == 0 or part == k else phrases["ids"][:, -part:]
+            some = _within(name[0] if part == k else numbers(word, ends, lang)[0], kept[part])
+            phrases, name = {c: v[some] for c, v in phrases.items()}, name[:, some]
         yield k, phrases, name
 
 
@@ -247,22 +252,22 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _met(index: DataFrame, answers: DataFrame | None, until: int) -> DataFrame:
-    """Rows (shard, lang, length, answer, vocabulary, last, first): a shard's answers after its index, both in the task of
-    the shard; the transforms are those that phrases of up to ``until`` words need."""
+    """Rows (shard, lang, length, answer, spoken, vocabulary, last, first): a shard's answers after its index, both in the task
+    of the shard; the transforms are those that phrases of up to ``until`` words need."""
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    rows = index.select("shard", "lang", F.lit(0).alias("length"), *none("answer"), "vocabulary", "last", *(["first"] if until > 2 else none("first")))
+    rows = index.select("shard", "lang", F.lit(0).alias("length"), *none("answer", "spoken"), "vocabulary", "last", *(["first"] if until > 2 else none("first")))
     if answers is None:
         return rows
-    told = answers.select("shard", F.lit(None).cast("string").alias("lang"), "length", "answer", *none("vocabulary", "last", "first"))
+    told = answers.select("shard", F.lit(None).cast("string").alias("lang"), "length", "answer", "spoken", *none("vocabulary", "last", "first"))
     return rows.unionByName(told).repartition("shard").sortWithinPartitions("shard", "length")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, np.ndarray]]]:
-    """(index row, sorted numbers kept by length) of each shard of a task."""
-    now, kept = None, {}
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, np.ndarray], list[np.ndarray]]]:
+    """(index row, numbers kept by length, what the shard has to write: both halves of a number and the count) of each shard of a task."""
+    now, kept, spoken = None, {}, []
 
-    def done() -> tuple[dict, dict[int, np.ndarray]]:
-        return now, {k: np.sort(np.concatenate(v)) for k, v in kept.items()}
+    def done() -> tuple[dict, dict[int, np.ndarray], list[np.ndarray]]:
+        return now, {k: np.sort(np.concatenate(v)) for k, v in kept.items()}, spoken
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -270,9 +275,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int,
             if row["length"] == 0:
                 if now:
                     yield done()
-                now, kept = row, {}
-            elif row["answer"] is not None:
+                now, kept, spoken = row, {}, []
+            else:
                 kept.setdefault(row["length"], []).append(_unpack(row["answer"], "<u8"))
+                spoken.append(_unpack(row["spoken"], "<u8").reshape(3, -1))
     if now:
         yield done()
 
@@ -283,40 +289,55 @@ def _answered(kept: dict[int, np.ndarray], until: int) -> dict[int, np.ndarray]:
 
 
 def _loaded(row: dict) -> tuple[Index, np.ndarray, list[bytes]]:
-    """The index of a row, and the hash and the bytes of each word number."""
+    """The index of a row, and two hashes and the bytes of each word number."""
     names = zstandard.decompress(row["vocabulary"])
-    hashes = words_of(np.frombuffer(names, np.uint8))[0]
+    hashes = [words_of(np.frombuffer(names, np.uint8), salt)[0] for salt in (0, 1)]
     sides = [_unpack(row[c], "<u4").astype(np.int64) if row[c] else None for c in ("last", "first")]
-    return Index(*sides), np.concatenate([np.zeros(1, np.uint64), hashes]), [b"", *names.split(b"\n")]
+    return Index(*sides), np.array([[np.uint64(0), *h] for h in hashes]), [b"", *names.split(b"\n")]
 
 
 def frequent(index: DataFrame, answers: DataFrame | None, lengths: tuple[int, ...], least: int, bits: int) -> DataFrame:
-    """(shard, length, answer): the phrases of some lengths that a shard has and all shards together hold ``least`` times or more."""
+    """(shard, length, answer, spoken): the phrases of some lengths that a shard has and all shards together hold ``least`` times
+    or more, and those of them, with their counts, that this shard is to write."""
     shift = np.uint64(64 - bits)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, kept in _shards(batches):
+        for row, kept, _ in _shards(batches):
             opened, word, _ = _loaded(row)
             for k, phrases, name in grown(opened, word, row["lang"], _answered(kept, min(lengths) - 1), max(lengths)):
-                if k in lengths:
-                    order = np.argsort(name)
-                    name, n = name[order], phrases["n"][order]
-                    part = name >> shift
-                    cut = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)] if len(part) else [0]
+                if k in lengths and len(phrases["n"]):
+                    order = np.argsort(name[0])
+                    name, n = name[:, order], phrases["n"][order]
+                    part = name[0] >> shift
+                    cut = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
                     for lo in range(0, len(cut) - 1, 64):
                         spans = list(zip(cut[lo : lo + 64], cut[lo + 1 : lo + 65], strict=False))
                         values = [pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([row["shard"]] * len(spans), pa.int64()), pa.array([k] * len(spans), pa.int32())]
-                        yield pa.RecordBatch.from_arrays([*values, pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_pack(n[a:b], "<u4") for a, b in spans], pa.binary())], ["part", "shard", "length", "names", "n"])
+                        yield pa.RecordBatch.from_arrays([*values, pa.array([name[:, a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_pack(n[a:b], "<u4") for a, b in spans], pa.binary())], ["part", "shard", "length", "names", "n"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(held: list[tuple]) -> pa.RecordBatch:
-            names = [np.frombuffer(h[2], "<u8") for h in held]
-            known, where = np.unique(np.concatenate(names), return_inverse=True)
-            often = np.bincount(where, np.concatenate([_unpack(h[3], "<u4") for h in held]))[where] >= least
-            cut = np.cumsum([0, *map(len, names)])
-            found = [(shard, length, _pack(x[often[a:b]], "<u8")) for (shard, length, *_), x, a, b in zip(held, names, cut[:-1], cut[1:], strict=True) if often[a:b].any()]
-            shard, length, answer = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(length, pa.int32()), pa.array(answer, pa.binary())], ["shard", "length", "answer"])
+            names = [np.frombuffer(h[2], "<u8").reshape(2, -1) for h in held]
+            cut = np.cumsum([0, *(x.shape[1] for x in names)])
+            high, low = np.concatenate(names, axis=1)
+            order = np.argsort(high, kind="stable")
+            h, w = high[order], low[order]
+            if ((h[1:] == h[:-1]) & (w[1:] != w[:-1])).any():
+                order = np.lexsort((low, high))
+                h, w = high[order], low[order]
+            begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+            total = np.add.reduceat(np.concatenate([_unpack(x[3], "<u4") for x in held]).astype(np.int64)[order], begin)
+            often = np.zeros(len(high), bool)
+            often[order] = np.repeat(total >= least, np.diff(np.concatenate([begin, [len(h)]])))
+            counts = np.zeros(len(high), np.uint64)  # the first shard that has a phrase writes it
+            counts[order[begin]] = np.where(total >= least, total, 0)
+            out = []
+            for (shard, length, *_), a, b in zip(held, cut[:-1], cut[1:], strict=True):
+                if often[a:b].any():
+                    some = counts[a:b] > 0
+                    out.append((shard, length, _pack(high[a:b][often[a:b]], "<u8"), _pack(np.array([high[a:b][some], low[a:b][some], counts[a:b][some]]), "<u8")))
+            shard, length, answer, spoken = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(length, pa.int32()), pa.array(answer, pa.binary()), pa.array(spoken, pa.binary())], ["shard", "length", "answer", "spoken"])
 
         now, held = None, []
         for batch in batches:
@@ -330,7 +351,7 @@ def frequent(index: DataFrame, answers: DataFrame | None, lengths: tuple[int, ..
             yield told(held)
 
     asks = _met(index, answers, max(lengths)).mapInArrow(asked, "part bigint, shard bigint, length int, names binary, n binary")
-    return asks.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "shard bigint, length int, answer binary")
+    return asks.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "shard bigint, length int, answer binary, spoken binary")
 
 
 def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -345,18 +366,24 @@ def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
         answers.append(keep(frequent(index, told, lengths, least, bits), "frequent"))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, kept in _shards(batches):
+        for row, kept, spoken in _shards(batches):
+            if not any(x.size for x in spoken):
+                continue
             opened, word, names = _loaded(row)
-            for k, phrases, _ in grown(opened, word, row["lang"], _answered(kept, DEPTH), DEPTH):
-                for a in range(0, len(phrases["n"]), 1 << 16):
-                    n = phrases["n"][a : a + (1 << 16)]
-                    said = [b" ".join([names[w] for w in ids]) for ids in phrases["ids"][a : a + (1 << 16)].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n)), pa.array(said, pa.binary()), pa.array(np.full(len(n), k, np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
+            high, low, total = np.concatenate(spoken, axis=1)
+            count = dict(zip(zip(high.tolist(), low.tolist(), strict=True), total.tolist(), strict=True))
+            wanted = np.sort(high)
+            for k, phrases, name in grown(opened, word, row["lang"], _answered(kept, DEPTH), DEPTH):
+                some = _within(name[0], wanted)
+                found = [(count.get(x), ids) for *x, ids in zip(*name[:, some].tolist(), phrases["ids"][some].tolist(), strict=True) for x in [tuple(x)]]
+                found = [(f, b" ".join([names[w] for w in ids])) for f, ids in found if f is not None]
+                for a in range(0, len(found), 1 << 16):
+                    f, said = zip(*found[a : a + (1 << 16)], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(f)), pa.array(said, pa.binary()), pa.array([k] * len(f), pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "k", "f"])
 
     told = answers[0].unionByName(answers[1]).unionByName(answers[2])
-    local = _met(index, told, DEPTH).mapInArrow(written, "lang string, phrase binary, k int, n bigint")
-    found = local.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("n").alias("f")).filter(F.col("f") >= least)
-    exact = keep(found.select("lang", F.col("phrase").cast("string").alias("phrase"), "k", "f"), "phrases")
+    found = _met(index, told, DEPTH).mapInArrow(written, "lang string, phrase binary, k int, f bigint")
+    exact = keep(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     totals = keep(index.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     discard(index, *answers)
     return exact, totals
