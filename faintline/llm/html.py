@@ -7,7 +7,8 @@ so copies of a page count once) each hash stands. A subtree on many of a host's
 deletes it. What is left of a page is then cleaned by what its tag, role or class names: scripts, forms, menus,
 headers, footers, sidebars, notices, adverts, reader comments; this second step matters for hosts of few pages and
 for parts that few pages have. ``extract(..., by_names=False)`` gives the text by the first step alone. What class or
-id alone name so is kept if it holds the article; classes of layout or state (has-sidebar, comments-open) name nothing.
+id alone name so is kept if it holds the article, and so is, within the article, what is named by a word that articles are
+about (legal, search); classes of layout or state (has-sidebar, comments-open) name nothing.
 
 An exact subtree outside the article is template from ``few`` pages and a share of ``share`` of the host's pages on,
 inside it from ``many`` and ``inside``. A shape counts only where it stands outside the page's article or, on a page
@@ -45,6 +46,8 @@ _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices popup popups modal overlay sidebar sidebars aside menu menus nav navbar navigation navi breadcrumb breadcrumbs footer foot masthead topbar toolbar share sharing social comment comments commentlist disqus respond replies related recommended recommendations subscribe subscription newsletter signup login search searchbox pagination pager skip widget widgets copyright legal disclaimer".split())
 #: Of these, the ones that name reader comments and links to other articles, which may be articles themselves.
 _OTHERS = frozenset("comment comments commentlist disqus respond replies related recommended recommendations sidebar sidebars aside promo promos promotion sponsor sponsored sponsors ad ads advert adverts".split())
+#: Of these, the ones that an article may be about: inside an article they name nothing.
+_TOPICS = frozenset("legal disclaimer copyright search login signup".split())
 #: A class that tells how a page is laid out or what state it is in (has-sidebar, comments-open) names no element.
 _BEFORE = frozenset("has no with without is not hide hides show shows".split())
 _AFTER = frozenset("open opened closed enabled disabled off on allowed hidden visible active count".split())
@@ -79,7 +82,7 @@ def _named(value: str) -> set[str]:
 
 
 def _unwanted(tag: str, attrs: str) -> int:
-    """0: wanted; 1: unwanted by tag, role or as hidden; 2: by its name; 3: by a name of comments or other articles."""
+    """0: wanted; 1: unwanted by tag, role or as hidden; 2: by its name; 3: by a name of comments or other articles; 4: by a topic's name."""
     if tag in _DROP:
         return 1
     if not attrs or not _NAMED.search(attrs) or tag in ("html", "body", "main"):
@@ -87,14 +90,16 @@ def _unwanted(tag: str, attrs: str) -> int:
     if tag == "article":
         values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)]
         return int(any((n in ("class", "id") and not _named(v).isdisjoint(("comment", "comments"))) or (n == "role" and v == "comment") for n, v in values))
-    found = 0
+    names: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and (names := _named(value) & _NAMES):
-            found = max(found, 2 if names.isdisjoint(_OTHERS) else 3)
+        if name in ("class", "id"):
+            names |= _named(value) & _NAMES
         if (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true"):
             return 1
-    return 1 if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I) else found
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I):
+        return 1
+    return 0 if not names else 4 if names <= _TOPICS else 2 if names.isdisjoint(_OTHERS) else 3
 
 
 class _Open:
@@ -241,7 +246,7 @@ def _rescue(order: list[Element]) -> None:
                 x = wrap[id(x)]
             good = x is None or known[id(x)]
             for x in reversed(chain):
-                good = good and x.drop > 1 and (2 * x.size > size or (not apart and x.drop == 2))
+                good = good and x.drop > 1 and (2 * x.size > size or (not apart and x.drop in (2, 4)))
                 known[id(x)] = good
         for w in inside:
             while w is not None and known[id(w)] and w.drop:
@@ -337,7 +342,7 @@ def main_text(source: str | None, template: frozenset[int] = frozenset(), by_nam
     def unwanted(e: Element) -> bool:
         if not by_names:
             return e.tag in RAW or e.tag == "head"
-        return bool(e.drop) or e.tag == "footer" or (e.tag == "header" and not articles)
+        return (bool(e.drop) and not (e.drop == 4 and e.inner)) or e.tag == "footer" or (e.tag == "header" and not articles)
 
     # walk without recursion: pages nest as deep as they like
     stack: list = [("in", a) for a in reversed(articles if by_names else [])] or [("in", root)]

@@ -1,8 +1,8 @@
 """Variable-capacity best-fit packing.
 
 Sequences go into bins of several permitted lengths. Texts longer than the largest length are cut into pieces of
-that length and a rest. The pieces are dealt to shards by a hash of the document, so that no task holds more
-than its share; each shard is packed on its own, and the cheaper of two packings is taken:
+that length and a rest. The pieces are dealt to shards by a hash (equal rows by their number as well), so that no task holds
+much more than its share; each shard is packed on its own, and the cheaper of two packings is taken:
 
 * jointly: the longest piece left opens a bin. Every length that holds it is filled on trial from the pieces left,
   longest first, and downsized to the smallest length that holds the fill; the trial of least cost per token becomes
@@ -11,8 +11,8 @@ than its share; each shard is packed on its own, and the cheaper of two packings
   bin of the smallest length that holds it; at the end each bin is downsized.
 
 A bin of length n costs n + attention * n * n / largest, so short bins are cheaper per token, and long ones pay where
-they take several pieces. Shards follow from the number of rows (``per_shard`` pieces each), never from the
-cluster, so the result is the same on any.
+they take several pieces. Shards follow from the number of pieces (about ``per_shard`` each), never from the
+cluster, so the result is the same on any; only which of several equal rows goes to which shard follows from the files.
 
 Defined results: null and empty texts have length ``end_tokens`` (the end mark alone); rows with equal ids stay
 rows of their own; an empty table gives no rows; every token of every text lies in exactly one bin.
@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faintline.llm.common import keep, spread_join
+
 LENGTHS = (2048, 4096, 8192, 16384)
 _OUT = "doc_id bigint, piece int, piece_start bigint, n_tokens bigint, shard bigint, bin bigint, bin_capacity bigint, bin_offset bigint"
 
@@ -127,14 +129,18 @@ def pack(df: DataFrame, size: Column | None = None, ident: str = "doc_id", lengt
     """One row per piece: where in its text it starts, and its bin, the bin's final length and its place in it."""
     size = byte_tokens(F.col("text")) if size is None else size
     largest = max(lengths)
-    sized = df.select(F.col(ident).cast("bigint").alias("doc_id"), size.alias("n"))
-    n_shards = max(1, -(-sized.count() // per_shard))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / largest).cast("int")), lambda k: k)
-    cut = sized.filter("n > 0").select("doc_id", "n", F.explode(pieces).alias("piece"))
+    sized = keep(df.select(F.col(ident).cast("bigint").alias("doc_id"), size.alias("n")), "sizes")
+    whole = F.floor((F.col("n") - 1) / largest) + 1
+    n_shards = max(1, -(-(sized.filter("n > 0").agg(F.sum(whole)).first()[0] or 0) // per_shard))
+    # rows of one id and length are told apart by their number in the written table; they are alike in all that is packed
+    numbered = sized.filter("n > 0").withColumns({"row": F.monotonically_increasing_id(), "like": F.xxhash64("doc_id", "n")})
+    likes = numbered.groupBy("like").agg(F.count("*").alias("n_rows"), F.count("*").alias("copies")).filter("n_rows > 1")
+    apart = spread_join(numbered, likes, "like").withColumn("row", F.when(F.col("copies").isNotNull(), F.col("row")))
+    cut = apart.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece"))
     start = (F.col("piece") * F.lit(largest)).cast("bigint")
-    rows = cut.select("doc_id", "piece", start.alias("piece_start"), F.least(F.lit(largest), F.col("n") - start).cast("bigint").alias("n_tokens"))
+    rows = cut.select("doc_id", "piece", "row", start.alias("piece_start"), F.least(F.lit(largest), F.col("n") - start).cast("bigint").alias("n_tokens"))
     # pieces of one text are dealt apart too: a very long text is no burden to one shard
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(n_shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "row"), F.lit(n_shards))).drop("row")
 
     def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable")

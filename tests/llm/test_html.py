@@ -128,3 +128,9 @@ def test_time_grows_with_length():
     for source in bad:
         assert html.main_text(source) and html.subtrees(source)[0]
     assert time.process_time() - began < 15
+
+
+def test_topics_name_nothing_inside_an_article():
+    page = "<article><p>a</p><section class='legal'><p>On legal tender</p></section><div class='search-results-explained'><p>c</p></div><div class='legal sidebar'>d</div></article><div class='legal'>e</div>"
+    assert html.main_text(page) == "a\n\nOn legal tender\n\nc"
+    assert html.main_text("<body><p>a</p><div class='legal'>e</div></body>") == "a"

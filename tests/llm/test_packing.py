@@ -58,6 +58,42 @@ def test_joint_packing():
     assert cheaper
 
 
+def least_cost(sizes, lengths, attention):
+    """The least cost of all partitions of a few pieces into bins."""
+    best = [float("inf")]
+
+    def place(i, loads):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(n for n in lengths if n >= x), lengths[-1], attention) for x in loads))
+            return
+        for k in range(len(loads) + 1):
+            if k == len(loads) or (loads[k] + sizes[i] <= lengths[-1] and loads[k] not in loads[:k]):
+                place(i + 1, [*loads[:k], (loads[k] if k < len(loads) else 0) + sizes[i], *loads[k + 1 :]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cost_against_all_partitions():
+    """Of 300 sets of up to eight pieces 94 % are packed at the least cost; the dearest is 16 % above it."""
+    rnd, excess = random.Random(11), []
+    for _ in range(300):
+        lengths = rnd.choice([(100, 250, 1000), (2048, 4096, 8192, 16384)])
+        sizes = sorted((rnd.randint(1, rnd.choice(lengths)) for _ in range(rnd.randint(1, 8))), reverse=True)
+        bins, capacity, _ = packing.pack_best(np.array(sizes, np.int64), lengths, 0.25)
+        excess.append(packing.total_cost(bins, capacity, lengths[-1], 0.25) / least_cost(sizes, lengths, 0.25) - 1)
+    assert min(excess) > -1e-9 and max(excess) < 0.16 and sum(x < 1e-9 for x in excess) > 270
+
+
+def test_equal_rows_fill_many_shards(spark):
+    df = spark.range(30_000).selectExpr("cast(null as bigint) doc_id", "'same' text").repartition(4)
+    got = packing.pack(df, per_shard=1000).groupBy("shard").count().collect()
+    assert len(got) == 30 and max(r["count"] for r in got) < 1200
+    long = spark.createDataFrame([(1, "x" * 100_000)], "doc_id long, text string")
+    got = packing.pack(long, lengths=(10,), per_shard=1000).groupBy("shard").count().collect()
+    assert len(got) == 11 and max(r["count"] for r in got) < 1200
+
+
 def test_whole_table(spark):
     rnd = random.Random(4)
     rows = [(i % 300, rnd.choice([None, "", "é" * rnd.randint(1, 40), "x" * rnd.randint(1, 90)]), "b", i) for i in range(900)] + [(1000, "y" * 5000, "b", 0), (None, "z", "b", 0)]
