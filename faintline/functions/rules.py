@@ -197,3 +197,12 @@ QUALIFIERS = {
 }
 NOISE_WORDS = ("new", "ship", "launch", "release", "update", "v1", "v2", "beta", "alpha", "oss", "open", "free", "my", "our", "we", "i", "the")
 QUALIFIER_PATTERNS = (r"\bfor\s+([a-z][a-z\s]{2,40})", r"\bto\s+([a-z][a-z\s]{2,35})", r"\bbuilt\s+for\s+([a-z][a-z\s]{2,35})", r"\bthat\s+([a-z][a-z\s]{2,30})")
+# Texts about an opportunity, with what is put into them.
+EXPLANATION = 'Signals from {source} suggest growing demand for tools solving "{pain}". Strong signal around {keyword}.'
+IDEA = 'Build a SaaS platform focused on "{pain}". Start with a simple product helping teams handle this problem faster and expand with analytics, automation and integrations.'
+PREDICTION = "Prediction: {title} will gain significant traction in the next 3-6 months based on emerging signals across {sources}."
+METHODOLOGY = (
+    "## Prediction Methodology\n\n**Opportunity Score:** {score}/100\n**Signal Count:** {count}\n**Signal Sources:** {sources}\n\n### Signal Breakdown\n\n{signals}\n\n"
+    "### Key Indicators\n- High engagement across multiple platforms\n- Growing discussion volume\n- Cross-platform signal convergence\n\n*Auto-generated at {at}*"
+)
+SIGNAL_LINE = "{place}. **{source}**: {title} (score: {score}, comments: {comments})"

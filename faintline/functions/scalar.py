@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -389,3 +390,16 @@ def why_now(velocity: Column, diversity: Column, score: Column, members: Column)
         F.when(members > 5, many).otherwise(few),
     ]
     return F.concat(F.array_join(F.array_compact(F.array(*parts)), ". "), F.lit("."))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with columns in place of its names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def methodology(score: Column, signals: Column, at: str) -> Column:
+    """Notes on how a prediction came about. signals: array of structs (source, title, score, comments), in order."""
+    sources = F.array_join(F.array_distinct(F.transform(signals, lambda s: s["source"])), ", ")
+    line = lambda s, i: filled(R.SIGNAL_LINE, place=i + 1, source=F.upper(s["source"]), title=s["title"], score=s["score"], comments=s["comments"])
+    return filled(R.METHODOLOGY, score=score, count=F.size(signals), sources=sources, signals=F.array_join(F.transform(signals, line), "\n"), at=F.lit(at))

@@ -11,6 +11,7 @@ from faintline.sources.storage import discard, keep
 
 # Least edge weight, least average bond of a member, and sizes.
 LEAST_WEIGHT, BOND, LEAST_SIZE, MOST_SIZE = 2, 0.6, 2, 15
+_SHARE = 50_000
 
 
 def grow(seed: int, candidates: list[tuple[int, float]], weight: dict[tuple[int, int], float]) -> list[int]:
@@ -46,11 +47,14 @@ def greedy(nodes: DataFrame, graph: DataFrame, most: int = 200_000) -> DataFrame
     nodes of larger ones are clustered by ``rounds``, with the same result.
     """
     graph = keep(graph.select("u", "v", F.col("w").cast("double").alias("w")), "graph")
-    root = keep(components(graph.select("u", "v")), "roots")
-    of = lambda df, c: df.join(root.select(F.col("u").alias(c), F.col("v").alias("__root")), c, "left").withColumn("__root", F.coalesce("__root", c))
-    edges, known = of(graph, "u"), of(nodes.select("id", "score"), "id")
+    root = components(graph.select("u", "v"))
+    of = graph.join(root.select("u", F.col("v").alias("__root")), "u", "left").withColumn("__root", F.coalesce("__root", "u"))
+    edges = keep(of, "edges")
+    # a node without edges forms no cluster of two
+    known = edges.select(F.col("u").alias("id"), "__root").distinct().join(nodes.select("id", "score"), "id")
     size = edges.groupBy("__root").agg(F.count("*").alias("n"))
     large = keep(size.filter(F.col("n") > most).select("__root"), "large")
+    share = edges.count() // _SHARE + 1
     rows = edges.select("__root", "u", "v", "w").unionByName(known.select("__root", F.col("id").alias("u"), F.lit(None).cast("bigint").alias("v"), F.col("score").cast("double").alias("w")))
 
     def whole(part: pd.DataFrame) -> pd.DataFrame:
@@ -59,11 +63,13 @@ def greedy(nodes: DataFrame, graph: DataFrame, most: int = 200_000) -> DataFrame
         weight = {(u, int(v)): w for u, v, w in zip(part["u"][~node].tolist(), part["v"][~node].tolist(), part["w"][~node].tolist(), strict=True)}
         return pd.DataFrame(sequential(score, weight), columns=["cluster_id", "concept_id"]).astype("int64")
 
-    done = rows.join(large, "__root", "left_anti").groupBy("__root").applyInPandas(whole, "cluster_id bigint, concept_id bigint")
+    # whole components, some _SHARE edges of them at a time: clusters of one never touch another
+    dealt = rows.join(large, "__root", "left_anti").groupBy(F.pmod(F.xxhash64("__root"), F.lit(share)).alias("__share"))
+    done = dealt.applyInPandas(whole, "cluster_id bigint, concept_id bigint")
     if not large.isEmpty():
         done = done.unionByName(rounds(known.join(large, "__root", "left_semi").select("id", "score"), edges.join(large, "__root", "left_semi").select("u", "v", "w")))
     done = keep(done, "clusters")
-    discard(graph, root, large)
+    discard(graph, edges, large)
     eligible = nodes.select("id")
     size = done.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SIZE)
     marked = done.join(size, "cluster_id", "left_semi").join(eligible.select(F.col("id").alias("concept_id"), F.lit(True).alias("e")), "concept_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
+from faintline.sources.storage import keep
 
 
 def nodes_of(mentions: DataFrame, signals: DataFrame) -> DataFrame:
@@ -118,3 +119,27 @@ def scores(nodes: DataFrame, counts: DataFrame, degree: DataFrame, as_of: str) -
     )
     names = ("frequency", "velocity", "diversity", "recency", "cooccurrence")
     return parts.withColumn("weak_signal_score", S.weak_signal_score(*map(F.col, names)))
+
+
+def maintained_edges(stored: DataFrame, added: DataFrame, removed: DataFrame, left: DataFrame) -> DataFrame:
+    """The edge table after snapshots were added and others removed, without counting what did not change.
+
+    Counts and maps add up and are taken off by pair; a pair without weight goes. First and last sight can't be taken off:
+    only for pairs that lose a snapshot at one of their ends they are read again, from ``left``, the snapshots after the change.
+    A signal's snapshots of a pair come and go together; removing what was never added is the caller's fault.
+    """
+    key = ["concept_a", "concept_b"]
+    more = merge_edges(stored, edges(added))
+    less = edges(removed).select(*key, F.struct("total_weight", "signal_count", "first_seen", "last_seen", "source_distribution").alias("gone"))
+    both = more.join(less, key, "left")
+    took = lambda c: (F.col(c) - F.coalesce(f"gone.{c}", F.lit(0).cast("bigint"))).alias(c)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    taken = F.map_zip_with("source_distribution", F.coalesce("gone.source_distribution", none), lambda k, x, y: x - F.coalesce(y, F.lit(0).cast("bigint")))
+    shown = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(taken, lambda k, n: n > 0)))).alias("source_distribution")
+    ends = ((F.col("gone.first_seen") <= F.col("first_seen")) | (F.col("gone.last_seen") >= F.col("last_seen"))).alias("ends")
+    now = keep(both.select(*key, took("total_weight"), took("signal_count"), "first_seen", "last_seen", shown, ends).filter("total_weight > 0"), "maintained")
+    low, high = F.least("concept_a", "concept_b").alias("concept_a"), F.greatest("concept_a", "concept_b").alias("concept_b")
+    seen = left.select(low, high, "created_at").join(now.filter("ends").select(*key), key, "left_semi")
+    again = seen.groupBy(*key).agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    mended = [F.coalesce("lo", "first_seen").alias("first_seen"), F.coalesce("hi", "last_seen").alias("last_seen")]
+    return now.join(again, key, "left").select(*key, "total_weight", "signal_count", *mended, "source_distribution")

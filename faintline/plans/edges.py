@@ -12,7 +12,7 @@ from faintline.plans.registry import query
 from faintline.plans.text import _OPP, opportunity_scores
 from faintline.plans.views import AS_OF, EVENTS_SQL, HISTORY_SQL, OPPORTUNITIES_SQL, TITLES_SQL
 from faintline.sources import feeds, sinks
-from faintline.sources.storage import table
+from faintline.sources.storage import new_path, table
 from faintline.streaming import limits
 
 W = f"WITH {TITLES_SQL} "
@@ -32,7 +32,11 @@ def _reddit(s, d):
     return feeds.reddit(_landed(V.titles(s, d), item, lambda x: F.struct(F.struct(x.alias("children")).alias("data"))))
 
 
-query("src_reddit", f"{W} SELECT CAST(id AS VARCHAR) AS id, title, CAST(score AS BIGINT) AS score, CAST(engagement AS BIGINT) AS num_comments FROM titles WHERE score > 5")(lambda s, d: _reddit(s, d).select("id", "title", "score", "num_comments"))
+_AGE = f"(epoch_us({NOW}) - epoch_us(created_at) // 1000000 * 1000000) / 86400e6"
+query(
+    "src_reddit",
+    f"{W}, p AS (SELECT CAST(id AS VARCHAR) AS id, title, CAST(score AS BIGINT) AS score, CAST(engagement AS BIGINT) AS num_comments, CAST(floor(least(100.0, (CAST(score AS BIGINT) / 100 * 0.6 + CAST(engagement AS BIGINT) / 50 * 0.4) * (1 + 0.3 * greatest(0.0, 1 - {_AGE} / 7))) + 0.5) AS BIGINT) AS score_ranking FROM titles WHERE score > 5) SELECT * FROM p ORDER BY score_ranking DESC, id LIMIT 30",
+)(lambda s, d: feeds.reddit_top(_reddit(s, d), AS_OF).select("id", "title", "score", "num_comments", "score_ranking"))
 
 
 def _hackernews(s, d):
@@ -41,7 +45,10 @@ def _hackernews(s, d):
     return feeds.hackernews(t.select("id", (F.col("id") % 100).alias("place")), items)
 
 
-query("src_hackernews", f"{W} SELECT id, title, CAST(score AS BIGINT) AS score, CASE WHEN id % 2 = 0 THEN CAST(engagement AS BIGINT) ELSE 0 END AS descendants FROM titles WHERE id % 7 > 0 AND id % 100 < 50")(lambda s, d: _hackernews(s, d).select("id", "title", "score", "descendants"))
+query(
+    "src_hackernews",
+    f"{W}, h AS (SELECT id, title, CAST(score AS BIGINT) AS score, CASE WHEN id % 2 = 0 THEN CAST(engagement AS BIGINT) ELSE 0 END AS descendants, row_number() OVER (ORDER BY id % 100, id) - 1 AS i, created_at FROM titles WHERE id % 7 > 0 AND id % 100 < 50), r AS (SELECT id, title, score, descendants, CAST(floor(least(100.0, (score / 500 * 0.6 + descendants / 200 * 0.4 + (1 - i / 30) * 0.5) * (1 + 0.2 * greatest(0.0, 1 - {_AGE}))) + 0.5) AS BIGINT) AS score_ranking FROM h WHERE i < 30) SELECT * FROM r ORDER BY score_ranking DESC, id LIMIT 15",
+)(lambda s, d: feeds.hackernews_top(_hackernews(s, d), AS_OF).select("id", "title", "score", "descendants", "score_ranking"))
 
 
 def _producthunt(s, d):
@@ -68,18 +75,24 @@ def _stackoverflow(s, d):
 query("src_stackoverflow", f"{W} SELECT id AS question_id, title, id % 3 AS answer_count FROM titles")(lambda s, d: _stackoverflow(s, d).select("question_id", "title", "answer_count"))
 
 
-def _rss(s, d, item="item", body="description"):
-    link = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<link>http://x/"), F.col("id").cast("string"), F.lit("</link>")))
-    one = F.concat(F.lit(f"<{item}><title><![CDATA["), F.replace("title", F.lit("<"), F.lit("")), F.lit(f"]]></title><{body}>about <b>"), F.col("source"), F.lit(f"</b></{body}>"), link, F.lit(f"</{item}>"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", one.alias("i")))), lambda x: x["i"]), "")
-    raw = V.titles(s, d).groupBy(F.floor(F.col("id") / 40).alias("page")).agg(F.concat(F.lit("<rss>"), listed, F.lit("</rss>")).alias("payload"))
-    return feeds.rss(raw, ["page"], item, body)
+def _rss(s, d, atom=False):
+    """Pages of forty items as RSS or Atom, with CDATA, entities and markup; one in five has no link, and every seventh page breaks off."""
+    item, body, head, foot = ("entry", "summary", '<feed xmlns="http://www.w3.org/2005/Atom"><title>a feed</title>', "</feed>") if atom else ("item", "description", '<?xml version="1.0"?><rss version="2.0"><channel><title>a feed</title>', "</channel></rss>")
+    address = F.concat(F.lit("http://x/"), F.col("id").cast("string"))
+    link = F.concat(F.lit('<link rel="alternate" href="'), address, F.lit('"/>')) if atom else F.concat(F.lit("<link>"), address, F.lit("</link>"))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<![CDATA["), "title", F.lit("]]>"))).otherwise(F.replace("title", F.lit("&"), F.lit("&amp;")))
+    one = F.concat(F.lit(f"<{item}><title>"), text, F.lit(f"</title><{body}>about <b>"), F.col("source"), F.lit(f"</b></{body}>"), F.when(F.col("id") % 5 == 0, "").otherwise(link), F.lit(f"</{item}>"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", one.alias("i")))), lambda x: x["i"]), "\n")
+    pages = V.titles(s, d).groupBy(F.floor(F.col("id") / 40).alias("page")).agg(listed.alias("items"))
+    raw = pages.select("page", F.concat(F.lit(head), "items", F.when(F.col("page") % 7 == 3, "<").otherwise(foot)).alias("payload"))
+    return feeds.rss(raw, ["page"])
 
 
-_RSS = f"{W} SELECT title, 'about ' || source AS tagline, 'http://x/' || id AS url FROM titles WHERE id % 5 > 0"
+_WHOLE = "id % 5 > 0 AND CAST(floor(id / 40) AS BIGINT) % 7 <> 3"
+_RSS = f"{W} SELECT title, 'about ' || source AS tagline, 'http://x/' || id AS url FROM titles WHERE {_WHOLE}"
 query("src_producthunt_rss", _RSS)(lambda s, d: _rss(s, d).select("title", "tagline", "url"))
-query("src_arxiv", _RSS)(lambda s, d: _rss(s, d, "entry", "summary").select("title", "tagline", "url"))
-query("src_rss_titles", f"{W} SELECT DISTINCT title FROM titles WHERE id % 5 > 0")(lambda s, d: _rss(s, d).select("title").distinct())
+query("src_arxiv", _RSS)(lambda s, d: _rss(s, d, atom=True).select("title", "tagline", "url"))
+query("src_rss_titles", f"{W} SELECT DISTINCT title FROM titles WHERE {_WHOLE}")(lambda s, d: _rss(s, d).select("title").distinct())
 _asked = lambda t: t.filter("title LIKE '%?'").select("title").distinct().orderBy("title").limit(10).withColumn("place", F.row_number().over(Window.orderBy("title")) - 1)
 _best = lambda t: t.filter("source = 'github'").orderBy(F.desc("score"), "id").limit(10).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).select("title", "place")
 query("src_weekly_top10", f"{W}, a AS (SELECT title, 0 AS feed, row_number() OVER (ORDER BY title) - 1 AS place FROM (SELECT DISTINCT title FROM titles WHERE title LIKE '%?')), b AS (SELECT title, 1 AS feed, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM titles WHERE source = 'github') SELECT title, feed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE place < 10 ORDER BY feed, place LIMIT 10")(
@@ -96,12 +109,32 @@ def _placed(s, d):
 
 
 query("sink_report_html", f"{_PLACED} SELECT '<table>' || string_agg('<tr><td>' || title || '</td><td>' || category || '</td><td>' || confidence || '</td></tr>', '' ORDER BY place) || '</table>' AS html FROM p WHERE place IN (1, 4, 9)")(lambda s, d: sinks.report(_placed(s, d), [1, 4, 9]))
-query("sink_email_digest", "SELECT c_name AS email, '5 trends changed' AS subject, '0: AFRICA' AS head FROM customer WHERE (SELECT min(r_name) FROM region) = 'AFRICA'")(
-    lambda s, d: sinks.digest(table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("trend_slug"), F.col("r_name").alias("lifecycle")), table(s, d, "customer").select(F.col("c_name").alias("email"))).select("email", "subject", F.substring_index("body", "\n", 1).alias("head"))
+_MOVED = f"{HISTORY_SQL}, l AS (SELECT trend_slug, recorded_at, CASE WHEN score >= 50 THEN 'rising' ELSE 'emerging' END AS lifecycle FROM history), moved AS (SELECT trend_slug, lag(lifecycle) OVER (PARTITION BY trend_slug ORDER BY recorded_at) AS previous, lifecycle, recorded_at AS changed_at FROM l)"
+
+
+def _moved(s, d):
+    """Changes of lifecycle; those of slugs that end in 7 have been told of."""
+    states = V.history(s, d).select("trend_slug", "recorded_at", F.when(F.col("score") >= 50, "rising").otherwise("emerging").alias("lifecycle"))
+    before = states.withColumn("previous", F.lag("lifecycle").over(Window.partitionBy("trend_slug").orderBy("recorded_at")))
+    return before.filter(~F.col("previous").eqNullSafe(F.col("lifecycle"))).select("trend_slug", "previous", "lifecycle", F.col("recorded_at").alias("changed_at"), F.col("trend_slug").endswith("7").alias("notified"))
+
+
+query(
+    "sink_email_digest",
+    f"""WITH {OPPORTUNITIES_SQL}, {_MOVED}, best AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS n FROM opportunities ORDER BY n LIMIT 5), a AS (SELECT coalesce(string_agg(n || '. ' || title || chr(10) || category || chr(10) || 'Score: ' || confidence || ' | Lifecycle: ' || CASE WHEN id % 2 = 0 THEN 'rising' ELSE 'Unknown' END, chr(10) || chr(10) ORDER BY n), 'No new opportunities this week.') AS t FROM best),
+    b AS (SELECT coalesce(string_agg(trend_slug || ': ' || coalesce(previous, 'New') || ' to ' || lifecycle, chr(10) ORDER BY changed_at DESC, trend_slug), 'No lifecycle changes this week.') AS t FROM moved WHERE previous IS DISTINCT FROM lifecycle AND trend_slug NOT LIKE '%7' AND changed_at >= {NOW} - INTERVAL 7 DAY)
+    SELECT c_name AS email, 'Your week in trends' AS subject, 'Top opportunities' || chr(10) || chr(10) || a.t || chr(10) || chr(10) || 'Lifecycle changes' || chr(10) || chr(10) || b.t AS body FROM customer, a, b WHERE c_custkey % 3 > 0 AND c_custkey % 5 = 0""",
+)(
+    lambda s, d: sinks.digest(
+        V.opportunities(s, d).select("id", "title", F.col("category").alias("description"), F.col("confidence").alias("score"), F.when(F.col("id") % 2 == 0, "rising").alias("lifecycle")),
+        _moved(s, d),
+        table(s, d, "customer").select(F.col("c_name").alias("email"), F.when(F.col("c_custkey") % 5 > 0, "some-trend").alias("trend_slug"), (F.col("c_custkey") % 3 > 0).alias("confirmed")),
+        AS_OF,
+    )
 )
 _LABEL = "CASE WHEN final_score >= 80 THEN 'High' WHEN final_score >= 60 THEN 'Watch' WHEN final_score >= 40 THEN 'Emerging' ELSE 'Noise' END"
 query("sink_pipeline_log", f"{_OPP}, l AS (SELECT {_LABEL} AS label, count(*) AS n FROM scored GROUP BY 1) SELECT '{{\"signals_in\":' || (SELECT count(*) FROM scored) || ',\"score_range\":[' || (SELECT min(final_score) FROM scored) || ',' || (SELECT max(final_score) FROM scored) || '],\"labels\":{{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}}}}' AS line FROM l")(
-    lambda s, d: sinks.pipeline_log(opportunity_scores(s, d).select(S.opportunity_label(F.col("final_score")).alias("label"), F.col("final_score").alias("score")))
+    lambda s, d: s.createDataFrame([(sinks.logged(opportunity_scores(s, d).select(S.opportunity_label(F.col("final_score")).alias("label"), F.col("final_score").alias("score")), new_path(s, "scored")),)], "line string")
 )
 
 

@@ -216,7 +216,7 @@ query("agg_cluster_metadata", f"WITH {EVENTS_SQL}, m AS (SELECT concept_id % 10
     lambda s, d: V.event_mentions(s, d).join(V.event_signals(s, d), "signal_id").groupBy((F.col("concept_id") % 10).alias("cluster")).agg(S.js_round(F.avg("score")).alias("avg_score"), F.count("*").alias("mentions"), F.countDistinct("source").alias("diversity"), F.min("collected_at").alias("first_seen"), F.max("collected_at").alias("last_seen"))
 )
 query("map_keys_union", f"WITH {EVENTS_SQL} SELECT concept_id % 10 AS cluster, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM ev GROUP BY 1")(
-    lambda s, d: _nodes(s, d).groupBy((F.col("concept_id") % 10).alias("cluster")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("source_distribution"))))), ",").alias("sources"))
+    lambda s, d: _nodes(s, d).select("concept_id", F.explode(F.map_keys("source_distribution")).alias("source")).groupBy((F.col("concept_id") % 10).alias("cluster")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 )
 query("top_clusters", f"WITH {_CL} SELECT cluster, round(avg(score), 6) AS mean FROM members GROUP BY 1 ORDER BY mean DESC, cluster LIMIT 20")(lambda s, d: _listed(_members(s, d)).select("cluster", F.round("mean", 6).alias("mean")).orderBy(F.desc("mean"), "cluster").limit(20))
 query("join_cluster_concepts_recent", f"WITH {EVENTS_SQL} SELECT concept_id % 10 AS cluster, c_name, max(collected_at) AS last_seen FROM ev JOIN customer ON c_custkey = concept_id WHERE collected_at >= {NOW} - INTERVAL 7 DAY GROUP BY 1, 2 ORDER BY last_seen DESC, c_name LIMIT 50")(
@@ -243,7 +243,19 @@ def _keyword_quality(s, d):
 
 
 query("agg_weighted_quality", f"{_KQ} SELECT id, coalesce(CAST(floor(sum(q * n) / nullif(sum(n), 0) + 0.5) AS BIGINT), 5) AS quality FROM o LEFT JOIN kq USING (keyword) GROUP BY 1")(_keyword_quality)
-query("join_keyword_sources", f"{_KQ} SELECT id, coalesce(CAST(floor(sum(q * n) / nullif(sum(n), 0) + 0.5) AS BIGINT), 5) AS quality FROM o LEFT JOIN kq USING (keyword) GROUP BY 1")(_keyword_quality)
+query("join_keyword_sources", f"{_KQ}, ks AS (SELECT DISTINCT keywords[2] AS keyword, source FROM titles) SELECT id, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources FROM o LEFT JOIN ks USING (keyword) GROUP BY 1")(
+    lambda s, d: _keyword_sources(s, d)
+)
+
+
+def _keyword_sources(s, d):
+    t = V.titles(s, d)
+    known = t.groupBy(F.get("keywords", 1).alias("keyword")).agg(F.array_sort(F.collect_set("source")).alias("sources"))  # four at most
+    words = t.select("id", F.explode(F.array_distinct(F.filter(F.split(S.slugify(F.col("title")), "-"), lambda w: F.length(w) > 3))).alias("keyword"))
+    found = words.join(known, "keyword", "left").select("id", F.explode_outer("sources").alias("source"))
+    return found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
 query("agg_prediction_stats", f"{OP} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'draft') AS draft, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'confirmed') AS confirmed, count(*) FILTER (WHERE status = 'failed') AS failed FROM predictions")(
     lambda s, d: V.predictions(s, d).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("draft", "pending", "confirmed", "failed")])
 )
@@ -430,6 +442,19 @@ query("upsert_concepts", f"WITH {EVENTS_SQL} SELECT concept_id, count(*) AS ment
 query("upsert_edges", f"{_E} SELECT concept_a, concept_b, total_weight, first_seen, last_seen, signal_count FROM edges")(
     lambda s, d: concepts.merge_edges(*[concepts.edges(_snaps(s, d).filter(F.col("signal_id") % 2 == k)) for k in (0, 1)]).select("concept_a", "concept_b", "total_weight", "first_seen", "last_seen", "signal_count")
 )
+query("edge_maintenance", f"{_E}, k AS (SELECT * FROM snaps WHERE NOT (signal_id % 5 = 0 AND signal_id % 4 < 3)), s AS (SELECT concept_a, concept_b, string_agg(source || '=' || n, ',' ORDER BY source) AS by_source FROM (SELECT concept_a, concept_b, source, count(*) AS n FROM k GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT concept_a, concept_b, count(*) AS total_weight, count(DISTINCT signal_id) AS signal_count, min(created_at) AS first_seen, max(created_at) AS last_seen, any_value(by_source) AS by_source FROM k JOIN s USING (concept_a, concept_b) GROUP BY 1, 2")(
+    lambda s, d: _edges_maintained(s, d)
+)
+
+
+def _edges_maintained(s, d):
+    """Three quarters of the signals are stored; the others come, and every fifth of those stored goes with its snapshots."""
+    every = _snaps(s, d)
+    stored, gone = F.col("signal_id") % 4 < 3, F.col("signal_id") % 5 == 0
+    table_ = concepts.edges(every.filter(stored))
+    return concepts.maintained_edges(table_, every.filter(~stored), every.filter(stored & gone), every.filter(~(stored & gone))).withColumn("by_source", _shown()).drop("source_distribution")
+
+
 query("upsert_velocity", f"{_VEL} SELECT concept_id, coalesce(velocity_7d, 0) AS velocity_7d FROM vel")(
     lambda s, d: (lambda v: signals.upsert(v.filter("concept_id % 2 = 0").withColumn("velocity_7d", F.lit(9.0)), v, ["concept_id"], ["velocity_7d"]))(_velocity(s, d).select("concept_id", "velocity_7d"))
 )
@@ -475,8 +500,10 @@ query("win_best_of_cluster", f"WITH {TITLES_SQL}, r AS (SELECT id, source, id %
     lambda s, d: V.titles(s, d).groupBy((F.col("id") % 40).alias("cluster")).agg(F.min_by("id", F.struct((-F.col("engagement")).alias("e"), "id")).alias("id"))
 )
 query("win_rank_boost", f"WITH {TITLES_SQL}, r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY created_at, id) - 1 AS i FROM titles) SELECT id, round((1 - i / 30) * 0.5, 6) AS boost FROM r WHERE i < 30")(
-    lambda s, d: V.titles(s, d).withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("created_at", "id")) - 1).filter("i < 30").select("id", F.round((1 - F.col("i") / 30) * 0.5, 6).alias("boost"))
+    lambda s, d: V.titles(s, d).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("created_at", "id"))).filter("place <= 30").select("id", F.round((1 - (F.col("place") - 1) / 30) * 0.5, 6).alias("boost"))
 )
 query("low_engagement_filter", f"WITH {TITLES_SQL} SELECT id FROM titles WHERE score > 5")(lambda s, d: V.titles(s, d).filter("score > 5").select("id"))
-query("quality_unscored_filter", f"WITH {TITLES_SQL} SELECT id FROM titles WHERE score % 10 = 5")(lambda s, d: V.titles(s, d).filter("score % 10 = 5").select("id"))
+query("quality_unscored_filter", f"WITH {TITLES_SQL}, q AS (SELECT id, CASE WHEN id % 4 > 0 THEN CASE WHEN id % 3 = 0 THEN 5 ELSE score % 10 END END AS quality_score FROM titles) SELECT id FROM q WHERE quality_score = 5")(
+    lambda s, d: V.titles(s, d).withColumn("quality_score", F.when(F.col("id") % 4 > 0, F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("score") % 10))).filter("quality_score = 5").select("id")
+)
 query("json_events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")))

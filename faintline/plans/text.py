@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from faintline.functions import rules as R
@@ -92,6 +94,28 @@ query("top_ranked_topic", f"{W}, r AS (SELECT id, CASE WHEN {_bonus} = 0 THEN 0
     lambda s, d: titles(s, d).select("id", S.topic_rank(T(), F.lit(None).cast("string"), F.col("keywords"), F.col("score"), "API monitoring").alias("rank")).filter("rank > 0").orderBy(F.desc("rank"), "id").limit(6)
 )
 _per_title("pain_agentic", lambda: S.agent_pain(T(), F.col("source")), _case(((_any("lower(title)", w), _q(t)) for w, t in R.AGENT_PAINS), "'managing ' || source || ' workflows efficiently'"), "pain")
+_PAIN = _case(((_any("lower(title)", w), _q(t)) for w, t in R.AGENT_PAINS), "'managing ' || source || ' workflows efficiently'")
+_filled = lambda template, **values: " || ".join(values[x] if i % 2 else _q(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)))
+_WORD = "keywords[2]"
+_CAPITAL = f"CASE {_WORD} WHEN 'ai' THEN 'AI' ELSE upper({_WORD}[1:1]) || {_WORD}[2:] END"
+_per_title("explanation_text", lambda: S.filled(R.EXPLANATION, source=F.col("source"), pain=S.agent_pain(T(), F.col("source")), keyword=S.capitalize(F.get("keywords", 1))), _filled(R.EXPLANATION, source="source", pain=_PAIN, keyword=_CAPITAL), "explanation")
+_per_title("idea_text", lambda: S.filled(R.IDEA, pain=S.agent_pain(T(), F.col("source"))), _filled(R.IDEA, pain=_PAIN), "idea")
+_SNAPS = f"{W}, g AS (SELECT id % 500 AS opportunity_id, list(source ORDER BY id) AS sources, count(*) AS n, max(score) AS score, string_agg('{{place}}. **' || upper(source) || '**: ' || title || ' (score: ' || CAST(score AS BIGINT) || ', comments: ' || CAST(engagement AS BIGINT) || ')', chr(10) ORDER BY id) AS signals FROM (SELECT *, row_number() OVER (PARTITION BY id % 500 ORDER BY id) AS place FROM titles) GROUP BY 1), f AS (SELECT opportunity_id, array_to_string(list_filter(sources, lambda x, i: list_position(sources, x) = i), ', ') AS sources, n, CAST(score AS BIGINT) AS score, signals FROM g)".replace("'{place}. **'", "place || '. **'")
+
+
+def _snapshots(s, d):
+    """The signals of an opportunity, in order; a few for each."""
+    one = F.struct("source", "title", F.col("score").cast("bigint").alias("score"), F.col("engagement").cast("bigint").alias("comments"))
+    grouped = titles(s, d).groupBy((F.col("id") % 500).alias("opportunity_id")).agg(F.sort_array(F.collect_list(F.struct("id", one.alias("one")))).alias("all"), F.max("score").cast("bigint").alias("score"))
+    return grouped.select("opportunity_id", "score", F.transform("all", lambda x: x["one"]).alias("signals"))
+
+
+query("prediction_text", f"{_SNAPS} SELECT opportunity_id, {_filled(R.PREDICTION, title=_q('Opportunity ') + ' || opportunity_id', sources='sources')} AS prediction FROM f")(
+    lambda s, d: _snapshots(s, d).select("opportunity_id", S.filled(R.PREDICTION, title=F.concat(F.lit("Opportunity "), F.col("opportunity_id").cast("string")), sources=F.array_join(F.array_distinct(F.transform("signals", lambda x: x["source"])), ", ")).alias("prediction"))
+)
+query("methodology_notes", f"{_SNAPS} SELECT opportunity_id, {_filled(R.METHODOLOGY, score='score', count='n', sources='sources', signals='signals', at=_q(AS_OF))} AS notes FROM f")(
+    lambda s, d: _snapshots(s, d).select("opportunity_id", S.methodology(F.col("score"), F.col("signals"), AS_OF).alias("notes"))
+)
 _per_title("opportunity_filter_flag", lambda: S.is_opportunity(T(), F.col("source")), f"source IN ('hackernews', 'github') OR {_any('lower(title)', R.OPPORTUNITY_KEYWORDS)}", "kept")
 query("opportunity_filter", f"{W} SELECT id, title FROM titles WHERE source IN ('hackernews', 'github') OR {_any('lower(title)', R.OPPORTUNITY_KEYWORDS)}")(lambda s, d: titles(s, d).filter(S.is_opportunity(T(), F.col("source"))).select("id", "title"))
 query("html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", S.html_escape(F.col("html")).alias("escaped")))

@@ -5,7 +5,7 @@ Live requests are no part of this: a landing job stores the responses, these par
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
@@ -36,6 +36,19 @@ def hackernews(ids: DataFrame, items: DataFrame, most: int = 50) -> DataFrame:
     return ids.filter(F.col("place") < most).join(parsed, "id").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
 
 
+def reddit_top(posts: DataFrame, as_of: str, limit: int = 15) -> DataFrame:
+    """The posts of the best rank, twice ``limit`` of them, best first; equal ranks by id."""
+    ranked = posts.withColumn("score_ranking", S.score_reddit(F.col("score"), F.col("num_comments"), S.age_days(F.col("created_at"), as_of)))
+    return ranked.orderBy(F.desc("score_ranking"), "id").limit(2 * limit)
+
+
+def hackernews_top(stories: DataFrame, as_of: str, limit: int = 15) -> DataFrame:
+    """Of the first stories of the list, twice ``limit`` of them, the ``limit`` of the best rank, best first; equal places and ranks by id."""
+    first = stories.orderBy("place", "id").limit(2 * limit).withColumn("i", F.row_number().over(Window.orderBy("place", "id")) - 1)
+    age = S.age_days(F.timestamp_seconds("time"), as_of)
+    return first.withColumn("score_ranking", S.score_hackernews(F.col("score"), F.col("descendants"), F.col("i"), age)).orderBy(F.desc("score_ranking"), "id").limit(limit)
+
+
 def producthunt(raw: DataFrame, kept: list[str] | None = None) -> DataFrame:
     return _items(raw, PRODUCTHUNT, "posts", kept or []).select(*(kept or []), "place", "item.*")
 
@@ -50,21 +63,35 @@ def stackoverflow(raw: DataFrame, kept: list[str] | None = None) -> DataFrame:
     return _items(raw, STACKOVERFLOW, "items", kept or []).select(*(kept or []), "place", "item.*")
 
 
-def _between(text: Column, tag: str) -> Column:
-    plain = F.regexp_extract(text, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1"), "<[^>]*>", ""))
+_ENTRY = "title: string, link: struct<_VALUE: string, _href: string>, description: string, summary: string, pubDate: string, published: string"
+#: Where the items of RSS 2, of RSS 1 and of Atom are.
+XML = f"channel struct<item: array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>, _damaged string"
+
 
+def _parsed(raw: DataFrame) -> Column:
+    return F.from_xml("payload", XML, {"columnNameOfCorruptRecord": "_damaged", "ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"})
 
-def rss(raw: DataFrame, kept: list[str] | None = None, item: str = "item", body: str = "description") -> DataFrame:
-    """Items of RSS (or entries of Atom) texts that have a title and a link; deterministic votes in place of random ones."""
+
+def rss(raw: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Items of RSS or entries of Atom that have a title and a link; deterministic votes in place of random ones.
+
+    Markup inside a text goes, entities and CDATA are read, namespaces left out. A text that is no XML has no items and is
+    among the ``damaged``.
+    """
     kept = kept or []
-    found = F.regexp_extract_all("payload", F.lit(rf"(?is)<{item}\b[^>]*>(.*?)</{item}>"), F.lit(1))
-    rows = raw.select(*kept, F.posexplode(found).alias("place", "x"))
-    link = F.when(_between(F.col("x"), "link") != "", _between(F.col("x"), "link")).otherwise(F.regexp_extract("x", r"(?i)<link[^>]*href=\"([^\"]*)\"", 1))
-    out = rows.select(*kept, "place", _between(F.col("x"), "title").alias("title"), F.substring(_between(F.col("x"), body), 1, TAGLINE).alias("tagline"), link.alias("url"), _between(F.col("x"), "pubDate").alias("published"))
+    items = F.coalesce("x.channel.item", "x.item", "x.entry")
+    rows = raw.select(*kept, _parsed(raw).alias("x")).select(*kept, F.posexplode(items).alias("place", "i"))
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", ""))
+    body, link = F.coalesce("i.description", "i.summary"), F.coalesce(F.nullif(F.trim("i.link._VALUE"), F.lit("")), "i.link._href")
+    out = rows.select(*kept, "place", plain(F.col("i.title")).alias("title"), F.substring(plain(body), 1, TAGLINE).alias("tagline"), F.trim(F.coalesce(link, F.lit(""))).alias("url"), F.coalesce("i.pubDate", "i.published").alias("published"))
     return out.filter("title <> '' AND url <> ''").withColumn("votes_count", 100 + F.pmod(F.xxhash64("url"), F.lit(500)))
 
 
+def damaged(raw: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """The texts that are no XML."""
+    return raw.select(*(kept or []), "payload", _parsed(raw).alias("x")).filter("x._damaged IS NOT NULL").drop("x")
+
+
 def gap_filled(first: DataFrame, second: DataFrame, most: int = 10) -> DataFrame:
     """The first feed's rows, then as many of the second's as there is room for; both have ``place``."""
     both = first.withColumn("feed", F.lit(0)).unionByName(second.withColumn("feed", F.lit(1)))

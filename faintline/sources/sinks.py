@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
@@ -29,12 +31,27 @@ def report(opportunities: DataFrame, chosen: list[int]) -> DataFrame:
     return rows.agg(F.concat(F.lit("<table>"), listed, F.lit("</table>")).alias("html"))
 
 
-def digest(changes: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """A mail per subscriber of everything: its subject and the changes it lists, the first 100 by name. The list is the same for all."""
-    listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "trend_slug", "lifecycle"))), "\n")
-    body = changes.orderBy("trend_slug").limit(100).agg(listed.alias("body"))
-    mail = body.join(F.broadcast(changes.agg(F.concat(F.count("*").cast("string"), F.lit(" trends changed")).alias("subject"))))
-    return subscribers.select("email").join(F.broadcast(mail)).select("email", "subject", "body")
+def digest(opportunities: DataFrame, changes: DataFrame, subscribers: DataFrame, as_of: str, days: int = 7, top: int = 5) -> DataFrame:
+    """(email, subject, body): one text for all confirmed subscribers of everything, with the best opportunities and every change of the last days that nobody was told of, newest first.
+
+    opportunities: id, title, description, score, lifecycle. changes: trend_slug, previous, lifecycle, changed_at, notified.
+    subscribers: email, trend_slug, confirmed. A mail holds its whole text, so the changes of a week are gathered in one row.
+    """
+    best = opportunities.orderBy(F.desc("score"), "id").limit(top)
+    told = F.concat(F.lit(". "), "title", F.lit("\n"), "description", F.lit("\nScore: "), F.col("score").cast("string"), F.lit(" | Lifecycle: "), F.coalesce("lifecycle", F.lit("Unknown")))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", told.alias("told"))))
+    first = best.agg(F.array_join(F.transform(listed, lambda e, i: F.concat((i + 1).cast("string"), e["told"])), "\n\n").alias("first"))
+    moved = F.concat("trend_slug", F.lit(": "), F.coalesce("previous", F.lit("New")), F.lit(" to "), "lifecycle")
+    newest = F.sort_array(F.collect_list(F.struct((-F.unix_micros(F.col("changed_at").cast("timestamp"))).alias("t"), "trend_slug", moved.alias("told"))))
+    then = unseen(changes, as_of, days).agg(F.array_join(F.transform(newest, lambda e: e["told"]), "\n").alias("then"))
+    part = lambda c, empty: F.when(F.col(c) == "", empty).otherwise(F.col(c))
+    body = F.concat(F.lit("Top opportunities\n\n"), part("first", "No new opportunities this week."), F.lit("\n\nLifecycle changes\n\n"), part("then", "No lifecycle changes this week."))
+    mail = first.join(F.broadcast(then)).select(F.lit("Your week in trends").alias("subject"), body.alias("body"))
+    return subscribers.filter("confirmed AND trend_slug IS NULL").select("email").join(F.broadcast(mail))
+
+
+def unseen(changes: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    return changes.filter((F.col("changed_at") >= S.days_before(as_of, days)) & ~F.col("notified"))
 
 
 def due(changes: DataFrame, subscriptions: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -43,7 +60,7 @@ def due(changes: DataFrame, subscriptions: DataFrame, as_of: str, days: int = 7)
     changes: trend_slug, lifecycle, changed_at, notified. Subscribers of all trends meet the recent changes, which are
     few, by a broadcast; all others by the slug.
     """
-    recent = changes.filter((F.col("changed_at") >= S.days_before(as_of, days)) & ~F.col("notified"))
+    recent = unseen(changes, as_of, days)
     one = subscriptions.filter("trend_slug IS NOT NULL").join(recent, "trend_slug")
     every = subscriptions.filter("trend_slug IS NULL").drop("trend_slug").join(recent)
     return one.unionByName(every)
@@ -54,8 +71,18 @@ def notified(changes: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return changes.withColumn("notified", F.col("notified") | (F.col("changed_at") >= S.days_before(as_of, days)))
 
 
-def pipeline_log(scored: DataFrame) -> DataFrame:
-    """One JSON line: how many signals, their score range, and how many bear each label."""
-    labels = scored.groupBy("label").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    line = F.struct(F.sum("n").alias("signals_in"), F.array(F.min("lo"), F.max("hi")).alias("score_range"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
-    return labels.agg(F.to_json(line).alias("line"))
+#: The labels of opportunities.
+LABELS = ("Emerging", "High", "Noise", "Watch")
+
+
+def logged(scored: DataFrame, path: str) -> str:
+    """Append scored rows (score, label) to a table and give the run's log line: how many, their score range, and how many bear each label.
+
+    The figures are observed on the write itself, so no row is read or computed twice for them.
+    """
+    seen = Observation("signals")
+    each = [F.count_if(F.col("label") == x).alias(x) for x in LABELS]
+    append(scored.observe(seen, F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), *each), path)
+    found = seen.get
+    labels = {x: found[x] for x in LABELS if found[x]}
+    return json.dumps({"signals_in": found["n"], "score_range": [found["lo"], found["hi"]], "labels": labels}, separators=(",", ":"))
