@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
+from faintline.operators.joins import salted_join, spread_join
 
 
 def propagation(mentions: DataFrame, signals: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -41,11 +42,22 @@ def failed_trends(history: DataFrame, as_of: str, least_peak: int = 40, idle: in
     return each.filter((F.col("peak_score") >= least_peak) & (fell | idle_)).select("trend_slug", "peak_score", "peak_at", F.when(idle_, "inactive").otherwise("velocity").alias("reason"))
 
 
-def launches(concepts: DataFrame, products: DataFrame, least: float = 0.5) -> DataFrame:
-    """Products whose title shares enough words with a concept seen before, and the days between."""
+def launches(concepts: DataFrame, products: DataFrame, least: float = 0.5, share: int = 10_000) -> DataFrame:
+    """Products whose title shares enough words with a concept seen before, and the days between.
+
+    A product that has ``least`` of a concept's m words has one of any m - ceil(least * m) + 1 of them; they meet by the
+    ones fewest products have, and the pairs of a word that many have are dealt to many tasks.
+    """
     words = lambda c: F.array_distinct(S.concept_tokens(c))
-    c = concepts.select("concept_id", "first_seen", F.size(words(F.col("concept"))).alias("m"), F.explode(words(F.col("concept"))).alias("w"))
-    p = products.select("product_id", "launched", F.explode(words(F.col("title"))).alias("w"))
-    hits = c.join(p, "w").groupBy("concept_id", "product_id", "first_seen", "launched", "m").agg(F.count("*").alias("n")).filter(F.col("n") / F.col("m") >= least)
+    c = concepts.select("concept_id", "first_seen", words(F.col("concept")).alias("ws"))
+    p = products.select("product_id", "launched", words(F.col("title")).alias("ps"))
+    by_word = p.select(F.col("product_id"), F.explode("ps").alias("w"))
+    each = c.select("concept_id", F.size("ws").alias("m"), F.explode("ws").alias("w"))
+    held = by_word.groupBy("w").agg(F.count("*").alias("held"))
+    ranked = spread_join(each, each.groupBy("w").agg(F.count("*").alias("n_rows")).join(held, "w", "left"), "w")
+    place = F.row_number().over(Window.partitionBy("concept_id").orderBy(F.coalesce("held", F.lit(0)), "w"))
+    some = ranked.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.ceil(F.col("m") * least) + 1)
+    met = salted_join(some.select("concept_id", "w"), by_word, "w", share).select("concept_id", "product_id").distinct()
+    hits = met.join(c, "concept_id").join(p, "product_id").filter(F.size(F.array_intersect("ws", "ps")) / F.size("ws") >= least)
     days = F.floor((F.unix_micros(F.col("launched").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 86_400e6)
     return hits.select("concept_id", "product_id", days.alias("lead_time_days"))
