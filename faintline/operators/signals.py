@@ -18,6 +18,7 @@ FEEDS = {
     "github": (None, None, None, "title"),
 }
 SIMILAR, SHARED = 0.6, 0.5  # of titles, of keywords
+_BATCH = 4096
 
 
 def normalize(raw: DataFrame, feed: str) -> DataFrame:
@@ -83,15 +84,14 @@ def _keyword_tokens(reps: DataFrame) -> DataFrame:
     return _ranked(each)
 
 
-def _pairs(reps: DataFrame, left: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """(seed, other): representatives of which the first, and where ``ordered`` earlier, absorbs the second; seeds from ``left``, if given."""
-    first = lambda x: x if left is None else x.join(left.select("r"), "r", "left_semi")
+def _pairs(reps: DataFrame, ordered: bool = True) -> DataFrame:
+    """(seed, other): representatives of which the first, and where ``ordered`` earlier, absorbs the second."""
     side = lambda x, r: x.select(F.col("r").alias(r), "w")
     titles = keep(_title_tokens(reps), "grams")
     words = keep(_keyword_tokens(reps), "keywords")
     some = words.filter(F.col("place") <= F.ceil(F.col("n") / 2))
     found = [(titles, titles), (some.filter("not twice"), some), (words.filter("twice"), words)]
-    met = reduce(DataFrame.unionByName, [side(first(x), "seed").join(side(y, "other"), "w").filter("seed <> other").select("seed", "other") for x, y in found]).distinct()
+    met = reduce(DataFrame.unionByName, [side(x, "seed").join(side(y, "other"), "w").filter("seed <> other").select("seed", "other") for x, y in found]).distinct()
     side = lambda p, r: reps.select(F.col("r").alias(r), F.col("o").alias(f"{p}_o"), F.col("t").alias(f"{p}_t"), F.col("k").alias(f"{p}_k"))
     near = (F.least(F.length("a_t"), F.length("b_t")) > SIMILAR * F.greatest(F.length("a_t"), F.length("b_t"))) & (S.edit_similarity(F.col("a_t"), F.col("b_t")) > SIMILAR)
     shared = (F.size("a_k") > 2) & (keyword_overlap(F.col("a_k"), F.col("b_k")) > SHARED)
@@ -143,29 +143,45 @@ def leaders(nodes: DataFrame, pairs: DataFrame, order: str, ident: str = "id") -
 
 
 def title_leaders(df: DataFrame, order: str, ident: str = "id", batch: int = 256) -> DataFrame:
-    """(id, leader) over all rows, as ``leaders`` of ``similar_titles``, without listing all pairs.
+    """(id, leader) over all rows, as ``leaders`` of ``similar_titles``, without listing all pairs. Ids are whole numbers.
 
     Rows of equal title and keywords share the leader of the earliest. The earliest undecided ones choose their
-    leaders among themselves, then these absorb all later ones they resemble; each batch is twice the one before.
+    leaders among themselves, then these absorb all later ones they resemble; each batch is twice the one before,
+    up to _BATCH, for the leaders of a batch go to all tasks.
     """
+    from faintline.operators.titles import alike  # titles builds on this module
+
     reps, member = _representatives(df, ident, order)
     left, led = reps, None
     while not left.isEmpty():
         head = keep(left.orderBy("o").limit(batch), "head")
         of = keep(leaders(head.withColumnRenamed("r", "id"), _pairs(head), "o").withColumnsRenamed({"id": "r"}), "leaders")
-        rest = left.join(head.select("r"), "r", "left_anti")
+        rest = keep(left.join(head.select("r"), "r", "left_anti"), "rest")
         now = head.join(of.filter("r = leader").select("r"), "r", "left_semi")
-        met = _pairs(now.unionByName(rest), now).join(now.select(F.col("r").alias("other")), "other", "left_anti")
+        few = [(int(x.r), x.t) for x in now.select("r", "t").collect()]
+        met = alike(few, rest).unionByName(_shared(now.unionByName(rest), now)).join(rest.select(F.col("r").alias("other")), "other", "left_semi")
         taken = keep(met.join(now.select(F.col("r").alias("seed"), "o"), "seed").groupBy("other").agg(F.min_by("seed", "o").alias("leader")).withColumnRenamed("other", "r"), "taken")
         done = of.unionByName(taken)
         led = done if led is None else led.unionByName(done)
         left = keep(rest.join(taken.select("r"), "r", "left_anti"), "left")
-        batch *= 2
+        batch = min(2 * batch, _BATCH)
     if led is None:
         return member.select("id", F.col("r").alias("leader"))
     return member.join(led, "r").select("id", "leader")
 
 
+def _shared(reps: DataFrame, left: DataFrame) -> DataFrame:
+    """(seed, other): seeds of ``left`` with more than two keywords, and the representatives that share enough of them."""
+    words = keep(_keyword_tokens(reps), "keywords")
+    some = words.filter(F.col("place") <= F.ceil(F.col("n") / 2))
+    first = lambda x: x.join(left.select("r"), "r", "left_semi")
+    side = lambda x, r: x.select(F.col("r").alias(r), "w")
+    met = side(first(some.filter("not twice")), "seed").join(side(some, "other"), "w").unionByName(side(first(words.filter("twice")), "seed").join(side(words, "other"), "w"))
+    lists = lambda r, k: reps.select(F.col("r").alias(r), F.col("k").alias(k))
+    both = met.filter("seed <> other").select("seed", "other").distinct().join(lists("seed", "a"), "seed").join(lists("other", "b"), "other")
+    return both.filter((F.size("a") > 2) & (keyword_overlap(F.col("a"), F.col("b")) > SHARED)).select("seed", "other")
+
+
 def dedupe(df: DataFrame, order: str = "ordinal") -> DataFrame:
     """Per leader cluster the member with most engagement (of equals the first), with the number of the others."""
     of = df.join(title_leaders(df, order), "id")

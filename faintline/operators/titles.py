@@ -78,6 +78,29 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def alike(few: list[tuple[int, str]], rows: DataFrame) -> DataFrame:
+    """(seed, other): the rows (r, t) whose title equals or is similar to one of a few titles (number, text), which go to all tasks."""
+    text = [t for _, t in few]
+    size = np.array([len(t) for t in text], np.int64)
+    name = np.array([r for r, _ in few], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PART):
+                some = batch.slice(at, _PART)
+                mine, ids = some.column("t").to_pylist(), some.column("r").to_numpy()
+                length = np.array([len(t) for t in mine], np.int64)
+                # a title can only be similar to one of more than three fifths of its length
+                fits = np.flatnonzero((size * DEN > length.min() * (DEN - NUM)) & (size * (DEN - NUM) < length.max() * DEN) | (size == 0))
+                for lo in range(0, len(fits), _PART):
+                    part = fits[lo : lo + _PART]
+                    far = distances([text[i] for i in part], mine)
+                    a, b = np.nonzero((far * DEN < np.maximum(size[part][:, None], length[None]) * NUM) | (far == 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(name[part][a]), pa.array(ids[b])], ["seed", "other"])
+
+    return rows.select("r", "t").mapInArrow(run, "seed bigint, other bigint")
+
+
 def _balls(titles: DataFrame) -> DataFrame:
     """titles (t, w, low, tid) with lead and r: the nearest leader of a title's buckets and the distance to it, if that is half of what similar titles may have."""
     text = F.concat(F.lit("\x02"), "t", F.lit("\x03"))

@@ -489,6 +489,19 @@ query("digest_batch", f"{H}, {_SUBS}, c AS (SELECT trend_slug, max(recorded_at)
 query("subscribe_ignore", f"WITH {_SUBS} SELECT c_custkey, trend_slug FROM subs UNION ALL SELECT c_custkey, trend_slug FROM subs WHERE trend_slug IS NULL")(
     lambda s, d: signals.insert_ignore(_subscriptions(s, d), _subscriptions(s, d), ["c_custkey", "trend_slug"]).select("c_custkey", "trend_slug")
 )
+# deleting a conversation takes its messages first; those left are listed with the number of theirs, the newest first
+query("chat_deletion", "SELECT conv_id, count(*) AS messages, row_number() OVER (ORDER BY conv_id DESC) AS place FROM conversations WHERE conv_id % 3 > 0 GROUP BY 1 ORDER BY conv_id DESC LIMIT 50")(lambda s, d: _chats_left(s, d))
+
+
+def _chats_left(s, d):
+    messages = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    chats = messages.select("conv_id").distinct()
+    gone = chats.filter("conv_id % 3 = 0")
+    left = messages.join(gone, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("messages"))
+    listed = chats.join(gone, "conv_id", "left_anti").join(left, "conv_id", "left").select("conv_id", F.coalesce("messages", F.lit(0)).alias("messages"))
+    return listed.orderBy(F.desc("conv_id")).limit(50).withColumn("place", F.row_number().over(Window.orderBy(F.desc("conv_id"))))
+
+
 query("chat_messages", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, role, text FROM conversations")(
     lambda s, d: table(s, d, "conversations").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")).select("conv_id", "place", "role", "text")
 )
