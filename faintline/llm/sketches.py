@@ -42,8 +42,9 @@ ROWS, BANDS = 5, 40
 T = ROWS * BANDS
 #: Bins that two sets at the threshold agree in at least, six deviations below the mean.
 LOW = int(T * NUM / DEN - 6 * (T * NUM / DEN * (1 - NUM / DEN)) ** 0.5)
-#: Sets and shingles of a part, about; from this many members on a component has parts of its own.
-_PART, _TOKENS, _LARGE = 128, 1 << 19, 64
+#: Sets and shingles of a part, about; sketches that are compared with as many others at a time, about; from so many members
+#: on a component has parts of its own.
+_PART, _TOKENS, _BLOCK, _LARGE = 128, 1 << 19, 1024, 64
 _SLICE = 1 << 18
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -176,7 +177,7 @@ def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
 
     In a bucket, the sets of its largest component (major) meet only those of the others, and these each other.
     """
-    blocks = lambda n: F.ceil(F.col(n) / _PART).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / _BLOCK).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     large = F.col("root") == F.col("major")
     rows = mixed.withColumn("own", F.pmod("part", F.when(large, blocks("n_major")).otherwise(blocks("n_minor"))).cast("int"))
