@@ -44,7 +44,7 @@ T = ROWS * BANDS
 LOW = int(T * NUM / DEN - 6 * (T * NUM / DEN * (1 - NUM / DEN)) ** 0.5)
 #: Sets and shingles of a part, about; sketches that are compared with as many others at a time, about; from so many members
 #: on a component has parts of its own.
-_PART, _TOKENS, _BLOCK, _LARGE = 128, 1 << 19, 1024, 64
+_PART, _TOKENS, _BLOCK, _LARGE = 256, 1 << 19, 1024, 64
 _SLICE = 1 << 18
 _EMPTY = np.uint64((1 << 64) - 1)
 
