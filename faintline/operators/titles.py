@@ -1,11 +1,10 @@
 """Signals that repeat each other, by title or keywords: how many each has, and their classes, without a list of pairs.
 
-Titles: equal ones count once. Edit distance is a metric, so a ball of titles around a leader answers for its members: two
-balls whose leaders are far enough apart have no similar titles, and of two that are near and small enough all are similar.
-Only balls in between are compared, title by title, in blocks of bit vectors (``distances``). Balls are cut into parts of
-about ``_PART`` titles, so no task holds a ball; leaders come from buckets of min-hashes over letter triples, and what they
-are steers cost, not results. Parts meet parts of a similar length: that is the work which grows with the square of the
-number of balls, once per ``_PART * _PART`` pairs of titles.
+Titles: equal ones count once. Sorted titles are cut into parts of at most ``_PART``, so that those of a part begin alike. Edit
+distance is a metric, so a part's first title answers for the others: two parts whose first titles are far enough apart have no
+similar titles, and two that share enough first letters, or whose first titles are near enough, have only similar ones.
+Only the parts in between are compared, title by title, in blocks of bit vectors (``distances``). The list of parts meets
+itself: that is the work which grows with the square of the number of titles, once per ``_PART * _PART`` pairs of them.
 
 Keywords: equal lists count once, lists meet by their rarest words. A seed of more than two keywords absorbs later rows only,
 so where a rule holds one way alone, rows are counted by their order: exactly in ``_RANGES`` ranges of it, then within one.
@@ -14,6 +13,8 @@ so where a rule holds one way alone, rows are counted by their order: exactly in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from faintline.sources.storage import discard, keep
 
 #: Titles are similar below this share of edits: 2 / 5, as similarity is more than 0.6.
 NUM, DEN = 2, 5
-_PART, _SEEDS, _RANGES = 256, 3, 1000
+_PART, _RANGES = 256, 1000
+#: Runs of fewer titles are put together; parts and pairs of parts to a task.
+_RUN, _MET, _UNITS = 32, 100, 64
 _ONE = np.uint64(1)
 
 
@@ -101,41 +104,55 @@ def alike(few: list[tuple[int, str]], rows: DataFrame) -> DataFrame:
     return rows.select("r", "t").mapInArrow(run, "seed bigint, other bigint")
 
 
-def _balls(titles: DataFrame) -> DataFrame:
-    """titles (t, w, low, tid) with lead and r: the nearest leader of a title's buckets and the distance to it, if that is half of what similar titles may have."""
-    text = F.concat(F.lit("\x02"), "t", F.lit("\x03"))
-    triples = F.transform(F.sequence(F.lit(1), F.length("t") + 1), lambda i: F.substring(text, i, F.lit(3)))
-    least = [F.xxhash64(F.lit(i), F.array_min(F.transform(triples, lambda g, i=i: F.xxhash64(g, F.lit(i))))) for i in range(_SEEDS)]
-    met = titles.select("t", F.explode(F.array(*least)).alias("bucket"))
-    first = met.groupBy("bucket").agg(F.min("t").alias("lead"), F.count("*").alias("n_rows"))
-    far = F.levenshtein("t", "lead")
-    near = spread_join(met, first, "bucket").select("t", "lead", far.alias("r")).filter(F.col("r") * DEN * 2 < F.length("t") * NUM)
-    best = near.groupBy("t").agg(F.min(F.struct("r", "lead")).alias("best"))
-    return titles.join(best, "t", "left").select("t", "w", "low", "tid", F.coalesce("best.lead", "t").alias("lead"), F.coalesce("best.r", F.lit(0)).alias("r"))
+def _cuts(texts: list[str]) -> list[int]:
+    """Where parts of sorted texts begin: runs that share half of their letters from the start stay apart, small runs are put together."""
+    ends = [i + 1 for i, (a, b) in enumerate(pairwise(texts)) if 2 * len(commonprefix((a, b))) < max(len(a), len(b))] + [len(texts)]
+    out, start, small = [], 0, False
+    for end in ends:
+        if not (small and end - start < _RUN and end - out[-1] <= _PART):
+            out.extend(range(start, end, _PART))
+            small = end - start < _RUN
+        start = end
+    return out
 
 
 def _parts(titles: DataFrame) -> DataFrame:
-    balls = _balls(titles).withColumn("ball", F.xxhash64("lead"))
-    size = balls.groupBy("ball").agg(F.count("*").alias("n_rows"), F.ceil(F.count("*") / _PART).alias("parts"))
-    return spread_join(balls, size, "ball").withColumn("part", F.xxhash64("lead", F.pmod("tid", "parts"))).drop("parts", "ball")
+    """titles (t, w, low, tid) with the part they are in, its first title and the number of letters that all its titles begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("t").to_pylist()
+            cuts = _cuts(text)
+            sizes = np.diff([*cuts, len(text)])
+            held = [(text[i], len(commonprefix((text[i], text[i + n - 1])))) for i, n in zip(cuts, sizes, strict=True)]
+            lead = pa.array(np.repeat(np.array([t for t, _ in held], object), sizes), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lead, pa.array(np.repeat([c for _, c in held], sizes), pa.int32())], [*batch.schema.names, "lead", "c"])
+
+    cut = titles.select("t", "w", "low", "tid").repartitionByRange("t").sortWithinPartitions("t").mapInArrow(run, "t string, w bigint, low int, tid bigint, lead string, c int")
+    return cut.withColumn("part", F.xxhash64("lead"))
 
 
 def _met(parts: DataFrame) -> DataFrame:
     """(p, q, whole): parts that may hold similar titles, p = q included; ``whole`` if each title of one is similar to each of the other."""
-    size = parts.groupBy("part").agg(F.first("lead").alias("lead"), F.max("r").alias("r"), F.min(F.length("t")).alias("lo"), F.max(F.length("t")).alias("hi"))
-    # lengths of similar titles differ by less than a factor of 5 / 3, so their classes are equal or neighbours
-    kind = lambda c: F.floor(F.log(F.col(c) + 1.0) / F.log(F.lit(DEN / (DEN - NUM)))).cast("int")
-    each = size.withColumn("kind", F.explode(F.sequence(kind("lo"), kind("hi") + 1)))
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("part", "lead", "r", "lo", "hi")]
-    both = each.select("kind", *side("p")).join(each.select("kind", *side("q")), "kind").filter("p_part <= q_part")
-    far = both.withColumn("d", F.levenshtein("p_lead", "q_lead"))
-    slack = F.col("p_r") + F.col("q_r")
-    may = (F.col("d") - slack) * DEN < F.greatest("p_hi", "q_hi") * NUM
-    whole = (F.col("d") + slack) * DEN < F.greatest("p_lo", "q_lo") * NUM
-    return far.filter(may).select(F.col("p_part").alias("p"), F.col("q_part").alias("q"), whole.alias("whole")).distinct()
-
-
-def _compared(rows: DataFrame) -> DataFrame:
+    size = parts.groupBy("part").agg(F.first("lead").alias("lead"), F.first("c").alias("c"), F.min(F.length("t")).alias("lo"), F.max(F.length("t")).alias("hi"))
+    size = keep(size, "sizes")
+    side = lambda x: size.select(*[F.col(c).alias(f"{x}_{c}") for c in ("part", "lead", "c", "lo", "hi")])
+    # every two parts, in tasks of as many: the list of parts is a few hundredths of the titles
+    left = side("p").repartition(size.count() // _MET + 1, "p_part")
+    fits = (F.col("p_lo") * (DEN - NUM) < F.col("q_hi") * DEN) & (F.col("q_lo") * (DEN - NUM) < F.col("p_hi") * DEN) | (F.greatest("p_lo", "q_lo") == 0)
+    both = left.join(F.broadcast(side("q")), (F.col("p_part") <= F.col("q_part")) & fits)
+    hi, lo = F.greatest("p_hi", "q_hi"), F.greatest("p_lo", "q_lo")
+    # titles that share so many first letters are similar, whatever follows
+    enough = hi - F.floor((lo * NUM - 1) / DEN).cast("int")
+    same = (enough <= F.least("p_c", "q_c")) & (F.substring("p_lead", F.lit(1), enough) == F.substring("q_lead", F.lit(1), enough))
+    # two titles of a part differ by no more than what follows their common letters
+    slack = F.col("p_hi") - F.col("p_c") + F.col("q_hi") - F.col("q_c")
+    far = both.withColumn("same", same).withColumn("d", F.when(F.col("same"), 0).otherwise(F.levenshtein("p_lead", "q_lead")))
+    whole = F.col("same") | ((F.col("d") + slack) * DEN < lo * NUM)
+    return far.filter(F.col("same") | ((F.col("d") - slack) * DEN < hi * NUM)).select(F.col("p_part").alias("p"), F.col("q_part").alias("q"), whole.alias("whole"))
+
+
+def _compared(rows: DataFrame, units: int) -> DataFrame:
     """(tid, n, root): the rows similar to each title in a unit, and the least title it is joined with. rows: (p, q, role, tid, t, w)."""
 
     def unit(key: tuple, held: list[tuple]) -> pa.RecordBatch:
@@ -176,7 +193,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         if held:
             yield unit(now, held)
 
-    return rows.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "tid bigint, n bigint, root bigint")
+    return rows.repartition(units // _UNITS + 1, "p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "tid bigint, n bigint, root bigint")
 
 
 def similar(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +209,7 @@ def similar(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = met.filter("NOT whole").select("p", "q")
     left = some.join(parts.withColumnRenamed("part", "p"), "p").select("p", "q", F.lit(0).alias("role"), "tid", "t", "w")
     right = some.filter("p <> q").join(parts.withColumnRenamed("part", "q"), "q").select("p", "q", F.lit(1).alias("role"), "tid", "t", "w")
-    one_by_one = keep(_compared(left.unionByName(right)), "compared")
+    one_by_one = keep(_compared(left.unionByName(right), some.count()), "compared")
     at_once = keep(at_once, "at-once")
     count = at_once.select("tid", "n").unionByName(one_by_one.select("tid", "n")).groupBy("tid").agg(F.sum("n").alias("n")).filter("n > 0")
     edges = at_once.select(F.col("tid").alias("u"), F.col("root").alias("v")).unionByName(one_by_one.select(F.col("tid").alias("u"), F.col("root").alias("v"))).unionByName(heads)

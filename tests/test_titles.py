@@ -69,3 +69,12 @@ def test_distances(seed):
     right += [t[3:] + "b" for t in left]
     assert titles.distances(left, right).tolist() == [[distance(a, b) for b in right] for a in left]
     assert titles.distances([], ["a"]).shape == (0, 1) and titles.distances(["", ""], [""]).tolist() == [[0], [0]]
+
+
+def test_titles_that_begin_alike_are_few_parts(spark):
+    """Numbered titles: parts are full, and no two of them need a comparison title by title."""
+    data = [(k.format(i), 1, 0, 1000 * n + i) for n, k in enumerate(("Show HN: a tool for billing number {}", "A short one {}", "Why is deploying so hard {}")) for i in range(700)] + [("Looking for a very different thing", 1, 0, -1)]
+    parts = titles.keep(titles._parts(spark.createDataFrame(data, "t string, w bigint, low int, tid bigint").coalesce(1)), "parts")
+    assert parts.count() == len(data) and parts.select("part").distinct().count() <= 3 * 3 + 1 + 2 * 4
+    met = titles._met(parts).collect()
+    assert sum(not r.whole for r in met) <= 4 and sum(r.whole for r in met) >= 18
