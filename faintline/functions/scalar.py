@@ -96,8 +96,12 @@ def dedupe_tokens(text: Column) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     x, y = F.lower(strip(a)), F.lower(strip(b))
-    most = F.greatest(F.length(x), F.length(y))
-    return F.when(x == y, F.lit(1.0)).otherwise((most - F.levenshtein(x, y)) / F.greatest(most, F.lit(1)))
+    return share_kept(F.levenshtein(x, y), F.greatest(F.length(x), F.length(y)))
+
+
+def share_kept(distance: Column, longest: Column) -> Column:
+    """Similarity of two texts by their edit distance and the greater length."""
+    return F.when(distance == 0, F.lit(1.0)).otherwise((longest - distance) / F.greatest(longest, F.lit(1)))
 
 
 def feed_keywords(text: Column, feed: str) -> Column:

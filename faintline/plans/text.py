@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from faintline.functions import rules as R
 from faintline.functions import scalar as S
+from faintline.operators.pairs import edit_distances
 from faintline.plans.registry import query
 from faintline.plans.views import AS_OF, TITLES_SQL, sql_list, titles
 from faintline.sources.storage import table
@@ -127,20 +128,13 @@ query("is_rate_limit_error", f"{W} SELECT id, contains(m, '429') OR contains(m,
     lambda s, d: titles(s, d).select("id", S.is_rate_limit_error(F.concat("title", F.get(F.array(*map(F.lit, ("", " HTTP 429", " Quota hit", " Rate limit", " RATELIMIT_EXCEEDED"))), (F.col("id") % 5).cast("int")))).alias("limited"))
 )
 query("edit_distance", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")(
-    lambda s, d: _part_pairs(s, d).select("a", "b", F.levenshtein("x", "y").cast("bigint").alias("distance"))
+    lambda s, d: edit_distances(table(s, d, "part"), ["p_brand", "p_size"], "p_partkey", F.col("p_name")).select("a", "b", "distance")
 )
 query("edit_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN lower(a.p_name) = lower(b.p_name) THEN 1.0 ELSE (greatest(length(a.p_name), length(b.p_name)) - levenshtein(lower(trim(a.p_name)), lower(trim(b.p_name)))) / greatest(length(a.p_name), length(b.p_name)) END, 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")(
-    lambda s, d: _part_pairs(s, d).select("a", "b", F.round(S.edit_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    lambda s, d: edit_distances(table(s, d, "part"), ["p_brand", "p_size"], "p_partkey", F.lower(S.strip(F.col("p_name")))).select("a", "b", F.round(S.share_kept(F.col("distance"), F.col("longest")), 6).alias("similarity"))
 )
 
 
-def _part_pairs(s, d):
-    p = table(s, d, "part")
-    a = p.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b")
-
-
 # ---------------------------------------------------------------- scores of single rows
 
 query("age_days", f"{W} SELECT id, round({AGE}, 6) AS age, CAST(floor({AGE}) AS BIGINT) AS days FROM titles")(lambda s, d: titles(s, d).select("id", F.round(S.age_days(F.col("created_at"), AS_OF), 6).alias("age"), F.floor(S.age_days(F.col("created_at"), AS_OF)).alias("days")))
