@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
-from faintline.sources.storage import keep
+from faintline.sources.storage import keep, tasks
 
 
 def nodes_of(mentions: DataFrame, signals: DataFrame) -> DataFrame:
@@ -29,16 +29,31 @@ def pairs(mentions: DataFrame) -> DataFrame:
     return a.join(b, "signal_id").filter("concept_a < concept_b")
 
 
-def edges(snapshots: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+def tasks_of_pairs(mentions: DataFrame) -> int:
+    """The number of partitions for the pairs of mentions, from an exact count of those."""
+    n = mentions.groupBy("signal_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    return tasks(mentions.sparkSession, int(n or 0))
+
+
+def weights(pair_list: DataFrame, parts: int) -> DataFrame:
+    """(concept_a, concept_b, weight): how often each pair is listed."""
+    return pair_list.select("concept_a", "concept_b").repartition(parts, "concept_a", "concept_b").groupBy("concept_a", "concept_b").agg(F.count("*").alias("weight"))
+
+
+def edges(snapshots: DataFrame, signals: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Per pair: weight, first and last sight, distinct signals, and weights by source (null sources left out).
 
-    snapshots have their signal's source; where they lack it, ``signals`` gives it.
+    snapshots have their signal's source; where they lack it, ``signals`` gives it. With ``parts`` (``tasks_of_pairs``)
+    snapshots are dealt by pair to so many tasks before any are counted: hardly a pair comes twice within a task of
+    another order, where counting would hold them all.
     """
     low, high = F.least("concept_a", "concept_b").alias("concept_a"), F.greatest("concept_a", "concept_b").alias("concept_b")
     if signals is not None:
         snapshots = snapshots.join(signals.select("signal_id", "source"), "signal_id", "left")
+    dealt = snapshots.select(low, high, "signal_id", "source", "created_at")
+    dealt = dealt.repartition(parts, "concept_a", "concept_b") if parts else dealt
     # a signal holds a pair once or a few times: counted by signal first, distinct signals are mere rows
-    once = snapshots.groupBy(low, high, "signal_id", "source").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    once = dealt.groupBy("concept_a", "concept_b", "signal_id", "source").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
     each = once.groupBy("concept_a", "concept_b", "source").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("s"))
     by_source = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n")))))
     # a signal has one source, so distinct signals add up over sources
@@ -65,15 +80,18 @@ def _merged(stored: DataFrame, new: DataFrame, key: list[str], counts: list[str]
     return both.select(*key, *added, *ends, merge_counts(*maps).alias("source_distribution"))
 
 
-def graph(edge_weights: DataFrame, least: int = 2) -> DataFrame:
-    """(u, v, w) in both directions; weights are summed first, then light edges go."""
-    summed = edge_weights.groupBy(F.least("concept_a", "concept_b").alias("u"), F.greatest("concept_a", "concept_b").alias("v")).agg(F.sum("weight").alias("w")).filter(F.col("w") >= least)
+def graph(edge_weights: DataFrame, least: int = 2, parts: int | None = None) -> DataFrame:
+    """(u, v, w) in both directions; weights are summed first (in ``parts`` tasks), then light edges go."""
+    ends = edge_weights.select(F.least("concept_a", "concept_b").alias("u"), F.greatest("concept_a", "concept_b").alias("v"), "weight")
+    summed = (ends.repartition(parts, "u", "v") if parts else ends).groupBy("u", "v").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least)
     return summed.unionByName(summed.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
-def degrees(edge_list: DataFrame) -> DataFrame:
+def degrees(edge_list: DataFrame, parts: int | None = None) -> DataFrame:
+    """Per concept its different neighbours; with ``parts``, ends are dealt to so many tasks."""
     ends = edge_list.select(F.explode(F.array(F.struct(F.col("concept_a").alias("n"), F.col("concept_b").alias("m")), F.struct(F.col("concept_b").alias("n"), F.col("concept_a").alias("m")))).alias("e"))
-    return ends.groupBy(F.col("e.n").alias("concept_id")).agg(F.countDistinct("e.m").alias("degree"))
+    each = ends.select(F.col("e.n").alias("concept_id"), F.col("e.m").alias("m"))
+    return (each.repartition(parts, "concept_id", "m") if parts else each).distinct().groupBy("concept_id").agg(F.count("m").alias("degree"))
 
 
 def windows(mentions: DataFrame, signals: DataFrame, as_of: str) -> DataFrame:
@@ -121,7 +139,7 @@ def scores(nodes: DataFrame, counts: DataFrame, degree: DataFrame, as_of: str) -
     return parts.withColumn("weak_signal_score", S.weak_signal_score(*map(F.col, names)))
 
 
-def maintained_edges(stored: DataFrame, added: DataFrame, removed: DataFrame, left: DataFrame) -> DataFrame:
+def maintained_edges(stored: DataFrame, added: DataFrame, removed: DataFrame, left: DataFrame, parts: int | None = None) -> DataFrame:
     """The edge table after snapshots were added and others removed, without counting what did not change.
 
     Counts and maps add up and are taken off by pair; a pair without weight goes. First and last sight can't be taken off:
@@ -129,8 +147,8 @@ def maintained_edges(stored: DataFrame, added: DataFrame, removed: DataFrame, le
     A signal's snapshots of a pair come and go together; removing what was never added is the caller's fault.
     """
     key = ["concept_a", "concept_b"]
-    more = merge_edges(stored, edges(added))
-    less = edges(removed).select(*key, F.struct("total_weight", "signal_count", "first_seen", "last_seen", "source_distribution").alias("gone"))
+    more = merge_edges(stored, edges(added, parts=parts))
+    less = edges(removed, parts=parts).select(*key, F.struct("total_weight", "signal_count", "first_seen", "last_seen", "source_distribution").alias("gone"))
     both = more.join(less, key, "left")
     took = lambda c: (F.col(c) - F.coalesce(f"gone.{c}", F.lit(0).cast("bigint"))).alias(c)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
@@ -139,7 +157,8 @@ def maintained_edges(stored: DataFrame, added: DataFrame, removed: DataFrame, le
     ends = ((F.col("gone.first_seen") <= F.col("first_seen")) | (F.col("gone.last_seen") >= F.col("last_seen"))).alias("ends")
     now = keep(both.select(*key, took("total_weight"), took("signal_count"), "first_seen", "last_seen", shown, ends).filter("total_weight > 0"), "maintained")
     low, high = F.least("concept_a", "concept_b").alias("concept_a"), F.greatest("concept_a", "concept_b").alias("concept_b")
-    seen = left.select(low, high, "created_at").join(now.filter("ends").select(*key), key, "left_semi")
+    every = left.select(low, high, "created_at")
+    seen = (every.repartition(parts, *key) if parts else every).join(now.filter("ends").select(*key), key, "left_semi")
     again = seen.groupBy(*key).agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
     mended = [F.coalesce("lo", "first_seen").alias("first_seen"), F.coalesce("hi", "last_seen").alias("last_seen")]
     return now.join(again, key, "left").select(*key, "total_weight", "signal_count", *mended, "source_distribution")
