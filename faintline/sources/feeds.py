@@ -68,19 +68,31 @@ _ENTRY = "title: string, link: struct<_VALUE: string, _href: string>, descriptio
 XML = f"channel struct<item: array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>, _damaged string"
 
 
+_FIELDS = ("title", "link", "description", "summary", "pubDate", "published")
+_XML_OPTIONS = {"columnNameOfCorruptRecord": "_damaged", "ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"}
+#: A comment, CDATA or a whole item or entry.
+_PIECE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(item|entry)\b(?:<!\[CDATA\[.*?\]\]>|[^<]|<(?!!\[CDATA\[|/?(?:item|entry)\b))*+</\1>"
+
+
 def _parsed(raw: DataFrame) -> Column:
-    return F.from_xml("payload", XML, {"columnNameOfCorruptRecord": "_damaged", "ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"})
+    return F.from_xml("payload", XML, _XML_OPTIONS)
 
 
 def rss(raw: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """Items of RSS or entries of Atom that have a title and a link; deterministic votes in place of random ones.
 
-    Markup inside a text goes, entities and CDATA are read, namespaces left out. A text that is no XML has no items and is
-    among the ``damaged``.
+    Markup inside a text goes, entities and CDATA are read, namespaces left out. A text that is no XML is among the
+    ``damaged``; its items that are whole are read one by one.
     """
     kept = kept or []
-    items = F.coalesce("x.channel.item", "x.item", "x.entry")
-    rows = raw.select(*kept, _parsed(raw).alias("x")).select(*kept, F.posexplode(items).alias("place", "i"))
+    torn = F.col("x._damaged").isNotNull()
+    items = F.transform(F.coalesce("x.channel.item", "x.item", "x.entry"), lambda i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("piece")))
+    # comments and CDATA are skipped as one, so that an end named in them ends nothing
+    pieces = F.filter(F.regexp_extract_all("payload", F.lit(_PIECE), F.lit(0)), lambda p: ~p.startswith("<!"))
+    none = F.lit(None).cast(f"struct<{_ENTRY}>")
+    single = F.transform(pieces, lambda p: F.struct(none.alias("i"), p.alias("piece")))
+    rows = raw.select(*kept, "payload", _parsed(raw).alias("x")).select(*kept, F.posexplode(F.when(torn, single).otherwise(items)).alias("place", "e")).select(*kept, "place", "e.i", F.from_xml("e.piece", f"struct<{_ENTRY}, _damaged: string>", _XML_OPTIONS).alias("p"))
+    rows = rows.withColumn("i", F.coalesce("i", F.when(F.col("p._damaged").isNull(), F.struct(*[F.col(f"p.{c}").alias(c) for c in _FIELDS]))))
     plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", ""))
     body, link = F.coalesce("i.description", "i.summary"), F.coalesce(F.nullif(F.trim("i.link._VALUE"), F.lit("")), "i.link._href")
     out = rows.select(*kept, "place", plain(F.col("i.title")).alias("title"), F.substring(plain(body), 1, TAGLINE).alias("tagline"), F.trim(F.coalesce(link, F.lit(""))).alias("url"), F.coalesce("i.pubDate", "i.published").alias("published"))

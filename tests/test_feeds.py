@@ -26,6 +26,16 @@ def test_rss_atom_and_damaged_texts(spark):
     assert {3, 6} <= {r.page for r in feeds.damaged(raw, ["page"]).collect()} <= {3, 5, 6}
 
 
+def test_whole_items_of_texts_that_break_off(spark):
+    """Items before the break are read; one that is cut, one with a bad entity and one inside a comment are not."""
+    torn = "<rss><channel><!-- <item><title>no</title><link>http://x/0</link></item> -->" + RSS[RSS.index("<item>") : RSS.index("</channel>")] + "<item><title><![CDATA[a </item> b]]></title><link>http://x/5</link></item><item><title>a & b</title><link>http://x/6</link></item><item><title>cut</title><link>http://x/7</li"
+    rows = [(1, torn), (2, ATOM[: -len("</feed>")] + "<"), (3, RSS)]
+    raw = spark.createDataFrame(rows, "page int, payload string")
+    got = {(r.page, r.title, r.tagline, r.url) for r in feeds.rss(raw, ["page"]).collect()}
+    first = ("Tools & toys", "one & two three", "http://x/1")
+    assert got == {(1, *first), (1, "plain", "", "http://x/4"), (1, "a  b", "", "http://x/5"), (2, "An entry", "sum", "http://y/1"), (3, *first), (3, "plain", "", "http://x/4")}
+
+
 def test_top_of_feeds(spark):
     at = "2024-01-31 00:00:00"
     old = datetime.datetime(2023, 1, 1)
