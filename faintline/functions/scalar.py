@@ -151,13 +151,15 @@ def trend_name(keyword: Column, title: Column) -> Column:
     return F.when(F.coalesce(short, F.lit("")) == "", prefix).otherwise(named.otherwise(F.concat(prefix, F.lit(" for "), capitalize(short))))
 
 
-def is_proper_noun(word: Column, title: Column) -> Column:
-    def same(w: Column) -> Column:
-        cleaned = F.regexp_replace(w, "[^a-zA-Z0-9]", "")
-        first = F.substring(cleaned, 1, 1)
-        return (F.length(w) >= 3) & (first == F.upper(first)) & (F.lower(cleaned) == word)
+def proper_nouns(title: Column) -> Column:
+    """The words of a title that begin with a capital, in small letters and digits alone; once per title, however many words are asked for."""
+    cleaned = F.transform(F.filter(F.split(title, r"\s+"), lambda w: F.length(w) >= 3), lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", ""))
+    capital = lambda w: F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1))
+    return F.transform(F.filter(cleaned, capital), F.lower)
+
 
-    return F.exists(F.split(title, r"\s+"), same)
+def is_proper_noun(word: Column, title: Column) -> Column:
+    return F.exists(proper_nouns(title), lambda w: w == word)
 
 
 def primary_keyword(title: Column, keywords: Column, topic: str | None = None) -> Column:

@@ -78,7 +78,7 @@ _per_title("canonical_trend", lambda: S.canonical_trend(T()), f"CASE WHEN list_m
 _per_title("capitalize", lambda: S.capitalize(F.lower(F.get(F.split(T(), " "), 0))), "CASE lower(string_split(title, ' ')[1]) WHEN '' THEN '' WHEN 'ai' THEN 'AI' WHEN 'ai agents' THEN 'AI Agents' ELSE upper(substr(lower(string_split(title, ' ')[1]), 1, 1)) || substr(lower(string_split(title, ' ')[1]), 2) END", "word")
 _proper = lambda word, title="title": f"len(list_filter(string_split_regex({title}, '\\s+'), lambda v: length(v) >= 3 AND lower(regexp_replace(v, '[^a-zA-Z0-9]', '', 'g')) = {word} AND substr(regexp_replace(v, '[^a-zA-Z0-9]', '', 'g'), 1, 1) = upper(substr(regexp_replace(v, '[^a-zA-Z0-9]', '', 'g'), 1, 1)))) > 0"
 query("is_proper_noun", f"{W}, w AS (SELECT id, title, unnest(list_distinct(string_split(lower(title), ' '))) AS word FROM titles) SELECT id, word, {_proper('w.word')} AS proper FROM w")(
-    lambda s, d: titles(s, d).select("id", "title", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word")).select("id", "word", S.is_proper_noun(F.col("word"), T()).alias("proper"))
+    lambda s, d: titles(s, d).select("id", "title", S.proper_nouns(T()).alias("nouns")).select("id", "nouns", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word")).select("id", "word", F.exists("nouns", lambda n: n == F.col("word")).alias("proper"))
 )
 query(
     "primary_keyword",
