@@ -13,7 +13,7 @@
 4. Exact links across components: only buckets that still hold several components go on. Their sets are cut into parts of
    about ``_PART``, by component where it is large, and compared by sketches, two parts or so at a time, those of the bucket's
    largest component only with the others. Parts of which any two
-   sets of different components have near sketches are compared by full sets.
+   sets of different components have near sketches are compared by full sets, small parts with common partners together.
 
 No bucket, group or component is held in one task, and no pair of documents is ever a row. The work that remains quadratic is that of a bucket of many *different* sets that are
 not linked: n * n / 2 comparisons of sketches in blocks.
@@ -115,7 +115,7 @@ def leaders(met: DataFrame, short: DataFrame) -> DataFrame:
             near = pa.array(agree >= LOW)
             yield pa.RecordBatch.from_arrays([batch.column("sid").filter(near), batch.column("lead").filter(near), pa.array(agree).filter(near)], ["sid", "lead", "agree"])
 
-    both = _spread(_spread(pairs, short, "sid", "a"), short, "lead", "b").select("sid", "lead", "a", "b")
+    both = _spread(_spread(pairs, short, "sid", "a"), short, "lead", "b", pairs).select("sid", "lead", "a", "b")
     return both.mapInArrow(run, "sid bigint, lead bigint, agree bigint").groupBy("sid").agg(F.max(F.struct("agree", "lead")).alias("best")).select("sid", F.col("best.lead").alias("lead"))
 
 
@@ -169,7 +169,7 @@ def parts(sets: DataFrame) -> DataFrame:
     sharing = sized.select("sid", "n", "root", F.xxhash64("group", F.coalesce(own, F.lit(0)), own.isNull()).alias("key"))
     total = sharing.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.count("*").alias("n_rows"))
     number = F.pmod(F.xxhash64("sid"), F.greatest(F.ceil(F.col("members") / _PART), F.ceil(F.col("tokens") / _TOKENS)))
-    return spread_join(sharing, total, "key").select("sid", "root", F.xxhash64("key", number).alias("part"))
+    return spread_join(sharing, total, "key").select("sid", "n", "root", F.xxhash64("key", number).alias("part"))
 
 
 def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
@@ -215,11 +215,29 @@ def asked(mixed: DataFrame, short: DataFrame) -> DataFrame:
     return with_sketch.repartition("band", "kind", "a", "b").sortWithinPartitions("band", "kind", "a", "b").mapInArrow(run, "x bigint, y bigint").distinct()
 
 
-def units(ask: DataFrame, member: DataFrame) -> DataFrame:
-    """Units for ``jaccard.compared``: the parts of each ask."""
-    x = ask.join(member.select(F.col("part").alias("x"), "sid"), "x")
-    y = ask.filter("x <> y").join(member.select(F.col("part").alias("y"), "sid"), "y")
-    return _unit(x, "x", F.col("x"), F.col("y"), 1).unionByName(_unit(y, "x", F.col("x"), F.col("y"), 0))
+def pools(ask: DataFrame, member: DataFrame) -> DataFrame:
+    """(part, pool): small parts that must all be compared with one part share pools of about ``_PART`` sets. member: (sid, n, part)."""
+    ends = ask.select(F.inline(F.array(F.struct(F.col("x").alias("part"), F.col("y").alias("near")), F.struct(F.col("y").alias("part"), F.col("x").alias("near")))))
+    head = ends.groupBy("part").agg(F.least(F.min("near"), F.col("part")).alias("head"))
+    size = member.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    sized = keep(head.join(size, "part"), "sized")
+    small = (2 * F.col("members") < _PART) & (2 * F.col("tokens") < _TOKENS)
+    total = sized.filter(small).groupBy("head").agg(F.sum("members").alias("all"), F.sum("tokens").alias("all_tokens"), F.count("*").alias("n_rows"))
+    number = F.pmod(F.xxhash64("part"), F.greatest(F.ceil(F.col("all") / _PART), F.ceil(F.col("all_tokens") / _TOKENS)))
+    pooled = spread_join(sized.filter(small), total, "head").select("part", F.xxhash64("head", number).alias("pool"))
+    out = keep(pooled.unionByName(sized.filter(~small).select("part", F.col("part").alias("pool"))), "pools")
+    discard(sized)
+    return out
+
+
+def units(ask: DataFrame, member: DataFrame, pool: DataFrame) -> DataFrame:
+    """Units for ``jaccard.compared``: the asks between two pools (or within one) at once, each part of them laid out once."""
+    of = lambda c: pool.select(F.col("part").alias(c), F.col("pool").alias(f"of_{c}"))
+    met = ask.join(of("x"), "x").join(of("y"), "y")
+    ends = F.inline(F.array(F.struct(F.col("x").alias("part"), F.col("of_x").alias("pool")), F.struct(F.col("y").alias("part"), F.col("of_y").alias("pool"))))
+    each = met.select(F.greatest("of_x", "of_y").alias("a"), F.least("of_x", "of_y").alias("b"), ends).distinct()
+    rows = each.join(member.select("part", "sid"), "part")
+    return _unit(rows, "a", F.col("a"), F.col("b"), (F.col("pool") == F.col("a")).cast("int"))
 
 
 def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num: int, den: int) -> DataFrame:
@@ -247,9 +265,11 @@ def links(profile: DataFrame, df: DataFrame, ident: str, text: str, k: int, num:
     ask = keep(asked(mixed.drop("root").join(member, "sid"), short), "asks")
     inside = keep(member.join(ask.select(F.explode(F.array("x", "y")).alias("part")).distinct(), "part", "left_semi"), "inside")
     rest = gathered(df, sets.join(inside.select("sid").join(first, "sid", "left_anti"), "sid", "left_semi").select("sid", "doc_id"), ident, text, k)
-    across = compared(_spread(units(ask, inside), full.unionByName(rest), "sid", "set"), num, den)
+    pool = pools(ask, inside)
+    unit = keep(units(ask, inside, pool), "units")
+    across = compared(_spread(unit, full.unionByName(rest), "sid", "set"), num, den)
     out = keep(label.unionByName(across.select(F.col("sid").alias("u"), F.col("root").alias("v"))), "edges")
-    discard(met, sets, led, first, full, label, mixed, member, ask, inside, rest)
+    discard(met, sets, led, first, full, label, mixed, member, ask, inside, rest, pool, unit)
     return out
 
 
@@ -268,8 +288,10 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", k:
     full = rows.filter("n > 0")
     of_set = full.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_rows"))
     root = of_set.join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    root = keep(root, "roots")
     lows = root.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_rows"))
-    named = spread_join(root.withColumn("copies", F.col("n_rows")), lows, "root").select("sid", F.col("copies").alias("n_rows"), "component_id")
+    named = keep(spread_join(root.withColumn("copies", F.col("n_rows")), lows, "root").select("sid", F.col("copies").alias("n_rows"), "component_id"), "named")
+    discard(root)
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     all_ = spread_join(full, named, "sid").unionByName(alone)
     return all_.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -119,3 +119,20 @@ def test_sketch_does_not_depend_on_its_batch():
     together = M.sketch(sets)
     assert (together == np.concatenate([M.sketch([s]) for s in sets])).all()
     assert M.bands(together).shape == (5, M.BANDS) and len(np.unique(M.bands(together))) == 5 * M.BANDS
+
+
+def test_small_parts_meet_in_pools(spark):
+    """Forty small parts, each to be compared with every other: a set is laid out once for each pool, not once for each part."""
+    member = spark.createDataFrame([(p * 100 + i, 20, p) for p in range(40) for i in range(8)], "sid long, n long, part long")
+    wide = spark.createDataFrame([(5000 + i, 20, 41) for i in range(200)], "sid long, n long, part long")
+    pairs = [(p, q) for p in range(40) for q in range(p)] + [(41, 3), (7, 7)]
+    ask, member = spark.createDataFrame(pairs, "x long, y long"), member.unionByName(wide)
+    pool = M.pools(ask, member)
+    assert sorted(r.part for r in pool.collect()) == [*range(40), 41]
+    rows = M.units(ask, member, pool).collect()
+    assert len(rows) < 3 * 520  # 12,688 when every two parts had a unit of their own
+    held = {}
+    for r in rows:
+        held.setdefault((r.a, r.b), {}).setdefault(r.sid // 100 if r.sid < 5000 else 41, set()).add(r.role)
+    met = lambda k, u, p, q: p in u and q in u and (k[0] == k[1] or u[p] != u[q])
+    assert all(any(met(k, u, p, q) for k, u in held.items()) for p, q in pairs)
