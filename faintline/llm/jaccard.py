@@ -251,9 +251,12 @@ def named(df: DataFrame, text: str, k: int, sid: str, size: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(sid, T.LongType()), T.StructField(size, T.LongType())]))
 
 
-def _spread(pairs: DataFrame, sets: DataFrame, key: str, out: str) -> DataFrame:
-    """pairs with the set of ``key`` as ``out``. A set that very many pairs ask for is laid out in several copies."""
-    asked = pairs.groupBy(key).agg(F.floor(F.count("*") / _SHARE).cast("int").alias("__more"))
+def _spread(pairs: DataFrame, sets: DataFrame, key: str, out: str, by: DataFrame | None = None) -> DataFrame:
+    """pairs with the set of ``key`` as ``out``. A set that very many pairs ask for is laid out in several copies.
+
+    by: rows with the same keys that are cheaper to count than pairs, where those come from a join.
+    """
+    asked = (pairs if by is None else by).groupBy(key).agg(F.floor(F.count("*") / _SHARE).cast("int").alias("__more"))
     copies = sets.withColumnRenamed("sid", key).join(asked, key).select(key, F.col("set").alias(out), F.explode(F.sequence(F.lit(0), "__more")).alias("__copy"), F.col("__more"))
     hot = asked.filter("__more > 0")
     spread = pairs.join(hot, key, "left").withColumn("__copy", F.pmod(F.xxhash64(*pairs.columns), F.coalesce(F.col("__more"), F.lit(0)) + 1).cast("int")).drop("__more")
@@ -286,12 +289,12 @@ def groups(sets: DataFrame) -> DataFrame:
     # a leader may follow another one: its group goes with it
     follow = first.groupBy("lead").agg(F.count("*").alias("n_rows")).withColumnRenamed("lead", "id")
     of_lead = first.select(F.col("sid").alias("id"), F.col("lead").alias("group"))
-    second = spread_join(first.withColumnRenamed("lead", "id"), of_lead.join(follow, "id"), "id").withColumn("group", F.coalesce("group", "sid")).drop("id")
+    second = keep(spread_join(first.withColumnRenamed("lead", "id"), of_lead.join(follow, "id"), "id").withColumn("group", F.coalesce("group", "sid")).drop("id"), "followed")
     size = second.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.count("*").alias("n_rows"))
     parts = F.greatest(F.ceil(F.col("members") / _GROUP), F.ceil(F.col("tokens") / _TOKENS)).cast("int")
     dealt = spread_join(second, size.withColumn("parts", parts).drop("tokens"), "group")
     out = keep(dealt.withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int")), "groups")
-    discard(met, first)
+    discard(met, first, second)
     return out
 
 
@@ -323,7 +326,7 @@ def opened(ask: DataFrame, inside: DataFrame, sets: DataFrame, num: int, den: in
     several = keyed.filter("g_sets > 1")
     union = inside.join(several.select("group", "part").distinct(), ["group", "part"], "left_semi").join(sets, "sid")
     union = union.groupBy("group", "part").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")).select(F.xxhash64("group", "part").alias("sid"), "set")
-    both = _spread(_spread(several.select("sid", "group", "part", "g"), sets, "sid", "__a"), union, "g", "__u")
+    both = _spread(_spread(several.select("sid", "group", "part", "g"), sets, "sid", "__a"), union, "g", "__u", several)
     reached = both.filter(F.size(F.array_intersect("__a", "__u")) * den >= F.size("__a") * num).select("sid", "group", "part")
     return reached.unionByName(keyed.filter("g_sets = 1").select("sid", "group", "part"))
 
@@ -459,13 +462,14 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text", k:
     discard(profile)
     roots = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     full = rows.filter("n > 0")
-    # names of components: the least set of each, first for the sets, then for the rows
+    # names of components: the least set of each, first for the sets, then for the rows; both are named several times in what follows
     of_set = full.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_rows"))
     linked = of_set.join(found.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
-    root = linked.join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    root = keep(linked.join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "roots")
     lows = root.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_rows"))
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    named_sets = spread_join(root.withColumn("copies", F.col("n_rows")), lows, "root").select("sid", "n_rows", "component_id", n_links)
+    named_sets = keep(spread_join(root.withColumn("copies", F.col("n_rows")), lows, "root").select("sid", "n_rows", "component_id", n_links), "named")
+    discard(root)
     answered = spread_join(full, named_sets, "sid")
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("bigint"))
     return answered.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "sid")

@@ -16,7 +16,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each neighbour (large: the greater ones; else the smaller ones and the node) to the least of the neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     seen = both if large else both.filter("v < u")
     least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_rows"))
     joined = spread_join(seen, least, "u")
@@ -30,13 +30,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node that has an edge and isn't the least of its component, with that least node.
 
-    edges: (u, v), two numbers. Each round is written to the shared folder; the number of rounds grows with the
-    logarithm of the component's diameter, and nothing but a checksum reaches the driver.
+    edges: (u, v), two numbers. Each step of a round is written to the shared folder, for its plan names its input several
+    times; the number of rounds grows with the logarithm of the component's diameter, and nothing but a checksum reaches the driver.
     """
     now = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (state := _state(now)) != before:
         before, last = state, now
-        now = keep(_star(_star(last, True), False), "edges")
-        discard(last)
+        half = keep(_star(last, True), "stars")
+        now = keep(_star(half, False), "edges")
+        discard(last, half)
     return now

@@ -139,3 +139,11 @@ def test_first_tokens_always_meet():
             a, b = a << np.uint64(12), b << np.uint64(12)
             (p, short, late), (q, *_) = jaccard.first_tokens(a, heavy, rank, 75, 100), jaccard.first_tokens(b, heavy, rank, 75, 100)
             assert np.intersect1d(p[:short], q).size and (np.isin(p >> np.uint64(12), heavy) == late).all()
+
+
+def test_results_name_no_step_twice(spark):
+    """What the last joins use several times is written before, so that the driver's plan (and memory) stays small."""
+    out = jaccard.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, 2, 1, 0), (2, 3, 2, 0)]
