@@ -46,6 +46,19 @@ def test_limits_out_of_order_and_expired(spark, tmp_path):
     assert left == {k: v for k, v in last.items() if v[0] + 3600 * 10**6 >= 40_000 * 10**6}
 
 
+def test_limits_call_a_state_once_for_a_slot_of_keys(spark, tmp_path):
+    rows = [("billing", f"k{i % 300}", at(i)) for i in range(900)]
+    # the window of "edge" ends within the millisecond that the last watermark is at
+    edge = at(1) + datetime.timedelta(microseconds=700)
+    batches = [[*rows, ("billing", "edge", edge)], [("", "", at(2000 + 3600))], [("", "", at(3600 + 3601) + datetime.timedelta(milliseconds=1))]]
+    got, query = streamed(spark, tmp_path, "policy string, key string, time timestamp", batches, lambda s: state.limited(s, "1 hour", slots=4))
+    assert len(got) == 901 and {(n, ok) for _, k, _, n, ok in got if k != "edge"} == {(1, True), (2, True), (3, True)}
+    # 301 keys, but a row and a timer in either order for each of four slots; before, each key had its own
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators if "transformWithState" in o.operatorName) <= 4 * 3
+    left = {r.key.key for r in state.table_of(spark, str(tmp_path / "c"), "window").collect()}
+    assert left == {f"k{i}" for i in range(1, 300)} | {"edge"}
+
+
 def test_lifecycle_out_of_order_and_late(spark, tmp_path):
     day = lambda n: at(86_400 * n)
     batches = [
