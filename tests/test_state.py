@@ -105,3 +105,12 @@ def test_upserts_of_one_key_in_a_batch(spark, tmp_path, turn):
     table = {tuple(r.key): tuple(r.value) for r in state.table_of(spark, str(tmp_path / "c"), "row").collect()}
     assert table == {("x", 1): ("first", at(50)), ("y", 1): ("other", at(60)), ("y", 2): ("a", at(7))}
     assert ("x", 1, "first", at(30)) in got and ("x", 1, "first", at(50)) in got and len(got) == 5
+
+
+def test_upserts_are_dealt_to_slots(spark, tmp_path):
+    schema = "source string, id long, title string, collected_at timestamp"
+    batches = [[("x", i, f"t{i}", at(i)) for i in range(100)], [("x", i, "new", at(500 + i)) for i in range(50, 150)]]
+    got, _ = streamed(spark, tmp_path, schema, batches, lambda s: state.upserted(s, ["source", "id"], ["collected_at"], "collected_at", slots=3))
+    table = {tuple(r.key): tuple(r.value) for r in state.table_of(spark, str(tmp_path / "c"), "row").collect()}
+    assert table == {("x", i): (f"t{i}" if i < 100 else "new", at(i if i < 50 else 500 + i)) for i in range(150)}
+    assert len(got) == 200
