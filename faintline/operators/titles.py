@@ -1,10 +1,11 @@
 """Signals that repeat each other, by title or keywords: how many each has, and their classes, without a list of pairs.
 
-Titles: equal ones count once. Sorted titles are cut into parts of at most ``_PART``, so that those of a part begin alike. Edit
-distance is a metric, so a part's first title answers for the others: two parts whose first titles are far enough apart have no
-similar titles, and two that share enough first letters, or whose first titles are near enough, have only similar ones.
-Only the parts in between are compared, title by title, in blocks of bit vectors (``distances``). The list of parts meets
-itself: that is the work which grows with the square of the number of titles, once per ``_PART * _PART`` pairs of them.
+Titles: equal ones count once. Titles of one length that share more than three fifths of their letters from the start are one
+part, of any size; the others are sorted and cut into parts of at most ``_PART`` that begin alike. What all titles of a part begin
+with, its stem, answers for them: two parts whose stems are far enough apart have no similar titles, and two whose stems are near
+enough have only similar ones. Only the parts in between are cut smaller and, if still in between, compared title by title, in
+blocks of bit vectors (``distances``). The list of parts meets itself: it grows with the number of different beginnings, not of
+titles, and where titles do not begin alike, with the square of their number, once per ``_PART * _PART`` pairs of them.
 
 Keywords: equal lists count once, lists meet by their rarest words. A seed of more than two keywords absorbs later rows only,
 so where a rule holds one way alone, rows are counted by their order: exactly in ``_RANGES`` ranges of it, then within one.
@@ -13,12 +14,13 @@ so where a rule holds one way alone, rows are counted by their order: exactly in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions import scalar as S
@@ -30,8 +32,8 @@ from faintline.sources.storage import discard, keep
 #: Titles are similar below this share of edits: 2 / 5, as similarity is more than 0.6.
 NUM, DEN = 2, 5
 _PART, _RANGES = 256, 1000
-#: Runs of fewer titles are put together; parts and pairs of parts to a task.
-_RUN, _MET, _UNITS = 32, 100, 64
+#: Groups and runs of fewer titles are put together; parts and pairs of parts to a task.
+_GROUP, _RUN, _MET, _UNITS = 8, 32, 100, 64
 _ONE = np.uint64(1)
 
 
@@ -116,40 +118,95 @@ def _cuts(texts: list[str]) -> list[int]:
     return out
 
 
-def _parts(titles: DataFrame) -> DataFrame:
-    """titles (t, w, low, tid) with the part they are in, its first title and the number of letters that all its titles begin with."""
+def _cut(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (t, w, low, tid, part) sorted by ``by``, whose parts are cut into new ones of at most ``_PART``, with the letters that all of a part begin with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("t").to_pylist()
-            cuts = _cuts(text)
+            if not batch.num_rows:
+                continue
+            text, part = batch.column("t").to_pylist(), batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(text)]
+            cuts = [lo + c for lo, hi in pairwise(edges) for c in _cuts(text[lo:hi])]
             sizes = np.diff([*cuts, len(text)])
-            held = [(text[i], len(commonprefix((text[i], text[i + n - 1])))) for i, n in zip(cuts, sizes, strict=True)]
-            lead = pa.array(np.repeat(np.array([t for t, _ in held], object), sizes), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lead, pa.array(np.repeat([c for _, c in held], sizes), pa.int32())], [*batch.schema.names, "lead", "c"])
-
-    cut = titles.select("t", "w", "low", "tid").repartitionByRange("t").sortWithinPartitions("t").mapInArrow(run, "t string, w bigint, low int, tid bigint, lead string, c int")
-    return cut.withColumn("part", F.xxhash64("lead"))
-
-
-def _met(parts: DataFrame) -> DataFrame:
-    """(p, q, whole): parts that may hold similar titles, p = q included; ``whole`` if each title of one is similar to each of the other."""
-    size = parts.groupBy("part").agg(F.first("lead").alias("lead"), F.first("c").alias("c"), F.min(F.length("t")).alias("lo"), F.max(F.length("t")).alias("hi"))
-    size = keep(size, "sizes")
-    side = lambda x: size.select(*[F.col(c).alias(f"{x}_{c}") for c in ("part", "lead", "c", "lo", "hi")])
-    # every two parts, in tasks of as many: the list of parts is a few hundredths of the titles
-    left = side("p").repartition(size.count() // _MET + 1, "p_part")
-    fits = (F.col("p_lo") * (DEN - NUM) < F.col("q_hi") * DEN) & (F.col("q_lo") * (DEN - NUM) < F.col("p_hi") * DEN) | (F.greatest("p_lo", "q_lo") == 0)
-    both = left.join(F.broadcast(side("q")), (F.col("p_part") <= F.col("q_part")) & fits)
+            held = [(text[i], commonprefix((text[i], text[i + n - 1]))) for i, n in zip(cuts, sizes, strict=True)]
+            lead, stem = (pa.array(np.repeat(np.array(x, object), sizes), pa.string()) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lead, stem], [*batch.schema.names, "lead", "stem"])
+
+    cut = rows.select("t", "w", "low", "tid", "part").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, "t string, w bigint, low bigint, tid bigint, part bigint, lead string, stem string")
+    return cut.select("t", "w", "low", "tid", F.col("part").alias("within"), F.xxhash64("lead").alias("part"), "stem")
+
+
+def _parts(titles: DataFrame) -> DataFrame:
+    """titles (t, w, low, tid) with the part they are in and its stem, the letters that all its titles begin with.
+
+    Titles of one length that share more than three fifths of their letters from the start are similar, however many
+    they are: _GROUP of them are a part. All others are cut from the sorted list.
+    """
+    n = F.length("t")
+    keyed = titles.select("t", "w", F.col("low").cast("bigint").alias("low"), "tid", F.xxhash64(n, F.substring("t", F.lit(1), F.floor(n * (DEN - NUM) / DEN).cast("int") + 1)).alias("part"))
+    size = keyed.groupBy("part").agg(F.count("*").alias("n_rows"), F.min("t").alias("first"), F.max("t").alias("last")).filter(F.col("n_rows") >= _GROUP)
+    common = F.filter(F.sequence(F.lit(0), F.length("first")), lambda i: F.substring("first", F.lit(1), i) == F.substring("last", F.lit(1), i))
+    groups = keep(size.select("part", "n_rows", F.substring("first", F.lit(1), F.array_max(common)).alias("stem")), "groups")
+    all_of = keep(spread_join(keyed, groups, "part"), "grouped")
+    few = _cut(all_of.filter("stem IS NULL").withColumn("part", F.lit(0).cast("bigint")), ["t"])
+    return all_of.filter("stem IS NOT NULL").unionByName(few.drop("within"))
+
+
+def _sizes(parts: DataFrame) -> DataFrame:
+    """(part, stem, m, lo, hi, weight, low): each part's titles, least and greatest length, rows, and least row."""
+    return parts.groupBy("part", "stem").agg(F.count("*").alias("m"), F.min(F.length("t")).alias("lo"), F.max(F.length("t")).alias("hi"), F.sum("w").alias("weight"), F.min("low").alias("low"))
+
+
+def _side(sizes: DataFrame, x: str) -> DataFrame:
+    return sizes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("part", "stem", "lo", "hi")])
+
+
+def _fits() -> Column:
+    """Titles can only be similar to those of more than three fifths of their length."""
+    return (F.col("p_lo") * (DEN - NUM) < F.col("q_hi") * DEN) & (F.col("q_lo") * (DEN - NUM) < F.col("p_hi") * DEN)
+
+
+def _near(both: DataFrame) -> DataFrame:
+    """(p, q, whole): of pairs of parts those that may hold similar titles; ``whole`` if each title of one is similar to each of the other.
+
+    Stems of distance d, followed by s and r letters, begin titles whose distance is d - |s - r| at least and
+    d + max(s, r) at most.
+    """
     hi, lo = F.greatest("p_hi", "q_hi"), F.greatest("p_lo", "q_lo")
     # titles that share so many first letters are similar, whatever follows
-    enough = hi - F.floor((lo * NUM - 1) / DEN).cast("int")
-    same = (enough <= F.least("p_c", "q_c")) & (F.substring("p_lead", F.lit(1), enough) == F.substring("q_lead", F.lit(1), enough))
-    # two titles of a part differ by no more than what follows their common letters
-    slack = F.col("p_hi") - F.col("p_c") + F.col("q_hi") - F.col("q_c")
-    far = both.withColumn("same", same).withColumn("d", F.when(F.col("same"), 0).otherwise(F.levenshtein("p_lead", "q_lead")))
-    whole = F.col("same") | ((F.col("d") + slack) * DEN < lo * NUM)
-    return far.filter(F.col("same") | ((F.col("d") - slack) * DEN < hi * NUM)).select(F.col("p_part").alias("p"), F.col("q_part").alias("q"), whole.alias("whole"))
+    enough = F.floor(hi * (DEN - NUM) / DEN).cast("int") + 1
+    same = (enough <= F.least(F.length("p_stem"), F.length("q_stem"))) & (F.substring("p_stem", F.lit(1), enough) == F.substring("q_stem", F.lit(1), enough))
+    p, q = F.length("p_stem"), F.length("q_stem")
+    most = F.greatest(F.col("p_hi") - p, F.col("q_hi") - q)
+    apart = F.greatest((F.col("p_hi") - p) - (F.col("q_lo") - q), (F.col("q_hi") - q) - (F.col("p_lo") - p))
+    far = both.withColumn("same", same).withColumn("d", F.when(F.col("same"), 0).otherwise(F.levenshtein("p_stem", "q_stem")))
+    whole = F.col("same") | ((F.col("d") + most) * DEN < lo * NUM)
+    return far.filter(F.col("same") | ((F.col("d") - apart) * DEN < hi * NUM)).select(F.col("p_part").alias("p"), F.col("q_part").alias("q"), whole.alias("whole"))
+
+
+def _met(parts: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(p, q, whole) as ``_near``, of every two parts, p = q included."""
+    sizes = keep(_sizes(parts), "sizes") if sizes is None else sizes
+    # in tasks of as many: the list of parts is a few hundredths of the titles, or less
+    left = _side(sizes, "p").repartition(sizes.count() // _MET + 1, "p_part")
+    return _near(left.join(F.broadcast(_side(sizes, "q")), (F.col("p_part") <= F.col("q_part")) & _fits()))
+
+
+def _sums(sizes: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((part, n_rows, n, own, top): by whole pairs, each part's titles, rows similar to them, and a row that they are joined with, (u, v): edges of such rows)."""
+    turned = whole.select("p", "q").unionByName(whole.filter("p <> q").select(F.col("q").alias("p"), F.col("p").alias("q")))
+    of = sizes.select(F.col("part").alias("q"), "weight", "low")
+    sums = turned.join(of, "q").groupBy(F.col("p").alias("part")).agg(F.sum("weight").alias("n"), F.max(F.col("p") == F.col("q")).alias("own"), F.min("low").alias("led"))
+    tops = keep(sums.join(sizes.select("part", "low", F.col("m").alias("n_rows")), "part").select("part", "n_rows", "n", "own", F.least("low", "led").alias("top")), "tops")
+    top = lambda p, c: tops.select(F.col("part").alias(p), F.col("top").alias(c))
+    return tops, whole.filter("p <> q").join(top("p", "u"), "p").join(top("q", "v"), "q").select("u", "v").distinct()
+
+
+def _at_once(parts: DataFrame, tops: DataFrame) -> DataFrame:
+    """(tid, w, low, n, top) of every title by its part's sums; n and top null where there are none."""
+    each = spread_join(parts.select("tid", "w", "low", "part"), tops, "part")
+    return each.select("tid", "w", "low", (F.col("n") - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("n"), "top")
 
 
 def _compared(rows: DataFrame, units: int) -> DataFrame:
@@ -196,24 +253,66 @@ def _compared(rows: DataFrame, units: int) -> DataFrame:
     return rows.repartition(units // _UNITS + 1, "p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "tid bigint, n bigint, root bigint")
 
 
+def _singly(parts: DataFrame, sizes: DataFrame, mixed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (few, many) of parts: the titles of few, each a part of its own, their sizes, and (p, q, whole) of them and the parts of many."""
+    ones = parts.join(mixed.select(F.col("few").alias("part")).distinct(), "part", "left_semi")
+    ones = keep(ones.select("t", "w", "low", "tid", F.col("part").alias("unit"), F.xxhash64("t", F.lit(1)).alias("part"), F.col("t").alias("stem")), "ones")
+    size = ones.select("part", "stem", F.lit(1).cast("bigint").alias("m"), F.length("t").alias("lo"), F.length("t").alias("hi"), F.col("w").alias("weight"), "low", "unit")
+    both = mixed.join(_side(size, "p").join(ones.select(F.col("part").alias("p_part"), F.col("unit").alias("few")), "p_part"), "few")
+    return ones.drop("unit"), size, keep(_near(both.join(_side(sizes, "q").withColumn("many", F.col("q_part")), "many").filter(_fits())), "singly")
+
+
+def _smaller(parts: DataFrame, sizes: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (p, q) of parts, those of more than _PART titles cut: (new parts, their sizes, their pairs as ``_near``)."""
+    named = keep(some.select(F.explode(F.array("p", "q")).alias("part")).distinct().join(sizes, "part"), "named")
+    of = lambda cond: parts.join(named.filter(cond).select("part"), "part", "left_semi")
+    cut = _cut(of(F.col("m") > _PART), ["part", "t"]).withColumn("part", F.xxhash64("within", "part"))
+    new = keep(cut.unionByName(of(F.col("m") <= _PART).select("t", "w", "low", "tid", F.col("part").alias("within"), "part", "stem")), "smaller")
+    unit = named.select(F.col("part").alias("within"), F.when(F.col("m") <= _PART, F.col("unit")).alias("unit"))
+    size = _sizes(new).join(new.select("part", "within").distinct(), "part").join(unit, "within").withColumn("unit", F.coalesce("unit", "part"))
+    size = keep(size, "smaller-sizes")
+    side = lambda x: _side(size, x).join(size.select(F.col("part").alias(f"{x}_part"), F.col("within").alias(x)), f"{x}_part")
+    both = some.join(side("p"), "p").join(side("q"), "q").filter(F.expr("p <> q OR p_part <= q_part") & _fits())
+    return new, size, keep(_near(both), "smaller-met")
+
+
 def similar(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((tid, n): the rows of other titles that are similar to each title, (u, v): edges that join similar titles). titles: (t, w, tid), each t once."""
-    parts = keep(_parts(titles.withColumn("low", F.lit(0))), "parts")
-    met = keep(_met(parts), "met")
-    weight = parts.groupBy("part").agg(F.sum("w").alias("weight"), F.min("tid").alias("head"))
-    whole = met.filter("whole")
-    turned = whole.unionByName(whole.filter("p <> q").select(F.col("q").alias("p"), F.col("p").alias("q"), "whole"))
-    sums = turned.join(weight.withColumnRenamed("part", "q"), "q").groupBy(F.col("p").alias("part")).agg(F.sum("weight").alias("n"), F.max(F.col("p") == F.col("q")).alias("own"), F.min("head").alias("root"))
-    at_once = parts.join(sums, "part").select("tid", (F.col("n") - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("n"), "root", "part")
-    heads = turned.join(weight.withColumnRenamed("part", "q").select("q", F.col("head").alias("u")), "q").join(weight.withColumnRenamed("part", "p").select("p", F.col("head").alias("v")), "p").select("u", "v")
-    some = met.filter("NOT whole").select("p", "q")
-    left = some.join(parts.withColumnRenamed("part", "p"), "p").select("p", "q", F.lit(0).alias("role"), "tid", "t", "w")
-    right = some.filter("p <> q").join(parts.withColumnRenamed("part", "q"), "q").select("p", "q", F.lit(1).alias("role"), "tid", "t", "w")
-    one_by_one = keep(_compared(left.unionByName(right), some.count()), "compared")
-    at_once = keep(at_once, "at-once")
-    count = at_once.select("tid", "n").unionByName(one_by_one.select("tid", "n")).groupBy("tid").agg(F.sum("n").alias("n")).filter("n > 0")
-    edges = at_once.select(F.col("tid").alias("u"), F.col("root").alias("v")).unionByName(one_by_one.select(F.col("tid").alias("u"), F.col("root").alias("v"))).unionByName(heads)
-    return count, edges
+    """((tid, w, n, top): the rows of other titles that are similar to each title, and a row that stands for it, (u, v): edges of such rows).
+
+    titles: (t, w, low, tid), each t once; w rows, of which low is the least. The least row of all titles that
+    are joined is among those that stand for them.
+    """
+    parts = keep(_parts(titles), "parts")
+    sizes = keep(_sizes(parts), "sizes").withColumn("unit", F.col("part"))
+    met = keep(_met(parts, sizes), "met")
+    wide = lambda c: sizes.select(F.col("part").alias(c), (F.col("m") > _PART).alias(f"{c}_wide"))
+    some = keep(met.filter("NOT whole").join(wide("p"), "p").join(wide("q"), "q").drop("whole"), "some")
+    if some.isEmpty():
+        tops, edges = _sums(sizes, met.filter("whole"))
+        return _at_once(parts, tops).select("tid", "w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top", "low").alias("top")), edges
+    # a part of few titles that meets one of many: first each of its titles with the whole of the other
+    mixed = some.filter("p_wide <> q_wide").select(F.when(F.col("p_wide"), F.col("q")).otherwise(F.col("p")).alias("few"), F.when(F.col("p_wide"), F.col("p")).otherwise(F.col("q")).alias("many"))
+    ones, one_sizes, singly = _singly(parts, sizes, mixed)
+    all_sizes = sizes.unionByName(one_sizes)
+    tops, edges = _sums(all_sizes, met.unionByName(singly).filter("whole"))
+    known = _at_once(parts, tops).select("tid", "w", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top", "low").alias("top"))
+    found = [_at_once(ones, tops)]
+    some = keep(some.filter("p_wide = q_wide").select("p", "q").unionByName(singly.filter("NOT whole").select("p", "q")), "between")
+    if not some.isEmpty():
+        smaller, size, met = _smaller(parts.unionByName(ones), all_sizes, some)
+        tops, more = _sums(size, met.filter("whole"))
+        edges = edges.unionByName(more)
+        unit = lambda c: size.select(F.col("part").alias(c), F.col("unit").alias(f"{c}_unit"))
+        some = keep(met.filter("NOT whole").select("p", "q").join(unit("p"), "p").join(unit("q"), "q"), "pairs")
+        of = lambda c, role: some.select("p_unit", "q_unit", F.col(c).alias("part")).distinct().join(smaller, "part").select(F.col("p_unit").alias("p"), F.col("q_unit").alias("q"), F.lit(role).alias("role"), F.col("low").alias("tid"), "t", "w")
+        rows = of("p", 0).unionByName(of("q", 1).filter("p <> q"))
+        one_by_one = _compared(rows, some.select("p_unit", "q_unit").distinct().count())
+        found += [_at_once(smaller, tops), one_by_one.select(F.col("tid").alias("low"), "n", F.col("root").alias("top"))]
+    extra = keep(reduce(DataFrame.unionByName, [x.filter("top IS NOT NULL").select("low", "n", "top") for x in found]), "extra")
+    known = keep(known.join(extra.groupBy("low").agg(F.sum("n").alias("n_more")), "low", "left"), "counted")
+    named = known.filter("n_more IS NOT NULL").select(F.col("low").alias("u"), F.col("top").alias("v"))
+    edges = edges.unionByName(named).unionByName(extra.select(F.col("low").alias("u"), F.col("top").alias("v")))
+    return known.select("tid", "w", (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("n"), "top"), edges
 
 
 def shared(lists: DataFrame) -> DataFrame:
@@ -258,8 +357,8 @@ def links(df: DataFrame, ident: str = "id") -> DataFrame:
     rows = keep(given.withColumns({"tid": F.xxhash64("t"), "kid": F.xxhash64("k")}), "rows")
     titles = keep(rows.groupBy("t").agg(F.count("*").alias("w"), F.first("tid").alias("tid"), F.min("id").alias("low")), "titles")
     lists = keep(rows.groupBy("k").agg(F.count("*").alias("w"), F.first("kid").alias("kid"), F.min("id").alias("low"), F.max("id").alias("high")), "lists")
-    count, edges = similar(titles.drop("low"))
-    of_title = titles.join(count, "tid", "left").select("tid", F.col("w").alias("n_rows"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_title_links"), F.col("low").alias("title_low"))
+    count, edges = similar(titles)
+    of_title = count.select("tid", F.col("w").alias("n_rows"), (F.col("w") - 1 + F.col("n")).alias("n_title_links"), "top")
 
     pairs = keep(shared(lists.select("kid", "k")), "shared")
     back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -268,28 +367,34 @@ def links(df: DataFrame, ident: str = "id") -> DataFrame:
     summed = both_ways.join(lists.select(F.col("kid").alias("b"), "w"), "b").groupBy(F.col("a").alias("kid")).agg((F.sum("w") - F.max((F.col("a") == F.col("b")).cast("int"))).alias("n_list"))
     low = lambda c, *more: lists.select(F.col("kid").alias(c), F.col("low").alias(f"{c}_low"), *more)
     held = one_way.join(low("a"), "a").groupBy(F.col("b").alias("kid")).agg(F.min("a_low").alias("led"))
-    of_list = lists.select("kid", F.col("w").alias("n_rows"), F.col("low").alias("list_low")).join(summed, "kid", "left").join(held, "kid", "left")
+    of_list = lists.select("kid", F.col("w").alias("n_rows")).join(summed, "kid", "left").join(held, "kid", "left")
     # a list of more than two keywords joins its own rows; rows of others are joined to the first seed before them
     of_list = of_list.join(both_ways.filter("a = b").select(F.col("a").alias("kid"), F.lit(True).alias("own")), "kid", "left")
-    known = keep(spread_join(spread_join(rows.select("id", "tid", "kid"), of_title, "tid"), of_list, "kid"), "known")
-
-    number = titles.select("tid", F.col("low").alias("n"))
-    named = edges.filter("u <> v").join(number.withColumnsRenamed({"tid": "u", "n": "x"}), "u").join(number.withColumnsRenamed({"tid": "v", "n": "y"}), "v").select("x", "y")
+    known = keep(spread_join(spread_join(rows.select("id", "tid", "kid"), keep(of_title, "of-title"), "tid"), of_list, "kid"), "known")
+
+    # a row's title stands for it: what joins lists, and rows of lists, joins the titles they have
+    own = keep(known.filter("own").select("kid", "top").distinct(), "own")
+    led = known.filter("led < id").select("top", "led").distinct()
+    lists_of = both_ways.filter("a <> b").join(low("a"), "a").join(low("b"), "b").select(F.col("a_low").alias("x"), F.col("b_low").alias("y"))
+    # other seeds of a list that its own rows do not join: through its last row
+    late_of = one_way.join(low("a"), "a").join(low("b", "high"), "b").filter("a_low < high").select(F.col("a_low").alias("x"), F.col("high").alias("y"))
+    between = keep(lists_of.unionByName(late_of).unionByName(led.select(F.col("top").alias("x"), F.col("led").alias("y"))), "between")
+    ends = between.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     steps = [
-        named,
-        known.select(F.col("id").alias("x"), F.col("title_low").alias("y")),
-        known.filter("own").select(F.col("id").alias("x"), F.col("list_low").alias("y")),
-        known.filter("led < id").select(F.col("id").alias("x"), F.col("led").alias("y")),
-        both_ways.join(low("a"), "a").join(low("b"), "b").select(F.col("a_low").alias("x"), F.col("b_low").alias("y")),
-        # other seeds of a list that its own rows do not join: through its last row
-        one_way.join(low("a"), "a").join(low("b", "high"), "b").filter("a_low < high").select(F.col("a_low").alias("x"), F.col("high").alias("y")),
+        edges.select(F.col("u").alias("x"), F.col("v").alias("y")),
+        own.join(own.groupBy("kid").agg(F.min("top").alias("least")), "kid").select(F.col("top").alias("x"), F.col("least").alias("y")),
+        between,
+        known.join(ends, "id", "left_semi").select(F.col("id").alias("x"), F.col("top").alias("y")),
     ]
     joined = steps[0]
     for s in steps[1:]:
         joined = joined.unionByName(s)
     roots = components(joined.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    some = one_way.isEmpty()
-    late = rows.select("id").limit(0).withColumn("n", F.lit(0).cast("bigint")) if some else _later(rows.select("id", "kid"), one_way, "id")
-    out = known.join(late.withColumnRenamed("n", "n_late"), "id", "left").join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-    n_list = (F.coalesce("n_list", F.lit(0)) + F.coalesce("n_late", F.lit(0))).cast("bigint")
-    return out.select("id", F.col("n_title_links").cast("bigint").alias("n_title_links"), n_list.alias("n_keyword_links"), F.coalesce("root", "id").alias("class_id"))
+    least = keep(known.groupBy("top").agg(F.count("*").alias("n_rows")).join(roots.select(F.col("u").alias("top"), F.col("v").alias("root")), "top"), "least")
+    out = spread_join(known, least, "top")
+    late = F.lit(0)
+    if not one_way.isEmpty():
+        out = out.join(_later(rows.select("id", "kid"), one_way, "id").withColumnRenamed("n", "n_late"), "id", "left")
+        late = F.coalesce("n_late", late)
+    n_list = (F.coalesce("n_list", F.lit(0)) + late).cast("bigint")
+    return out.select("id", F.col("n_title_links").cast("bigint").alias("n_title_links"), n_list.alias("n_keyword_links"), F.coalesce("root", "top").alias("class_id"))

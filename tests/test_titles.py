@@ -78,3 +78,24 @@ def test_titles_that_begin_alike_are_few_parts(spark):
     assert parts.count() == len(data) and parts.select("part").distinct().count() <= 3 * 3 + 1 + 2 * 4
     met = titles._met(parts).collect()
     assert sum(not r.whole for r in met) <= 4 and sum(r.whole for r in met) >= 18
+
+
+def test_many_titles_that_begin_alike_are_as_few_parts(spark):
+    """Ten times as many numbered titles are no more parts, and all their pairs are decided at once."""
+    kinds = "Show HN: a tool for billing number {}", "A short one {}", "Why is deploying so hard {}"
+    for n in (1000, 9000):
+        data = [(k.format(i), 1, 0, 10000 * j + i) for j, k in enumerate(kinds) for i in range(1000, 1000 + n)]
+        parts = titles.keep(titles._parts(spark.createDataFrame(data, "t string, w bigint, low int, tid bigint").coalesce(1)), "parts")
+        assert parts.select("part").distinct().count() == 3
+        assert [r.whole for r in titles._met(parts).collect() if r.p == r.q] == [True] * 3
+
+
+def test_large_parts_in_between(spark, monkeypatch):
+    """Large parts of which some titles are similar, with each other and with small parts."""
+    rnd = random.Random(3)
+    texts = [f"{rnd.choice(['alpha', 'omega'])} {rnd.choice('xyz')} {rnd.randrange(10**6):06d}" for _ in range(240)]
+    texts += ["alpha x 1", "omega z 12345", "alpha x 12345678", "quite another", "", "alpha x 000", "a"]
+    for name, value in {"_PART": 4, "_GROUP": 3, "_RUN": 3, "_RANGES": 7}.items():
+        monkeypatch.setattr(titles, name, value)
+    data = [(i, t, ["a", "b", "c"] if i >= 240 else [], 0.0) for i, t in enumerate(texts)]
+    assert found(spark.createDataFrame(data, SCHEMA).repartition(3)) == plain(data)
